@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.llm import quality_rules
+from setloom.llm import decontamination, line_dedup, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op9_decontamination": decontamination.op9_decontamination,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.OP1_SQL,
+    "op6_line_dedup": line_dedup.OP6_SQL,
+    "op9_decontamination": decontamination.OP9_SQL,
 }
