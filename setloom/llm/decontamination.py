@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setloom.llm.quality_rules import let
+
 #: Fixed value: what separates words. Upper case is kept here and lowered word by word.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,21 +34,21 @@ def words_of(text: Column) -> Column:
 
 def _hashes(words: Column, k: int) -> Column:
     """The hash of each ``k`` consecutive words."""
-    n = F.size(words) - k
-    return F.when(n < 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])))
+    every = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+    return let(words, lambda w: F.when(F.size(w) < k, F.array().cast("array<bigint>")).otherwise(every(w)))
 
 
 def _least(hashes: Column, span: int) -> Column:
     """The least of each ``span`` consecutive hashes."""
-    n = F.size(hashes) - span
-    return F.when(n < 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.least(*[F.get(hashes, i + j) for j in range(span)])))
+    every = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - span), lambda i: F.least(*[F.get(h, i + j) for j in range(span)]))
+    return let(hashes, lambda h: F.when(F.size(h) < span, F.array().cast("array<bigint>")).otherwise(every(h)))
 
 
 def _fingerprints(df: DataFrame, keys: list[str], gram: int, span: int) -> DataFrame:
     """Rows (keys, words, at, print): the winnowed positions of each text."""
     hashed = df.withColumn("hashes", _hashes(F.col("words"), gram))
     winnowed = hashed.withColumn("least", _least(F.col("hashes"), span))
-    rows = winnowed.select(*keys, "words", "least", F.posexplode("hashes").alias("at", "print"))
+    rows = winnowed.select(*keys, "words", "least", F.posexplode_outer("hashes").alias("at", "print"))  # outer: else Spark infers a filter that hashes again
     around = [F.when(F.col("at") >= j, F.get(F.col("least"), F.col("at") - j)) for j in range(span)]
     return rows.where(F.col("print") == F.greatest(*around)).select(*keys, "words", "at", "print")
 
@@ -86,7 +88,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
         short = items.where((F.size("item_words") < width) & (F.size("item_words") > 0)).select("item_id", "item_words", F.xxhash64(F.size("item_words"), F.array_join("item_words", " ")).alias("print"))
         grams = reduce(
             DataFrame.unionByName,
-            [worded.select("doc_id", "same", F.posexplode(F.transform(F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)), lambda i, n=n: F.array_join(F.slice("words", i + 1, F.lit(n)), " "))).alias("at", "joined")).select("doc_id", "same", "at", F.lit(n).alias("n"), "joined", F.xxhash64(F.lit(n), "joined").alias("print")) for n in lengths],
+            [worded.select("doc_id", "same", F.posexplode_outer(let(F.col("words"), lambda w, n=n: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " ")))).alias("at", "joined")).select("doc_id", "same", "at", F.lit(n).alias("n"), "joined", F.xxhash64(F.lit(n), "joined").alias("print")) for n in lengths],
         )
         whole = grams.join(F.broadcast(short) if short.count() <= broadcast_rows else short, "print").where((F.size("item_words") == F.col("n")) & (F.array_join("item_words", " ") == F.col("joined")))
         spans = spans.unionByName(whole.select("doc_id", "same", "item_id", F.struct("at", "n").alias("hit")))

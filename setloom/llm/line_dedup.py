@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setloom.llm.quality_rules import let
+
 
 def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")), lambda x: x != "")
@@ -26,7 +28,9 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """Per document: n_lines, n_removed, kept_sha256 and kept_text, in which removed lines are missing."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("same"))
     lined = docs.where("doc_id is not null").select("doc_id", "same", _lines(F.col("text")).alias("lines"))
-    windows = lined.where(F.size("lines") >= size).select("doc_id", "same", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lines") - size), lambda i: F.unhex(F.md5(F.array_join(F.slice("lines", i + 1, F.lit(size)), "\n"))))).alias("at", "print"))
+    hashed = let(F.col("lines"), lambda x: F.when(F.size(x) >= size, F.transform(F.sequence(F.lit(0), F.size(x) - size), lambda i: F.unhex(F.md5(F.array_join(F.slice(x, i + 1, F.lit(size)), "\n"))))))
+    # outer: else Spark infers a filter that hashes again
+    windows = lined.select("doc_id", "same", F.posexplode_outer(hashed).alias("at", "print")).where("print is not null")
     place = F.struct("doc_id", "same", "at")
     owners = windows.groupBy("print").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("print", "first")
     later = windows.join(owners, "print").where(place > F.col("first")).groupBy("doc_id", "same").agg(F.collect_set("at").alias("at"))

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.llm import decontamination, line_dedup, quality_rules, substring_dedup
+from setloom.llm import decontamination, line_dedup, ngram_jaccard, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
