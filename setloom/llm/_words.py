@@ -126,6 +126,16 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[: n - k + 1]) * down[: n - k + 1] + _U(k))
 
 
+def spans(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of the words from each start to each end."""
+    n = len(hashes)
+    up, down = _word_powers.get(n + 1)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.multiply(hashes, up[:n], out=sums[1:])
+    np.cumsum(sums, out=sums)
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def starts_inside(first: np.ndarray, k: int) -> np.ndarray:
     """Which run starts leave ``k`` words inside their own row."""
     n = int(first[-1])

@@ -5,7 +5,8 @@ least hash of the ``gram``-word runs inside it: equal windows have equal anchors
 window's, and a sketch over anchors (about one for twenty windows) overestimates window counts as one over windows
 would. Each partition fills its own sketch; the sums of the partitions' counters are the merged sketch. The second pass
 hashes (96 bits) only the windows whose anchor is estimated in two documents or more and groups them exactly, so none
-is lost and a collision in the sketch costs time only.
+is lost and a collision in the sketch costs time only. Neighbouring windows with one anchor form a segment: where all
+segments of an anchor are equal, they are compared as wholes; only those of the other anchors are taken apart.
 
 The merged sketch reaches the executors as one bit a counter (estimate of two or more), at most
 ``2 * 2**max_log2_width / 8`` bytes whatever the corpus. Its width follows the corpus up to that bound. Of the texts
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setloom.llm._store import stash
-from setloom.llm._words import mix, runs, slices, sliding_min, starts_inside, texts
+from setloom.llm._words import mix, runs, slices, sliding_min, spans, starts_inside, texts
 
 ROWS = 1 << 16
 
@@ -119,15 +120,24 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int, gram: int, log2_widt
             one, two = _counters(anchors, log2_width)
             rows = s.owner
             keep = _estimated(bits[0], one) & _estimated(bits[1], two) & ~off[s.row + rows[starts]]
-            starts = starts[keep]
+            starts, anchors = starts[keep], anchors[keep]
             if not len(starts):
                 continue
-            high, low = runs(s.hashes, width)[starts], runs(mix(s.hashes + np.uint64(0x632BE59BD9B4E019)), width)[starts]
-            row = s.row + rows[starts]
-            at = (starts - s.first[rows[starts]]).astype(np.int32)
-            for i in range(0, len(starts), ROWS):
-                j = slice(i, i + ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(high[j].view(np.int64)), pa.array((low[j] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[row[j]]), pa.array(same[row[j]]), pa.array(at[j])], names=["high", "low", "doc_id", "same", "at"])
+            of = rows[starts]
+            new = np.ones(len(starts), bool)
+            new[1:] = (anchors[1:] != anchors[:-1]) | (of[1:] != of[:-1]) | (starts[1:] != starts[:-1] + 1)
+            cuts = np.append(np.flatnonzero(new), len(starts))
+            begin, last = starts[cuts[:-1]], starts[cuts[1:] - 1]
+            other = mix(s.hashes + np.uint64(0x632BE59BD9B4E019))
+            whole = spans(s.hashes, begin, last + width) ^ spans(other, begin, last + width)
+            high = runs(s.hashes, width)[starts].view(np.int64)
+            low = (runs(other, width)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            row = s.row + rows[begin]
+            at = (begin - s.first[rows[begin]]).astype(np.int32)
+            for i in range(0, len(begin), ROWS):
+                j, k = slice(i, i + ROWS), cuts[i : i + ROWS + 1]
+                lists = [pa.ListArray.from_arrays(pa.array((k - k[0]).astype(np.int32)), pa.array(x[k[0] : k[-1]])) for x in (high, low)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchors[cuts[:-1]][j].view(np.int64)), pa.array(whole[j].view(np.int64)), pa.array(ids[row[j]]), pa.array(same[row[j]]), pa.array(at[j]), pa.array(np.diff(k).astype(np.int32)), *lists], names=["anchor", "whole", "doc_id", "same", "at", "n", "high", "low"])
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch], width: int, hot) -> Iterator[pa.RecordBatch]:
@@ -185,9 +195,16 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketch_there = spark.sparkContext.broadcast(sketch.tobytes())
 
     same = F.xxhash64("text")
-    rows = stash(docs.withColumn("same", same).mapInArrow(lambda it: _windows(it, width, gram, log2_width, sketch_there, hot_there), "high long, low int, doc_id long, same long, at int"), "windows")
-    owners = rows.groupBy("high", "low").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
-    later = rows.join(owners, ["high", "low"]).where("doc_id > owner").groupBy("doc_id", "same").agg(F.collect_set("at").alias("removed"))
+    segments = stash(docs.withColumn("same", same).mapInArrow(lambda it: _windows(it, width, gram, log2_width, sketch_there, hot_there), "anchor long, whole long, doc_id long, same long, at int, n int, high array<long>, low array<int>"), "segments")
+    anchors = stash(segments.groupBy("anchor").agg(F.min("whole").alias("one"), F.max("whole").alias("other"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("anchor", "owner", (F.col("one") != F.col("other")).alias("open")), "anchors")
+    # one and the same segment everywhere: its windows are repeated as a whole
+    closed = segments.select("anchor", "doc_id", "same", "at", "n").join(anchors.where("not open"), "anchor").where("doc_id > owner").select("doc_id", "same", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at"))
+    # segments that differ: window by window
+    windows = segments.join(anchors.where("open").select("anchor"), "anchor").select("doc_id", "same", "at", F.posexplode(F.arrays_zip("high", "low")).alias("i", "hash")).select("doc_id", "same", (F.col("at") + F.col("i")).alias("at"), "hash.high", "hash.low")
+    windows = stash(windows, "windows")
+    owners = windows.groupBy("high", "low").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
+    loose = windows.join(owners, ["high", "low"]).where("doc_id > owner").select("doc_id", "same", "at")
+    later = closed.unionByName(loose).groupBy("doc_id", "same").agg(F.collect_set("at").alias("removed"))
     both = docs.withColumn("same", same).join(later, ["doc_id", "same"], "left").select("doc_id", "text", "removed")
     return both.mapInArrow(lambda it: _rebuild(it, width, hot_there), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
