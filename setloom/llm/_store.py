@@ -31,6 +31,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/setloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
+    # the shuffle files that led here are not read again; Spark deletes them when the driver collects its garbage
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
