@@ -1,7 +1,7 @@
 """Documents whose sets of word shingles are alike (Jaccard), through a tree of count vectors.
 
 A document's set is that of its distinct ``gram``-word shingles, as 64-bit hashes. Hashing shingles into ``GROUPS``
-groups gives a vector of counts; the sum of coordinate minima of two vectors bounds the overlap of their sets from
+groups gives a vector of counts (one byte each: sets of more than ``COUNTED`` members skip the bound); the sum of coordinate minima of two vectors bounds the overlap of their sets from
 above, and the maxima over the vectors under a tree node bound it for all of them. Pairs that survive the bound are
 verified on the sets themselves, so links are exact.
 
@@ -33,7 +33,7 @@ from setloom.llm._graph import components
 from setloom.llm._store import stash
 from setloom.llm._words import mix, runs, slices, starts_inside
 
-GROUPS = 64
+GROUPS, FOLDED, COUNTED = 256, 64, 30_000
 SKETCH_BITS = 22
 SMALL_GROUP, BLOCK, NODE = 128, 512, 16
 BROADCAST_ROWS = 1_000_000
@@ -75,7 +75,7 @@ def _points(batches: Iterator[pa.RecordBatch], gram: int, percent: int, frequent
             size.append(n)
             one.append(int(mix(u).sum(dtype=np.uint64).view(np.int64)) if n else 0)
             two.append(int(mix(u ^ np.uint64(0xA5A5F00DDEADBEEF)).sum(dtype=np.uint64).view(np.int64)) if n else 0)
-            vectors.append(np.minimum(np.bincount((u & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16).tobytes())
+            vectors.append(np.minimum(np.bincount((u & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes())
             keep = n + (percent * n) // -100 + 1 if n else 0  # n - ceil(percent n / 100) + 1
             late = last[(u >> shift).astype(np.int64)]
             first = u[~late][:keep]
@@ -86,7 +86,7 @@ def _points(batches: Iterator[pa.RecordBatch], gram: int, percent: int, frequent
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, GROUPS).astype(np.int32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS)
 
 
 def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -100,8 +100,8 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         for i in range(0, len(batch), 20_000):
             part = batch.slice(i, 20_000)
             n, m = part["na"].to_numpy(), part["nb"].to_numpy()
-            bound = np.minimum(_vectors(part["va"]), _vectors(part["vb"])).sum(axis=1)
-            keep = (bound >= _needed(n, m, percent)) | (np.minimum(n, m) > 65535)
+            bound = np.minimum(_vectors(part["va"]), _vectors(part["vb"])).sum(axis=1, dtype=np.int64)
+            keep = (bound >= _needed(n, m, percent)) | (np.minimum(n, m) > COUNTED)
             yield part.select(["a", "b"]).filter(pa.array(keep))
 
 
@@ -140,7 +140,7 @@ class CountTree:
                 sized = np.flatnonzero((100 * high[p] >= percent * low2[q]) & (100 * high2[q] >= percent * low[p]))
                 p, q = p[sized], q[sized]
                 bound = np.minimum(top[p], top2[q]).sum(axis=1)
-                keep[i + sized] = (bound >= _needed(low[p], low2[q], percent)) | (np.minimum(high[p], high2[q]) > 65535)
+                keep[i + sized] = (bound >= _needed(low[p], low2[q], percent)) | (np.minimum(high[p], high2[q]) > COUNTED)
             x, y = x[keep], y[keep]
             if not depth:
                 return self.order[x], other.order[y]
@@ -168,7 +168,7 @@ def _group_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
         keep = 100 * n[i] >= percent * n[j]
         i, j = i[keep], j[keep]
     else:
-        vectors = _vectors(rows["vector"])
+        vectors = _vectors(rows["vector"]).reshape(len(ids), FOLDED, -1).sum(axis=2, dtype=np.int32)
         own, guest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         tree = CountTree(n[own], vectors[own])
         if len(guest):
