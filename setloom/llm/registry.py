@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.llm import decontamination, line_dedup, mixing, ngram_jaccard, quality_rules, sharding, substring_dedup, token_counts
+from setloom.llm import decontamination, hmm_scoring, line_dedup, mixing, ngram_jaccard, quality_rules, sharding, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_mixing": mixing.op2_mixing,
     "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
     "op4_sharding": sharding.op4_sharding,
+    "op5_hmm_scoring": hmm_scoring.op5_hmm_scoring,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_decontamination": decontamination.op9_decontamination,
