@@ -56,10 +56,20 @@ def _repeated(windows: Column, width: int) -> Column:
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost_percent: int = 30) -> DataFrame:
     """Measures and verdict of each document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and n_lines, n_failed_lines, lost_chars, cleaned_text."""
+    return _judged(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("int").alias("whole")), max_lost_percent).drop("whole")
+
+
+def passing(df: DataFrame, text_col: str = "text", max_lost_percent: int = 30) -> DataFrame:
+    """The rows of ``df``, with all their columns, that the rules keep."""
+    docs = df.select(F.lit(None).cast("int").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*df.columns).alias("whole"))
+    return _judged(docs, max_lost_percent).where("kept").select("whole.*")
+
+
+def _judged(docs: DataFrame, max_lost_percent: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     split = docs.select(
         "doc_id",
+        "whole",
         text.alias("text"),
         words_of(F.col("text")).alias("words"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
@@ -68,6 +78,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     windows = F.when(n < 3, F.array().cast("array<string>")).otherwise(F.transform(F.slice(F.col("words"), F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(F.col("words"), i + 1), F.get(F.col("words"), i + 2))))
     judged = split.select(
         "doc_id",
+        "whole",
         "text",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -80,6 +91,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     failed = F.filter("lines", lambda x: x["fails"])
     measured = judged.select(
         "doc_id",
+        "whole",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -93,7 +105,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     verdict = 100 * F.col("lost_chars") <= max_lost_percent * F.col("line_chars")
-    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & verdict).alias("kept"), "n_lines", "n_failed_lines", "lost_chars", "cleaned_text")
+    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & verdict).alias("kept"), "n_lines", "n_failed_lines", "lost_chars", "cleaned_text", "whole")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.llm import decontamination, hmm_scoring, line_dedup, mixing, ngram_jaccard, quality_rules, sharding, substring_dedup, token_counts
+from setloom.llm import decontamination, hmm_scoring, html_extraction, line_dedup, mixing, ngram_jaccard, quality_rules, sharding, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": sharding.op4_sharding,
     "op5_hmm_scoring": hmm_scoring.op5_hmm_scoring,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_html_extraction": html_extraction.op7_html_extraction,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
