@@ -146,20 +146,21 @@ def _rebuild(batches: Iterator[pa.RecordBatch], width: int, hot) -> Iterator[pa.
         copies = ~none & _skipped(batch["text"], ids, hot.value)
         offsets, data = texts(batch["text"])
         view, removed = memoryview(data), batch["removed"]
-        cut, cut_at = np.zeros(0, np.int64), np.zeros(len(batch) + 1, np.int64)
         lists = removed.fill_null([]) if removed.null_count else removed
-        cut, cut_at = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        cut, cut_at = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        begin, last = (np.asarray(cut.field(k)).astype(np.int64) for k in ("at", "n"))
+        last = begin + last - 1
         n_words, n_removed, digests, kept = [], [], [], []
         for i in range(len(batch)):
             words = bytes(view[offsets[i] : offsets[i + 1]]).split()
             n = len(words)
-            at = cut[cut_at[i] : cut_at[i + 1]]
+            at = slice(cut_at[i], cut_at[i + 1])
             if copies[i] and n >= width:
                 left = []
-            elif len(at):
+            elif at.stop > at.start:
                 step = np.zeros(n + 1, np.int64)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + width, -1)
+                np.add.at(step, begin[at], 1)
+                np.add.at(step, last[at] + width, -1)
                 left = [w for w, c in zip(words, np.cumsum(step)[:n].tolist(), strict=True) if not c]
             else:
                 left = words
@@ -198,13 +199,14 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     segments = stash(docs.withColumn("same", same).mapInArrow(lambda it: _windows(it, width, gram, log2_width, sketch_there, hot_there), "anchor long, whole long, doc_id long, same long, at int, n int, high array<long>, low array<int>"), "segments")
     anchors = stash(segments.groupBy("anchor").agg(F.min("whole").alias("one"), F.max("whole").alias("other"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("anchor", "owner", (F.col("one") != F.col("other")).alias("open")), "anchors")
     # one and the same segment everywhere: its windows are repeated as a whole
-    closed = segments.select("anchor", "doc_id", "same", "at", "n").join(anchors.where("not open"), "anchor").where("doc_id > owner").select("doc_id", "same", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at"))
+    closed = segments.select("anchor", "doc_id", "same", "at", "n").join(anchors.where("not open"), "anchor").where("doc_id > owner").select("doc_id", "same", "at", "n")
     # segments that differ: window by window
     windows = segments.join(anchors.where("open").select("anchor"), "anchor").select("doc_id", "same", "at", F.posexplode(F.arrays_zip("high", "low")).alias("i", "hash")).select("doc_id", "same", (F.col("at") + F.col("i")).alias("at"), "hash.high", "hash.low")
     windows = stash(windows, "windows")
-    owners = windows.groupBy("high", "low").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
-    loose = windows.join(owners, ["high", "low"]).where("doc_id > owner").select("doc_id", "same", "at")
-    later = closed.unionByName(loose).groupBy("doc_id", "same").agg(F.collect_set("at").alias("removed"))
+    # stored, so that the join shuffles both sides and Spark can split a frequent window's rows
+    owners = stash(windows.groupBy("high", "low").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("high", "low", "owner"), "owners")
+    loose = windows.join(owners, ["high", "low"]).where("doc_id > owner").select("doc_id", "same", "at", F.lit(1).alias("n"))
+    later = closed.unionByName(loose).groupBy("doc_id", "same").agg(F.collect_set(F.struct("at", "n")).alias("removed"))
     both = docs.withColumn("same", same).join(later, ["doc_id", "same"], "left").select("doc_id", "text", "removed")
     return both.mapInArrow(lambda it: _rebuild(it, width, hot_there), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
