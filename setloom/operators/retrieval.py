@@ -52,14 +52,14 @@ def nearest_users(inputs: DataFrame, ui: DataFrame, excluded: DataFrame, seed: i
     return _first(able.withColumn("ties", tied), ["bundle_id"], [F.desc("overlap"), X.draw(seed, "bundle_id", "user_id"), "user_id"], 1).drop("place")
 
 
-def user_history(chosen: DataFrame, ui: DataFrame, excluded: DataFrame, inputs: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def user_history(chosen: DataFrame, ui: DataFrame, excluded: DataFrame, inputs: DataFrame, vectors: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """The ``k`` items of the chosen user's history most similar to the mean input. Rows (bundle_id, user_id, item_id, score, place)."""
     from setloom.operators.vectors import mean_vectors
 
     unit = vectors.select("item_id", X.unit("embedding").alias("v"))
     mean = mean_vectors(inputs.join(unit, "item_id"), ["bundle_id"], "v").select("bundle_id", X.unit("v").alias("m"))
     left = chosen.select("bundle_id", "user_id").join(ui, "user_id").join(excluded.select("bundle_id", "item_id").distinct(), ["bundle_id", "item_id"], "left_anti")
-    scored = left.join(unit, "item_id").join(mean, "bundle_id").select("bundle_id", "user_id", "item_id", F.round(X.dot("v", "m"), 9).alias("score"))
+    scored = left.join(unit, "item_id").join(mean, "bundle_id").select("bundle_id", "user_id", "item_id", F.round(X.dot("v", "m"), digits).alias("score"))
     return _first(scored, ["bundle_id"], [F.desc("score"), "item_id"], k)
 
 

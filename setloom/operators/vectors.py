@@ -100,13 +100,13 @@ def representatives(vectors: DataFrame, items: DataFrame, key: str, k: int) -> D
     return scored.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "item_id")).cast("long")).where(F.col("place") <= k)
 
 
-def centroid_scores(sets: DataFrame, centers: DataFrame, group: str, key: str) -> DataFrame:
+def centroid_scores(sets: DataFrame, centers: DataFrame, group: str, key: str, digits: int = 9) -> DataFrame:
     """Cosine of the mean of a group's key vectors with every other key's: rows (group, key, score), observed keys out.
 
     ``centers`` (key, unit) is a table of categories, whose number the data model bounds.
     """
     mean = mean_vectors(sets.join(centers, key), [group], "unit").select(group, X.unit("unit").alias("m"))
-    scored = mean.join(F.broadcast(centers)).select(group, key, F.round(X.dot("m", "unit"), 9).alias("score"))
+    scored = mean.join(F.broadcast(centers)).select(group, key, F.round(X.dot("m", "unit"), digits).alias("score"))
     return scored.join(sets.select(group, key), [group, key], "left_anti")
 
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from setloom.functions import exprs as X
+from setloom.operators import completion as C
 from setloom.operators import retrieval as T
 from setloom.operators import vectors as V
 from setloom.plans.base import Model, sql
 from setloom.plans.bundle_queries import rounded
-from setloom.plans.completion_queries import USER  # noqa: F401
-from setloom.operators import completion as C
 from setloom.registry import query
 
 UNIT = {
@@ -109,7 +108,7 @@ def w07(spark, d):
 def v08(spark, d):
     m = Model(spark, d)
     centers = V.prototypes(m.vectors, m.items, "category").select("category", "unit")
-    return V.centroid_scores(m.observed, centers, "bundle_id", "category").withColumn("score", F.round("score", 8))
+    return V.centroid_scores(m.observed, centers, "bundle_id", "category", 8)
 
 
 @query("a53_feature_sanity", sql("SELECT count(*) AS n, 1.0::DOUBLE AS finite_ratio, count(*) FILTER (WHERE nm = 0) AS zero_norms, round(quantile_cont(nm, 0.5), 8) AS norm_median, round(min(nm), 8) AS norm_min, round(max(nm), 8) AS norm_max, (SELECT count(*) FROM vec x JOIN vec y ON y.item_id = x.item_id - 1 AND x.embedding = y.embedding) AS adjacent_duplicates FROM (SELECT sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS nm FROM vec)"))
@@ -185,11 +184,11 @@ def j08(spark, d):
 @query("c15_user_history", sql("SELECT bundle_id, user_id, item_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY score DESC, item_id) AS place FROM (SELECT ch.bundle_id, ch.user_id, u.item_id, round(list_dot_product(un.v, im.m), 8) AS score FROM ch JOIN ui u USING (user_id) JOIN un ON un.item_id = u.item_id JOIN im ON im.bundle_id = ch.bundle_id WHERE NOT EXISTS (SELECT 1 FROM exc e WHERE e.bundle_id = ch.bundle_id AND e.item_id = u.item_id))) WHERE place <= 5", **USERS, **UNIT))
 def c15(spark, d):
     m = Model(spark, d)
-    return T.user_history(T.nearest_users(m.inputs, m.ui, excluded(m), 5), m.ui, excluded(m), m.inputs, m.vectors, 5).withColumn("score", F.round("score", 8))
+    return T.user_history(T.nearest_users(m.inputs, m.ui, excluded(m), 5), m.ui, excluded(m), m.inputs, m.vectors, 5, 8)
 
 
 PRIOR = {
-    "pri": "SELECT o.bundle_id, c.b AS category, round(sum(c.binary_w / s.binary_w::DOUBLE) / any_value(z.n), 9) AS p FROM obe o JOIN cc s ON s.a = o.category AND s.b = s.a JOIN cc c ON c.a = o.category AND c.b <> c.a JOIN (SELECT bundle_id, count(*) AS n FROM obe GROUP BY 1) z ON z.bundle_id = o.bundle_id WHERE NOT EXISTS (SELECT 1 FROM obe q WHERE q.bundle_id = o.bundle_id AND q.category = c.b) GROUP BY o.bundle_id, c.b",
+    "pri": "SELECT o.bundle_id, c.b AS category, sum(c.binary_w / s.binary_w::DOUBLE) / any_value(z.n) AS p FROM obe o JOIN cc s ON s.a = o.category AND s.b = s.a JOIN cc c ON c.a = o.category AND c.b <> c.a JOIN (SELECT bundle_id, count(*) AS n FROM obe GROUP BY 1) z ON z.bundle_id = o.bundle_id WHERE NOT EXISTS (SELECT 1 FROM obe q WHERE q.bundle_id = o.bundle_id AND q.category = c.b) GROUP BY o.bundle_id, c.b",
     "obe": "SELECT o.* FROM observed o JOIN ev USING (bundle_id)",
     "cm": "SELECT o.bundle_id, t.bundle_id AS context, count(*) AS overlap FROM obe o JOIN tbc t USING (category) GROUP BY ALL",
     "cs": "SELECT cm.*, nc, nq FROM cm JOIN (SELECT bundle_id AS context, count(*) AS nc FROM tbc GROUP BY 1) USING (context) JOIN (SELECT bundle_id, count(*) AS nq FROM obe GROUP BY 1) USING (bundle_id) WHERE nc > overlap",
@@ -199,7 +198,7 @@ PRIOR = {
 
 def prior(m: Model, observed):
     pairs = m.cc.where("a <> b").select("a", "b", F.col("binary_w").alias("n"))
-    return rounded(C.mean_support(observed, pairs, m.cc.where("a = b").select(F.col("a").alias("category"), F.col("binary_w").alias("n"))), "score")
+    return C.mean_support(observed, pairs, m.cc.where("a = b").select(F.col("a").alias("category"), F.col("binary_w").alias("n")))
 
 
 @query("c06_category_retrieval", sql("SELECT bundle_id, context, prior, overlap, jaccard, score, place FROM (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY score DESC, prior DESC, overlap DESC, jaccard DESC, md5('3_' || bundle_id || '_' || context), context) AS place FROM cr) WHERE place <= 5", **PRIOR))
