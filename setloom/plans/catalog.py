@@ -1,5 +1,5 @@
 """Imports every query module so that the registry is complete."""
 
-from setloom.plans import bundle_queries, completion_queries, run_queries, vector_queries  # noqa: F401
+from setloom.plans import bundle_queries, completion_queries, io_queries, run_queries, vector_queries  # noqa: F401
 
 FLAGSHIP = "completion_direct_confidence"
