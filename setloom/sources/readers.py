@@ -5,6 +5,9 @@ Paths go to Spark's readers only, so any store that Spark reads will do.
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,12 +54,26 @@ def items(spark: SparkSession, path: str) -> DataFrame:
 
 def results(spark: SparkSession, path: str) -> DataFrame:
     """A result CSV with quoted line ends, in the first encoding that decodes it; a byte-order mark goes."""
-    for encoding in ENCODINGS:
-        df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encoding)
-        bad = spark.read.text(path) if encoding == "utf-8" else None
-        if bad is None or bad.where(F.col("value").contains("�")).limit(1).count() == 0:
-            break
-    return df.toDF(*[c.removeprefix("﻿") for c in df.columns])
+    if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
+        df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=ENCODINGS[0])
+        return df.toDF(*[c.removeprefix("\ufeff") for c in df.columns])
+    return _decoded(spark, path, ENCODINGS[1])
+
+
+def _decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """The same for an encoding that Spark's own reader doesn't take: files are decoded as bytes on the executors."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    head = files.select(F.substring("content", 1, 1 << 16)).first()[0]
+    names = next(csv.reader(io.StringIO(bytes(head).decode(encoding, "ignore"))))
+
+    def rows(parts):
+        import pandas as pd
+
+        for part in parts:
+            for content in part["content"]:
+                yield pd.DataFrame(list(csv.reader(io.StringIO(content.decode(encoding))))[1:], columns=names)
+
+    return files.mapInPandas(rows, ", ".join(f"`{n}` string" for n in names))
 
 
 def responses(spark: SparkSession, path: str) -> DataFrame:
