@@ -63,12 +63,12 @@ def user_history(chosen: DataFrame, ui: DataFrame, excluded: DataFrame, inputs:
     return _first(scored, ["bundle_id"], [F.desc("score"), "item_id"], k)
 
 
-def similar_examples(queries: DataFrame, examples: DataFrame, options: DataFrame) -> DataFrame:
+def similar_examples(queries: DataFrame, examples: DataFrame, options: DataFrame, digits: int = 9) -> DataFrame:
     """Most similar example whose answer is no option of the query, with its rank before that filter.
 
-    ``queries`` (bundle_id, v), ``examples`` (example, answer, w): unit vectors.
+    ``queries`` (bundle_id, v), ``examples`` (example, answer, w): unit vectors. The queries, a stated set, are broadcast.
     """
-    scored = queries.join(F.broadcast(examples)).select("bundle_id", "example", "answer", F.round(X.dot("v", "w"), 9).alias("score"))
+    scored = examples.join(F.broadcast(queries)).select("bundle_id", "example", "answer", F.round(X.dot("v", "w"), digits).alias("score"))
     placed = scored.withColumn("rank", F.row_number().over(Window.partitionBy("bundle_id").orderBy(F.desc("score"), "example")).cast("long"))
     allowed = placed.join(options.select("bundle_id", F.col("item_id").alias("answer")).distinct(), ["bundle_id", "answer"], "left_anti")
     return _first(allowed, ["bundle_id"], ["rank"], 1).drop("place")
