@@ -54,18 +54,22 @@ def _repeated(windows: Column, width: int) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(let(ordered, places), covered))
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost_percent: int = 30) -> DataFrame:
-    """Measures and verdict of each document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and n_lines, n_failed_lines, lost_chars, cleaned_text."""
-    return _judged(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("int").alias("whole")), max_lost_percent).drop("whole")
+RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines", "lost_chars"]
+
+
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost_percent: int = 30, cleaned: bool = True) -> DataFrame:
+    """Measures and verdict of each document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and n_lines, n_failed_lines, lost_chars, and with ``cleaned`` also cleaned_text."""
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("int").alias("whole"))
+    return _judged(docs, max_lost_percent, RESULT + ["cleaned_text"] * cleaned)
 
 
 def passing(df: DataFrame, text_col: str = "text", max_lost_percent: int = 30) -> DataFrame:
     """The rows of ``df``, with all their columns, that the rules keep."""
     docs = df.select(F.lit(None).cast("int").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*df.columns).alias("whole"))
-    return _judged(docs, max_lost_percent).where("kept").select("whole.*")
+    return _judged(docs, max_lost_percent, ["kept", "whole"]).where("kept").select("whole.*")
 
 
-def _judged(docs: DataFrame, max_lost_percent: int) -> DataFrame:
+def _judged(docs: DataFrame, max_lost_percent: int, columns: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.select(
         "doc_id",
@@ -105,12 +109,14 @@ def _judged(docs: DataFrame, max_lost_percent: int) -> DataFrame:
     )
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     verdict = 100 * F.col("lost_chars") <= max_lost_percent * F.col("line_chars")
-    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & verdict).alias("kept"), "n_lines", "n_failed_lines", "lost_chars", "cleaned_text", "whole")
+    judged = measured.withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & verdict)
+    # the array is a wall: a filter on the result would else be pushed below the steps, with all of them copied into it
+    return judged.select(F.explode_outer(F.array(F.struct(*columns))).alias("x")).select("x.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over all of ``documents``."""
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("cleaned_text")
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), cleaned=False)
 
 
 OP1_SQL = r"""
