@@ -86,10 +86,13 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     lengths = sorted(r[0] for r in items.where((F.size("item_words") < width) & (F.size("item_words") > 0)).select(F.size("item_words")).distinct().collect())
     if lengths:
         short = items.where((F.size("item_words") < width) & (F.size("item_words") > 0)).select("item_id", "item_words", F.xxhash64(F.size("item_words"), F.array_join("item_words", " ")).alias("print"))
-        grams = reduce(
-            DataFrame.unionByName,
-            [worded.select("doc_id", "same", F.posexplode_outer(let(F.col("words"), lambda w, n=n: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " ")))).alias("at", "joined")).select("doc_id", "same", "at", F.lit(n).alias("n"), "joined", F.xxhash64(F.lit(n), "joined").alias("print")) for n in lengths],
-        )
+
+        def of_length(n: int) -> DataFrame:
+            joined = lambda w: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
+            rows = worded.select("doc_id", "same", F.posexplode_outer(let(F.col("words"), joined)).alias("at", "joined"))
+            return rows.select("doc_id", "same", "at", F.lit(n).alias("n"), "joined", F.xxhash64(F.lit(n), "joined").alias("print"))
+
+        grams = reduce(DataFrame.unionByName, map(of_length, lengths))
         whole = grams.join(F.broadcast(short) if short.count() <= broadcast_rows else short, "print").where((F.size("item_words") == F.col("n")) & (F.array_join("item_words", " ") == F.col("joined")))
         spans = spans.unionByName(whole.select("doc_id", "same", "item_id", F.struct("at", "n").alias("hit")))
 

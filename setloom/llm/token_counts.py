@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -63,16 +64,30 @@ class Counter:
 
 
 class PrefixCounts:
-    """Ends of the boundaries of one text, in characters, and the token count of the prefix up to each."""
+    """Token counts of the prefixes of one text: a sum at the end of every pre-token.
+
+    White space before a word is split differently from the same white space at the end of a text, so the sum after a
+    pre-token of white space is not the count of the prefix that ends there; it counts on towards the next ones only.
+    """
 
     def __init__(self, counter: Counter, text: str, pieces: list[str]):
         self.counter, self.text, self.pieces = counter, text, pieces
-        self.ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        self.counts = np.cumsum(np.fromiter(map(counter.known.__getitem__, pieces), np.int64, len(pieces)))
+        self.sums = np.cumsum(np.fromiter(map(counter.known.__getitem__, pieces), np.int64, len(pieces)))
+
+    @cached_property
+    def _ends(self) -> np.ndarray:
+        return np.cumsum(np.fromiter(map(len, self.pieces), np.int64, len(self.pieces)))
 
     @property
     def total(self) -> int:
-        return int(self.counts[-1]) if len(self.counts) else 0
+        return int(self.sums[-1]) if len(self.sums) else 0
+
+    @property
+    def boundaries(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ends, in characters, and token counts of the prefixes that end with a pre-token other than white space, and of the whole text."""
+        exact = np.fromiter((not p.isspace() for p in self.pieces), bool, len(self.pieces))
+        exact[-1:] = True
+        return self._ends[exact], self.sums[exact]
 
     def at(self, n: int) -> int:
         """Tokens of the first ``n`` characters."""
@@ -80,17 +95,20 @@ class PrefixCounts:
             return 0
         if n >= len(self.text):
             return self.total
-        j = bisect_right(self.ends, n)
-        while j and (j == len(self.pieces) or self.ends[j - 1] == n or self.pieces[j - 1].isspace()):
+        j = bisect_right(self._ends, n)
+        while j and (self._ends[j - 1] == n or self.pieces[j - 1].isspace()):
             j -= 1
-        start = int(self.ends[j - 1]) if j else 0
-        before = int(self.counts[j - 1]) if j else 0
+        start, before = (int(self._ends[j - 1]), int(self.sums[j - 1])) if j else (0, 0)
         return before + len(self.counter.library.encode(self.text[start:n], add_special_tokens=False).ids)
 
     def fits(self, budget: int) -> int:
         """Characters of the longest prefix, among those that end at a boundary, with at most ``budget`` tokens."""
-        j = int(np.searchsorted(self.counts, budget, side="right"))
-        return int(self.ends[j - 1]) if j else 0
+        if self.total <= budget:
+            return len(self.text)
+        j = int(np.searchsorted(self.sums, budget, side="right"))
+        while j and self.pieces[j - 1].isspace():
+            j -= 1
+        return int(self._ends[j - 1]) if j else 0
 
 
 def counter(path: str, pattern: str) -> Counter:
@@ -109,7 +127,8 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, pattern: str, budget: i
             out = [part["doc_id"], pa.array([t.total for t in tables], pa.int64()), pa.array([t.fits(budget) for t in tables], pa.int64())]
             names = ["doc_id", "n_tokens", "fits_chars"]
             if prefixes:
-                out += [pa.array([t.ends for t in tables], pa.list_(pa.int64())), pa.array([t.counts for t in tables], pa.list_(pa.int64()))]
+                ends, counts = zip(*(t.boundaries for t in tables), strict=True)
+                out += [pa.array(ends, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))]
                 names += ["ends", "counts"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
