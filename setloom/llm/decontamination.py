@@ -3,7 +3,8 @@
 Texts become hashes of ``gram`` consecutive words; of each ``width - gram + 1`` consecutive hashes the least is kept
 (all of them on ties). Two equal runs of ``width`` words keep the same hashes, so a join of document and item
 fingerprints finds every shared run of that length; each hit is then extended over the item's windows that hold it and
-compared word by word. Items shorter than a window are matched whole, by the hash of all their words at every position.
+compared word by word. Items shorter than a window are matched whole, wherever their first word stands (while there are
+at most ``first_words`` such words they are looked up in the row, beyond that all positions are joined).
 
 The fingerprints of the benchmark are broadcast only if there are at most ``broadcast_rows`` of them (24 bytes each);
 beyond that both sides are shuffled by fingerprint and the hit documents' words joined to the hits.
@@ -14,8 +15,6 @@ share words all count; rows that share a doc_id are kept apart by their text; an
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +60,7 @@ def _join(prints: DataFrame, items: DataFrame, docs: DataFrame, broadcast: bool)
     return narrow.join(docs.select("doc_id", "same", "words"), ["doc_id", "same"])
 
 
-def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, gram: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
+def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, gram: int = 5, broadcast_rows: int = 1_000_000, first_words: int = 10_000) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and hit_items (sorted strings)."""
     span = width - gram + 1
     same = F.xxhash64("text")
@@ -83,18 +82,16 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     spans = near.join(items, "item_id").select("doc_id", "same", "item_id", F.explode(F.array(*[F.when(F.col("at") >= b, F.when(F.col("item_at") >= b, F.when(window(F.lit(b)), F.struct((F.col("at") - b).alias("at"), F.lit(width).alias("n"))))) for b in range(span)])).alias("hit")).where("hit is not null")
 
-    lengths = sorted(r[0] for r in items.where((F.size("item_words") < width) & (F.size("item_words") > 0)).select(F.size("item_words")).distinct().collect())
-    if lengths:
-        short = items.where((F.size("item_words") < width) & (F.size("item_words") > 0)).select("item_id", "item_words", F.xxhash64(F.size("item_words"), F.array_join("item_words", " ")).alias("print"))
-
-        def of_length(n: int) -> DataFrame:
-            joined = lambda w: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
-            rows = worded.select("doc_id", "same", F.posexplode_outer(let(F.col("words"), joined)).alias("at", "joined"))
-            return rows.select("doc_id", "same", "at", F.lit(n).alias("n"), "joined", F.xxhash64(F.lit(n), "joined").alias("print"))
-
-        grams = reduce(DataFrame.unionByName, map(of_length, lengths))
-        whole = grams.join(F.broadcast(short) if short.count() <= broadcast_rows else short, "print").where((F.size("item_words") == F.col("n")) & (F.array_join("item_words", " ") == F.col("joined")))
-        spans = spans.unionByName(whole.select("doc_id", "same", "item_id", F.struct("at", "n").alias("hit")))
+    brief = (F.size("item_words") < width) & (F.size("item_words") > 0)
+    short = items.where(brief).select("item_id", "item_words", F.xxhash64(F.get("item_words", F.lit(0))).alias("first"))
+    firsts = [r[0] for r in short.select("first").distinct().limit(first_words + 1).collect()]
+    if firsts:
+        few = len(firsts) <= first_words
+        begins = lambda w: F.filter(F.transform(w, lambda x, i: F.when(F.xxhash64(x).isin(firsts), i) if few else i), lambda i: i.isNotNull())
+        begun = worded.select("doc_id", "same", "words", F.explode_outer(let(F.col("words"), begins)).alias("at")).where("at is not null").withColumn("first", F.xxhash64(F.get("words", F.col("at"))))
+        met = begun.join(F.broadcast(short) if few and short.count() <= broadcast_rows else short, "first")
+        whole = met.where(F.slice("words", F.col("at") + 1, F.size("item_words")) == F.col("item_words"))
+        spans = spans.unionByName(whole.select("doc_id", "same", "item_id", F.struct("at", F.size("item_words").alias("n")).alias("hit")))
 
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["n"] - 1)))))
     hits = spans.groupBy("doc_id", "same").agg(F.collect_set("hit").alias("hits"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("hit_items")).select("doc_id", "same", covered.cast("long").alias("n_hit"), "hit_items")
