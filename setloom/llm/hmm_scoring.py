@@ -264,8 +264,10 @@ def hmm_scoring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                 break
             least = r["n"]
         frequent = counts.where(F.col("n") >= least) if least else counts.limit(0)
-    top = frequent.toPandas().sort_values(["n", "word"], ascending=[False, True])
-    hashes, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    top = frequent.toArrow()
+    hashes, n = top["word"].to_numpy().astype(np.int64), top["n"].to_numpy().astype(np.int64)
+    order = np.lexsort((hashes, -n))
+    hashes, n = hashes[order].view(np.uint64), n[order]
     symbols = min(symbols, len(n))
     table = spark.sparkContext.broadcast((hashes, n))
 
