@@ -86,7 +86,7 @@ def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("a|b", 0.5), ("c_d", None)], "name string, x double")
     assert writers.markdown(df).splitlines()[2] == r"| a\|b | 0.5 |"
     assert r"c\_d" in writers.latex(df, "t")
-    assert writers.run_name("pog", {"cooc": True, "alpha": 0.5, "off": False}, 10, 5, "x") == "results_pog_COOC_ALPHA0.5_C10_T5_x"
+    assert writers.run_name("outfits", {"cooc": True, "alpha": 0.5, "off": False}, 10, 5, "x") == "results_outfits_COOC_ALPHA0.5_C10_T5_x"
     writers.append_results(df, str(tmp_path / "r"), "one")
     writers.append_results(df, str(tmp_path / "r"), "two")
     assert spark.read.parquet(str(tmp_path / "r")).count() == 4
