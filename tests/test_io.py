@@ -122,3 +122,15 @@ def test_stream_equals_batch(spark):
 def test_sessions(spark):
     rows = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     assert counters.sessions(rows).agg(F.sum("n")).first()[0] == rows.count()
+
+
+def test_suites(spark):
+    from setloom.plans.suite import run_suite
+
+    def run(session, name, conf):
+        return session.range(conf["n"]["rows"]).count() if name != "bad" else 1 / 0
+
+    plan = [{"name": "a"}, {"name": "b", "overrides": {"n": {"rows": 7}}}, {"name": "bad"}]
+    got = run_suite(spark, {"n": {"rows": 3, "x": 1}}, plan, run, max_parallel=2)
+    assert (got["a"], got["b"]) == (3, 7) and isinstance(got["bad"], ZeroDivisionError)
+    assert run_suite(spark, {"n": {"rows": 3, "x": 1}}, plan, run, dry=True)["b"] == {"n": {"rows": 7, "x": 1}}
