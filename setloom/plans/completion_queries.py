@@ -34,16 +34,19 @@ COUNTS = {
     "rs": "SELECT a, sum(w) AS s FROM off GROUP BY 1",
     "tr": "SELECT off.a, off.b, w AS raw_w, CASE WHEN d > 0 THEN w / d ELSE 0 END AS conditional, greatest(ln(w * (SELECT sum(w) FROM off) / (x.s * y.s)), 0) AS ppmi FROM off LEFT JOIN dia USING (a) JOIN rs x ON x.a = off.a JOIN rs y ON y.a = off.b",
 } | {f"prof_{v}": f"SELECT o.bundle_id, t.b AS category, sum(t.{c}) / any_value(z.n) AS score FROM observed o JOIN tr t ON t.a = o.category JOIN (SELECT bundle_id, count(*) AS n FROM observed GROUP BY 1) z ON z.bundle_id = o.bundle_id WHERE NOT EXISTS (SELECT 1 FROM observed q WHERE q.bundle_id = o.bundle_id AND q.category = t.b) GROUP BY ALL" for v, c in (("raw", "raw_w"), ("conditional", "conditional"), ("ppmi", "ppmi"))}
+#: Subsets of up to three observed categories, and the whole observed set up to five, as the reference takes them; the relations above stop at two and four.
+DEEP = COUNTS | {"parts": COUNTS["parts"].replace("bit_count(m) <= 2", "bit_count(m) <= 3")}
+WIDE = COUNTS | {"cnt": COUNTS["cnt"].replace("bit_count(m) <= 5", "bit_count(m) <= 6"), "direct": COUNTS["direct"].replace("len(o.names) <= 4", "len(o.names) <= 5")}
 JUDGED = {f"j_{s}": JUDGE.format(s=s) for s in ("direct", "backconf", "backlift", "backpmi", "prof_raw", "prof_conditional", "prof_ppmi")}
 
 
-def direct(m: Model):
-    counts = B.itemsets(m.train_bc, 5)
-    return C.direct(m.observed, counts, m.train_bc, least=3, largest=4)
+def direct(m: Model, largest: int = 4):
+    counts = B.itemsets(m.train_bc, largest + 1)
+    return C.direct(m.observed, counts, m.train_bc, least=3, largest=largest)
 
 
-def backoff(m: Model, rule: str):
-    return C.backoff(m.observed, B.itemsets(m.train_bc, 3), m.train_bc, 3, 2, rule, m.train_bc.agg(F.count_distinct("bundle_id").alias("bundles")))
+def backoff(m: Model, rule: str, largest: int = 3):
+    return C.backoff(m.observed, B.itemsets(m.train_bc, largest + 1), m.train_bc, 3, largest, rule, m.train_bc.agg(F.count_distinct("bundle_id").alias("bundles")))
 
 
 @query("completion_direct_confidence", sql(f"SELECT 'direct_confidence' AS method, {SUMMARY} FROM j_direct", **COUNTS, **JUDGED))
@@ -57,11 +60,19 @@ def a15(spark, d):
     return rounded(direct(Model(spark, d)).where("score > 0").select("bundle_id", "category", "score"), "score")
 
 
+def backoff_methods(m: Model, largest: int):
+    every = [C.judged(backoff(m, r, largest), m.heldout).withColumn("method", F.lit(r)) for r in ("confidence", "lift", "pmi")]
+    return rounded(C.summary(every[0].unionByName(every[1]).unionByName(every[2]), "method"), "coverage", "mean_rank", *METRICS)
+
+
 @query("a16_backoff_methods", sql(" UNION ALL ".join(f"SELECT '{n}' AS method, {SUMMARY} FROM j_{s}" for n, s in (("confidence", "backconf"), ("lift", "backlift"), ("pmi", "backpmi"))), **COUNTS, **JUDGED))
 def a16(spark, d):
-    m = Model(spark, d)
-    every = [C.judged(backoff(m, r), m.heldout).withColumn("method", F.lit(r)) for r in ("confidence", "lift", "pmi")]
-    return rounded(C.summary(every[0].unionByName(every[1]).unionByName(every[2]), "method"), "coverage", "mean_rank", *METRICS)
+    return backoff_methods(Model(spark, d), 2)
+
+
+@query("a16_backoff_of_triples", sql(" UNION ALL ".join(f"SELECT '{n}' AS method, {SUMMARY} FROM j_{s}" for n, s in (("confidence", "backconf"), ("lift", "backlift"), ("pmi", "backpmi"))), **DEEP, **JUDGED))
+def a16_of_triples(spark, d):
+    return backoff_methods(Model(spark, d), 3)
 
 
 @query("a17_heldout_ranks", sql("SELECT bundle_id, covered, rank, round(mrr, 9) AS mrr, hit_at_1, hit_at_3, hit_at_5 FROM j_direct", **COUNTS, **JUDGED))
@@ -97,11 +108,19 @@ def a25(spark, d):
 QUAD = "SELECT CASE WHEN a.hit_at_3 = 1 AND b.hit_at_3 = 1 THEN 'both' WHEN a.hit_at_3 = 1 THEN 'first_only' WHEN b.hit_at_3 = 1 THEN 'second_only' ELSE 'neither' END AS q FROM j_prof_conditional a JOIN j_backconf b USING (bundle_id)"
 
 
+def profile_and_backoff(m: Model, largest: int):
+    first = C.judged(G.profile_scores(m.observed, G.transforms(m.cc, "count_w"), "conditional"), m.heldout)
+    return rounded(C.quadrants(first, C.judged(backoff(m, "confidence", largest), m.heldout), 3), "ratio")
+
+
 @query("a26_quadrants", sql("SELECT v.q AS quadrant, count(qd.q) AS n, round(count(qd.q) / (SELECT count(*) FROM qd)::DOUBLE, 9) AS ratio FROM (VALUES ('both'), ('first_only'), ('second_only'), ('neither')) v(q) LEFT JOIN qd ON qd.q = v.q GROUP BY v.q", **COUNTS, **JUDGED, qd=QUAD))
 def a26(spark, d):
-    m = Model(spark, d)
-    first = C.judged(G.profile_scores(m.observed, G.transforms(m.cc, "count_w"), "conditional"), m.heldout)
-    return rounded(C.quadrants(first, C.judged(backoff(m, "confidence"), m.heldout), 3), "ratio")
+    return profile_and_backoff(Model(spark, d), 2)
+
+
+@query("a26_quadrants_of_triples", sql("SELECT v.q AS quadrant, count(qd.q) AS n, round(count(qd.q) / (SELECT count(*) FROM qd)::DOUBLE, 9) AS ratio FROM (VALUES ('both'), ('first_only'), ('second_only'), ('neither')) v(q) LEFT JOIN qd ON qd.q = v.q GROUP BY v.q", **DEEP, **JUDGED, qd=QUAD))
+def a26_of_triples(spark, d):
+    return profile_and_backoff(Model(spark, d), 3)
 
 
 USER = {

@@ -14,7 +14,7 @@ from setloom.operators import sampling as S
 from setloom.operators import vectors as V
 from setloom.plans.base import Model, sql
 from setloom.plans.bundle_queries import rounded
-from setloom.plans.completion_queries import COUNTS, direct
+from setloom.plans.completion_queries import COUNTS, WIDE, direct
 from setloom.plans.run_queries import METHODS, TIES, VIEWS, detail, per_view
 from setloom.plans.vector_queries import TEXT, UNIT
 from setloom.registry import query
@@ -136,15 +136,23 @@ def w15(spark, d):
     return K.co_items(m.inputs, m.train, 5)
 
 
-@query("c04_completion_block", sql("SELECT e.bundle_id, coalesce(string_agg(d.category || ' ' || printf('%.4f', d.score), '; ' ORDER BY d.r), 'no evidence') AS block FROM ev e LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY round(score, 4) DESC, category) AS r FROM direct) d ON d.bundle_id = e.bundle_id AND d.r <= 3 GROUP BY 1", **COUNTS))
-def c04(spark, d):
-    m = Model(spark, d)
+def completion_block(m, largest: int):
     place = F.row_number().over(Window.partitionBy("bundle_id").orderBy(F.desc(F.round("score", 4)), "category"))
-    best = direct(m).withColumn("r", place).where("r <= 3").select("bundle_id", "r", F.concat_ws(" ", "category", F.format_string("%.4f", "score")).alias("t"))
+    best = direct(m, largest).withColumn("r", place).where("r <= 3").select("bundle_id", "r", F.concat_ws(" ", "category", F.format_string("%.4f", "score")).alias("t"))
     text = best.groupBy("bundle_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "t"))), lambda s: s["t"]), "; ").alias("block"))
     return m.evaluated.join(text, "bundle_id", "left").select("bundle_id", F.coalesce("block", F.lit("no evidence")).alias("block"))
 
 
+@query("c04_completion_block", sql("SELECT e.bundle_id, coalesce(string_agg(d.category || ' ' || printf('%.4f', d.score), '; ' ORDER BY d.r), 'no evidence') AS block FROM ev e LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY round(score, 4) DESC, category) AS r FROM direct) d ON d.bundle_id = e.bundle_id AND d.r <= 3 GROUP BY 1", **COUNTS))
+def c04(spark, d):
+    return completion_block(Model(spark, d), 4)
+
+
+@query("c04_completion_block_of_fives", sql("SELECT e.bundle_id, coalesce(string_agg(d.category || ' ' || printf('%.4f', d.score), '; ' ORDER BY d.r), 'no evidence') AS block FROM ev e LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY round(score, 4) DESC, category) AS r FROM direct) d ON d.bundle_id = e.bundle_id AND d.r <= 3 GROUP BY 1", **WIDE))
+def c04_of_fives(spark, d):
+    return completion_block(Model(spark, d), 5)
+
+
 @query("c01_affiliate_text", sql("SELECT a AS item_id, string_agg(text, '; ' ORDER BY place) AS text FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY n DESC, first, b) AS place FROM (SELECT x.item_id AS a, y.item_id AS b, count(*) AS n, min(x.bundle_id) AS first FROM train x JOIN train y ON y.bundle_id = x.bundle_id AND y.item_id <> x.item_id WHERE x.item_id IN (SELECT item_id FROM inputs) GROUP BY ALL)) z JOIN tx ON tx.item_id = b WHERE place <= 3 GROUP BY 1", **TEXT))
 def c01(spark, d):
     m = Model(spark, d)
