@@ -18,9 +18,11 @@ of their own; extra columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import html
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,18 +49,20 @@ MARKUP = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-CELLS_AT_ONCE = 4_000_000
+#: Cells of a table of alignment that are held at once, and scores of pairs of subtrees.
+CELLS_AT_ONCE, KNOWN_AT_ONCE = 4_000_000, 500_000
+Memo = dict[tuple[bytes, bytes], int]
 
 
 class Node:
     """A block element, or (``text`` set) a leaf."""
 
-    __slots__ = ("tag", "key", "children", "outside", "article", "text", "leaf", "size")
+    __slots__ = ("tag", "key", "children", "outside", "article", "text", "leaf", "digest", "most")
 
     def __init__(self, tag: str, key: str, outside: bool, article: bool, text: str | None = None):
         self.tag, self.key, self.outside, self.article, self.text = tag, key, outside, article, text
         self.children: list[Node] = []
-        self.leaf, self.size = -1, 1
+        self.leaf, self.digest, self.most = -1, b"", 1
 
 
 def _child(parent: Node, tag: str, attributes: str) -> Node:
@@ -122,13 +126,17 @@ def parse(source: str) -> Node:
 
 
 def folded(node: Node) -> Node:
-    """The tree with elements that hold nothing but one text as leaves, and the sizes of subtrees."""
+    """The tree with elements that hold nothing but one text as leaves, with digests of subtrees and their scores with themselves."""
     if node.text is None:
         node.children = [folded(c) for c in node.children]
         if len(node.children) == 1 and node.children[0].tag == "#text":
             node.text = node.children[0].text
             node.children = []
-        node.size = 1 + sum(c.size for c in node.children)
+    own = hashlib.blake2b(f"{node.key}\0{'' if node.text is None else node.text}\0{node.text is None}\0".encode("utf-8", "surrogatepass"), digest_size=16)
+    for c in node.children:
+        own.update(c.digest)
+    node.digest = own.digest()
+    node.most = 1 + (node.text is not None) + sum(c.most for c in node.children)
     return node
 
 
@@ -142,69 +150,116 @@ def leaves(node: Node) -> list[Node]:
     return out
 
 
-def match(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> int:
-    """Simple tree matching of two trees; ``pairs`` gets the leaves that are aligned."""
-    if a.key != b.key:
-        return 0
-    if a.text is not None or b.text is not None:
-        if a.text is None or b.text is None:
-            return 1
-        pairs.append((a, b))
-        return 1 + (a.text == b.text)
-    x, y = a.children, b.children
-    score = 1
-    # equal ends need no table
-    while x and y and x[0].key == y[0].key and x[0].text is None and y[0].text is None:
-        score += match(x[0], y[0], pairs)
-        x, y = x[1:], y[1:]
-    if not x or not y:
-        return score
-    if len(x) * len(y) > CELLS_AT_ONCE:
-        for p, q in zip(x, y, strict=False):
-            score += match(p, q, pairs)
-        return score
-    weight = np.zeros((len(x), len(y)), np.int32)
-    inner: dict[tuple[int, int], list[tuple[Node, Node]]] = {}
-    by_key: dict[str, list[int]] = {}
-    for j, q in enumerate(y):
-        by_key.setdefault(q.key, []).append(j)
-    plain: dict[str, np.ndarray] = {k: np.array(v) for k, v in by_key.items()}
-    texts: dict[str, list[int]] = {}
+def _middle(x: list[Node], y: list[Node]) -> tuple[int, int, int]:
+    """How many children at the front and at the back are the same whole subtrees, and their score. No alignment does better than to pair these."""
+    least = min(len(x), len(y))
+    front = back = score = 0
+    while front < least and x[front].digest == y[front].digest:
+        score += x[front].most
+        front += 1
+    while back < least - front and x[-1 - back].digest == y[-1 - back].digest:
+        score += x[-1 - back].most
+        back += 1
+    return front, back, score
+
+
+def _weights(x: list[Node], y: list[Node], memo: Memo) -> Callable[[int], np.ndarray]:
+    """The function that gives the scores of the i-th of ``x`` with all of ``y``."""
+    keys: dict[str, list[int]] = {}
+    texts: dict[tuple[str, str], list[int]] = {}
     for j, q in enumerate(y):
+        keys.setdefault(q.key, []).append(j)
         if q.text is not None:
-            texts.setdefault(q.text, []).append(j)
-    for i, p in enumerate(x):
-        at = plain.get(p.key)
-        if at is None:
-            continue
+            texts.setdefault((q.key, q.text), []).append(j)
+
+    def row(i: int) -> np.ndarray:
+        p, out = x[i], np.zeros(len(y), np.int32)
+        at = keys.get(p.key, [])
         if p.text is not None:
-            weight[i, at] = 1
-            for j in texts.get(p.text, ()):
-                if y[j].key == p.key:
-                    weight[i, j] = 2
+            out[at] = 1
+            out[texts.get((p.key, p.text), [])] = 2
         else:
             for j in at:
-                got: list[tuple[Node, Node]] = []
-                weight[i, j] = match(p, y[j], got)
-                inner[i, int(j)] = got
-    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+                out[j] = _score(p, y[j], memo)
+        return out
+
+    return row
+
+
+def _next(above: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    out = above.copy()
+    np.maximum(out[1:], above[:-1] + weight, out=out[1:])
+    return np.maximum.accumulate(out, out=out)
+
+
+def _score(a: Node, b: Node, memo: Memo) -> int:
+    """The size of the best matching of two trees, equal texts counted twice."""
+    if a.key != b.key:
+        return 0
+    if a.digest == b.digest:
+        return a.most
+    if a.text is not None or b.text is not None:
+        return 1
+    at = (a.digest, b.digest)
+    found = memo.get(at)
+    if found is None:
+        front, back, found = _middle(a.children, b.children)
+        found += 1
+        x, y = a.children[front : len(a.children) - back], b.children[front : len(b.children) - back]
+        if x and y:
+            weight, table = _weights(x, y, memo), np.zeros(len(y) + 1, np.int32)
+            for i in range(len(x)):
+                table = _next(table, weight(i))
+            found += int(table[-1])
+        if len(memo) >= KNOWN_AT_ONCE:
+            memo.clear()
+        memo[at] = found
+    return found
+
+
+def _aligned(x: list[Node], y: list[Node], memo: Memo) -> list[tuple[Node, Node]]:
+    """The pairs of the best alignment of two child lists. Of a table beyond ``CELLS_AT_ONCE`` only every n-th row is kept, and the rows between are made again from the end on."""
+    weight, width = _weights(x, y, memo), len(y) + 1
+    step = len(x) if len(x) * width <= CELLS_AT_ONCE else max(1, math.isqrt(len(x)))
+    marks, table = [], np.zeros(width, np.int32)
     for i in range(len(x)):
-        np.maximum.accumulate(np.maximum(table[i], np.concatenate([[0], table[i, :-1] + weight[i]])), out=table[i + 1])
-    i, j = len(x), len(y)
-    score += int(table[i, j])
-    rows = table.tolist()
-    while i and j:
-        if rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        elif rows[i][j] == rows[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            if x[i].text is not None and y[j].text is not None:
-                pairs.append((x[i], y[j]))
+        if i % step == 0:
+            marks.append(table)
+            if i + step >= len(x):
+                break
+        table = _next(table, weight(i))
+    pairs, j = [], len(y)
+    for begin in range((len(marks) - 1) * step, -1, -step):
+        rows = [marks.pop()]
+        for i in range(begin, min(begin + step, len(x))):
+            rows.append(_next(rows[-1], weight(i)))
+        i = len(rows) - 1
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
             else:
-                pairs.extend(inner.get((i, j), ()))
-    return score
+                i, j = i - 1, j - 1
+                pairs.append((x[begin + i], y[j]))
+    return pairs
+
+
+def match(a: Node, b: Node, pairs: list[tuple[Node, Node]], memo: Memo | None = None) -> int:
+    """Simple tree matching of two trees; ``pairs`` gets the leaves that are aligned."""
+    memo = {} if memo is None else memo
+    if a.key == b.key:
+        if a.text is not None and b.text is not None:
+            pairs.append((a, b))
+        elif a.digest == b.digest:
+            pairs.extend(zip(leaves(a), leaves(b), strict=True))
+        elif a.text is None and b.text is None:
+            x, y = a.children, b.children
+            front, back, _ = _middle(x, y)
+            inner = _aligned(x[front : len(x) - back], y[front : len(y) - back], memo) if front + back < min(len(x), len(y)) else []
+            for p, q in [*zip(x[:front], y[:front], strict=True), *inner, *zip(x[len(x) - back :], y[len(y) - back :], strict=True)]:
+                match(p, q, pairs, memo)
+    return _score(a, b, memo)
 
 
 def _reference(source: str) -> Node:
