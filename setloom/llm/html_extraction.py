@@ -2,10 +2,13 @@
 
 Pages become trees of block elements, whose leaves are blocks of text. Each page is aligned with the reference page of
 its host (its least page_id) by simple tree matching: nodes match if their tags and classes do, child lists are
-aligned by dynamic programming in order, and equal texts count for more. Over all pages of the host, a reference leaf
-that ``min_votes`` pages or more are aligned with and that has the same text in ``constant_share`` of them is template;
-the slots that vary are content. Pages that are copies of the reference (most of their leaves are the same) have no
-vote, so an article that a host repeats stays content. Blocks in navigation, headers, footers, asides, forms, adverts,
+aligned by dynamic programming in order, and equal texts count for more. Over the pages of the host, a reference leaf
+that enough different pages are aligned with and that has the same text in ``constant_share`` of them is template; the
+slots that vary are content. Enough is ``min_votes``, on a host with few pages more than half of them, two at least; the
+reference is one of these pages. Leaves that no reference leaf is aligned
+with are merged over the pages by their path of tags and classes: a text that ``constant_share`` of the different pages
+with such a leaf there have is template as well. Pages with equal content (the marked article's texts, or all that is
+not outside) vote once, so an article that a host repeats stays content. Blocks in navigation, headers, footers, asides, forms, adverts,
 notices and comments are no article whatever they hold, and a page that marks its article has its text in there.
 
 Votes are summed before they are shuffled. References are broadcast up to ``broadcast_bytes`` in all; beyond that they
@@ -57,12 +60,12 @@ Memo = dict[tuple[bytes, bytes], int]
 class Node:
     """A block element, or (``text`` set) a leaf."""
 
-    __slots__ = ("tag", "key", "children", "outside", "article", "text", "leaf", "digest", "most")
+    __slots__ = ("tag", "key", "children", "outside", "article", "text", "leaf", "digest", "most", "path")
 
     def __init__(self, tag: str, key: str, outside: bool, article: bool, text: str | None = None):
         self.tag, self.key, self.outside, self.article, self.text = tag, key, outside, article, text
         self.children: list[Node] = []
-        self.leaf, self.digest, self.most = -1, b"", 1
+        self.leaf, self.digest, self.most, self.path = -1, b"", 1, 0
 
 
 def _child(parent: Node, tag: str, attributes: str) -> Node:
@@ -262,6 +265,26 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]], memo: Memo | None =
     return _score(a, b, memo)
 
 
+def _short(*parts: str) -> int:
+    """A 64-bit hash of texts."""
+    own = hashlib.blake2b(digest_size=8)
+    for part in parts:
+        data = part.encode("utf-8", "surrogatepass")
+        own.update(len(data).to_bytes(8, "little") + data)
+    return int.from_bytes(own.digest(), "little", signed=True)
+
+
+def placed(root: Node) -> Node:
+    """The tree with a hash of the path from the root in every node."""
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        for c in x.children:
+            c.path = _short(str(x.path), c.key)
+        todo.extend(x.children)
+    return root
+
+
 def _reference(source: str) -> Node:
     root = folded(parse(source))
     for i, leaf in enumerate(leaves(root)):
@@ -277,7 +300,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             votes = []
             for source, host, first in zip(part["html"].to_pylist(), part["host"].to_pylist(), part["reference"].to_pylist(), strict=True):
-                root = folded(parse(source or ""))
+                root = placed(folded(parse(source or "")))
                 if host not in known:
                     if len(known) > 1000:
                         known.clear()
@@ -286,12 +309,10 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 match(known[host], root, pairs)
                 at = {id(b): (a.leaf, a.text == b.text) for a, b in pairs}
                 mine = leaves(root)
-                inside = [x for x in mine if x.article] or mine
-                same = sum(at.get(id(x), (0, False))[1] for x in inside)
                 marked = any(x.article for x in mine)
-                out.append([{"node": at[id(x)][0] if id(x) in at else -1, "same": id(x) in at and at[id(x)][1], "inside": not x.outside and (x.article or not marked), "text": x.text} for x in mine])
-                votes.append(2 * same <= len(inside))
-            yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], part["host"], pa.array(votes), pa.array(out, pa.list_(pa.struct([("node", pa.int32()), ("same", pa.bool_()), ("inside", pa.bool_()), ("text", pa.string())])))], names=["page_id", "url", "host", "votes", "blocks"])
+                out.append([{"node": at[id(x)][0] if id(x) in at else -1, "same": id(x) in at and at[id(x)][1], "inside": not x.outside and (x.article or not marked), "path": 0 if id(x) in at else x.path, "text": x.text} for x in mine])
+                votes.append(_short(*(x["text"] for x in out[-1] if x["inside"])))
+            yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], part["host"], pa.array(votes, pa.int64()), pa.array(out, pa.list_(pa.struct([("node", pa.int32()), ("same", pa.bool_()), ("inside", pa.bool_()), ("path", pa.int64()), ("text", pa.string())])))], names=["page_id", "url", "host", "content", "blocks"])
 
 
 def html_extraction(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_votes: int = 5, constant_share: float = 0.9, broadcast_bytes: int = 32 << 20, salts: int = 64) -> DataFrame:
@@ -306,16 +327,25 @@ def html_extraction(df: DataFrame, id_col: str = "page_id", url_col: str = "url"
     spread = lambda t: F.broadcast(t.withColumn("salt", F.lit(None).cast("int")).drop("salt")) if small else t.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = ["host"] if small else ["host", "salt"]
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"page_id {kind}, url string, host string, votes boolean, blocks array<struct<node:int,same:boolean,inside:boolean,text:string>>"
+    schema = f"page_id {kind}, url string, host string, content bigint, blocks array<struct<node:int,same:boolean,inside:boolean,path:bigint,text:string>>"
     aligned = stash(salted.join(spread(first), on, "left").select("page_id", "url", "html", "host", "reference").mapInArrow(_align, schema), "aligned")
-    seen = aligned.where("votes").select("host", F.explode("blocks").alias("b")).where("b.node >= 0").groupBy("host", "b.node").agg(F.count("*").alias("n"), F.count_if("b.same").alias("same"))
-    constant = seen.where((F.col("n") >= min_votes) & (F.col("same") >= constant_share * F.col("n"))).groupBy("host").agg(F.collect_set("node").alias("constant"))
-    back = aligned.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(spread(constant), on, "left")
-    template = F.coalesce("constant", F.array().cast("array<int>"))
+    voted = aligned.select("host", "content", F.explode("blocks").alias("b"))
+    hosts = aligned.where(F.size("blocks") > 0).groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
+    hosts = hosts.select("host", F.least(F.lit(min_votes), F.greatest(F.lit(2), F.floor(F.col("pages") / 2) + 1)).alias("enough"))
+    constant = lambda t: t.join(hosts, "host").where((F.col("n") >= F.col("enough")) & (F.col("same") >= constant_share * F.col("n"))).groupBy("host")
+    each = voted.where("b.node >= 0").groupBy("host", "b.node", "content").agg(F.max("b.same").alias("same"))
+    slots = constant(each.groupBy("host", "node").agg(F.count("*").alias("n"), F.count_if("same").alias("same"))).agg(F.collect_set("node").alias("constant"))
+    said = voted.where("b.node < 0 and b.inside").select("host", "b.path", F.xxhash64("b.path", "b.text").alias("said"), "content").distinct()
+    pages_at = said.groupBy("host", "path", "content").agg(F.lit(1).alias("one")).groupBy("host", "path").agg(F.count("*").alias("n"))
+    repeated = said.groupBy("host", "path", "said").agg(F.count("*").alias("same")).where("same > 1")
+    merged = constant(repeated.join(pages_at, ["host", "path"])).agg(F.collect_set("said").alias("merged"))
+    template = stash(slots.join(merged, "host", "full"), "template")
+    back = aligned.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(spread(template), on, "left")
+    of_slots, of_merged = F.coalesce("constant", F.array().cast("array<int>")).alias("of_slots"), F.coalesce("merged", F.array().cast("array<bigint>")).alias("of_merged")
     inside = F.filter("blocks", lambda b: b["inside"])
-    kept = F.filter("inside", lambda b: ~F.array_contains("template", b["node"]))
+    kept = F.filter("inside", lambda b: ~(F.array_contains("of_slots", b["node"]) | ((b["node"] < 0) & F.array_contains("of_merged", F.xxhash64(b["path"], b["text"])))))
     text = F.array_join(F.transform("kept", lambda b: b["text"]), "\n")
-    return back.select("page_id", "url", inside.alias("inside"), template.alias("template")).select("page_id", "url", "inside", kept.alias("kept")).select("page_id", "url", text.alias("text"), (F.size("inside") - F.size("kept")).alias("n_template")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
+    return back.select("page_id", "url", inside.alias("inside"), of_slots, of_merged).select("page_id", "url", "inside", kept.alias("kept")).select("page_id", "url", text.alias("text"), (F.size("inside") - F.size("kept")).alias("n_template")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,3 +52,27 @@ def test_matching_is_best(monkeypatch):
                 place = {id(x): i for i, x in enumerate(H.leaves(tree))}
                 at = [place[id(p[side])] for p in pairs]
                 assert len(set(at)) == len(at)
+
+def texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in H.html_extraction(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_small_hosts_and_much_boilerplate(spark):
+    around = "".join(f"<div>Block {k}</div>" for k in range(9))
+    rows = [(10 * h + i, f"http://h{h}.x/{i}", f"<body>{around}<h1>Head {h} {i}</h1><p>Body {h} {i}</p></body>") for h, n in ((1, 2), (2, 3), (3, 9)) for i in range(n)]
+    assert texts(spark, rows) == {10 * h + i: f"Head {h} {i}\nBody {h} {i}" for h, n in ((1, 2), (2, 3), (3, 9)) for i in range(n)}
+
+
+def test_template_that_the_least_page_lacks(spark):
+    rows = [(i, f"http://h.x/{i}", f"<body><h1>Head {i}</h1><p>Body {i}</p>{'' if i == 0 else '<div><ul><li>About our site</li></ul></div><h3>Legal</h3>'}</body>") for i in range(5)]
+    assert texts(spark, rows) == {i: f"Head {i}\nBody {i}" for i in range(5)}
+
+
+def test_copies_vote_once(spark):
+    rows = [(i, f"http://h.x/{i}", "<body><h1>Same</h1><p>Body</p></body>") for i in range(8)] + [(9, "http://h.x/9", "<body><h1>Other</h1><p>Text</p></body>")]
+    assert texts(spark, rows) == {i: "Same\nBody" for i in range(8)} | {9: "Other\nText"}
+
+
+def test_a_passage_of_two_pages_among_six_stays_content(spark):
+    rows = [(i, f"http://h.x/{i}", f"<body><h1>Head {i}</h1><p>Body {i}</p>{'<p>Shared words</p>' if i < 2 else ''}</body>") for i in range(6)]
+    assert texts(spark, rows)[1] == "Head 1\nBody 1\nShared words"
