@@ -17,16 +17,20 @@ def fixed_split(bi: DataFrame, seed: int, first: bool = False) -> DataFrame:
 
 
 def negatives(split: DataFrame, items: DataFrame, n: int, seed: int, tries: int = 40) -> DataFrame:
-    """Up to ``n`` items outside each bundle, by rejection: hashed ids that exist and are new, in the order of draws.
+    """``n`` items outside each bundle, by rejection: hashed ids that exist and are new, in the order of draws.
 
-    No bundle meets the whole item table; ``tries`` draws are joined with it by id.
+    No bundle meets the whole item table; ``tries`` draws are joined with it by id. Bundles that these leave short (ids
+    with gaps, few items) are topped up from the numbered items.
     """
     top = items.agg((F.max("item_id") + 1).alias("top"))
     drawn = split.select("bundle_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).join(F.broadcast(top))
     drawn = drawn.select("bundle_id", "k", (X.draw_int(seed, "bundle_id", "k") % F.col("top")).alias("item_id"))
     new = drawn.join(items.select("item_id"), "item_id", "left_semi").join(split.select("bundle_id", "item_id"), ["bundle_id", "item_id"], "left_anti")
     first = new.groupBy("bundle_id", "item_id").agg(F.min("k").alias("k"))
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("bundle_id").orderBy("k"))).where(F.col("r") <= n).select("bundle_id", "item_id")
+    found = first.withColumn("r", F.row_number().over(Window.partitionBy("bundle_id").orderBy("k"))).where(F.col("r") <= n).select("bundle_id", "item_id")
+    have = found.groupBy("bundle_id").agg(F.count("*").alias("have"))
+    enough = split.select("bundle_id").distinct().join(have.where(F.col("have") == n), "bundle_id", "left_anti").isEmpty()
+    return found if enough else found.unionByName(topped_up(found, split, items, n, seed))
 
 
 def options(split: DataFrame, items: DataFrame, size: int, seed: int, shuffle_seed: int) -> DataFrame:
@@ -35,8 +39,8 @@ def options(split: DataFrame, items: DataFrame, size: int, seed: int, shuffle_se
     return both.withColumn("pos", F.row_number().over(Window.partitionBy("bundle_id").orderBy(X.draw(shuffle_seed, "bundle_id", "item_id"), "item_id")) - 1)
 
 
-def hard_negatives(split: DataFrame, items: DataFrame, attribute: str, n: int, seed: int, per_value: int = 64) -> DataFrame:
-    """Items with the answer's attribute first (drawn from the ``per_value`` least hashes of each value), random ones after.
+def pooled_hard_negatives(split: DataFrame, items: DataFrame, attribute: str, n: int, seed: int, per_value: int = 64) -> DataFrame:
+    """As :func:`hard_negatives`, but all bundles share one pool of each value and some draws may be missing: items with the answer's attribute first (drawn from the ``per_value`` least hashes of each value), random ones after.
 
     Rows (bundle_id, item_id, hard, place).
     """
@@ -49,6 +53,50 @@ def hard_negatives(split: DataFrame, items: DataFrame, attribute: str, n: int, s
     return both.withColumn("place", place).where(F.col("place") <= n)
 
 
+def without_replacement(wanted: DataFrame, pool: DataFrame, taken: DataFrame, seed: int) -> DataFrame:
+    """``n`` items of the pool's ``group`` for each row of ``wanted`` (bundle_id, group, n) that ``taken`` (bundle_id, item_id) doesn't hold, or all where fewer are left.
+
+    The items of a group are numbered, and each bundle draws as many different numbers as it wants and has taken (Floyd's
+    sampling, every set as likely), so enough are left without the taken ones. No bundle meets a whole group. Rows
+    (bundle_id, item_id).
+    """
+    spread = F.pmod(F.xxhash64("item_id"), F.lit(1024))
+    part = pool.select("group", "item_id").distinct().withColumn("part", spread)
+    sizes = part.groupBy("group", "part").agg(F.count("*").alias("c"))
+    before = sizes.withColumn("base", F.sum("c").over(Window.partitionBy("group").orderBy("part")) - F.col("c")).withColumn("size", F.sum("c").over(Window.partitionBy("group")))
+    rank = F.row_number().over(Window.partitionBy("group", "part").orderBy(X.draw(seed, "item_id"), "item_id")) - 1
+    numbered = part.withColumn("r", rank).join(before, ["group", "part"]).select("group", "item_id", (F.col("base") + F.col("r")).alias("number"))
+    held = taken.groupBy("bundle_id").agg(F.count_distinct("item_id").alias("held"))
+    most = before.select("group", "size").distinct()
+    walk = wanted.join(most, "group").join(held, "bundle_id", "left").withColumn("tries", F.least("size", F.col("n") + F.coalesce("held", F.lit(0))))
+    steps = F.sequence(F.lit(1).cast("long"), F.col("tries").cast("long"))
+    top = lambda k: F.col("size") - F.col("tries") + k
+    drawn = lambda k: X.draw_int(seed, "bundle_id", F.lit("of"), F.col("size"), k) % top(k)
+    floyd = F.aggregate(steps, F.array().cast("array<bigint>"), lambda got, k: F.array_append(got, F.when(F.array_contains(got, drawn(k)), top(k) - 1).otherwise(drawn(k))))
+    places = walk.where("tries > 0").select("bundle_id", "group", "n", F.explode(floyd).alias("number"))
+    new = places.join(numbered, ["group", "number"]).join(taken.select("bundle_id", "item_id").distinct(), ["bundle_id", "item_id"], "left_anti")
+    return new.withColumn("_r", F.row_number().over(Window.partitionBy("bundle_id").orderBy(X.draw(seed, "bundle_id", "item_id"), "item_id"))).where(F.col("_r") <= F.col("n")).select("bundle_id", "item_id")
+
+
+def topped_up(found: DataFrame, split: DataFrame, items: DataFrame, n: int, seed: int) -> DataFrame:
+    """The further items, from the whole table, that bundles with fewer than ``n`` rows of ``found`` (bundle_id, item_id) lack."""
+    have = found.groupBy("bundle_id").agg(F.count("*").alias("have"))
+    short = split.select("bundle_id").distinct().join(have, "bundle_id", "left").select("bundle_id", F.lit(0).alias("group"), (n - F.coalesce("have", F.lit(0))).alias("n")).where("n > 0")
+    return without_replacement(short, items.select(F.lit(0).alias("group"), "item_id"), split.select("bundle_id", "item_id").unionByName(found), seed)
+
+
+def hard_negatives(split: DataFrame, items: DataFrame, attribute: str, n: int, seed: int) -> DataFrame:
+    """``n`` items outside each bundle: drawn from all that have the answer's attribute, where these don't suffice from all others.
+
+    Rows (bundle_id, item_id, hard, place).
+    """
+    pool = items.where(F.col(attribute).isNotNull()).select(F.col(attribute).alias("group"), "item_id")
+    goal = split.where("is_gt").join(pool, "item_id").select("bundle_id", "group", F.lit(n).alias("n"))
+    hard = without_replacement(goal, pool, split, seed)
+    both = hard.withColumn("hard", F.lit(1)).unionByName(topped_up(hard, split, items, n, seed).withColumn("hard", F.lit(0)))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("bundle_id").orderBy(F.desc("hard"), X.draw(seed, "bundle_id", "item_id"), "item_id")))
+
+
 def weighted(rows: DataFrame, group: str, item: str, weight: Column, k: int, seed: int) -> DataFrame:
     """``k`` items of each group without replacement, with odds by weight: the least of -ln(u) / w."""
     keyed = rows.withColumn("_key", -F.log(X.draw_unit(seed, group, item)) / weight)
