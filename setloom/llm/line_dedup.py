@@ -9,7 +9,8 @@ Window counts are pre-aggregated before the shuffle; a passage that is everywher
 places of repeated windows come back to the text by document, so no task gathers a passage's copies.
 
 Defined cases: a null or empty text has no lines; a document with fewer than ``size`` lines loses none; rows without an
-id own nothing and stay whole; rows that share an id are kept apart by their text; extra columns are not read.
+id own nothing and stay whole; rows that share an id are kept apart by their text; extra columns are not read; an empty
+table gives an empty result; a text of any number of lines is sorted and merged in its own row.
 """
 
 from __future__ import annotations
@@ -24,6 +25,20 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")), lambda x: x != "")
 
 
+def _without(s: Column) -> Column:
+    """The lines ``s.raw`` without those that aren't blank and whose number is among ``s.gone``.
+
+    Numbered lines and gone numbers are sorted together, so a line that goes follows its number: no line is searched for.
+    """
+    filled = F.filter(F.transform(s["raw"], lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    empty = F.filter(F.transform(s["raw"], lambda x, i: F.when(~x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    entry = lambda k, line: F.struct(k.cast("int").alias("k"), line.cast("int").alias("line"))
+    merged = lambda places: F.sort_array(F.concat(F.transform(places, lambda p, k: entry(k, p)), F.transform(s["gone"], lambda k: entry(k, F.lit(-1)))))
+    stays = lambda m: F.transform(F.filter(F.transform(m, lambda e, i: F.struct(e["line"].alias("line"), F.coalesce((F.get(m, i - 1)["line"] < 0) & (F.get(m, i - 1)["k"] == e["k"]), F.lit(False)).alias("goes"))), lambda e: (e["line"] >= 0) & ~e["goes"]), lambda e: e["line"])
+    kept = lambda places: F.array_join(F.transform(F.sort_array(F.concat(let(merged(places), stays), empty)), lambda p: F.get(s["raw"], p)), "\n")
+    return let(filled, lambda places: F.struct(F.size(places).cast("long").alias("n_lines"), F.coalesce(F.size(s["gone"]), F.lit(0)).cast("long").alias("n_removed"), F.when(s["gone"].isNull(), s["text"]).otherwise(kept(places)).alias("kept_text")))
+
+
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """Per document: n_lines, n_removed, kept_sha256 and kept_text, in which removed lines are missing."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("same"))
@@ -35,15 +50,10 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     owners = windows.groupBy("print").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("print", "first")
     later = windows.join(owners, "print").where(place > F.col("first")).groupBy("doc_id", "same").agg(F.collect_set("at").alias("at"))
     gone = later.select("doc_id", "same", F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + size - 1)))).alias("gone"))
-    # the k-th line that is not blank goes if k is among the covered positions
-    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
     raw = F.split(F.coalesce("text", F.lit("")), "\n")
-    joined = docs.join(gone, ["doc_id", "same"], "left").select("doc_id", "text", "gone", raw.alias("raw"))
-    places = F.filter(F.transform("raw", lambda x, i: F.when(~blank(x), i)), lambda i: i.isNotNull())
-    placed = joined.select("doc_id", "text", "raw", "gone", places.alias("places"))
-    cut = F.transform(F.coalesce("gone", F.array().cast("array<int>")), lambda k: F.get("places", k))
-    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter("raw", lambda x, i: ~F.array_contains("cut", i)), "\n"))
-    out = placed.select("doc_id", "text", "raw", "gone", "places", cut.alias("cut")).select("doc_id", F.size("places").cast("long").alias("n_lines"), F.size("cut").cast("long").alias("n_removed"), kept.alias("kept_text"))
+    joined = docs.join(gone, ["doc_id", "same"], "left")
+    measured = joined.select("doc_id", let(F.struct(raw.alias("raw"), "gone", F.coalesce("text", F.lit("")).alias("text")), _without).alias("left"))
+    out = measured.select("doc_id", "left.n_lines", "left.n_removed", "left.kept_text")
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), "kept_text")
 
 
