@@ -1,19 +1,22 @@
 """A hidden Markov language model: Baum-Welch on all training documents, exact likelihoods by scaled forward recursion.
 
-The model's symbols are the ``symbols`` most frequent training words, the end of a text, and one symbol for all other
-words, which spell themselves out by the smoothed unigram distribution given that they are none of the symbols. So the
-model is a distribution over all texts of known and unknown words, and a text's score is the exact log10 of its
-probability, end included.
-
-Word counts are gathered from all training documents by a shuffle. The ``lookup`` most frequent words (a bounded table)
-go to the executors, the counts of all other words are joined to the documents' remaining words. Training documents
-are cut into stretches of at most ``STRETCH`` tokens for the expectation step (scoring isn't); each partition emits its
-expected counts, one row a cell, and their sums, a table of the model's own size, make the next model. Emissions start
-from a mixture fitted on at most ``start_docs`` training documents; every iteration uses all of them.
+The hidden chain emits symbols: the ``symbols`` most frequent training words, the end of a text, and two classes for all
+other words, the next ``lookup - symbols`` and the rest. Baum-Welch trains start, steps and emissions on whole texts: the
+forward messages are carried over a text's whole length and kept every ``STRETCH`` tokens, the backward messages carried
+back, with the stretches between made again. Each partition emits its expected counts; their sums make the next model.
+After the last iteration one more expectation step gathers the states of every other training word, however rare, so
+each word of the training documents has an emission of its own and what is gathered grows with the corpus; words that
+were never seen share the mass that the smoothed unigram leaves them. The model is a distribution over all texts, and a
+text's score is the exact log10 of its probability, end included.
+
+The ``lookup`` most frequent words (a bounded table) go to the executors; counts and emissions of all other words stay
+distributed and are joined to the documents' own rare words. Emissions start from the co-occurrence in documents of the
+``SEEDS`` most frequent words, summed over all training documents: words that are least alike found the states, and
+each other word begins with the state of the one that it goes along with most.
 
 Defined cases: a null or empty text is its end alone; repeated rows are documents of their own; without training
 documents all counts are zero; a null doc_id is taken as the empty text when dealing out folds; extra columns are not
-read.
+read; a text of any length is scored and trained on whole.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 from setloom.llm._store import stash
 from setloom.llm._words import slices
 
-STRETCH, LANES = 128, 2048
+STRETCH, LANES, ROWS = 128, 1024, 4096
+SEEDS, BOOST = 256, 8.0
 SCALE = float(1 << 24)
 _BITS = 20
 
@@ -95,24 +99,26 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], lookup, symbols: int) -> Iterator[pa.RecordBatch]:
-    """Symbols of each document (without the end), sums over the words of the lookup, and the other words."""
+    """Symbols of each document (without the end), places in the lookup of the words of the middle class, hashes of those beyond it, and sums over the words of the lookup."""
     hashes, n = lookup.value
     table = Lookup(hashes)
-    logs = np.log10(n + 0.5)
+    logs = np.append(np.log10(n + 0.5), 0.0)
     for batch in batches:
         for s in slices(batch["text"], lower=True):
             at = table.find(s.hashes)
-            codes = np.where((at >= 0) & (at < symbols), at, symbols).astype(np.int16)
-            rest = codes == symbols
-            value = np.where(at >= 0, logs[np.maximum(at, 0)] if len(logs) else 0.0, 0.0)
+            known = at >= 0
+            middle, rare = known & (at >= symbols), ~known
+            codes = np.where(rare, symbols + 1, np.minimum(at, symbols)).astype(np.uint16)
             cut = lambda x: np.concatenate([[0], np.cumsum(x)])[s.first]  # noqa: B023, E731
-            known, base, other, rests = (np.diff(cut(x)) for x in (at >= 0, value, np.where(rest, value, 0.0), rest))
+            ends = s.first.tolist()
+            value = logs[at]
+            base = [float(value[a:b].sum()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             rows = batch.slice(s.row, len(s.first) - 1)
-            unknown = at < 0
-            tail = pa.ListArray.from_arrays(pa.array(cut(unknown).astype(np.int32)), pa.array(s.hashes[unknown].view(np.int64)))
             data = codes.tobytes()
-            lists = pa.array([data[2 * a : 2 * b] for a, b in zip(s.first[:-1].tolist(), s.first[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["held_out"], pa.array(np.diff(s.first)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(other), pa.array(rests.astype(np.int64)), tail, lists], names=["doc_id", "held_out", "n_words", "known", "base", "other", "rests", "tail", "codes"])
+            lists = pa.array([data[2 * a : 2 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            mid = pa.ListArray.from_arrays(pa.array(cut(middle).astype(np.int32)), pa.array(at[middle].astype(np.int32)))
+            tail = pa.ListArray.from_arrays(pa.array(cut(rare).astype(np.int32)), pa.array(s.hashes[rare].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["held_out"], pa.array(np.diff(s.first)), pa.array(np.diff(cut(known)).astype(np.int64)), pa.array(base, pa.float64()), lists, mid, tail], names=["doc_id", "held_out", "n_words", "known", "base", "codes", "mid", "tail"])
 
 
 class Model:
@@ -127,126 +133,216 @@ class Model:
         return np.vstack([self.emit.T, np.ones(len(self.start))])
 
 
-def _expect(model: Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, steps and emissions of sequences, a row each, padded by the padding symbol."""
-    states, n_symbols = model.emit.shape
-    table, step = model.padded.astype(np.float32), model.step.astype(np.float32)
-    lanes, length = codes.shape
-    seen = np.ascontiguousarray(codes.T)
-    alpha = np.empty((length, lanes, states), np.float32)
-    scale = np.empty((length, lanes, 1), np.float32)
-    x = model.start.astype(np.float32) * table[seen[0]]
-    for t in range(length):
-        if t:
-            x = (alpha[t - 1] @ step) * table[seen[t]]
-        scale[t] = x.sum(axis=1, keepdims=True)
-        np.divide(x, scale[t], out=alpha[t])
-    beta = np.ones((lanes, states), np.float32)
-    steps = np.zeros((states, states))
-    real = seen < n_symbols
-    for t in range(length - 1, -1, -1):
-        alpha[t] *= beta  # the posterior of the state at t
-        if t:
-            ahead = table[seen[t]] * beta / scale[t]
-            steps += (alpha[t - 1] * real[t][:, None]).T @ ahead
-            beta = ahead @ step.T
-    first = alpha[0][real[0]].sum(axis=0, dtype=np.float64)
-    flat = seen.ravel()
-    emitted = np.stack([np.bincount(flat, weights=alpha[:, :, k].ravel(), minlength=n_symbols + 1)[:n_symbols] for k in range(states)])
-    return first, steps * model.step, emitted
-
-
-def _stretches(codes: list[np.ndarray], end: int, pad: int) -> Iterator[np.ndarray]:
-    """All tokens of some documents in stretches, ``LANES`` at a time."""
-    parts = []
-    for c in codes:
-        c = np.append(c, end)
-        parts += [c[i : i + STRETCH] for i in range(0, len(c), STRETCH)]
-    parts.sort(key=len)
-    for i in range(0, len(parts), LANES):
-        some = parts[i : i + LANES]
-        out = np.full((len(some), len(some[-1])), pad, np.int64)
-        for row, c in zip(out, some, strict=True):
-            row[: len(c)] = c
-        yield out
-
-
-def _symbols_of(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(c, np.int16) for c in column.to_pylist()]
-
-
-def _e_step(batches: Iterator[pa.RecordBatch], model, symbols: int) -> Iterator[pa.RecordBatch]:
-    m: Model = model.value
-    states = len(m.start)
-    total = [np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols + 2))]
-    for batch in batches:
-        for i in range(0, len(batch), 2000):
-            for x in _stretches(_symbols_of(batch["codes"].slice(i, 2000)), symbols + 1, symbols + 2):
-                for a, b in zip(total, _expect(m, x), strict=True):
-                    a += b
-    cells = np.round(np.concatenate([x.ravel() for x in total]) * SCALE).astype(np.int64)
-    at = np.flatnonzero(cells)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], names=["cell", "n"])
+def _seen(codes: list[np.ndarray], begin: int, length: int, end: int, pad: int) -> np.ndarray:
+    """``length`` symbols from ``begin`` on, a column for each sequence, with the end and then padding after it."""
+    out = np.full((length, len(codes)), pad, np.int64)
+    for j, c in enumerate(codes):
+        part = c[begin : begin + length]
+        out[: len(part), j] = part
+        if len(part) < length and begin + len(part) == len(c):
+            out[len(part), j] = end
+    return out
 
 
-def log_likelihoods(model: Model, codes: list[np.ndarray], end: int) -> np.ndarray:
+def _forward(model: Model, table: np.ndarray, seen: np.ndarray, x: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward messages and scales of a stretch; ``x`` is the message before it, None at the start."""
+    alpha = np.empty((len(seen), seen.shape[1], len(model.start)), table.dtype)
+    scale = np.empty((len(seen), seen.shape[1], 1), table.dtype)
+    step = model.step.astype(table.dtype)
+    for t, symbols in enumerate(seen):
+        x = (model.start.astype(table.dtype) if x is None else x @ step) * table[symbols]
+        x.sum(axis=1, keepdims=True, out=scale[t])
+        x = np.divide(x, scale[t], out=alpha[t])
+    return alpha, scale
+
+
+def expectations(model: Model, codes: list[np.ndarray], end: int, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, steps and emissions of whole sequences and their ends, and the log10 likelihood of all. Rows of ``table`` beyond the model's are symbols too; its last row is the padding."""
+    table = (model.padded if table is None else table).astype(np.float32)
+    pad, states = len(table) - 1, len(model.start)
+    step = model.step.astype(np.float32)
+    first, steps, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((states, pad + 1))
+    like = 0.0
+    order = sorted(range(len(codes)), key=lambda r: -len(codes[r]))
+    for i in range(0, len(order), LANES):
+        some = [codes[r] for r in order[i : i + LANES]]
+        lengths = np.array([len(c) + 1 for c in some])
+        begins = range(0, int(lengths[0]), STRETCH)
+        live = [int(np.searchsorted(-lengths, -b, side="left")) for b in begins]  # sequences longer than b
+        shape = lambda k: (some[: live[k]], begins[k], min(STRETCH, int(lengths[0]) - begins[k]), end, pad)  # noqa: B023, E731
+        marks: list[np.ndarray | None] = [None]
+        for k in range(len(begins) - 1):
+            before = marks[-1]
+            alpha, _ = _forward(model, table, _seen(*shape(k)), None if before is None else before[: live[k]])
+            marks.append(alpha[-1][: live[k + 1]].copy())
+        back = np.ones((0, states), np.float32)
+        for k in range(len(begins) - 1, -1, -1):
+            seen, before = _seen(*shape(k)), marks[k]
+            alpha, scale = _forward(model, table, seen, before)
+            like += float(np.log10(scale).sum(dtype=np.float64))
+            beta = np.ones((live[k], states), np.float32)
+            beta[: len(back)] = back
+            real = seen != pad
+            for t in range(len(seen) - 1, -1, -1):
+                previous = alpha[t - 1] if t else before
+                ahead = table[seen[t]] * beta / scale[t]
+                alpha[t] *= beta  # the posterior of the state at t
+                if previous is not None:
+                    steps += (previous * real[t][:, None]).T @ ahead
+                    beta = ahead @ step.T
+            back = beta
+            if k == 0:
+                first += alpha[0].sum(axis=0, dtype=np.float64)
+            flat = seen.ravel()
+            for j in range(states):
+                emitted[j] += np.bincount(flat, weights=alpha[:, :, j].ravel(), minlength=pad + 1)
+    return first, steps * model.step, emitted[:, :pad], like
+
+
+def log_likelihoods(model: Model, codes: list[np.ndarray], end: int, table: np.ndarray | None = None) -> np.ndarray:
     """log10 P of each sequence and its end, by the scaled forward recursion over its whole length."""
-    order = np.argsort([len(c) for c in codes], kind="stable")[::-1]
-    table, out = model.padded, np.zeros(len(codes))
+    table = model.padded if table is None else table
+    order = sorted(range(len(codes)), key=lambda r: -len(codes[r]))
+    out = np.zeros(len(codes))
     for i in range(0, len(order), 512):
         rows = order[i : i + 512]
-        lengths = np.array([len(codes[r]) + 1 for r in rows])
+        some = [codes[r] for r in rows]
+        lengths = np.array([len(c) + 1 for c in some])
         x, total = None, np.zeros(len(rows))
         for begin in range(0, int(lengths[0]), STRETCH):
-            live = int(np.searchsorted(-lengths, -begin, side="left"))  # sequences longer than begin
-            seen = np.full((min(STRETCH, int(lengths[0]) - begin), live), len(table) - 1, np.int64)
-            for j in range(live):
-                c = codes[rows[j]][begin : begin + STRETCH]
-                seen[: len(c), j] = c
-                if len(c) < len(seen) and begin + len(c) == lengths[j] - 1:
-                    seen[len(c), j] = end
-            for t in range(len(seen)):
-                x = model.start * table[seen[0]] if x is None else (x[:live] @ model.step) * table[seen[t]]
-                s = x.sum(axis=1)
-                x /= s[:, None]
-                total[:live] += np.log10(s)
+            live = int(np.searchsorted(-lengths, -begin, side="left"))
+            alpha, scale = _forward(model, table, _seen(some[:live], begin, min(STRETCH, int(lengths[0]) - begin), end, len(table) - 1), None if x is None else x[:live])
+            x = alpha[-1]
+            total[:live] += np.log10(scale[:, :, 0]).sum(axis=0)
         out[rows] = total
     return out
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, symbols: int) -> Iterator[pa.RecordBatch]:
+def _symbols_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(c, np.uint16) for c in column.to_pylist()]
+
+
+def _own_words(part: pa.RecordBatch, symbols: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Sequences in which the words of the two classes have numbers of their own from ``symbols + 3`` on, and these words: places in the lookup, then hashes."""
+    codes = _symbols_of(part["codes"])
+    every = np.concatenate(codes).astype(np.int64) if codes else np.zeros(0, np.int64)
+    mid, mid_at = np.unique(part["mid"].flatten().to_numpy(), return_inverse=True)
+    tail, tail_at = np.unique(part["tail"].flatten().to_numpy(), return_inverse=True)
+    is_mid, is_tail = every == symbols, every == symbols + 1
+    every[is_mid] = symbols + 3 + mid_at
+    every[is_tail] = symbols + 3 + len(mid) + tail_at
+    return np.split(every, np.cumsum([len(c) for c in codes])[:-1]) if codes else [], mid, tail
+
+
+def _with_words(model: Model, mid: np.ndarray, tail: np.ndarray, of_mid: np.ndarray | float = 1.0, of_tail: np.ndarray | float = 1.0) -> np.ndarray:
+    """The emissions with rows for some words of the two classes, given what share of their class they have in each state."""
+    n = model.emit.shape[1]
+    rows = model.emit.T
+    return np.vstack([rows, np.broadcast_to(rows[n - 3], (len(mid), rows.shape[1])) * of_mid, np.broadcast_to(rows[n - 2], (len(tail), rows.shape[1])) * of_tail, np.ones((1, rows.shape[1]))])
+
+
+def _rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), *(pa.array(np.round(x * SCALE).astype(np.int64)) for x in n)]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "key", *(f"n{k}" for k in range(len(n)))])
+
+
+def _e_step(batches: Iterator[pa.RecordBatch], there, symbols: int) -> Iterator[pa.RecordBatch]:
+    """Expected counts of the model: rows of kind 0 by symbol, 1 by state (steps from it), 2 (starts), and 3 (log10 likelihood, in units of 2**14)."""
+    model: Model = there.value
+    states = len(model.start)
+    total = [np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols + 3)), 0.0]
     for batch in batches:
-        for i in range(0, len(batch), 4096):
-            part = batch.slice(i, 4096)
-            yield part.drop_columns(["codes"]).append_column("chain", pa.array(log_likelihoods(model.value, _symbols_of(part["codes"]), symbols + 1)))
-
-
-def _first_model(sample: list[np.ndarray], background: np.ndarray, states: int, seed: int) -> Model:
-    """States as a mixture of unigram models of the sample; they are left seldom."""
-    rng = np.random.default_rng(seed)
-    counts = np.stack([np.bincount(c, minlength=len(background)) for c in sample]) if sample else np.zeros((1, len(background)))
-    emit = background * rng.uniform(0.5, 1.5, (states, len(background)))
-    if sample:
-        chosen = [int(np.argmax(counts.sum(axis=1)))]
-        logs = np.log(counts + background * 5)
-        while len(chosen) < states:  # the document that the chosen ones explain worst
-            fit = np.stack([counts @ (logs[c] - np.log((counts[c] + background * 5).sum())) for c in chosen]) / np.maximum(1, counts.sum(axis=1))
-            chosen.append(int(np.argmin(fit.max(axis=0))))
-        emit = counts[chosen] + 20 * background
-    emit /= emit.sum(axis=1, keepdims=True)
-    for _ in range(10):
-        like = counts @ np.log(emit.T)
-        like = np.exp(0.1 * (like - like.max(axis=1, keepdims=True)))
-        like /= like.sum(axis=1, keepdims=True)
-        emit = like.T @ counts + 20 * background
-        emit /= emit.sum(axis=1, keepdims=True)
+        for i in range(0, len(batch), ROWS):
+            total = [a + b for a, b in zip(total, expectations(model, _symbols_of(batch["codes"].slice(i, ROWS)), symbols + 2), strict=True)]
+    some = np.flatnonzero(total[2].any(axis=0))
+    yield _rows(0, some, total[2][:, some])
+    yield _rows(1, np.arange(states), total[1].T)
+    yield _rows(2, np.zeros(1), total[0][:, None])
+    yield _rows(3, np.zeros(1), np.full((states, 1), total[3] / (1 << 14)))
+
+
+def _word_step(batches: Iterator[pa.RecordBatch], there, symbols: int) -> Iterator[pa.RecordBatch]:
+    """Expected counts of the words of the two classes: rows of kind 0 by place in the lookup, 1 by hash."""
+    model: Model = there.value
+    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros((len(model.start), 0)))] * 2
+    for batch in batches:
+        for i in range(0, len(batch), ROWS):
+            codes, mid, tail = _own_words(batch.slice(i, ROWS), symbols)
+            emitted = expectations(model, codes, symbols + 2, _with_words(model, mid, tail))[2][:, symbols + 3 :]
+            for kind, (keys, n) in enumerate(((mid, emitted[:, : len(mid)]), (tail, emitted[:, len(mid) :]))):
+                keys, back = np.unique(np.concatenate([held[kind][0], keys]), return_inverse=True)
+                n = np.stack([np.bincount(back, weights=x, minlength=len(keys)) for x in np.hstack([held[kind][1], n])]) if len(keys) else held[kind][1]
+                if len(keys) > 1 << 18:
+                    yield from (_rows(kind, keys[k : k + (1 << 16)], n[:, k : k + (1 << 16)]) for k in range(0, len(keys), 1 << 16))
+                    keys, n = keys[:0], n[:, :0]
+                held[kind] = keys, n
+    for kind, (keys, n) in enumerate(held):
+        yield from (_rows(kind, keys[k : k + (1 << 16)], n[:, k : k + (1 << 16)]) for k in range(0, len(keys), 1 << 16))
+
+
+def _score(batches: Iterator[pa.RecordBatch], there, symbols: int) -> Iterator[pa.RecordBatch]:
+    """Sums over the known rare words and the chain's log10 probability of each document."""
+    model, of_mid, unknown = there.value
+    for batch in batches:
+        for i in range(0, len(batch), ROWS):
+            part = batch.slice(i, ROWS)
+            codes, mid, tail = _own_words(part, symbols)
+            found = part["found"].flatten()
+            at = np.searchsorted(tail, found.field("word").to_numpy()) if len(found) else np.zeros(0, np.int64)
+            of_tail, logs, known = np.full((len(tail), len(model.start)), unknown), np.full(len(tail), np.log10(0.5)), np.zeros(len(tail), bool)
+            if len(found):
+                of_tail[at] = found.field("share").flatten().to_numpy().reshape(len(found), -1)
+                logs[at] = np.log10(found.field("n").to_numpy() + 0.5)
+                known[at] = True
+            chain = log_likelihoods(model, codes, symbols + 2, _with_words(model, mid, tail, of_mid[mid - symbols], of_tail))
+            first = symbols + 3 + len(mid)
+            base, seen = np.zeros(len(part)), np.zeros(len(part), np.int64)
+            for row, c in enumerate(codes):
+                own = c[c >= first] - first
+                base[row], seen[row] = logs[own].sum(), known[own].sum()
+            yield part.drop_columns(["codes", "mid", "tail", "found"]).append_column("tail_base", pa.array(base)).append_column("tail_known", pa.array(seen)).append_column("chain", pa.array(chain))
+
+
+def _together(batches: Iterator[pa.RecordBatch], seeds: int) -> Iterator[pa.RecordBatch]:
+    """In how many documents two of the most frequent words stand."""
+    total = np.zeros((seeds, seeds))
+    for batch in batches:
+        for i in range(0, len(batch), 2048):
+            codes = _symbols_of(batch["codes"].slice(i, 2048))
+            there = np.zeros((len(codes), seeds), np.float32)
+            every = np.concatenate(codes).astype(np.int64)
+            doc = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+            there[doc[every < seeds], every[every < seeds]] = 1
+            total += there.T @ there
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at].astype(np.int64))], names=["cell", "n"])
+
+
+def first_model(together: np.ndarray, background: np.ndarray, states: int) -> Model:
+    """States founded on the frequent words that are least alike in the documents that they stand in; they are left seldom."""
+    seeds = len(together)
+    rng = np.random.default_rng(7)
+    emit = background * rng.uniform(0.9, 1.1, (states, len(background)))
+    if seeds:
+        often = np.maximum(np.diag(together), 1)
+        alike = together / np.sqrt(np.outer(often, often))
+        founders = [int(np.argmax(often))]
+        while len(founders) < min(states, seeds):
+            founders.append(int(np.argmax(np.sqrt(often) * (1 - alike[founders].max(axis=0)))))
+        emit[np.argmax(alike[founders], axis=0), np.arange(seeds)] *= BOOST
     step = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(step, 0.9 if states > 1 else 1.0)
-    return Model(np.full(states, 1 / states), step, emit)
+    return Model(np.full(states, 1 / states), step, emit / emit.sum(axis=1, keepdims=True))
+
+
+def _shares(n: np.ndarray, total: np.ndarray, unigram: np.ndarray, smoothing: float) -> np.ndarray:
+    """What share of a class a word has in each state (words by states), from its expected counts and its share at large."""
+    own = smoothing * total + 1
+    return (n + own * unigram[:, None]) / (total + own)
 
 
-def hmm_scoring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, symbols: int = 4096, iterations: int = 3, lookup: int = 1 << 19, start_docs: int = 400, seed: int = 7) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+def hmm_scoring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, symbols: int = 4096, iterations: int = 3, lookup: int = 1 << 18, smoothing: float = 0.5, word_smoothing: float = 1.0, trace: list[float] | None = None) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. ``trace`` gets the training documents' log10 likelihood (words of the two classes as one symbol each) before each iteration."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     train = docs.where("not held_out")
@@ -268,40 +364,64 @@ def hmm_scoring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     hashes, n = top["word"].to_numpy().astype(np.int64), top["n"].to_numpy().astype(np.int64)
     order = np.lexsort((hashes, -n))
     hashes, n = hashes[order].view(np.uint64), n[order]
-    symbols = min(symbols, len(n))
+    symbols = min(symbols, len(n), (1 << 16) - 4)
     table = spark.sparkContext.broadcast((hashes, n))
 
-    schema = "doc_id {}, held_out boolean, n_words long, known long, base double, other double, rests long, tail array<long>, codes binary".format(docs.schema["doc_id"].dataType.simpleString())
+    schema = "doc_id {}, held_out boolean, n_words long, known long, base double, codes binary, mid array<int>, tail array<long>".format(docs.schema["doc_id"].dataType.simpleString())
     coded = stash(docs.select("doc_id", "held_out", "text").mapInArrow(lambda it: _encode(it, table, symbols), schema).withColumn("row", F.monotonically_increasing_id()), "codes")
+    learned = coded.where("not held_out")
 
-    mass = np.concatenate([n[:symbols] + 0.5, [0.0, ends + 0.5]])
     total = tokens + 0.5 * (types + 1)
-    mass[symbols] = max(total - mass.sum(), 0.5)
+    middle = n[symbols:] + 0.5
+    rest = max(total - float((n + 0.5).sum()) - (ends + 0.5 if ends else 0.0), 0.5)  # the rare words' mass, and the unseen ones'
+    mass = np.concatenate([n[:symbols] + 0.5, [max(float(middle.sum()), 1e-9), rest, ends + 0.5]])
     background = mass / mass.sum()
-    sample = coded.where("not held_out").orderBy(F.crc32(F.concat(F.lit("start"), F.col("row").cast("string")).cast("binary")), "row").limit(start_docs).select("codes").collect()
-    model = _first_model([np.append(np.frombuffer(r[0], np.int16), symbols + 1).astype(np.int64) for r in sample], background, states, seed)
+    seeds = min(SEEDS, symbols)
+    cells = learned.select("codes").mapInArrow(lambda it: _together(it, seeds), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    together = np.zeros(seeds * seeds)
+    together[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    model = first_model(together.reshape(seeds, seeds), background, states)
+
+    gathered = "kind int, key long, " + ", ".join(f"n{k} long" for k in range(states))
+    sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(states)]
+    matrix = lambda t: np.stack([t[f"n{k}"].to_numpy() for k in range(states)], axis=1) / SCALE if len(t) else np.zeros((0, states))
     for _ in range(iterations):
         there = spark.sparkContext.broadcast(model)
-        cells = coded.where("not held_out").select("codes").mapInArrow(lambda it, m=there: _e_step(it, m, symbols), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-        flat = np.zeros(states + states * states + states * (symbols + 2))
-        flat[[r[0] for r in cells]] = [r[1] / SCALE for r in cells]
-        start, step, emit = np.split(flat, [states, states + states * states])
-        start, step, emit = start + 0.1, step.reshape(states, states) + 0.1, emit.reshape(states, -1) + 100 * background
-        model = Model(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
+        found = learned.select("codes").mapInArrow(lambda it, m=there: _e_step(it, m, symbols), gathered).groupBy("kind", "key").agg(*sums).toArrow().to_pandas()
+        of = {k: found[found["kind"] == k].sort_values("key") for k in range(4)}
+        if trace is not None:
+            trace.append(float(of[3]["n0"].sum()) / SCALE * (1 << 14))
+        emit = np.zeros((states, symbols + 3))
+        emit[:, of[0]["key"].to_numpy()] = of[0][[f"n{k}" for k in range(states)]].to_numpy().T / SCALE
+        start, step = (of[j][[f"n{k}" for k in range(states)]].to_numpy() / SCALE for j in (2, 1))
+        start, step = start[0] + 0.1, step + 0.1
+        model = Model(start / start.sum(), step / step.sum(axis=1, keepdims=True), _shares(emit.T, emit.sum(axis=1), background, smoothing).T)
 
     there = spark.sparkContext.broadcast(model)
-    rests = coded.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    found = rests.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("tail_known"))
-    kept = "row long, " + schema.replace(", tail array<long>, codes binary", "") + ", chain double"
-    scored = coded.select("row", "doc_id", "held_out", "n_words", "known", "base", "other", "rests", "codes").mapInArrow(lambda it: _score(it, there, symbols), kept)
+    of_words = stash(learned.select("codes", "mid", "tail").mapInArrow(lambda it: _word_step(it, there, symbols), gathered).groupBy("kind", "key").agg(*sums), "emissions")
+    middles = of_words.where("kind = 0").toArrow()
+    expected = np.zeros((len(middle), states))
+    expected[middles["key"].to_numpy() - symbols] = matrix(middles)
+    of_mid = _shares(expected, expected.sum(axis=0), middle / max(float(middle.sum()), 1e-9), word_smoothing).astype(np.float32)
+    rare = of_words.where("kind = 1")
+    held = [x / SCALE if x else 0.0 for x in rare.agg(*sums).first()]
+    own = [word_smoothing * x + 1 for x in held]
+    unknown = np.array([o / (o + h) * 0.5 / rest for o, h in zip(own, held, strict=True)])
+    share = F.array(*[((F.col(f"n{k}") / SCALE + F.lit(own[k]) * (F.col("n") + 0.5) / rest) / (own[k] + held[k])).cast("float") for k in range(states)])
+    emissions = counts.join(rare.withColumnRenamed("key", "word"), "word").select("word", "n", share.alias("share"))
+    pairs = coded.select("row", F.explode(F.array_distinct("tail")).alias("word"))
+    lists = pairs.join(emissions, "word").groupBy("row").agg(F.collect_list(F.struct("word", "n", "share")).alias("found"))
+    there = spark.sparkContext.broadcast((model, of_mid, unknown))
+    empty = F.array().cast("array<struct<word:bigint,n:bigint,share:array<float>>>")
+    kept = "row long, doc_id {}, held_out boolean, n_words long, known long, base double, tail_base double, tail_known long, chain double".format(docs.schema["doc_id"].dataType.simpleString())
+    listed = coded.join(lists, "row", "left").select("row", "doc_id", "held_out", "n_words", "known", "base", "codes", "mid", "tail", F.coalesce("found", empty).alias("found"))
+    scored = listed.mapInArrow(lambda it: _score(it, there, symbols), kept)
     log_total = float(np.log10(total)) if total else 0.0
     end_base = float(np.log10(ends + 0.5))
-    rest_mass = float(np.log10(mass[symbols]))
-    tail = F.coalesce("tail_base", F.lit(0.0))
-    return scored.join(found, "row", "left").select(
-        "doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("known") + F.coalesce("tail_known", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + tail + end_base - (F.col("n_words") + 1) * log_total).alias("base_score"),
-        (F.col("chain") + F.col("other") + tail - F.col("rests") * rest_mass).alias("score"),
+    return scored.select(
+        "doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("known") + F.col("tail_known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + F.col("tail_base") + end_base - (F.col("n_words") + 1) * log_total).alias("base_score"),
+        F.col("chain").alias("score"),
     )
 
 
