@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
+    "op4_sharding": sharding.OP4_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op9_decontamination": decontamination.OP9_SQL,
 }
