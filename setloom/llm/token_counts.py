@@ -2,21 +2,21 @@
 
 A byte-level BPE splits a text into pre-tokens and merges inside each alone, so the count of a prefix that ends with a
 pre-token is the count of the prefix before it plus that pre-token's own. The library counts each distinct pre-token
-once (kept in a bounded memory of each worker); the table of sums then answers what a text counts, what any prefix
-counts and how much of a text fits a budget, without encoding the text again. A prefix that ends inside a pre-token
-needs only the text from the last safe boundary.
+once (kept in a bounded memory of each worker). A prefix that ends inside a pre-token is the prefix up to the last safe
+boundary plus a prefix of the piece from there on: the counts of all prefixes of a distinct piece are a table of their
+own, made once when it is first asked for. The sums and these tables hold the exact count of every prefix, and answer
+what any prefix counts and how much of a text fits a budget without encoding the text again.
 
 Texts with characters on which pattern engines may differ are split by the library itself; a special string is a
 pre-token of its own, as the library has it by default.
 
-Defined cases: a null text counts as empty, with no tokens; repeated rows count alike; extra columns are not read; a
-text of any length is one pass over its pre-tokens.
+Defined cases: a null text counts as empty, with no tokens; repeated rows count alike; ids of any type stay as they are;
+extra columns are not read; an empty table gives an empty result; a text of any length is one pass over its pre-tokens.
 """
 
 from __future__ import annotations
 
 import os
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -43,6 +43,15 @@ class Counter:
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.pieces = regex.compile(pattern).findall
         self.known: dict[str, int] = {}
+        self.within: dict[str, np.ndarray] = {}
+
+    def prefixes(self, piece: str) -> np.ndarray:
+        """Token counts of the first 0, 1, ... characters of a piece."""
+        if piece not in self.within:
+            if len(self.within) > MEMORY // 8:
+                self.within.clear()
+            self.within[piece] = np.array([0, *(len(x.ids) for x in self.library.encode_batch([piece[:i] for i in range(1, len(piece) + 1)], add_special_tokens=False))])
+        return self.within[piece]
 
     def learn(self, lists: list[list[str]]) -> None:
         if len(self.known) > MEMORY:
@@ -82,12 +91,15 @@ class PrefixCounts:
     def total(self) -> int:
         return int(self.sums[-1]) if len(self.sums) else 0
 
-    @property
-    def boundaries(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ends, in characters, and token counts of the prefixes that end with a pre-token other than white space, and of the whole text."""
-        exact = np.fromiter((not p.isspace() for p in self.pieces), bool, len(self.pieces))
-        exact[-1:] = True
-        return self._ends[exact], self.sums[exact]
+    def _piece(self, j: int) -> tuple[int, int, str]:
+        """Where the piece that holds the j-th pre-token begins, the tokens before it, and its text: it begins at the last safe boundary and ends with the pre-token, or with the next one that isn't white space."""
+        first = j
+        while first and self.pieces[first - 1].isspace():
+            first -= 1
+        while j + 1 < len(self.pieces) and self.pieces[j].isspace():
+            j += 1
+        start, before = (int(self._ends[first - 1]), int(self.sums[first - 1])) if first else (0, 0)
+        return start, before, self.text[start : int(self._ends[j])]
 
     def at(self, n: int) -> int:
         """Tokens of the first ``n`` characters."""
@@ -95,20 +107,27 @@ class PrefixCounts:
             return 0
         if n >= len(self.text):
             return self.total
-        j = bisect_right(self._ends, n)
-        while j and (self._ends[j - 1] == n or self.pieces[j - 1].isspace()):
-            j -= 1
-        start, before = (int(self._ends[j - 1]), int(self.sums[j - 1])) if j else (0, 0)
-        return before + len(self.counter.library.encode(self.text[start:n], add_special_tokens=False).ids)
+        start, before, piece = self._piece(int(np.searchsorted(self._ends, n, side="left")))
+        return before + int(self.counter.prefixes(piece)[n - start])
+
+    def every(self) -> np.ndarray:
+        """Tokens of the first 0, 1, ... characters."""
+        out = np.zeros(len(self.text) + 1, np.int64)
+        j = 0
+        while j < len(self.pieces):
+            start, before, piece = self._piece(j)
+            out[start : start + len(piece) + 1] = before + self.counter.prefixes(piece)
+            j = int(np.searchsorted(self._ends, start + len(piece), side="left")) + 1
+        out[-1] = self.total
+        return out
 
     def fits(self, budget: int) -> int:
-        """Characters of the longest prefix, among those that end at a boundary, with at most ``budget`` tokens."""
+        """Characters of the longest prefix with at most ``budget`` tokens."""
         if self.total <= budget:
             return len(self.text)
-        j = int(np.searchsorted(self.sums, budget, side="right"))
-        while j and self.pieces[j - 1].isspace():
-            j -= 1
-        return int(self._ends[j - 1]) if j else 0
+        start, before, piece = self._piece(int(np.searchsorted(self.sums, budget, side="right")))
+        inside = before + self.counter.prefixes(piece)
+        return start + int(np.flatnonzero(inside <= budget)[-1])
 
 
 def counter(path: str, pattern: str) -> Counter:
@@ -117,27 +136,26 @@ def counter(path: str, pattern: str) -> Counter:
     return _open[path]
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str, pattern: str, budget: int, prefixes: bool) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], path: str, pattern: str, budgets: tuple[int, ...], prefixes: bool) -> Iterator[pa.RecordBatch]:
     tool = counter(path, pattern)
     for batch in batches:
         for i in range(0, len(batch), 256):
             part = batch.slice(i, 256)
             texts = [t or "" for t in part["text"].to_pylist()]
             tables = tool.tables(texts)
-            out = [part["doc_id"], pa.array([t.total for t in tables], pa.int64()), pa.array([t.fits(budget) for t in tables], pa.int64())]
-            names = ["doc_id", "n_tokens", "fits_chars"]
+            out = [part["doc_id"], part["n_bytes"], pa.array([t.total for t in tables], pa.int64()), *(pa.array([t.fits(b) for t in tables], pa.int64()) for b in budgets)]
+            names = ["doc_id", "n_bytes", "n_tokens", *(f"fits_{b}" for b in budgets)]
             if prefixes:
-                ends, counts = zip(*(t.boundaries for t in tables), strict=True)
-                out += [pa.array(ends, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))]
-                names += ["ends", "counts"]
+                out.append(pa.array([t.every() for t in tables], pa.list_(pa.int64())))
+                names.append("counts")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
 
-def token_counts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", budget: int = 1024, prefixes: bool = False) -> DataFrame:
-    """Per document: doc_id, n_tokens and fits_chars (see :meth:`PrefixCounts.fits`); with ``prefixes`` also the table itself, ends and counts."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n_tokens long, fits_chars long" + ", ends array<long>, counts array<long>" * prefixes
-    return docs.mapInArrow(lambda it: _count(it, path, pattern, budget, prefixes), schema)
+def token_counts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", budgets: tuple[int, ...] = (128, 1024), prefixes: bool = False) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_tokens and for each budget the characters that fit it (see :meth:`PrefixCounts.fits`); with ``prefixes`` also the table itself, counts."""
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long" + "".join(f", fits_{b} long" for b in budgets) + ", counts array<long>" * prefixes
+    return docs.mapInArrow(lambda it: _count(it, path, pattern, budgets, prefixes), schema)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
@@ -145,15 +163,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bp
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    path, pattern = public_tokenizers.path(tokenizer), public_tokenizers.PATTERN
-    sized = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = pa.Table.from_batches(list(_count(iter([batch.select(["doc_id", "text"])]), path, pattern, 1024, False))) if len(batch) else None
-            if done is None:
-                continue
-            tokens = done["n_tokens"].combine_chunks()
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], tokens, pa.array(tokens.to_numpy() > 1024), done["fits_chars"].combine_chunks()], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"])
-
-    return sized.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
+    counted = token_counts(docs, public_tokenizers.path(tokenizer), public_tokenizers.PATTERN)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "fits_128", "fits_1024")
