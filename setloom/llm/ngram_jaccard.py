@@ -1,23 +1,25 @@
-"""Documents whose sets of word shingles are alike (Jaccard), through a tree of count vectors.
+"""Documents whose sets of word shingles are alike (Jaccard), through trees of count vectors.
 
 A document's set is that of its distinct ``gram``-word shingles, as 64-bit hashes. Hashing shingles into ``GROUPS``
-groups gives a vector of counts (one byte each: sets of more than ``COUNTED`` members skip the bound); the sum of coordinate minima of two vectors bounds the overlap of their sets from
-above, and the maxima over the vectors under a tree node bound it for all of them. Pairs that survive the bound are
-verified on the sets themselves, so links are exact.
+groups gives a vector of counts (one byte each, the highest value standing for any count from there on); the sum of
+coordinate minima of two vectors bounds the overlap of their sets from above, and the maxima over the vectors under a
+tree node bound it for all of them. Pairs that survive the bound are verified on the sets themselves, so links are exact.
 
 One tree over a corpus prunes little in so many dimensions, so the points are first dealt to leaves that lose no pair:
-two sets that alike share one of the rarest-first ``n - ceil(0.85 n) + 1`` shingles of each (any order common to all
-documents works; here shingles that a count-min sketch over the whole corpus shows in many documents come last).
+two sets that are alike share one of the rarest-first ``n - ceil(0.85 n) + 1`` shingles of each (any order common to all
+documents works; here shingles that a merged sketch of the whole corpus shows in many documents come last).
 A group of points that share such a shingle is joined in three steps, so that thousands of near copies don't make all
 their pairs: each point with the group's least document, then, after contracting the links found, only pairs of
-points that are not connected yet. Large groups are split by size band and then into blocks that are joined block by
-block, each with a bulk-loaded tree. The links found connect what all links would.
+points that are not connected yet, through a bulk-loaded tree of the group's count vectors. Large groups are split by
+size band and then into blocks that are joined block by block, each with its tree. The links found connect what all
+links would.
 
 Exact copies (equal sets) are one point, their least doc_id stands for them.
 
 Defined cases: texts that are null or without words have an empty set and are linked with nothing; fewer words than a
 shingle make one shingle; rows that share a doc_id count as one document in links; a null doc_id is linked with
-nothing and has no component; an empty table gives an empty result. Extra columns are not read.
+nothing and has no component; ids may be of any type that has an order; an empty table gives an empty result; a text of
+any length is one set. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,12 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setloom.llm._graph import components
+from setloom.llm._ids import named, numbered
 from setloom.llm._store import stash
-from setloom.llm._words import mix, runs, slices, starts_inside
+from setloom.llm._words import mix, runs, slices
 
-GROUPS, FOLDED, COUNTED = 256, 64, 30_000
-SKETCH_BITS = 22
-SMALL_GROUP, BLOCK, NODE = 128, 512, 16
+GROUPS, FOLDED, FULL = 256, 64, 255
+SKETCH_BITS, CHUNK_BITS = 22, 16
+BLOCK, NODE = 512, 16
 BROADCAST_ROWS = 1_000_000
 
 
@@ -54,14 +57,27 @@ def _sets(column: pa.Array, gram: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
-    """Counters that stand out of this partition's noise."""
+    """This partition's counters of shingles, a row a chunk, in bytes if they fit."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch in batches:
         for _, shingles in _sets(batch["text"], gram):
             np.add.at(counts, (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-    mean = float(counts.mean())
-    at = np.flatnonzero(counts >= mean + 8 * np.sqrt(mean) + 8)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at].astype(np.int64))], names=["at", "n"])
+    for k, part in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(part.astype(np.uint8) if part.max() < 256 else part).tobytes()], pa.binary())], names=["chunk", "counts"])
+
+
+def _loud(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters of the whole corpus that stand out of the noise of their chunk."""
+    merged: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, data in zip(batch["chunk"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            part = np.frombuffer(data, np.uint8 if len(data) == 1 << CHUNK_BITS else np.uint32)
+            merged[k] = merged.get(k, np.zeros(1 << CHUNK_BITS, np.int64)) + part
+    for k, counts in merged.items():
+        mean = float(counts.mean())
+        at = np.flatnonzero(counts >= max(64, mean + 8 * np.sqrt(mean) + 8))
+        yield pa.RecordBatch.from_arrays([pa.array(at + (k << CHUNK_BITS)), pa.array(counts[at])], names=["at", "n"])
 
 
 def _points(batches: Iterator[pa.RecordBatch], gram: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
@@ -75,7 +91,7 @@ def _points(batches: Iterator[pa.RecordBatch], gram: int, percent: int, frequent
             size.append(n)
             one.append(int(mix(u).sum(dtype=np.uint64).view(np.int64)) if n else 0)
             two.append(int(mix(u ^ np.uint64(0xA5A5F00DDEADBEEF)).sum(dtype=np.uint64).view(np.int64)) if n else 0)
-            vectors.append(np.minimum(np.bincount((u & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes())
+            vectors.append(np.minimum(np.bincount((u & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint8).tobytes())
             keep = n + (percent * n) // -100 + 1 if n else 0  # n - ceil(percent n / 100) + 1
             late = last[(u >> shift).astype(np.int64)]
             first = u[~late][:keep]
@@ -86,7 +102,24 @@ def _points(batches: Iterator[pa.RecordBatch], gram: int, percent: int, frequent
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS)
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(data, np.uint8).reshape(len(column), -1)
+
+
+def _bounds(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What the overlap of two sets can't exceed by their counts, for each pair of rows; no bound where both counts of a group are full."""
+    least = np.minimum(x, y)
+    out = least.sum(axis=1, dtype=np.int64)
+    out[(least == FULL).any(axis=1)] = np.iinfo(np.int64).max
+    return out
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of ``FOLDED`` counts, each the sum of those of some groups."""
+    for batch in batches:
+        v = _vectors(batch["vector"])
+        sums = np.minimum(v.reshape(len(v), FOLDED, -1).sum(axis=2, dtype=np.int32), FULL).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array([x.tobytes() for x in sums], pa.binary())], names=["id", "folded"])
 
 
 def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -100,8 +133,7 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         for i in range(0, len(batch), 20_000):
             part = batch.slice(i, 20_000)
             n, m = part["na"].to_numpy(), part["nb"].to_numpy()
-            bound = np.minimum(_vectors(part["va"]), _vectors(part["vb"])).sum(axis=1, dtype=np.int64)
-            keep = (bound >= _needed(n, m, percent)) | (np.minimum(n, m) > COUNTED)
+            keep = _bounds(_vectors(part["va"]), _vectors(part["vb"])) >= _needed(n, m, percent)
             yield part.select(["a", "b"]).filter(pa.array(keep))
 
 
@@ -117,11 +149,20 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 class CountTree:
-    """Count vectors in a bulk-loaded tree: points ordered by set size, ``NODE`` to a node, a few levels."""
+    """Points of count vectors in a bulk-loaded tree, ``NODE`` to a node: sorted by set size into slabs, and in each slab by the sums of the half of its coordinates that vary most."""
 
     def __init__(self, sizes: np.ndarray, vectors: np.ndarray):
-        self.order = np.argsort(sizes, kind="stable")
-        self.levels = [(sizes[self.order], sizes[self.order], vectors[self.order])]
+        order = np.argsort(sizes, kind="stable")
+        if len(order) > NODE:
+            slab = NODE * max(1, int(np.ceil(np.sqrt(len(order) / NODE))))
+            parts = []
+            for i in range(0, len(order), slab):
+                part = order[i : i + slab]
+                widest = np.argsort(vectors[part].var(axis=0), kind="stable")[vectors.shape[1] // 2 :]
+                parts.append(part[np.argsort(vectors[part][:, widest].sum(axis=1, dtype=np.int64), kind="stable")])
+            order = np.concatenate(parts)
+        self.order = order
+        self.levels = [(sizes[order], sizes[order], vectors[order])]
         while len(self.levels[-1][0]) > NODE:
             low, high, top = self.levels[-1]
             cuts = np.arange(0, len(low), NODE)
@@ -139,8 +180,7 @@ class CountTree:
                 p, q = x[i : i + (1 << 15)], y[i : i + (1 << 15)]
                 sized = np.flatnonzero((100 * high[p] >= percent * low2[q]) & (100 * high2[q] >= percent * low[p]))
                 p, q = p[sized], q[sized]
-                bound = np.minimum(top[p], top2[q]).sum(axis=1)
-                keep[i + sized] = (bound >= _needed(low[p], low2[q], percent)) | (np.minimum(high[p], high2[q]) > COUNTED)
+                keep[i + sized] = _bounds(top[p], top2[q]) >= _needed(low[p], low2[q], percent)
             x, y = x[keep], y[keep]
             if not depth:
                 return self.order[x], other.order[y]
@@ -161,25 +201,14 @@ class CountTree:
 def _group_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one group that are not connected and may be linked. Guests (side 1) are not paired with each other."""
     ids, n, label, side = (rows[c].to_numpy() for c in ("id", "n", "label", "side"))
-    if rows["vector"].null_count:
-        order = np.argsort(n, kind="stable")
-        i, j = np.triu_indices(len(ids), 1)
-        i, j = order[i], order[j]
-        keep = 100 * n[i] >= percent * n[j]
-        i, j = i[keep], j[keep]
-    else:
-        vectors = _vectors(rows["vector"]).reshape(len(ids), FOLDED, -1).sum(axis=2, dtype=np.int32)
-        own, guest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        tree = CountTree(n[own], vectors[own])
-        if len(guest):
-            i, j = CountTree(n[guest], vectors[guest]).join(tree, percent)
-            i, j = guest[i], own[j]
-        else:
-            i, j = tree.join(tree, percent)
-            i, j = own[i], own[j]
+    vectors = _vectors(rows["folded"])
+    own, guest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    tree = CountTree(n[own], vectors[own])
+    i, j = CountTree(n[guest], vectors[guest]).join(tree, percent) if len(guest) else tree.join(tree, percent)
+    i, j = (guest if len(guest) else own)[i], own[j]
     keep = label[i] != label[j]
-    a, b = ids[i[keep]], ids[j[keep]]
-    return np.minimum(a, b), np.maximum(a, b)
+    a, b = np.minimum(ids[i[keep]], ids[j[keep]]), np.maximum(ids[i[keep]], ids[j[keep]])
+    return tuple(np.unique(np.stack([a, b]), axis=1)) if len(a) else (a, b)
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -223,7 +252,7 @@ class _Join:
     def __init__(self, docs: DataFrame, gram: int, percent: int):
         self.docs, self.gram, self.percent = docs, gram, percent
         spark = docs.sparkSession
-        loud = docs.mapInArrow(lambda it: _sketch(it, gram), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where("n >= 64")
+        loud = docs.mapInArrow(lambda it: _sketch(it, gram), "chunk int, counts binary").repartition("chunk").mapInArrow(_loud, "at long, n long")
         frequent = np.zeros(1 << SKETCH_BITS, bool)
         frequent[[r[0] for r in loud.orderBy(F.desc("n"), "at").limit(1 << 16).select("at").collect()]] = True
         frequent_there = spark.sparkContext.broadcast(frequent)
@@ -267,20 +296,22 @@ class _Join:
         return found.unionByName(late)
 
     def open_pairs(self, rows: DataFrame) -> DataFrame:
-        small = rows.where(F.col("rows") <= SMALL_GROUP).select(F.xxhash64("shingle", F.lit(0)).alias("task"), "id", "n", "label", F.lit(0).alias("side"), F.lit(None).cast("binary").alias("vector"))
+        folded = self.vectors.join(rows.select("id").distinct(), "id", "left_semi").select("id", "vector").mapInArrow(_folded, "id long, folded binary")
+        rows = rows.join(folded, "id")
+        columns = lambda task, side: [task.alias("task"), "id", "n", "label", side.alias("side"), "folded"]
+        small = rows.where(F.col("rows") <= BLOCK).select(*columns(F.xxhash64("shingle", F.lit(0)), F.lit(0)))
         band = F.floor(F.log(F.col("n")) / float(np.log(100 / self.percent))).cast("int")
-        large = rows.where(F.col("rows") > SMALL_GROUP).withColumn("band", band)
+        large = rows.where(F.col("rows") > BLOCK).withColumn("band", band)
         blocks = large.groupBy("shingle", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        large = large.join(self.vectors.select("id", "vector"), "id")
         # a block meets the blocks of its own band (x <= y) and, as guest, those of the band above
         mine = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
         own = large.join(blocks, ["shingle", "band"]).withColumn("mine", mine).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        alike = own.select(F.xxhash64("shingle", "band", F.lit(1), F.least("mine", "x"), F.greatest("mine", "x")).alias("task"), "id", "n", "label", F.when(F.col("mine") <= F.col("x"), 0).otherwise(1).alias("side"), "vector")
+        alike = own.select(*columns(F.xxhash64("shingle", "band", F.lit(1), F.least("mine", "x"), F.greatest("mine", "x")), F.when(F.col("mine") <= F.col("x"), 0).otherwise(1)))
         below = blocks.select("shingle", (F.col("band") + 1).alias("band"), F.col("blocks").alias("guests"))
         host = own.drop("x").dropDuplicates(["shingle", "id"]).join(below, ["shingle", "band"]).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("guests") - 1)))
-        hosts = host.select(F.xxhash64("shingle", "band", F.lit(2), "x", "mine").alias("task"), "id", "n", "label", F.lit(0).alias("side"), "vector")
+        hosts = host.select(*columns(F.xxhash64("shingle", "band", F.lit(2), "x", "mine"), F.lit(0)))
         guest = large.join(blocks, ["shingle", "band"]).withColumn("mine", mine).drop("blocks").withColumn("band", F.col("band") + 1).join(blocks, ["shingle", "band"]).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        guests = guest.select(F.xxhash64("shingle", "band", F.lit(2), "mine", "x").alias("task"), "id", "n", "label", F.lit(1).alias("side"), "vector")
+        guests = guest.select(*columns(F.xxhash64("shingle", "band", F.lit(2), "mine", "x"), F.lit(1)))
         every = small.unionByName(alike).unionByName(hosts).unionByName(guests)
         parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return every.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(lambda it, p=self.percent: _open_pairs(it, p), "a long, b long")
@@ -296,8 +327,8 @@ class _Join:
 
 def ngram_jaccard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the least doc_id reachable by links of ``percent`` or more."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _Join(docs, gram, percent).result()
+    docs, names = numbered(df, id_col, text_col)
+    return named(_Join(docs, gram, percent).result(), names, "doc_id", "component_id")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ with many exact copies, the ``hot_copies`` most frequent (md5 and first id: a bo
 their later copies are wholly repeated and need no windows, so a text that makes up a third of the rows costs nothing.
 
 Defined cases: a null text has no words; documents with fewer words than a window lose none; a row without an id owns
-nothing and loses nothing; rows that share an id don't remove each other's words; an empty table gives an empty result.
+nothing and loses nothing; rows that share an id don't remove each other's words; ids may be of any type that has an
+order; an empty table gives an empty result; a text of any length is one slice of work; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setloom.llm._ids import named, numbered
 from setloom.llm._store import stash
 from setloom.llm._words import mix, runs, slices, sliding_min, spans, starts_inside, texts
 
@@ -178,7 +180,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Returns doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined by one space), a row for a row.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs, names = numbered(df, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     log2_width = min(max_log2_width, max(16, int(np.ceil(np.log2(max(1, size) / 24)))))
     copies = docs.where("doc_id is not null and text is not null").groupBy(F.unhex(F.md5("text")).alias("md5")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -208,7 +210,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     loose = windows.join(owners, ["high", "low"]).where("doc_id > owner").select("doc_id", "same", "at", F.lit(1).alias("n"))
     later = closed.unionByName(loose).groupBy("doc_id", "same").agg(F.collect_set(F.struct("at", "n")).alias("removed"))
     both = docs.withColumn("same", same).join(later, ["doc_id", "same"], "left").select("doc_id", "text", "removed")
-    return both.mapInArrow(lambda it: _rebuild(it, width, hot_there), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return named(both.mapInArrow(lambda it: _rebuild(it, width, hot_there), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"), names, "doc_id")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
