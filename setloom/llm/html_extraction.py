@@ -2,21 +2,31 @@
 
 Pages become trees of block elements, whose leaves are blocks of text. Each page is aligned with the reference page of
 its host (its least page_id) by simple tree matching: nodes match if their tags and classes do, child lists are
-aligned by dynamic programming in order, and equal texts count for more. Over the pages of the host, a reference leaf
-that enough different pages are aligned with and that has the same text in ``constant_share`` of them is template; the
-slots that vary are content. Enough is ``min_votes``, on a host with few pages more than half of them, two at least; the
-reference is one of these pages. Leaves that no reference leaf is aligned
-with are merged over the pages by their path of tags and classes: a text that ``constant_share`` of the different pages
-with such a leaf there have is template as well. Pages with equal content (the marked article's texts, or all that is
-not outside) vote once, so an article that a host repeats stays content. Blocks in navigation, headers, footers, asides, forms, adverts,
-notices and comments are no article whatever they hold, and a page that marks its article has its text in there.
+aligned by dynamic programming in order, and equal texts count for more. The wrapper of a host has two parts, both
+learnt from all of its pages.
+
+Where the content is: over the host's pages every container (a path of tags and classes that a page has once) is given
+the text in it that varies. The region is the uppermost container with ``region_share`` of all of it that holds headings
+or paragraphs of its own, or the lowest such container if none does; what stands outside of it is template. If that is
+the body itself, the wrapper leaves the region open, and what the page marks as its article decides.
+
+What is constant: a reference leaf that enough different pages are aligned with and that has the same text in
+``constant_share`` of them is template. Leaves that no reference leaf is aligned with are merged over the pages by their
+path: a text that ``constant_share`` of the different pages with such a leaf there have is template as well. Enough is
+``min_votes``; where the region is open, on a host with few pages more than half of them, two at least. Pages with equal
+content vote once, so an article that a host repeats stays content.
+
+Tags, roles and names (navigation, headers, footers, asides, forms, adverts, notices, comments) break ties: containers
+named so are no content wherever they stand, since hosts rotate their boilerplate, and don't count as varying text.
+``named=False`` does without them and without marked articles.
 
 Votes are summed before they are shuffled. References are broadcast up to ``broadcast_bytes`` in all; beyond that they
 are joined by host and salt, so a host with a third of the pages is spread over ``salts`` tasks.
 
 Defined cases: null or empty html has no text; a page without a host is aligned with the others without one; broken
-markup is closed as browsers do in the cases that matter here (paragraphs, list items, cells); repeated rows are pages
-of their own; extra columns are not read; an empty table gives an empty result.
+markup is closed as browsers do in the cases that matter here (paragraphs, list items, cells), and elements nested deeper
+than ``DEPTH`` are flattened as they do; a page of any length is aligned whole; repeated rows are pages of their own;
+extra columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +35,7 @@ import hashlib
 import html
 import math
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,7 +62,14 @@ MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>",
     re.S | re.I,
 )
-NAMED = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Elements that are a block of text themselves, whatever their names say, and those that carry prose.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption blockquote pre figcaption tr tbody thead tfoot html body main".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre #text".split())
+FRAME = frozenset("#root html body".split())
+#: The depth of a page, and how deep Python may call itself for it.
+DEPTH = 512
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * DEPTH))
 #: Cells of a table of alignment that are held at once, and scores of pairs of subtrees.
 CELLS_AT_ONCE, KNOWN_AT_ONCE = 4_000_000, 500_000
 Memo = dict[tuple[bytes, bytes], int]
@@ -68,18 +86,22 @@ class Node:
         self.leaf, self.digest, self.most, self.path = -1, b"", 1, 0
 
 
-def _child(parent: Node, tag: str, attributes: str) -> Node:
-    names = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in NAMED.finditer(attributes)} if attributes.strip() else {}
+def _child(parent: Node, tag: str, attributes: str, named: bool) -> Node:
+    names: dict[str, str] = {}
+    if attributes.strip():
+        for m in ATTRIBUTE.finditer(attributes):
+            names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     label = f"{names.get('class', '')} {names.get('id', '')}".strip()
     role = names.get("role", "").lower()
-    article = parent.article or ((tag in ("article", "main") or role in ("main", "article") or names.get("itemprop", "").lower() == "articlebody" or bool(label and ARTICLE_NAMES.search(label))))
-    outside = parent.outside or tag in OUTSIDE or role in OUTSIDE_ROLES or "hidden" in names or names.get("aria-hidden") == "true" or (tag == "header" and not parent.article) or (tag not in ("html", "body", "main", "h1") and bool(label and OUTSIDE_NAMES.search(label)))
-    node = Node(tag, f"{tag}.{names.get('class', '')}", outside, article and not outside)
-    parent.children.append(node)
-    return node
+    article = outside = False
+    if named:
+        article = parent.article or tag in ("article", "main") or role in ("main", "article") or names.get("itemprop", "").lower() == "articlebody" or bool(label and ARTICLE_NAMES.search(label))
+        outside = parent.outside or tag in OUTSIDE or role in OUTSIDE_ROLES or (tag == "header" and not parent.article) or (tag not in TEXTS and bool(label and OUTSIDE_NAMES.search(label)))
+    outside = outside or parent.outside or tag in ("head", "title") or "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
+    return Node(tag, f"{tag}.{names.get('class', '')}", outside, article and not outside)
 
 
-def parse(source: str) -> Node:
+def parse(source: str, named: bool = True) -> Node:
     """The tree of block elements of a page."""
     root = Node("#root", "#root", False, False)
     stack, held, at = [root], [], 0
@@ -120,7 +142,11 @@ def parse(source: str) -> Node:
                 if stack[i].tag in (own, CELLS.get(tag)):
                     del stack[i:]
                     break
-        node = _child(stack[-1], tag, m[4])
+        node = _child(stack[-1], tag, m[4], named)
+        if len(stack) < DEPTH:
+            stack[-1].children.append(node)
+        else:  # too deep: what it holds is its parent's
+            node.children = stack[-1].children
         if tag not in VOID and not m[4].endswith("/"):
             stack.append(node)
     held.append(source[at:])
@@ -285,53 +311,87 @@ def placed(root: Node) -> Node:
     return root
 
 
-def _reference(source: str) -> Node:
-    root = folded(parse(source))
+def _reference(source: str, named: bool) -> Node:
+    root = folded(parse(source, named))
     for i, leaf in enumerate(leaves(root)):
         leaf.leaf = i
     return root
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _regions(root: Node, varies: Callable[[Node], bool]) -> list[dict]:
+    """The containers whose path a page has once: the leaves that they hold, their varying text, whether some of it is prose of their own, or they are the article that the page marks."""
+    found: dict[int, dict | None] = {}
+    count = 0
+
+    def visit(node: Node, depth: int, marked: bool) -> int:
+        nonlocal count
+        if node.text is not None:
+            count += 1
+            return len(node.text) if varies(node) else 0
+        first, chars = count, 0
+        for c in node.children:
+            chars += visit(c, depth + 1, marked or node.article)
+        prose = (node.article and not marked) or any(c.text is not None and c.tag in PROSE and varies(c) for c in node.children)
+        found[node.path] = None if node.path in found else {"path": node.path, "depth": depth, "frame": node.tag in FRAME, "chars": chars, "prose": prose, "first": first, "last": count}
+        return chars
+
+    visit(root, 0, False)
+    return [x for x in found.values() if x and (x["chars"] or x["frame"])]
+
+
+_REGION = pa.struct([("path", pa.int64()), ("depth", pa.int32()), ("frame", pa.bool_()), ("chars", pa.int64()), ("prose", pa.bool_()), ("first", pa.int32()), ("last", pa.int32())])
+_BLOCK = pa.struct([("node", pa.int32()), ("same", pa.bool_()), ("outside", pa.bool_()), ("inside", pa.bool_()), ("path", pa.int64()), ("text", pa.string())])
+
+
+def _align(batches: Iterator[pa.RecordBatch], named: bool) -> Iterator[pa.RecordBatch]:
     known: dict[str, Node] = {}
     for batch in batches:
         for begin in range(0, len(batch), 512):
             part = batch.slice(begin, 512)
-            out = []
-            votes = []
-            for source, host, first in zip(part["html"].to_pylist(), part["host"].to_pylist(), part["reference"].to_pylist(), strict=True):
-                root = placed(folded(parse(source or "")))
+            out, votes, regions = [], [], []
+            for page, source, host, first, least in zip(*(part[c].to_pylist() for c in ("page_id", "html", "host", "reference", "least")), strict=True):
+                root = placed(folded(parse(source or "", named)))
                 if host not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[host] = _reference(first or "")
+                    known[host] = _reference(first or "", named)
                 pairs: list[tuple[Node, Node]] = []
                 match(known[host], root, pairs)
                 at = {id(b): (a.leaf, a.text == b.text) for a, b in pairs}
                 mine = leaves(root)
                 marked = any(x.article for x in mine)
-                out.append([{"node": at[id(x)][0] if id(x) in at else -1, "same": id(x) in at and at[id(x)][1], "inside": not x.outside and (x.article or not marked), "path": 0 if id(x) in at else x.path, "text": x.text} for x in mine])
+                out.append([{"node": at[id(x)][0] if id(x) in at else -1, "same": id(x) in at and at[id(x)][1], "outside": x.outside, "inside": not x.outside and (x.article or not marked), "path": 0 if id(x) in at else x.path, "text": x.text} for x in mine])
                 votes.append(_short(*(x["text"] for x in out[-1] if x["inside"])))
-            yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], part["host"], pa.array(votes, pa.int64()), pa.array(out, pa.list_(pa.struct([("node", pa.int32()), ("same", pa.bool_()), ("inside", pa.bool_()), ("path", pa.int64()), ("text", pa.string())])))], names=["page_id", "url", "host", "content", "blocks"])
+                own = page == least  # the reference can't tell what varies from itself
+                regions.append(_regions(root, lambda x, at=at, own=own: not x.outside and (own or id(x) not in at or not at[id(x)][1])))
+            yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], part["host"], pa.array(votes, pa.int64()), pa.array(out, pa.list_(_BLOCK)), pa.array(regions, pa.list_(_REGION))], names=["page_id", "url", "host", "content", "blocks", "regions"])
 
 
-def html_extraction(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_votes: int = 5, constant_share: float = 0.9, broadcast_bytes: int = 32 << 20, salts: int = 64) -> DataFrame:
-    """Per page: page_id, url, text and n_chars (code points), n_template (blocks left out as template)."""
+def html_extraction(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_votes: int = 5, constant_share: float = 0.9, region_share: float = 0.75, broadcast_bytes: int = 32 << 20, salts: int = 64, named: bool = True) -> DataFrame:
+    """Per page: page_id, url, text and n_chars (code points), n_template (blocks left out by the wrapper: outside of the region, or constant)."""
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
     least = pages.where("length(html) > 0").groupBy("host").agg(F.min("page_id").alias("page_id"))
     least = F.broadcast(least) if least.count() <= 100_000 else least
-    first = pages.where("length(html) > 0").join(least, ["host", "page_id"]).dropDuplicates(["host"]).select("host", F.col("html").alias("reference"))
+    first = pages.where("length(html) > 0").join(least, ["host", "page_id"]).dropDuplicates(["host"]).select("host", F.col("html").alias("reference"), F.col("page_id").alias("least"))
     first = stash(first, "references")
     small = (first.agg(F.sum(F.octet_length("reference") + 100)).first()[0] or 0) <= broadcast_bytes
     salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     spread = lambda t: F.broadcast(t.withColumn("salt", F.lit(None).cast("int")).drop("salt")) if small else t.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = ["host"] if small else ["host", "salt"]
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"page_id {kind}, url string, host string, content bigint, blocks array<struct<node:int,same:boolean,inside:boolean,path:bigint,text:string>>"
-    aligned = stash(salted.join(spread(first), on, "left").select("page_id", "url", "html", "host", "reference").mapInArrow(_align, schema), "aligned")
+    schema = f"page_id {kind}, url string, host string, content bigint, blocks array<struct<node:int,same:boolean,outside:boolean,inside:boolean,path:bigint,text:string>>, regions array<struct<path:bigint,depth:int,frame:boolean,chars:bigint,prose:boolean,first:int,last:int>>"
+    aligned = stash(salted.join(spread(first), on, "left").select("page_id", "url", "html", "host", "reference", "least").mapInArrow(lambda it: _align(it, named), schema), "aligned")
+
+    held = aligned.select("host", F.explode("regions").alias("r")).groupBy("host", "r.path", "r.depth", "r.frame").agg(F.sum("r.chars").alias("chars"), F.count("*").alias("times"), F.count_if("r.prose").alias("prose"))
+    whole = held.where("depth = 0").select("host", F.col("chars").alias("all_chars"), F.col("times").alias("pages"))
+    place = F.struct("depth", "frame", "path")
+    wide = held.join(whole, "host").where((F.col("all_chars") > 0) & (F.col("chars") >= region_share * F.col("all_chars")) & (2 * F.col("times") > F.col("pages")))
+    region = wide.groupBy("host").agg(F.coalesce(F.min(F.when(2 * F.col("prose") > F.col("times"), place)), F.max(place)).alias("r")).where("not r.frame").select("host", F.col("r.path").alias("region"))
+
     voted = aligned.select("host", "content", F.explode("blocks").alias("b"))
-    hosts = aligned.where(F.size("blocks") > 0).groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
-    hosts = hosts.select("host", F.least(F.lit(min_votes), F.greatest(F.lit(2), F.floor(F.col("pages") / 2) + 1)).alias("enough"))
+    hosts = aligned.where(F.size("blocks") > 0).groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages")).join(region, "host", "left")
+    few = F.least(F.lit(min_votes), F.greatest(F.lit(2), F.floor(F.col("pages") / 2) + 1))
+    hosts = hosts.select("host", F.when(F.col("region").isNull(), few).otherwise(F.lit(min_votes)).alias("enough"))
     constant = lambda t: t.join(hosts, "host").where((F.col("n") >= F.col("enough")) & (F.col("same") >= constant_share * F.col("n"))).groupBy("host")
     each = voted.where("b.node >= 0").groupBy("host", "b.node", "content").agg(F.max("b.same").alias("same"))
     slots = constant(each.groupBy("host", "node").agg(F.count("*").alias("n"), F.count_if("same").alias("same"))).agg(F.collect_set("node").alias("constant"))
@@ -339,13 +399,14 @@ def html_extraction(df: DataFrame, id_col: str = "page_id", url_col: str = "url"
     pages_at = said.groupBy("host", "path", "content").agg(F.lit(1).alias("one")).groupBy("host", "path").agg(F.count("*").alias("n"))
     repeated = said.groupBy("host", "path", "said").agg(F.count("*").alias("same")).where("same > 1")
     merged = constant(repeated.join(pages_at, ["host", "path"])).agg(F.collect_set("said").alias("merged"))
-    template = stash(slots.join(merged, "host", "full"), "template")
-    back = aligned.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(spread(template), on, "left")
+    wrapper = stash(slots.join(merged, "host", "full").join(region, "host", "full"), "wrapper")
+    back = aligned.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(spread(wrapper), on, "left")
     of_slots, of_merged = F.coalesce("constant", F.array().cast("array<int>")).alias("of_slots"), F.coalesce("merged", F.array().cast("array<bigint>")).alias("of_merged")
-    inside = F.filter("blocks", lambda b: b["inside"])
+    placed_in = back.select("page_id", "url", "blocks", F.try_element_at(F.filter("regions", lambda r: r["path"] == F.col("region")), F.lit(1)).alias("own"), of_slots, of_merged)
+    inside = F.filter("blocks", lambda b, i: F.when(F.col("own").isNotNull(), ~b["outside"] & (i >= F.col("own")["first"]) & (i < F.col("own")["last"])).otherwise(b["inside"]))
     kept = F.filter("inside", lambda b: ~(F.array_contains("of_slots", b["node"]) | ((b["node"] < 0) & F.array_contains("of_merged", F.xxhash64(b["path"], b["text"])))))
     text = F.array_join(F.transform("kept", lambda b: b["text"]), "\n")
-    return back.select("page_id", "url", inside.alias("inside"), of_slots, of_merged).select("page_id", "url", "inside", kept.alias("kept")).select("page_id", "url", text.alias("text"), (F.size("inside") - F.size("kept")).alias("n_template")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
+    return placed_in.select("page_id", "url", F.size("blocks").alias("blocks"), inside.alias("inside"), "of_slots", "of_merged").select("page_id", "url", "blocks", kept.alias("kept")).select("page_id", "url", text.alias("text"), F.greatest(F.col("blocks") - F.size("kept"), F.lit(0)).alias("n_template")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
