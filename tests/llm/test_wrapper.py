@@ -53,8 +53,8 @@ def test_matching_is_best(monkeypatch):
                 at = [place[id(p[side])] for p in pairs]
                 assert len(set(at)) == len(at)
 
-def texts(spark, rows):
-    return {r["page_id"]: r["text"] for r in H.html_extraction(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+def texts(spark, rows, **kw):
+    return {r["page_id"]: r["text"] for r in H.html_extraction(spark.createDataFrame(rows, "page_id long, url string, html string"), **kw).collect()}
 
 
 def test_small_hosts_and_much_boilerplate(spark):
@@ -76,3 +76,30 @@ def test_copies_vote_once(spark):
 def test_a_passage_of_two_pages_among_six_stays_content(spark):
     rows = [(i, f"http://h.x/{i}", f"<body><h1>Head {i}</h1><p>Body {i}</p>{'<p>Shared words</p>' if i < 2 else ''}</body>") for i in range(6)]
     assert texts(spark, rows)[1] == "Head 1\nBody 1\nShared words"
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_the_wrapper_finds_the_article_without_tags_and_names(spark):
+    """Menus, adverts and footers that change from page to page: only where the text is tells the article."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    plain = {r["page_id"]: r["text"] for r in H.html_extraction(pages).collect()}
+    bare = pages.selectExpr("page_id", "url", "regexp_replace(regexp_replace(html, '(</?)(nav|article|footer)', '$1div'), ' class=.ad.', '') as html")
+    rows = H.html_extraction(bare, named=False).collect()
+    assert all(r["n_template"] > 0 for r in rows)
+    assert sum(plain[r["page_id"]] == r["text"] for r in rows) >= 0.9 * len(rows)
+
+
+def test_attribute_values_are_no_names(spark):
+    rows = [(i, f"http://h{i}.x/", f"<body><article><h1>Head</h1>{p}</article></body>") for i, p in enumerate(['<div style="overflow: hidden"><p>Text</p></div>', '<div data-hidden="false"><p>Text</p></div>', '<div title="a hidden gem"><p>Text</p></div>', '<p class="related">Text</p>', '<p class="side share tags">Text</p>'])]
+    rows += [(9, "http://h9.x/", '<body><article><h1>Head</h1><p>Text</p><p hidden>no</p><div style="display: none">no</div><div class="related">no</div></article></body>')]
+    assert set(texts(spark, rows).values()) == {"Head\nText"}
+
+
+def test_deep_and_long_pages_and_repeated_rows(spark):
+    deep = "<div>" * 3000 + "<p>Deep</p>" + "</div>" * 3000 + "<p>After</p>"
+    long = "".join(f"<p>Paragraph {i}</p>" for i in range(5000))
+    rows = [(1, "http://d.x/1", deep), (2, "http://d.x/2", deep.replace("Deep", "Other")), (3, "http://l.x/", f"<article>{long}</article>"), (3, "http://l.x/", f"<article>{long}</article>"), (4, None, None), (5, "", "")]
+    got = H.html_extraction(spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, node int, inside string")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == sorted([(1, "Deep\nAfter"), (2, "Other\nAfter"), (3, "\n".join(f"Paragraph {i}" for i in range(5000))), (3, "\n".join(f"Paragraph {i}" for i in range(5000))), (4, ""), (5, "")])
