@@ -352,6 +352,7 @@ def brute_model(states, symbols, lookup, iterations):
             break
         least = n
     known = [w for w in ranked if counts[w] >= least] if len(ranked) > lookup else ranked
+    assert len(ranked) > len(known) > symbols  # words of all classes
     code = {w: k if k < symbols else symbols for k, w in enumerate(known)}
     total = sum(counts.values()) + len(train) + 0.5 * (len(counts) + 2)
     middle = sum(counts[w] + 0.5 for w in known[symbols:])
@@ -402,9 +403,9 @@ def brute_model(states, symbols, lookup, iterations):
 
 
 def test_hmm_scores_equal_brute_force(docs):
-    expected = brute_model(2, 8, 20, 2)
+    expected = brute_model(2, 8, 560, 2)
     trace = []
-    for r in hmm_scoring.hmm_scoring(docs, states=2, symbols=8, lookup=20, iterations=2, trace=trace).collect():
+    for r in hmm_scoring.hmm_scoring(docs, states=2, symbols=8, lookup=560, iterations=2, trace=trace).collect():
         if r["doc_id"] != 15:
             assert r["score"] == pytest.approx(expected[r["doc_id"]], rel=2e-4), r["doc_id"]
     assert len(trace) == 2
