@@ -341,7 +341,7 @@ def _shares(n: np.ndarray, total: np.ndarray, unigram: np.ndarray, smoothing: fl
     return (n + own * unigram[:, None]) / (total + own)
 
 
-def hmm_scoring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, symbols: int = 4096, iterations: int = 3, lookup: int = 1 << 18, smoothing: float = 0.5, word_smoothing: float = 1.0, trace: list[float] | None = None) -> DataFrame:
+def hmm_scoring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = 8, symbols: int = 4096, iterations: int = 3, lookup: int = 1 << 19, smoothing: float = 0.5, word_smoothing: float = 1.0, trace: list[float] | None = None) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score. ``trace`` gets the training documents' log10 likelihood (words of the two classes as one symbol each) before each iteration."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
