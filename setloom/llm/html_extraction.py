@@ -5,8 +5,8 @@ its host (its least page_id) by simple tree matching: nodes match if their tags
 aligned by dynamic programming in order, and equal texts count for more. The wrapper of a host has two parts, both
 learnt from all of its pages.
 
-Where the content is: over the host's pages every container (a path of tags and classes that a page has once) is given
-the text in it that varies. The region is the uppermost container with ``region_share`` of all of it that holds headings
+Where the content is: over the host's pages every container (of the reference, or a path of tags and classes that a page
+has once) is given the text that varies in what is aligned with it. The region is the uppermost container with ``region_share`` of all of it that holds headings
 or paragraphs of its own, or the lowest such container if none does; what stands outside of it is template. If that is
 the body itself, the wrapper leaves the region open, and what the page marks as its article decides.
 
@@ -67,9 +67,7 @@ ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption blockquote pre figcaption tr tbody thead tfoot html body main".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre #text".split())
 FRAME = frozenset("#root html body".split())
-#: The depth of a page, and how deep Python may call itself for it.
 DEPTH = 512
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * DEPTH))
 #: Cells of a table of alignment that are held at once, and scores of pairs of subtrees.
 CELLS_AT_ONCE, KNOWN_AT_ONCE = 4_000_000, 500_000
 Memo = dict[tuple[bytes, bytes], int]
@@ -179,6 +177,17 @@ def leaves(node: Node) -> list[Node]:
     return out
 
 
+def boxes(node: Node) -> list[Node]:
+    """The nodes that aren't leaves."""
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if x.text is None:
+            out.append(x)
+            todo.extend(reversed(x.children))
+    return out
+
+
 def _middle(x: list[Node], y: list[Node]) -> tuple[int, int, int]:
     """How many children at the front and at the back are the same whole subtrees, and their score. No alignment does better than to pair these."""
     least = min(len(x), len(y))
@@ -274,20 +283,22 @@ def _aligned(x: list[Node], y: list[Node], memo: Memo) -> list[tuple[Node, Node]
     return pairs
 
 
-def match(a: Node, b: Node, pairs: list[tuple[Node, Node]], memo: Memo | None = None) -> int:
-    """Simple tree matching of two trees; ``pairs`` gets the leaves that are aligned."""
-    memo = {} if memo is None else memo
+def match(a: Node, b: Node, pairs: list[tuple[Node, Node]], memo: Memo | None = None, around: list[tuple[Node, Node]] | None = None) -> int:
+    """Simple tree matching of two trees; ``pairs`` gets the leaves that are aligned, ``around`` the others."""
+    memo, around = {} if memo is None else memo, [] if around is None else around
     if a.key == b.key:
         if a.text is not None and b.text is not None:
             pairs.append((a, b))
         elif a.digest == b.digest:
             pairs.extend(zip(leaves(a), leaves(b), strict=True))
+            around.extend(zip(boxes(a), boxes(b), strict=True))
         elif a.text is None and b.text is None:
+            around.append((a, b))
             x, y = a.children, b.children
             front, back, _ = _middle(x, y)
             inner = _aligned(x[front : len(x) - back], y[front : len(y) - back], memo) if front + back < min(len(x), len(y)) else []
             for p, q in [*zip(x[:front], y[:front], strict=True), *inner, *zip(x[len(x) - back :], y[len(y) - back :], strict=True)]:
-                match(p, q, pairs, memo)
+                match(p, q, pairs, memo, around)
     return _score(a, b, memo)
 
 
@@ -315,11 +326,13 @@ def _reference(source: str, named: bool) -> Node:
     root = folded(parse(source, named))
     for i, leaf in enumerate(leaves(root)):
         leaf.leaf = i
+    for i, box in enumerate(boxes(root)):
+        box.leaf = i
     return root
 
 
-def _regions(root: Node, varies: Callable[[Node], bool]) -> list[dict]:
-    """The containers whose path a page has once: the leaves that they hold, their varying text, whether some of it is prose of their own, or they are the article that the page marks."""
+def _regions(root: Node, of: dict[int, int], varies: Callable[[Node], bool]) -> list[dict]:
+    """The containers, by what they are aligned with, else by a path that the page has once: the leaves that they hold, their varying text, whether some of it is prose of their own, or they are the article that the page marks."""
     found: dict[int, dict | None] = {}
     count = 0
 
@@ -332,7 +345,8 @@ def _regions(root: Node, varies: Callable[[Node], bool]) -> list[dict]:
         for c in node.children:
             chars += visit(c, depth + 1, marked or node.article)
         prose = (node.article and not marked) or any(c.text is not None and c.tag in PROSE and varies(c) for c in node.children)
-        found[node.path] = None if node.path in found else {"path": node.path, "depth": depth, "frame": node.tag in FRAME, "chars": chars, "prose": prose, "first": first, "last": count}
+        path = of.get(id(node), node.path)
+        found[path] = None if path in found else {"path": path, "depth": depth, "frame": node.tag in FRAME, "chars": chars, "prose": prose, "first": first, "last": count}
         return chars
 
     visit(root, 0, False)
@@ -344,6 +358,7 @@ _BLOCK = pa.struct([("node", pa.int32()), ("same", pa.bool_()), ("outside", pa.b
 
 
 def _align(batches: Iterator[pa.RecordBatch], named: bool) -> Iterator[pa.RecordBatch]:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * DEPTH))  # trees are matched depth first
     known: dict[str, Node] = {}
     for batch in batches:
         for begin in range(0, len(batch), 512):
@@ -356,14 +371,15 @@ def _align(batches: Iterator[pa.RecordBatch], named: bool) -> Iterator[pa.Record
                         known.clear()
                     known[host] = _reference(first or "", named)
                 pairs: list[tuple[Node, Node]] = []
-                match(known[host], root, pairs)
+                around: list[tuple[Node, Node]] = []
+                match(known[host], root, pairs, around=around)
                 at = {id(b): (a.leaf, a.text == b.text) for a, b in pairs}
                 mine = leaves(root)
                 marked = any(x.article for x in mine)
                 out.append([{"node": at[id(x)][0] if id(x) in at else -1, "same": id(x) in at and at[id(x)][1], "outside": x.outside, "inside": not x.outside and (x.article or not marked), "path": 0 if id(x) in at else x.path, "text": x.text} for x in mine])
                 votes.append(_short(*(x["text"] for x in out[-1] if x["inside"])))
                 own = page == least  # the reference can't tell what varies from itself
-                regions.append(_regions(root, lambda x, at=at, own=own: not x.outside and (own or id(x) not in at or not at[id(x)][1])))
+                regions.append(_regions(root, {id(b): -1 - a.leaf for a, b in around}, lambda x, at=at, own=own: not x.outside and (own or id(x) not in at or not at[id(x)][1])))
             yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], part["host"], pa.array(votes, pa.int64()), pa.array(out, pa.list_(_BLOCK)), pa.array(regions, pa.list_(_REGION))], names=["page_id", "url", "host", "content", "blocks", "regions"])
 
 
