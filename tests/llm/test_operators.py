@@ -590,13 +590,14 @@ def test_line_dedup_of_long_texts(spark):
 
 
 def test_failed_lines_go_and_others_stay(spark):
-    good = "A sentence that stands here, with enough words to be kept as it is. " * 4
+    good = " ".join(f"A sentence number{i} that stands{i} here{i}, with enough{i} words." for i in range(12))
     menu = "Home\nAbout us\nContact\nNews\nJobs"
-    text = f"{good}\n\n{menu}\n{good}\n\nWe use cookies. Click here for our privacy policy.\n{good}"
-    long = good + " Our bakery sells every cookie that you can think of. " + good
+    other, third = (" ".join(w[0] + str(k) + w[1:] for w in good.split(" ")) for k in "89")
+    text = f"{good}\n\n{menu}\n{other}\n\nWe use cookies. Click here for our privacy policy.\n{third}"
+    long = good + " Our bakery sells every cookie that you can think of. " + good.upper()
     df = spark.createDataFrame([(1, text, 5, "w"), (2, long, 6, "x"), (3, menu, 7, "y"), (4, None, 8, "z")], "doc_id long, text string, whole int, kept string")
     rows = {r["doc_id"]: r for r in quality_rules.quality_rules(df).collect()}
-    assert rows[1]["kept"] and rows[1]["n_failed_lines"] == 6 and rows[1]["cleaned_text"] == f"{good}\n\n{good}\n\n{good}"
+    assert rows[1]["kept"] and rows[1]["n_failed_lines"] == 6 and rows[1]["cleaned_text"] == f"{good}\n\n{other}\n\n{third}"
     assert rows[2]["cleaned_text"] == long and rows[2]["n_failed_lines"] == 0 and not rows[3]["kept"] and rows[4]["cleaned_text"] == ""
     assert rows[1]["cleaned_chars"] == len(rows[1]["cleaned_text"]) and rows[1]["cleaned_sha256"] == hashlib.sha256(rows[1]["cleaned_text"].encode()).hexdigest()
     assert [tuple(r) for r in quality_rules.passing(df).orderBy("doc_id").collect()] == [(1, rows[1]["cleaned_text"], 5, "w"), (2, long, 6, "x")]

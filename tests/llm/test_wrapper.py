@@ -98,8 +98,8 @@ def test_attribute_values_are_no_names(spark):
 
 
 def test_deep_and_long_pages_and_repeated_rows(spark):
-    deep = "<div>" * 3000 + "<p>Deep</p>" + "</div>" * 3000 + "<p>After</p>"
+    deep = "<div>" * 3000 + "<p>Deep</p>" + "</div>" * 3000 + "<p>After Deep</p>"
     long = "".join(f"<p>Paragraph {i}</p>" for i in range(5000))
     rows = [(1, "http://d.x/1", deep), (2, "http://d.x/2", deep.replace("Deep", "Other")), (3, "http://l.x/", f"<article>{long}</article>"), (3, "http://l.x/", f"<article>{long}</article>"), (4, None, None), (5, "", "")]
     got = H.html_extraction(spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, node int, inside string")).collect()
-    assert sorted((r["page_id"], r["text"]) for r in got) == sorted([(1, "Deep\nAfter"), (2, "Other\nAfter"), (3, "\n".join(f"Paragraph {i}" for i in range(5000))), (3, "\n".join(f"Paragraph {i}" for i in range(5000))), (4, ""), (5, "")])
+    assert sorted((r["page_id"], r["text"]) for r in got) == sorted([(1, "Deep\nAfter Deep"), (2, "Other\nAfter Other"), (3, "\n".join(f"Paragraph {i}" for i in range(5000))), (3, "\n".join(f"Paragraph {i}" for i in range(5000))), (4, ""), (5, "")])
