@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from setloom.sources.readers import remaining
 
 #: Fixed value: what an overloaded or exhausted service says.
-RETRIED = ("429", "503", "quota", "overloaded", "unavailable")
+RETRIED = ("429", "503", "quota", "overloaded", "demand")
 
 
 def ask(client: Callable[[str], str], prompt: str, attempts: int = 5, wait_s: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:
@@ -74,14 +75,17 @@ def resumed(prompts: DataFrame, client: Callable[[str], str], path: str, keys: i
 
 
 def batched(texts: DataFrame, instruction: str, size: int) -> DataFrame:
-    """Prompts over up to ``size`` numbered texts each: rows (sample_id, prompt). Batches are cut by id ranges of hash buckets, not by a global order."""
-    placed = texts.withColumn("_b", F.pmod(F.xxhash64("sample_id"), F.lit(1 << 20)))
-    from pyspark.sql.window import Window
-
-    n = F.row_number().over(Window.partitionBy("_b").orderBy("sample_id")) - 1
-    rows = placed.withColumn("_n", n).withColumn("_batch", F.floor(F.col("_n") / size))
+    """Prompts over ``size`` numbered texts each, the last one over fewer: rows (sample_id, prompt).
+
+    Texts are numbered in the order of a hash of their ids, in parts that are counted first, so no task sees them all.
+    """
+    placed = texts.withColumn("_part", F.substring(F.md5(F.col("sample_id").cast("string").cast("binary")), 1, 3))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row a part, 4096 at most
+    offsets = placed.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("sample_id")) - 1
+    rows = placed.withColumn("_n", inside).join(offsets, "_part").withColumn("_n", F.col("_n") + F.col("_before")).withColumn("_batch", F.floor(F.col("_n") / size))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "sample_id", "text"))), lambda s: F.concat(s["sample_id"].cast("string"), F.lit(": "), s["text"])), "\n")
-    return rows.groupBy("_b", "_batch").agg(F.concat(F.lit(instruction + "\n"), lines).alias("prompt")).select(F.concat_ws("-", F.col("_b").cast("string"), F.col("_batch").cast("string")).alias("sample_id"), "prompt")
+    return rows.groupBy("_batch").agg(F.concat(F.lit(instruction + "\n"), lines).alias("prompt")).select(F.col("_batch").cast("string").alias("sample_id"), "prompt")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

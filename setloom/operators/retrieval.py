@@ -74,32 +74,51 @@ def similar_examples(queries: DataFrame, examples: DataFrame, options: DataFrame
     return _first(allowed, ["bundle_id"], ["rank"], 1).drop("place")
 
 
+def _set_pairs(observed: DataFrame, train_bc: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Observed sets against the sets of training bundles that share a category with them and have one more.
+
+    There are far fewer sets than bundles, so pairs are made of sets: (query, key, overlap, prior, jaccard, score), with
+    the bundles of each query set (bundle_id, query) and those of each training set (context, key).
+    """
+    queries = completion.observed_sets(observed).select("bundle_id", "names", F.array_join("names", "|").alias("query"))
+    members = completion.observed_sets(train_bc).select(F.col("bundle_id").alias("context"), "names", F.array_join("names", "|").alias("key"))
+    asked = queries.groupBy("query").agg(F.min("bundle_id").alias("bundle_id"), F.first("names").alias("asked"))
+    priors = asked.select("query", "bundle_id").join(prior.select("bundle_id", F.struct(F.col("category"), F.col("score").alias("p")).alias("e")), "bundle_id").groupBy("query").agg(F.map_from_entries(F.collect_list("e")).alias("priors"))
+    asked = asked.select("query", "asked").join(priors, "query", "left")
+    sets = members.groupBy("key").agg(F.first("names").alias("names"))
+    met = asked.select("query", F.explode("asked").alias("category")).join(sets.select("key", F.explode("names").alias("category")), "category").groupBy("query", "key").agg(F.count("*").alias("overlap"))
+    both = met.join(sets, "key").where(F.size("names") > F.col("overlap")).join(asked, "query")
+    best = F.array_max(F.transform("names", lambda c: F.try_element_at("priors", c)))
+    valued = both.select("query", "key", "overlap", F.size("asked").alias("nq"), F.size("names").alias("nc"), F.coalesce(best, F.lit(0.0)).alias("p"))
+    pairs = valued.select("query", "key", "overlap", F.round("p", 9).alias("prior"), F.round(F.col("overlap") / (F.col("nq") + F.col("nc") - F.col("overlap")), 9).alias("jaccard"), F.round(F.col("p") * F.col("overlap") / F.col("nq"), 9).alias("score"))
+    return pairs, queries.select("bundle_id", "query"), members.select("context", "key")
+
+
 def category_retrieval(observed: DataFrame, train_bc: DataFrame, prior: DataFrame, k: int, seed: int) -> DataFrame:
     """Training bundles by mean prior of their extra categories weighted by the share of observed ones, then overlap and Jaccard.
 
-    Bundles without any category beyond the observed ones are left out. Rows (bundle_id, context, score, prior, overlap, jaccard, place).
+    Bundles without any category beyond the observed ones are left out. ``prior`` follows from a bundle's observed set.
+    Sets are ranked first; only those with fewer than ``k`` better ones are opened into bundles.
+    Rows (bundle_id, context, score, prior, overlap, jaccard, place).
     """
-    query = observed.groupBy("bundle_id").agg(F.count("*").alias("nq"))
-    size = train_bc.groupBy(F.col("bundle_id").alias("context")).agg(F.count("*").alias("nc"))
-    sets = train_bc.select(F.col("bundle_id").alias("context"), "category")
-    met = observed.join(sets, "category").groupBy("bundle_id", "context").agg(F.count("*").alias("overlap")).join(size, "context").where("nc > overlap").join(query, "bundle_id")
-    extra = met.select("bundle_id", "context").join(sets, "context").join(prior.select("bundle_id", "category", F.col("score").alias("p")), ["bundle_id", "category"]).groupBy("bundle_id", "context").agg(F.max("p").alias("prior"))
-    scored = met.join(extra, ["bundle_id", "context"], "left").select("bundle_id", "context", F.round(F.coalesce("prior", F.lit(0.0)), 9).alias("prior"), "overlap", F.round(F.col("overlap") / (F.col("nq") + F.col("nc") - F.col("overlap")), 9).alias("jaccard"), F.round(F.coalesce("prior", F.lit(0.0)) * F.col("overlap") / F.col("nq"), 9).alias("score"))
-    return _first(scored, ["bundle_id"], [F.desc("score"), F.desc("prior"), F.desc("overlap"), F.desc("jaccard"), X.draw(seed, "bundle_id", "context"), "context"], k)
+    pairs, queries, members = _set_pairs(observed, train_bc, prior)
+    order = [F.desc("score"), F.desc("prior"), F.desc("overlap"), F.desc("jaccard")]
+    better = pairs.withColumn("better", F.rank().over(Window.partitionBy("query").orderBy(*order))).where(F.col("better") <= k)
+    opened = queries.join(better.join(members, "key"), "query")
+    return _first(opened.select("bundle_id", "context", "prior", "overlap", "jaccard", "score"), ["bundle_id"], [*order, X.draw(seed, "bundle_id", "context"), "context"], k)
 
 
 def evidence(observed: DataFrame, train_bc: DataFrame, prior: DataFrame, k: int, largest: int = 3) -> DataFrame:
     """Evidence bundles: larger shared subsets first, then prior and Jaccard, one bundle for each category set, ``k`` in all.
 
     Going through the subsets level by level and skipping used bundles and used category sets gives each bundle at its
-    first appearance, that is at its largest level; so ordering by (level, prior, jaccard, id) and keeping the first of
-    each category set is the same.
+    first appearance, that is at its largest level; so ordering sets by (level, prior, jaccard, least bundle) is the same.
+    Rows (bundle_id, context, key, level, overlap, prior, jaccard, score, place).
     """
-    ranked = category_retrieval(observed, train_bc, prior, 1 << 30, 0).withColumn("level", F.least("overlap", F.lit(largest)))
-    keys = completion.observed_sets(train_bc).select(F.col("bundle_id").alias("context"), F.array_join("names", "|").alias("key"))
-    order = [F.desc("level"), F.desc("prior"), F.desc("jaccard"), "context"]
-    once = _first(ranked.drop("place").join(keys, "context"), ["bundle_id", "key"], order, 1).drop("place")
-    return _first(once, ["bundle_id"], order, k)
+    pairs, queries, members = _set_pairs(observed, train_bc, prior)
+    leveled = pairs.withColumn("level", F.least("overlap", F.lit(largest))).join(members.groupBy("key").agg(F.min("context").alias("context")), "key")
+    best = _first(leveled, ["query"], [F.desc("level"), F.desc("prior"), F.desc("jaccard"), "context"], k)
+    return queries.join(best, "query").drop("query")
 
 
 def item_text(items: DataFrame) -> DataFrame:

@@ -39,20 +39,6 @@ def options(split: DataFrame, items: DataFrame, size: int, seed: int, shuffle_se
     return both.withColumn("pos", F.row_number().over(Window.partitionBy("bundle_id").orderBy(X.draw(shuffle_seed, "bundle_id", "item_id"), "item_id")) - 1)
 
 
-def pooled_hard_negatives(split: DataFrame, items: DataFrame, attribute: str, n: int, seed: int, per_value: int = 64) -> DataFrame:
-    """As :func:`hard_negatives`, but all bundles share one pool of each value and some draws may be missing: items with the answer's attribute first (drawn from the ``per_value`` least hashes of each value), random ones after.
-
-    Rows (bundle_id, item_id, hard, place).
-    """
-    pool = items.select("item_id", attribute).where(F.col(attribute).isNotNull()).withColumn("r", F.row_number().over(Window.partitionBy(attribute).orderBy(X.draw(seed, "item_id"), "item_id"))).where(F.col("r") <= per_value)
-    goal = split.where("is_gt").join(items.select("item_id", attribute), "item_id").select("bundle_id", attribute)
-    hard = goal.join(pool, attribute).select("bundle_id", "item_id").join(split.select("bundle_id", "item_id"), ["bundle_id", "item_id"], "left_anti").withColumn("hard", F.lit(1))
-    soft = negatives(split, items, n, seed).withColumn("hard", F.lit(0))
-    both = hard.unionByName(soft).groupBy("bundle_id", "item_id").agg(F.max("hard").alias("hard"))
-    place = F.row_number().over(Window.partitionBy("bundle_id").orderBy(F.desc("hard"), X.draw(seed, "bundle_id", "item_id"), "item_id"))
-    return both.withColumn("place", place).where(F.col("place") <= n)
-
-
 def without_replacement(wanted: DataFrame, pool: DataFrame, taken: DataFrame, seed: int) -> DataFrame:
     """``n`` items of the pool's ``group`` for each row of ``wanted`` (bundle_id, group, n) that ``taken`` (bundle_id, item_id) doesn't hold, or all where fewer are left.
 

@@ -16,14 +16,14 @@ from pyspark.sql.window import Window
 from setloom.functions import exprs as X
 from setloom.operators import bundles, graph, sampling
 
-EVAL_BUNDLES, CANDIDATES = 250, 10
+CANDIDATES = 10
 
 
 class Model:
-    """Relations of one set of tables."""
+    """Relations of one set of tables. ``eval_bundles``: how many test bundles are evaluated, by a seeded order; all if None."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, eval_bundles: int | None = None):
+        self.spark, self.dir, self.eval_bundles = spark, sf_dir, eval_bundles
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -82,7 +82,8 @@ class Model:
     @cached_property
     def evaluated(self) -> DataFrame:
         """The bundles of the evaluation set."""
-        return self.fixed.select("bundle_id").distinct().orderBy(X.draw(45, "bundle_id"), "bundle_id").limit(EVAL_BUNDLES)
+        every = self.fixed.select("bundle_id").distinct()
+        return every if self.eval_bundles is None else every.orderBy(X.draw(45, "bundle_id"), "bundle_id").limit(self.eval_bundles)
 
     @cached_property
     def eval_split(self) -> DataFrame:
@@ -138,7 +139,7 @@ CTE = {
     "fixed": "SELECT bundle_id, item_id, row_number() OVER (PARTITION BY bundle_id ORDER BY md5('45_' || bundle_id || '_' || item_id), item_id) = 1 AS is_gt FROM (SELECT *, count(*) OVER (PARTITION BY bundle_id) AS c FROM test) WHERE c >= 2",
     "observed": "SELECT DISTINCT bundle_id, category FROM fixed JOIN it USING (item_id) WHERE NOT is_gt",
     "heldout": "SELECT bundle_id, item_id, category FROM fixed JOIN it USING (item_id) WHERE is_gt",
-    "ev": f"SELECT DISTINCT bundle_id, md5('45_' || bundle_id) AS h FROM fixed ORDER BY h, bundle_id LIMIT {EVAL_BUNDLES}",
+    "ev": "SELECT DISTINCT bundle_id FROM fixed",
     "esplit": "SELECT fixed.* FROM fixed JOIN ev USING (bundle_id)",
     "inputs": "SELECT bundle_id, item_id FROM esplit WHERE NOT is_gt",
     "neg": f"""SELECT bundle_id, item_id FROM (

@@ -65,13 +65,8 @@ def backoff_methods(m: Model, largest: int):
     return rounded(C.summary(every[0].unionByName(every[1]).unionByName(every[2]), "method"), "coverage", "mean_rank", *METRICS)
 
 
-@query("a16_backoff_methods", sql(" UNION ALL ".join(f"SELECT '{n}' AS method, {SUMMARY} FROM j_{s}" for n, s in (("confidence", "backconf"), ("lift", "backlift"), ("pmi", "backpmi"))), **COUNTS, **JUDGED))
+@query("a16_backoff_methods", sql(" UNION ALL ".join(f"SELECT '{n}' AS method, {SUMMARY} FROM j_{s}" for n, s in (("confidence", "backconf"), ("lift", "backlift"), ("pmi", "backpmi"))), **DEEP, **JUDGED))
 def a16(spark, d):
-    return backoff_methods(Model(spark, d), 2)
-
-
-@query("a16_backoff_of_triples", sql(" UNION ALL ".join(f"SELECT '{n}' AS method, {SUMMARY} FROM j_{s}" for n, s in (("confidence", "backconf"), ("lift", "backlift"), ("pmi", "backpmi"))), **DEEP, **JUDGED))
-def a16_of_triples(spark, d):
     return backoff_methods(Model(spark, d), 3)
 
 
@@ -113,13 +108,8 @@ def profile_and_backoff(m: Model, largest: int):
     return rounded(C.quadrants(first, C.judged(backoff(m, "confidence", largest), m.heldout), 3), "ratio")
 
 
-@query("a26_quadrants", sql("SELECT v.q AS quadrant, count(qd.q) AS n, round(count(qd.q) / (SELECT count(*) FROM qd)::DOUBLE, 9) AS ratio FROM (VALUES ('both'), ('first_only'), ('second_only'), ('neither')) v(q) LEFT JOIN qd ON qd.q = v.q GROUP BY v.q", **COUNTS, **JUDGED, qd=QUAD))
+@query("a26_quadrants", sql("SELECT v.q AS quadrant, count(qd.q) AS n, round(count(qd.q) / (SELECT count(*) FROM qd)::DOUBLE, 9) AS ratio FROM (VALUES ('both'), ('first_only'), ('second_only'), ('neither')) v(q) LEFT JOIN qd ON qd.q = v.q GROUP BY v.q", **DEEP, **JUDGED, qd=QUAD))
 def a26(spark, d):
-    return profile_and_backoff(Model(spark, d), 2)
-
-
-@query("a26_quadrants_of_triples", sql("SELECT v.q AS quadrant, count(qd.q) AS n, round(count(qd.q) / (SELECT count(*) FROM qd)::DOUBLE, 9) AS ratio FROM (VALUES ('both'), ('first_only'), ('second_only'), ('neither')) v(q) LEFT JOIN qd ON qd.q = v.q GROUP BY v.q", **DEEP, **JUDGED, qd=QUAD))
-def a26_of_triples(spark, d):
     return profile_and_backoff(Model(spark, d), 3)
 
 

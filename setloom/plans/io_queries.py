@@ -75,12 +75,12 @@ def s18(spark, d) -> DataFrame:
     return remote.resumed(prompts, first_letter, path).select("sample_id", "response")
 
 
-@query("x01_streaming_daily", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+@query("t12_streaming_daily", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def stream_daily(spark, d) -> DataFrame:
     stream = counters.windowed(counters.events(spark, f"{d}/events.parquet"), late="0 seconds")
     return rounded(counters.drained(stream, f"daily_{uuid.uuid4().hex}"), "value").select("start", "event_type", "n", F.round("value", 4).alias("value"))
 
 
-@query("x02_streaming_popularity", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("t12_streaming_popularity", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_popularity(spark, d) -> DataFrame:
     return counters.drained(counters.popularity(counters.events(spark, f"{d}/events.parquet")), f"popularity_{uuid.uuid4().hex}")

@@ -143,13 +143,8 @@ def completion_block(m, largest: int):
     return m.evaluated.join(text, "bundle_id", "left").select("bundle_id", F.coalesce("block", F.lit("no evidence")).alias("block"))
 
 
-@query("c04_completion_block", sql("SELECT e.bundle_id, coalesce(string_agg(d.category || ' ' || printf('%.4f', d.score), '; ' ORDER BY d.r), 'no evidence') AS block FROM ev e LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY round(score, 4) DESC, category) AS r FROM direct) d ON d.bundle_id = e.bundle_id AND d.r <= 3 GROUP BY 1", **COUNTS))
+@query("c04_completion_block", sql("SELECT e.bundle_id, coalesce(string_agg(d.category || ' ' || printf('%.4f', d.score), '; ' ORDER BY d.r), 'no evidence') AS block FROM ev e LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY round(score, 4) DESC, category) AS r FROM direct) d ON d.bundle_id = e.bundle_id AND d.r <= 3 GROUP BY 1", **WIDE))
 def c04(spark, d):
-    return completion_block(Model(spark, d), 4)
-
-
-@query("c04_completion_block_of_fives", sql("SELECT e.bundle_id, coalesce(string_agg(d.category || ' ' || printf('%.4f', d.score), '; ' ORDER BY d.r), 'no evidence') AS block FROM ev e LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY round(score, 4) DESC, category) AS r FROM direct) d ON d.bundle_id = e.bundle_id AND d.r <= 3 GROUP BY 1", **WIDE))
-def c04_of_fives(spark, d):
     return completion_block(Model(spark, d), 5)
 
 

@@ -37,6 +37,12 @@ def p01(spark, d):
     return Model(spark, d).samples.select("bundle_id", F.col("pos").cast("long").alias("pos"), "item_id", "is_gt")
 
 
+@query("p10_seeded_truncation", sql("SELECT bundle_id, is_gt, item_id FROM esplit", ev="SELECT bundle_id FROM (SELECT DISTINCT bundle_id, md5('45_' || bundle_id) AS h FROM fixed) ORDER BY h, bundle_id LIMIT 250"))
+def p10(spark, d):
+    """The evaluation set cut to 250 bundles, which is an option of the model."""
+    return Model(spark, d, eval_bundles=250).eval_split.select("bundle_id", "is_gt", "item_id")
+
+
 @query("p04_fixed_split", sql("SELECT bundle_id, item_id, is_gt FROM fixed"))
 def p04(spark, d):
     return Model(spark, d).fixed
@@ -47,22 +53,8 @@ def p04_first(spark, d):
     return S.fixed_split(Model(spark, d).test, 45, first=True)
 
 
-@query(
-    "p03_hard_negatives",
-    sql(
-        """SELECT bundle_id, item_id, hard, place FROM (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY hard DESC, md5('45_' || bundle_id || '_' || item_id), item_id) AS place FROM (SELECT bundle_id, item_id, max(hard) AS hard FROM (
-        SELECT g.bundle_id, p.item_id, 1 AS hard FROM goal g JOIN pool p USING (category) WHERE NOT EXISTS (SELECT 1 FROM esplit e WHERE e.bundle_id = g.bundle_id AND e.item_id = p.item_id) UNION ALL SELECT bundle_id, item_id, 0 FROM neg) GROUP BY ALL)) WHERE place <= 9""",
-        pool="SELECT item_id, category FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('45_' || item_id), item_id) AS r FROM it) WHERE r <= 64",
-        goal="SELECT bundle_id, category FROM esplit JOIN it USING (item_id) WHERE is_gt",
-    ),
-)
+@query("p03_hard_negatives")
 def p03(spark, d):
-    m = Model(spark, d)
-    return S.pooled_hard_negatives(m.eval_split, m.items, "category", 9, 45).withColumn("place", F.col("place").cast("long"))
-
-
-@query("p03_hard_negatives_of_all")
-def p03_of_all(spark, d):
     m = Model(spark, d)
     return S.hard_negatives(m.eval_split, m.items, "category", 9, 45).withColumn("place", F.col("place").cast("long"))
 

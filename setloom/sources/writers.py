@@ -16,9 +16,9 @@ def append_results(df: DataFrame, path: str, run_id: str) -> None:
 
 
 def results_csv(df: DataFrame, path: str) -> None:
-    """One CSV with a header; lists and structs as JSON."""
+    """One CSV with a header; lists and structs as JSON. Only the writing is one task."""
     flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+    df.select(*flat).repartition(1).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def run_name(dataset: str, features: dict[str, object], candidates: int, inputs: int, stamp: str) -> str:
@@ -74,23 +74,26 @@ def metadata(df: DataFrame) -> str:
     return json.dumps(json.loads(df.toJSON().first()), sort_keys=True)
 
 
-def _cells(df: DataFrame, limit: int) -> tuple[list[str], list[list[str]]]:
+def _cells(df: DataFrame, limit: int) -> tuple[list[str], list[list[str]], str]:
+    """Column names, at most ``limit`` rows, and a remark on those left out."""
     shown = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
-    return df.columns, [[shown(v) for v in r] for r in df.limit(limit).collect()]
+    rows = [[shown(v) for v in r] for r in df.limit(limit + 1).collect()]
+    left = df.count() - limit if len(rows) > limit else 0
+    return df.columns, rows[:limit], f"{left} more rows" if left else ""
 
 
 def markdown(df: DataFrame, limit: int = 200) -> str:
-    """A small table for a report."""
-    names, rows = _cells(df, limit)
+    """A table for a report; beyond ``limit`` rows it says how many more there are."""
+    names, rows, more = _cells(df, limit)
     line = lambda xs: "| " + " | ".join(x.replace("|", "\\|").replace("\n", " ") for x in xs) + " |"
-    return "\n".join([line(names), line(["---"] * len(names)), *map(line, rows)])
+    return "\n".join([line(names), line(["---"] * len(names)), *map(line, rows), *(["", more] if more else [])])
 
 
 def latex(df: DataFrame, caption: str, limit: int = 200) -> str:
     """The same as a LaTeX table."""
-    names, rows = _cells(df, limit)
+    names, rows, more = _cells(df, limit)
     safe = lambda x: re.sub(r"([&%$#_{}])", r"\\\1", x)
     line = lambda xs: " & ".join(map(safe, xs)) + r" \\"
-    return "\n".join([r"\begin{table}", rf"\caption{{{safe(caption)}}}", rf"\begin{{tabular}}{{{'l' * len(names)}}}", r"\toprule", line(names), r"\midrule", *map(line, rows), r"\bottomrule", r"\end{tabular}", r"\end{table}"])
+    return "\n".join([r"\begin{table}", rf"\caption{{{safe(caption)}}}", rf"\begin{{tabular}}{{{'l' * len(names)}}}", r"\toprule", line(names), r"\midrule", *map(line, rows), *([rf"\multicolumn{{{len(names)}}}{{l}}{{{more}}} \\"] if more else []), r"\bottomrule", r"\end{tabular}", r"\end{table}"])
 
 
