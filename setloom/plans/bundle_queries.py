@@ -89,10 +89,18 @@ def a08(spark, d):
     return B.itemsets(Model(spark, d).bc, 3).where("size in (2, 3)")
 
 
-RULES = ITEMSETS | {"nb": PAIRS["nb"], "ru": "SELECT list_aggregate(list_filter(string_split(key, '|'), lambda x: x <> c), 'string_agg', '|') AS antecedent, c AS consequent, count AS joint FROM (SELECT key, count, unnest(string_split(key, '|')) AS c FROM sets WHERE size > 1 AND count >= 2)"}
+RULES = {
+    "nb": PAIRS["nb"],
+    "one": "SELECT category AS key, count(*) AS count FROM bc GROUP BY 1",
+    "two": "SELECT x.category AS a, y.category AS b, count(*) AS count FROM bc x JOIN bc y ON x.bundle_id = y.bundle_id AND x.category < y.category GROUP BY ALL",
+    "three": "SELECT x.category AS a, y.category AS b, z.category AS c, count(*) AS count FROM bc x JOIN bc y ON x.bundle_id = y.bundle_id AND x.category < y.category JOIN bc z ON z.bundle_id = y.bundle_id AND y.category < z.category GROUP BY ALL",
+    "rules": """SELECT a AS antecedent, b AS consequent, count AS joint FROM two WHERE count >= 2 UNION ALL SELECT b, a, count FROM two WHERE count >= 2
+        UNION ALL SELECT a || '|' || b, c, count FROM three WHERE count >= 2 UNION ALL SELECT a || '|' || c, b, count FROM three WHERE count >= 2 UNION ALL SELECT b || '|' || c, a, count FROM three WHERE count >= 2""",
+    "base": "SELECT key, count FROM one UNION ALL SELECT a || '|' || b, count FROM two",
+}
 
 
-@query("a09_association_rules", sql("SELECT antecedent, consequent, joint, round(joint / n, 9) AS support, round(joint / p.count::DOUBLE, 9) AS confidence, round(joint / p.count::DOUBLE * n / q.count, 9) AS lift, round(log2(joint / p.count::DOUBLE * n / q.count), 9) AS pmi FROM ru JOIN sets p ON p.key = antecedent JOIN sets q ON q.key = consequent, nb", **RULES))
+@query("a09_association_rules", sql("SELECT antecedent, consequent, joint, round(joint / n, 9) AS support, round(joint / p.count::DOUBLE, 9) AS confidence, round(joint / p.count::DOUBLE * n / q.count, 9) AS lift, round(log2(joint / p.count::DOUBLE * n / q.count), 9) AS pmi FROM rules JOIN base p ON p.key = antecedent JOIN one q ON q.key = consequent, nb", **RULES))
 def a09(spark, d):
     return rounded(B.association_rules(Model(spark, d).bc), "support", "confidence", "lift", "pmi")
 

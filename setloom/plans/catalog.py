@@ -1,5 +1,5 @@
 """Imports every query module so that the registry is complete."""
 
-from setloom.plans import bundle_queries, completion_queries, io_queries, more_queries, run_queries, text_queries, vector_queries  # noqa: F401
+from setloom.plans import bundle_queries, case_queries, completion_queries, io_queries, more_queries, run_queries, text_queries, vector_queries  # noqa: F401
 
 FLAGSHIP = "completion_direct_confidence"
