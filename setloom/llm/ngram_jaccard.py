@@ -225,19 +225,37 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         yield from _of_groups(rest, np.array([0, len(rest)]), percent)
 
 
+def _leaf_pairs(rows: pa.Table, cuts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`_group_pairs`, for many groups that are a single leaf each, all at once. Group ``g`` has the rows from ``cuts[g]`` to ``cuts[g + 1]``."""
+    size = np.diff(cuts)
+    after = np.repeat(cuts[1:], size) - np.arange(cuts[0], cuts[-1]) - 1  # rows of the same group behind each row
+    left = np.repeat(np.arange(cuts[0], cuts[-1]), after)
+    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
+    ids, n, label = (rows[c].to_numpy() for c in ("id", "n", "label"))
+    open_ = (label[left] != label[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
+    left, right = left[open_], right[open_]
+    if not len(left):
+        return ids[:0], ids[:0]
+    vectors = _vectors(rows["folded"])
+    keep = np.zeros(len(left), bool)
+    for i in range(0, len(left), 1 << 15):
+        p, q = left[i : i + (1 << 15)], right[i : i + (1 << 15)]
+        keep[i : i + (1 << 15)] = _bounds(vectors[p], vectors[q]) >= _needed(n[p], n[q], percent)
+    a, b = ids[left[keep]], ids[right[keep]]
+    return tuple(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)) if len(a) else (a, b)
+
+
 def _of_groups(table: pa.Table, cuts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    a, b, held = [], [], 0
-    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if j - i > 1:
-            x, y = _group_pairs(table.slice(i, j - i).combine_chunks(), percent)
-            a.append(x)
-            b.append(y)
-            held += len(x)
-        if held > 1 << 16:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-            a, b, held = [], [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    """Candidate pairs of the groups between ``cuts``: runs of groups that fit one node of a tree together, others each with its tree."""
+    size = np.diff(cuts)
+    guests = np.add.reduceat(table["side"].to_numpy(), cuts[:-1]) if len(size) else size
+    alone = (size > NODE) | (guests > 0)
+    ends = np.unique(np.concatenate([[0], np.flatnonzero(alone), np.flatnonzero(alone) + 1, [len(size)]]))
+    for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        part = table.slice(int(cuts[i]), int(cuts[j] - cuts[i])).combine_chunks()
+        a, b = _group_pairs(part, percent) if alone[i] else _leaf_pairs(part, cuts[i : j + 1] - cuts[i], percent)
+        for k in range(0, len(a), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(a[k : k + (1 << 16)]), pa.array(b[k : k + (1 << 16)])], names=["a", "b"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
