@@ -66,7 +66,8 @@ def neighbours(graph: DataFrame, weight: str, k: int) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (node, label), label the least node of the component, by spreading minima until nothing changes.
 
-    Meant for graphs of categories, whose number the data model bounds; each round cuts lineage by a checkpoint.
+    In each round a node takes the least label around it, and then the label of that label, so the distance that a
+    minimum has covered doubles on a chain. Each round cuts lineage by a checkpoint.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = nodes.select("node", F.col("node").alias("label"))
@@ -74,6 +75,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), "label").toDF("node", "label", "old")
         step = _cut(step)
+        up = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        step = _cut(step.join(up, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old"))
         changed = step.where("label <> old").limit(1).count()
         labels = step.select("node", "label")
         if not changed:

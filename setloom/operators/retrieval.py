@@ -74,24 +74,29 @@ def similar_examples(queries: DataFrame, examples: DataFrame, options: DataFrame
     return _first(allowed, ["bundle_id"], ["rank"], 1).drop("place")
 
 
-def _set_pairs(observed: DataFrame, train_bc: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _numbered_sets(bc: DataFrame, bundle: str, number: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct category sets by the least bundle that has them (number, names, names joined), and the set of each bundle."""
+    sets = completion.observed_sets(bc).select(F.col("bundle_id").alias(bundle), "names", F.array_join("names", "|").alias("joined"))
+    distinct = sets.groupBy("joined").agg(F.min(bundle).alias(number), F.first("names").alias("names"))
+    return distinct, sets.select(bundle, "joined").join(distinct.select("joined", number), "joined").select(bundle, number)
+
+
+def _set_pairs(observed: DataFrame, train_bc: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Observed sets against the sets of training bundles that share a category with them and have one more.
 
     There are far fewer sets than bundles, so pairs are made of sets: (query, key, overlap, prior, jaccard, score), with
-    the bundles of each query set (bundle_id, query) and those of each training set (context, key).
+    the bundles of each query set (bundle_id, query), those of each training set (context, key) and the latter (key, joined).
     """
-    queries = completion.observed_sets(observed).select("bundle_id", "names", F.array_join("names", "|").alias("query"))
-    members = completion.observed_sets(train_bc).select(F.col("bundle_id").alias("context"), "names", F.array_join("names", "|").alias("key"))
-    asked = queries.groupBy("query").agg(F.min("bundle_id").alias("bundle_id"), F.first("names").alias("asked"))
-    priors = asked.select("query", "bundle_id").join(prior.select("bundle_id", F.struct(F.col("category"), F.col("score").alias("p")).alias("e")), "bundle_id").groupBy("query").agg(F.map_from_entries(F.collect_list("e")).alias("priors"))
-    asked = asked.select("query", "asked").join(priors, "query", "left")
-    sets = members.groupBy("key").agg(F.first("names").alias("names"))
-    met = asked.select("query", F.explode("asked").alias("category")).join(sets.select("key", F.explode("names").alias("category")), "category").groupBy("query", "key").agg(F.count("*").alias("overlap"))
-    both = met.join(sets, "key").where(F.size("names") > F.col("overlap")).join(asked, "query")
+    asked, queries = _numbered_sets(observed, "bundle_id", "query")
+    sets, members = _numbered_sets(train_bc, "context", "key")
+    priors = asked.select("query").join(prior.select(F.col("bundle_id").alias("query"), F.struct(F.col("category"), F.col("score").alias("p")).alias("e")), "query").groupBy("query").agg(F.map_from_entries(F.collect_list("e")).alias("priors"))
+    whole = asked.select("query", F.size("names").alias("nq")).join(priors, "query", "left")
+    met = asked.select("query", F.explode("names").alias("category")).join(sets.select("key", F.explode("names").alias("category")), "category").groupBy("query", "key").agg(F.count("*").alias("overlap"))
+    both = met.join(sets.select("key", "names"), "key").where(F.size("names") > F.col("overlap")).join(whole, "query")
     best = F.array_max(F.transform("names", lambda c: F.try_element_at("priors", c)))
-    valued = both.select("query", "key", "overlap", F.size("asked").alias("nq"), F.size("names").alias("nc"), F.coalesce(best, F.lit(0.0)).alias("p"))
+    valued = both.select("query", "key", "overlap", "nq", F.size("names").alias("nc"), F.coalesce(best, F.lit(0.0)).alias("p"))
     pairs = valued.select("query", "key", "overlap", F.round("p", 9).alias("prior"), F.round(F.col("overlap") / (F.col("nq") + F.col("nc") - F.col("overlap")), 9).alias("jaccard"), F.round(F.col("p") * F.col("overlap") / F.col("nq"), 9).alias("score"))
-    return pairs, queries.select("bundle_id", "query"), members.select("context", "key")
+    return pairs, queries, members, sets.select("key", "joined")
 
 
 def category_retrieval(observed: DataFrame, train_bc: DataFrame, prior: DataFrame, k: int, seed: int) -> DataFrame:
@@ -101,7 +106,7 @@ def category_retrieval(observed: DataFrame, train_bc: DataFrame, prior: DataFram
     Sets are ranked first; only those with fewer than ``k`` better ones are opened into bundles.
     Rows (bundle_id, context, score, prior, overlap, jaccard, place).
     """
-    pairs, queries, members = _set_pairs(observed, train_bc, prior)
+    pairs, queries, members, _ = _set_pairs(observed, train_bc, prior)
     order = [F.desc("score"), F.desc("prior"), F.desc("overlap"), F.desc("jaccard")]
     better = pairs.withColumn("better", F.rank().over(Window.partitionBy("query").orderBy(*order))).where(F.col("better") <= k)
     opened = queries.join(better.join(members, "key"), "query")
@@ -115,10 +120,10 @@ def evidence(observed: DataFrame, train_bc: DataFrame, prior: DataFrame, k: int,
     first appearance, that is at its largest level; so ordering sets by (level, prior, jaccard, least bundle) is the same.
     Rows (bundle_id, context, key, level, overlap, prior, jaccard, score, place).
     """
-    pairs, queries, members = _set_pairs(observed, train_bc, prior)
-    leveled = pairs.withColumn("level", F.least("overlap", F.lit(largest))).join(members.groupBy("key").agg(F.min("context").alias("context")), "key")
-    best = _first(leveled, ["query"], [F.desc("level"), F.desc("prior"), F.desc("jaccard"), "context"], k)
-    return queries.join(best, "query").drop("query")
+    pairs, queries, _, sets = _set_pairs(observed, train_bc, prior)
+    leveled = pairs.withColumn("level", F.least("overlap", F.lit(largest)))
+    best = _first(leveled, ["query"], [F.desc("level"), F.desc("prior"), F.desc("jaccard"), "key"], k).join(sets, "key")
+    return queries.join(best, "query").drop("query").withColumnRenamed("key", "context").withColumnRenamed("joined", "key")
 
 
 def item_text(items: DataFrame) -> DataFrame:

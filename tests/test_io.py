@@ -134,3 +134,28 @@ def test_suites(spark):
     got = run_suite(spark, {"n": {"rows": 3, "x": 1}}, plan, run, max_parallel=2)
     assert (got["a"], got["b"]) == (3, 7) and isinstance(got["bad"], ZeroDivisionError)
     assert run_suite(spark, {"n": {"rows": 3, "x": 1}}, plan, run, dry=True)["b"] == {"n": {"rows": 7, "x": 1}}
+
+
+def test_batches_are_full(spark):
+    texts = spark.range(200).selectExpr("id as sample_id", "concat('text ', id) as text")
+    got = remote.batched(texts, "Do this.", 10).collect()
+    assert len(got) == 20 and all(len(r["prompt"].splitlines()) == 11 for r in got)
+    assert sorted(int(x.split(":")[0]) for r in got for x in r["prompt"].splitlines()[1:]) == list(range(200))
+
+
+def test_demand_is_tried_again():
+    calls = []
+
+    def client(prompt):
+        calls.append(prompt)
+        if len(calls) < 3:
+            raise RuntimeError("high demand")
+        return "A"
+
+    assert remote.ask(client, "p", sleep=lambda s: None) == ("A", None) and len(calls) == 3
+
+
+def test_reports_say_what_they_leave_out(spark):
+    df = spark.range(205).toDF("n")
+    assert writers.markdown(df).splitlines()[-1] == "5 more rows" and "5 more rows" in writers.latex(df, "t")
+    assert len(writers.markdown(df, limit=300).splitlines()) == 207
