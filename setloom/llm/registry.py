@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.llm import decontamination, hmm_scoring, html_extraction, line_dedup, mixing, ngram_jaccard, quality_rules, sharding, substring_dedup, token_counts
+from setloom.llm import decontamination, hmm_scoring, html_extraction, line_dedup, mixing, ngram_jaccard, quality_rules, sharding, substring_dedup, token_counts, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_token_ids": token_ids.op11_token_ids,
 }
 
 ORACLES: dict[str, str] = {
