@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.llm import decontamination, hmm_scoring, html_extraction, line_dedup, mixing, ngram_jaccard, phrases, quality_rules, sharding, substring_dedup, token_counts, token_ids
+from setloom.llm import decontamination, hmm_scoring, html_extraction, line_dedup, merkle, mixing, ngram_jaccard, phrases, quality_rules, sharding, substring_dedup, token_counts, token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_token_ids": token_ids.op11_token_ids,
     "op12_phrases": phrases.op12_phrases,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -30,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op9_decontamination": decontamination.OP9_SQL,
     "op12_phrases": phrases.OP12_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
