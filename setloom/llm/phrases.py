@@ -9,8 +9,9 @@ so no count is missing.
 
 Texts are read once, into blocks of about ``BLOCK_BYTES`` and a language each: distinct words with their counts, and the
 words as numbers of the block. Counts are summed over blocks before and after the shuffle; the global ids come back to a
-block by a join on what the block holds, so no task or driver ever needs the vocabulary. Blocks are stored tables, so that
-hot words meet in joins that can be split.
+block by a join on what the block holds, so no task or driver ever needs the vocabulary (frequent words or pairs are
+broadcast while there are at most ``BROADCAST_ROWS``, counted). Blocks are stored tables, so that hot words meet in joins
+that can be split.
 
 The score of a cut is ``floor(1000000 a a / (l r))`` in decimals of 38 digits, exact for counts below 10^16.
 
@@ -32,7 +33,7 @@ from pyspark.sql.window import Window
 from setloom.llm._store import stash
 from setloom.llm._words import texts
 
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
 SALTS = 64
 #: What a byte is: 0 part of a word, 1 between words, 2 between pieces.
 KIND = np.zeros(256, np.uint8)
@@ -40,8 +41,10 @@ KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-BLOCKS = "block long, lang string, words array<string>, counts array<long>, codes binary"
-PAIRS = "block long, lang string, lefts array<long>, rights array<long>, counts array<long>, codes binary"
+BROADCAST_ROWS = 1 << 19
+#: A block is its distinct words or pairs, numbered by ``at``, with counts, and one row with its texts as such numbers (``codes``).
+BLOCKS = "block long, lang string, at int, word string, n long, codes binary"
+PAIRS = "block long, lang string, at int, left long, right long, n long, codes binary"
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -58,10 +61,15 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     return found, np.diff(breaks, prepend=-1) > 0
 
 
-def _lists(values: pa.Array | np.ndarray) -> pa.Array:
-    """One row that holds all the values."""
-    values = values if isinstance(values, pa.Array) else pa.array(values)
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _rows(block: int, lang: str, keys: dict[str, pa.Array], counts: np.ndarray, codes: np.ndarray | None) -> pa.Table:
+    """A block: a row for each key, and one for the codes."""
+    n = len(counts)
+    rows = {"block": pa.repeat(pa.scalar(block), n), "lang": pa.repeat(pa.scalar(lang), n), "at": pa.array(np.arange(n, dtype=np.int32)), **keys, "n": pa.array(counts.astype(np.int64)), "codes": pa.nulls(n, pa.binary())}
+    out = pa.table(rows)
+    if codes is None:
+        return out
+    last = {k: pa.nulls(1, c.type) for k, c in rows.items()} | {"block": pa.array([block]), "lang": pa.array([lang]), "codes": pa.array([codes.tobytes()], pa.binary())}
+    return pa.concat_tables([out, pa.table(last)])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -82,15 +90,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
                 codes = coded.indices.to_numpy()
                 counts = np.bincount(codes, minlength=len(coded.dictionary))
                 broken = np.insert(codes, np.flatnonzero(first), -1).astype("<i4")
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([lang]), _lists(coded.dictionary.cast(pa.string())), _lists(counts), pa.array([broken.tobytes()], pa.binary())], names=["block", "lang", "words", "counts", "codes"])
+                yield from _rows(block, lang, {"word": coded.dictionary.cast(pa.string())}, counts, broken).to_batches()
                 block += 1
 
 
 def _pairs(block: pa.Table, names: pa.Table, last: bool) -> pa.Table:
     """The distinct pairs of neighbouring frequent ids of one block with their counts; ``codes`` then are numbers of these pairs."""
-    out = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
+    none = _rows(0, "", {"left": pa.array([], pa.int64()), "right": pa.array([], pa.int64())}, np.zeros(0, np.int64), None)
     if not len(block) or not len(names):
-        return out.empty_table()
+        return none
     codes = np.frombuffer(block["codes"][0].as_py(), "<i4")
     ids = names["id"].to_numpy()
     at = np.full(max(int(names["at"].to_numpy().max()), int(codes.max(initial=-1))) + 2, -1, np.int64)
@@ -100,11 +108,13 @@ def _pairs(block: pa.Table, names: pa.Table, last: bool) -> pa.Table:
     places = np.flatnonzero((left >= 0) & (right >= 0))
     distinct, pair, counts = np.unique(left[places] * len(ids) + right[places], return_inverse=True, return_counts=True)
     if not len(distinct):
-        return out.empty_table()
-    after = np.full(0 if last else len(codes), -1, "<i4")
+        return none
+    after = None
     if not last:
+        after = np.full(len(codes), -1, "<i4")
         after[places] = pair
-    return pa.table([block["block"], block["lang"].cast(pa.string()), _lists(ids[distinct // len(ids)]), _lists(ids[distinct % len(ids)]), _lists(counts), pa.array([after.tobytes()], pa.binary())], schema=out)
+    keys = {"left": pa.array(ids[distinct // len(ids)]), "right": pa.array(ids[distinct % len(ids)])}
+    return _rows(block["block"][0].as_py(), block["lang"][0].as_py(), keys, counts, after)
 
 
 def _numbered(df: DataFrame, name: str) -> DataFrame:
@@ -112,10 +122,13 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
     return stash(df.withColumn("id", F.monotonically_increasing_id()), name)
 
 
-def _named(blocks: DataFrame, entries: DataFrame, names: DataFrame, keys: list[str], last: bool) -> DataFrame:
+def _named(blocks: DataFrame, names: DataFrame, keys: list[str], last: bool) -> DataFrame:
     """The pairs of every block, by the global ids of what it holds."""
-    back = entries.join(names.select(*keys, "id"), keys).select(F.col("block").alias("of"), F.col("lang").alias("tongue"), "at", "id")
-    return blocks.select("block", "lang", "codes").groupBy("block", "lang").cogroup(back.groupBy("of", "tongue")).applyInArrow(lambda b, n: _pairs(b, n, last), PAIRS)
+    ids = names.select(*keys, "id")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    back = blocks.where("codes is null").join(ids, keys).select(F.col("block").alias("of"), F.col("lang").alias("tongue"), "at", "id")
+    codes = blocks.where("codes is not null").select("block", "lang", "codes")
+    return codes.groupBy("block", "lang").cogroup(back.groupBy("of", "tongue")).applyInArrow(lambda b, n: _pairs(b, n, last), PAIRS)
 
 
 def exact_score(a: Column, left: Column, right: Column) -> Column:
@@ -132,15 +145,16 @@ def phrases(df: DataFrame, longest: int = 3, least: int = 10, share: int = 50, t
     """
     docs = df.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     blocks = stash(docs.mapInArrow(lambda it: _blocks(it, block_bytes), BLOCKS), "blocks")
-    entries = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "lang", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    totals = blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    entries = blocks.where("codes is null")
+    totals = entries.groupBy("lang").agg(F.sum("n").alias("n"))
     counted = entries.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     none = F.array().cast("array<long>")
     names = _numbered(counted.select("lang", "word", "n", F.col("word").alias("phrase"), none.alias("heads"), none.alias("tails")), "words")
     keys, levels = ["lang", "word"], []
     for size in range(2, longest + 1):
-        blocks = stash(_named(blocks, entries, names, keys, size == longest), f"pairs-{size}")
-        entries = blocks.select("block", "lang", F.posexplode(F.arrays_zip("lefts", "rights", "counts")).alias("at", "x")).select("block", "lang", "at", F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"), F.col("x.counts").alias("n"))
+        pairs = _named(blocks, names, keys, size == longest)
+        blocks = pairs if size == longest else stash(pairs, f"pairs-{size}")
+        entries = blocks.where("codes is null")
         counted = entries.groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         # what a phrase begins and ends with, from its parents: how often their beginnings and endings occur, shortest first
         begin = names.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("begin"), F.concat("heads", F.array("n")).alias("heads"))
