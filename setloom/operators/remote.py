@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from setloom.sources.readers import remaining
 
 #: Fixed value: what an overloaded or exhausted service says.
-RETRIED = ("429", "503", "quota", "overloaded", "demand")
+RETRIED = ("429", "503", "quota", "demand", "overloaded")
 
 
 def ask(client: Callable[[str], str], prompt: str, attempts: int = 5, wait_s: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:

@@ -138,7 +138,7 @@ def w15(spark, d):
 
 def completion_block(m, largest: int):
     place = F.row_number().over(Window.partitionBy("bundle_id").orderBy(F.desc(F.round("score", 4)), "category"))
-    best = direct(m, largest).withColumn("r", place).where("r <= 3").select("bundle_id", "r", F.concat_ws(" ", "category", F.format_string("%.4f", "score")).alias("t"))
+    best = direct(m, largest).withColumn("r", place).where("r <= 3").select("bundle_id", "r", F.concat_ws(" ", "category", X.fixed_point("score", 4)).alias("t"))
     text = best.groupBy("bundle_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "t"))), lambda s: s["t"]), "; ").alias("block"))
     return m.evaluated.join(text, "bundle_id", "left").select("bundle_id", F.coalesce("block", F.lit("no evidence")).alias("block"))
 

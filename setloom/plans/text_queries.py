@@ -38,7 +38,7 @@ def c02(spark, d):
 @query("c07_user_prior_text", sql("SELECT bundle_id, string_agg(category || ' ' || printf('%.4f', score), '; ' ORDER BY place) AS text FROM (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY round(score, 4) DESC, pair_support DESC, category) AS place FROM sup) WHERE place <= 3 GROUP BY 1", **USER))
 def c07(spark, d):
     place = F.row_number().over(Window.partitionBy("bundle_id").orderBy(F.desc(F.round("score", 4)), F.desc("pair_support"), "category"))
-    best = user_support(Model(spark, d)).withColumn("place", place).where("place <= 3").withColumn("line", F.concat_ws(" ", "category", F.format_string("%.4f", "score")))
+    best = user_support(Model(spark, d)).withColumn("place", place).where("place <= 3").withColumn("line", F.concat_ws(" ", "category", X.fixed_point("score", 4)))
     return joined(best, "bundle_id", "place", "line")
 
 

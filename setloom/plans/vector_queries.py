@@ -242,14 +242,34 @@ def f12(spark, d):
     return Model(spark, d).items.select("item_id", X.single_choice(raw).alias("choice"))
 
 
-@query("f13_ranked_choices", "SELECT p_partkey AS item_id, list_concat([chr((65 + p_partkey % 5)::INT)], list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: x <> chr((65 + p_partkey % 5)::INT))) AS ranking, false AS valid FROM part")
+F13_SQL = """
+WITH l AS (SELECT p_partkey, p_partkey % 4 AS k, chr((65 + p_partkey % 5)::INT) AS a, chr((65 + (p_partkey + 2) % 5)::INT) AS b FROM part)
+SELECT p_partkey AS item_id, list_concat(CASE WHEN k = 3 THEN [a, b] ELSE [a] END, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: x <> a AND NOT (k = 3 AND x = b))) AS ranking, false AS valid FROM l
+"""
+
+
+@query("f13_ranked_choices", F13_SQL)
 def f13(spark, d):
-    letter = F.chr(65 + F.col("item_id") % 5)
-    raw = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit('```json\n{"ranking": ["'), letter, F.lit('"]}\n```'))).when(F.col("item_id") % 3 == 1, F.concat(F.lit('["'), letter, F.lit('", "'), letter, F.lit('"]'))).otherwise(F.concat(F.lit("best is "), letter, F.lit(".")))
+    letter, other = F.chr(65 + F.col("item_id") % 5), F.chr(65 + (F.col("item_id") + 2) % 5)
+    kind = F.col("item_id") % 4
+    raw = F.when(kind == 0, F.concat(F.lit('```json\n{"ranking": ["'), letter, F.lit('"]}\n```'))).when(kind == 1, F.concat(F.lit('["'), letter, F.lit('", "'), letter, F.lit('"]'))).when(kind == 2, F.concat(F.lit("best is "), letter, F.lit("."))).otherwise(F.concat(letter, F.lit("1, "), other, F.lit("_2")))
     parsed = Model(spark, d).items.select("item_id", X.ranked_choices(raw, 5).alias("r"))
     return parsed.select("item_id", "r.ranking", "r.valid")
 
 
+@query("f11_listed_cells", """SELECT p_partkey AS item_id, CASE p_partkey % 3 WHEN 0 THEN ['True ' || p_type, 'None of ' || p_brand, NULL] WHEN 1 THEN [p_brand, 'false'] ELSE [] END AS members FROM part""")
+def f11(spark, d):
+    kind, name = F.col("kind"), F.col("category")
+    cell = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("['True "), kind, F.lit("', \"None of "), name, F.lit('", None]'))).when(F.col("item_id") % 3 == 1, F.concat(F.lit('["'), name, F.lit('", False]'))).otherwise(F.concat(F.lit("no list: "), name))
+    return Model(spark, d).items.select("item_id", X.listed(cell).alias("members"))
+
+
+@query("f10_boolish_cells", """SELECT p_partkey AS item_id, CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN p_size WHEN 3 THEN 1 ELSE NULL END::INT AS hit FROM part""")
+def f10(spark, d):
+    cell = F.element_at(F.array(F.lit(" Yes"), F.lit("False"), F.col("p_size").cast("string"), F.lit("1.0"), F.lit("y")), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return Model(spark, d).table("part").select(F.col("p_partkey").alias("item_id"), X.boolish(cell).alias("hit"))
+
+
 @query("f14_rank_metrics", "SELECT p_partkey AS item_id, (p_partkey % 12 + 1 <= 3)::INT AS hit_at_3, round(1.0 / (p_partkey % 12 + 1), 9) AS mrr, round(CASE WHEN p_partkey % 12 + 1 <= 10 THEN 1.0 / log2(p_partkey % 12 + 2) ELSE 0 END, 9) AS ndcg_at_10 FROM part")
 def f14(spark, d):
     rank = F.col("item_id") % 12 + 1
