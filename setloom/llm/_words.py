@@ -72,7 +72,7 @@ class Slice(NamedTuple):
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and bytes of a string column; a null has no bytes."""
+    """Offsets and bytes of a string or binary column; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:

@@ -49,7 +49,7 @@ from setloom.llm._words import texts
 
 END = 2
 BLOCK_IDS, FILE_IDS = 1 << 20, 1 << 23
-MEMORY, LONG_PIECE, SLICE_BYTES = 1 << 20, 128, 1 << 23
+MEMORY, LONG_PIECE, SLICE_BYTES, LEARNT = 1 << 20, 128, 1 << 22, 1 << 14
 HEAD = "<III"
 MAGIC = b"RID1"
 #: The four lengths that each value of a control byte stands for.
@@ -124,11 +124,14 @@ class PieceEncoder:
         self.flat, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, new: pa.Array) -> None:
-        got = [x.ids for x in self.library.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
-        count = np.fromiter(map(len, got), np.int64, len(got))
+        counts, flat = [self.count[:0]], [self.flat]
+        for i in range(0, len(new), LEARNT):  # the library's results are large
+            got = [x.ids for x in self.library.encode_batch_fast(new.slice(i, LEARNT).to_pylist(), add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flat.append(np.fromiter(chain.from_iterable(got), np.uint32, int(counts[-1].sum())))
+        count = np.concatenate(counts)
         first = len(self.flat) + np.cumsum(count) - count
-        self.known = pa.concat_arrays([self.known, new])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(count.sum()))])
+        self.known, self.flat = pa.concat_arrays([self.known, new]), np.concatenate(flat)
         self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -207,6 +210,12 @@ def unpack(control: bytes, data: bytes, sizes: np.ndarray) -> np.ndarray:
     return ranks
 
 
+def _flat(column: pa.Array) -> np.ndarray:
+    """The ids of all rows of a binary column."""
+    offsets, data = texts(column)
+    return np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), "<u4")
+
+
 def _place(path: str) -> tuple[fs.FileSystem, str]:
     """The file system and the path in it; a plain path is local."""
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -225,7 +234,7 @@ class _Files(WriterCommitMessage):
 
 
 class RankedIds(DataSource):
-    """Format ``ranked_ids`` of columns (doc_id, start, ids); :func:`save` makes the folder."""
+    """Format ``ranked_ids`` of columns (doc_id, start, ids); :func:`save` makes the folder. Written are rows (doc_id, ids), or with the option ``tokenizer`` rows (doc_id, text)."""
 
     @classmethod
     def name(cls) -> str:
@@ -239,16 +248,16 @@ class RankedIds(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], int(self.options.get("file_ids", FILE_IDS)))
+        return _Writer(self.options["path"], int(self.options.get("file_ids", FILE_IDS)), self.options.get("tokenizer"), int(self.options.get("end", END)))
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, file_ids: int):
-        self.path, self.file_ids = path, file_ids
+    def __init__(self, path: str, file_ids: int, tokenizer: str | None, end: int):
+        self.path, self.file_ids, self.tokenizer, self.end = path, file_ids, tokenizer, end
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         files, held, size = [], [], 0
-        for batch in iterator:
+        for batch in _encoded(iterator, self.tokenizer, self.end) if self.tokenizer else iterator:
             lengths = np.cumsum(pc.binary_length(batch["ids"]).to_numpy(zero_copy_only=False).astype(np.int64)) // 4
             begin = 0
             while begin < len(batch):
@@ -267,30 +276,30 @@ class _Writer(DataSourceArrowWriter):
         """Write one file of these documents."""
         name = f"part-{uuid.uuid4().hex}.rid"
         names = pa.concat_arrays([b["doc_id"] for b in held])
-        lists = [x for b in held for x in b["ids"].to_pylist()]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-        ids = np.frombuffer(b"".join(lists), "<u4")
-        distinct, counts = np.unique(ids, return_counts=True)
-        order = np.lexsort((distinct, -counts))
-        rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
+        sizes = np.concatenate([pc.binary_length(b["ids"]).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64) // 4
+        ids = np.concatenate([_flat(b["ids"]) for b in held])
+        held.clear()
+        counts = np.bincount(ids, minlength=1)  # as long as the vocabulary
+        by_rank = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+        rank = np.zeros(len(counts), np.uint32)
+        rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
         ends = np.cumsum(sizes)
         store, path = _place(self.path)
         with store.open_output_stream(f"{path}/{name}") as out:
-            out.write(MAGIC + struct.pack("<I", len(order)) + distinct[order].astype("<u4").tobytes())
+            out.write(MAGIC + struct.pack("<I", len(by_rank)) + by_rank.astype("<u4").tobytes())
             begin = 0
-            while begin < len(lists):
+            while begin < len(sizes):
                 before = int(ends[begin] - sizes[begin])
-                end = min(len(lists), int(np.searchsorted(ends, before + BLOCK_IDS)) + 1)
+                end = min(len(sizes), int(np.searchsorted(ends, before + BLOCK_IDS)) + 1)
                 cuts = np.concatenate([[0], ends[begin:end] - before])
-                control, data = pack(rank[np.searchsorted(distinct, ids[before : ends[end - 1]])], cuts)
+                control, data = pack(rank[ids[before : ends[end - 1]]], cuts)
                 index = io.BytesIO()
                 table = pa.record_batch([names.slice(begin, end - begin), pa.array(sizes[begin:end])], names=["doc_id", "n_tokens"])
                 with pa.ipc.new_stream(index, table.schema) as f:
                     f.write_batch(table)
                 out.write(struct.pack(HEAD, len(index.getvalue()), len(control), len(data)) + index.getvalue() + control + data)
                 begin = end
-        return name, len(lists), len(ids)
+        return name, len(sizes), len(ids)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, path = _place(self.path)
@@ -350,8 +359,7 @@ def save(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_
         f.write(f"doc_id {id_type}, start long, ids binary".encode())
     same = F.xxhash64("text")
     ranged = docs.withColumn("same", same).repartitionByRange("doc_id", "same").sortWithinPartitions("doc_id", "same", "text").select("doc_id", "text")
-    coded = ranged.mapInArrow(lambda it: _encoded(it, tokenizer, end), f"doc_id {id_type}, ids binary")
-    coded.write.format("ranked_ids").option("file_ids", file_ids).mode("append").save(path)
+    ranged.write.format("ranked_ids").options(file_ids=file_ids, tokenizer=tokenizer, end=end).mode("append").save(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
