@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import IntegralType
 
 from setloom.llm._store import stash
@@ -29,3 +30,12 @@ def named(df: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
         found = names.select(F.col("number").alias(c), F.col("id").alias("_named"))
         df = df.join(found, c, "left").select(*[F.col("_named").alias(c) if x == c else F.col(x) for x in df.columns])
     return df
+
+
+def counted_up(df: DataFrame, name: str) -> DataFrame:
+    """A stored table of ``df`` with ``id``, numbers from 0 without gaps: a row's place in its partition and the rows of the partitions before."""
+    kept = stash(df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), name)
+    parts = kept.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    shifts = parts.select("_part", (before - F.col("first")).alias("_shift"))
+    return kept.join(F.broadcast(shifts), "_part").select(*df.columns, (F.col("_at") + F.col("_shift")).alias("id"))

@@ -26,10 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/setloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _written.append(path)
     # the shuffle files that led here are not read again; Spark deletes them when the driver collects its garbage
     df.sparkSession._jvm.System.gc()

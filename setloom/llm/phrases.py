@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from setloom.llm._ids import counted_up
 from setloom.llm._store import stash
 from setloom.llm._words import texts
 
@@ -41,7 +42,7 @@ KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-BROADCAST_ROWS = 1 << 19
+BROADCAST_ROWS = 1 << 21
 #: A block is its distinct words or pairs, numbered by ``at``, with counts, and one row with its texts as such numbers (``codes``).
 BLOCKS = "block long, lang string, at int, word string, n long, codes binary"
 PAIRS = "block long, lang string, at int, left long, right long, n long, codes binary"
@@ -117,11 +118,6 @@ def _pairs(block: pa.Table, names: pa.Table, last: bool) -> pa.Table:
     return _rows(block["block"][0].as_py(), block["lang"][0].as_py(), keys, counts, after)
 
 
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """A stored table with an id for each row."""
-    return stash(df.withColumn("id", F.monotonically_increasing_id()), name)
-
-
 def _named(blocks: DataFrame, names: DataFrame, keys: list[str], last: bool) -> DataFrame:
     """The pairs of every block, by the global ids of what it holds."""
     ids = names.select(*keys, "id")
@@ -144,23 +140,23 @@ def phrases(df: DataFrame, longest: int = 3, least: int = 10, share: int = 50, t
     ``dropped``: the words lie in a longer candidate that occurs at least ``share`` percent as often.
     """
     docs = df.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    blocks = stash(docs.mapInArrow(lambda it: _blocks(it, block_bytes), BLOCKS), "blocks")
+    blocks = stash(docs.mapInArrow(lambda it: _blocks(it, block_bytes), BLOCKS), "blocks", "zstd")
     entries = blocks.where("codes is null")
     totals = entries.groupBy("lang").agg(F.sum("n").alias("n"))
     counted = entries.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     none = F.array().cast("array<long>")
-    names = _numbered(counted.select("lang", "word", "n", F.col("word").alias("phrase"), none.alias("heads"), none.alias("tails")), "words")
+    names = counted_up(counted.select("lang", "word", "n", F.col("word").alias("phrase"), none.alias("heads"), none.alias("tails")), "words")
     keys, levels = ["lang", "word"], []
     for size in range(2, longest + 1):
         pairs = _named(blocks, names, keys, size == longest)
-        blocks = pairs if size == longest else stash(pairs, f"pairs-{size}")
+        blocks = pairs if size == longest else stash(pairs, f"pairs-{size}", "zstd")
         entries = blocks.where("codes is null")
         counted = entries.groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         # what a phrase begins and ends with, from its parents: how often their beginnings and endings occur, shortest first
         begin = names.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("begin"), F.concat("heads", F.array("n")).alias("heads"))
         finish = names.select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("finish"), F.concat("tails", F.array("n")).alias("tails"))
         joined = counted.join(begin, "left").join(finish, "right")
-        names = _numbered(joined.select("lang", "left", "right", "n", F.concat_ws(" ", "begin", "finish").alias("phrase"), "heads", "tails"), f"names-{size}")
+        names = counted_up(joined.select("lang", "left", "right", "n", F.concat_ws(" ", "begin", "finish").alias("phrase"), "heads", "tails"), f"names-{size}")
         keys = ["left", "right"]
         levels.append((size, names))
     out = None
