@@ -10,7 +10,8 @@ The fingerprints of the benchmark are broadcast only if there are at most ``broa
 beyond that both sides are shuffled by fingerprint and the hit documents' words joined to the hits.
 
 Defined cases: a null or empty text has no words; an item without words or without an id matches nothing; items that
-share words all count; rows that share a doc_id are kept apart by their text; an empty benchmark hits nothing.
+share words all count; rows that share a doc_id are kept apart by their text, rows without one are judged by it; an empty
+benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -57,11 +58,17 @@ def _join(prints: DataFrame, items: DataFrame, docs: DataFrame, broadcast: bool)
     if broadcast:
         return prints.join(F.broadcast(items), "print")
     narrow = prints.drop("words").join(items, "print")
-    return narrow.join(docs.select("doc_id", "same", "words"), ["doc_id", "same"])
+    return _with(narrow, docs.select("doc_id", "same", "words").distinct(), "inner")
+
+
+def _with(rows: DataFrame, more: DataFrame, how: str) -> DataFrame:
+    """``rows`` with what ``more`` has for the same id, which may be null, and text."""
+    right = more.withColumnsRenamed({"doc_id": "_id", "same": "_same"})
+    return rows.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("same") == F.col("_same")), how).drop("_id", "_same")
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, gram: int = 5, broadcast_rows: int = 1_000_000, first_words: int = 10_000) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, and hit_items (sorted strings)."""
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, hit_items (sorted strings), and text_hash (xxhash64 of the text)."""
     span = width - gram + 1
     same = F.xxhash64("text")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -97,14 +104,14 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     hits = spans.groupBy("doc_id", "same").agg(F.collect_set("hit").alias("hits"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("hit_items")).select("doc_id", "same", covered.cast("long").alias("n_hit"), "hit_items")
     counted = docs.select("doc_id", same.alias("same"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), BREAK), lambda w: w != "")).cast("long").alias("n_words"))
     ids = F.coalesce("hit_items", F.array().cast("array<string>"))
-    return counted.join(hits, ["doc_id", "same"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), ids.alias("hit_items")
+    return _with(counted, hits, "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), ids.alias("hit_items"), F.col("same").alias("text_hash")
     )
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of all of ``benchmark`` in all of ``documents``."""
-    return decontamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("hit_items")
+    return decontamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("hit_items", "text_hash")
 
 
 OP9_SQL = r"""

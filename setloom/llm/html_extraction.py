@@ -388,7 +388,7 @@ def html_extraction(df: DataFrame, id_col: str = "page_id", url_col: str = "url"
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
     least = pages.where("length(html) > 0").groupBy("host").agg(F.min("page_id").alias("page_id"))
     least = F.broadcast(least) if least.count() <= 100_000 else least
-    first = pages.where("length(html) > 0").join(least, ["host", "page_id"]).dropDuplicates(["host"]).select("host", F.col("html").alias("reference"), F.col("page_id").alias("least"))
+    first = pages.where("length(html) > 0").join(least, ["host", "page_id"]).groupBy("host").agg(F.min(F.struct(F.sha2("html", 256).alias("digest"), "html", "page_id")).alias("r")).select("host", F.col("r.html").alias("reference"), F.col("r.page_id").alias("least"))
     first = stash(first, "references")
     small = (first.agg(F.sum(F.octet_length("reference") + 100)).first()[0] or 0) <= broadcast_bytes
     salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setloom.llm._store import stash
 from setloom.llm.quality_rules import let
 
 
@@ -47,7 +48,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     # outer: else Spark infers a filter that hashes again
     windows = lined.select("doc_id", "same", F.posexplode_outer(hashed).alias("at", "print")).where("print is not null")
     place = F.struct("doc_id", "same", "at")
-    owners = windows.groupBy("print").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("print", "first")
+    # stored, so that a window that many documents hold is split where it is joined
+    owners = stash(windows.groupBy("print").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("print", "first"), "owners")
     later = windows.join(owners, "print").where(place > F.col("first")).groupBy("doc_id", "same").agg(F.collect_set("at").alias("at"))
     gone = later.select("doc_id", "same", F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + size - 1)))).alias("gone"))
     raw = F.split(F.coalesce("text", F.lit("")), "\n")

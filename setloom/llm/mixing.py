@@ -121,11 +121,20 @@ def mixing(df: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     return slots.select("doc_id", "source", "units", "period", "block", F.floor(F.col("block") * F.col("period") / F.col("units")).cast("long").alias("release"), F.ceil((F.col("block") + 1) * F.col("period") / F.col("units")).cast("long").alias("deadline"), "slot", "in_mix")
 
 
+def _whole(df: DataFrame, weights: dict[str, float] | None, id_col: str, source_col: str, power: float, until: str, block_size: int, resolution: int, max_period: int) -> DataFrame:
+    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"))
+    return _slots(docs, weights, power, until, block_size, resolution, max_period).where("in_mix")
+
+
 def mixed(df: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", power: float = 1.0, until: str = "first", block_size: int = 16, resolution: int = 1000, max_period: int = 10_000) -> DataFrame:
     """The rows of ``df`` that are in the mix, with all their columns, in the order of their slots."""
-    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"))
-    slots = _slots(docs, weights, power, until, block_size, resolution, max_period).where("in_mix")
-    return slots.orderBy("slot", "doc_id").select("whole.*")
+    return _whole(df, weights, id_col, source_col, power, until, block_size, resolution, max_period).orderBy("slot", "doc_id").select("whole.*")
+
+
+def slotted(df: DataFrame, name: str = "mix_slot", id_col: str = "doc_id", source_col: str = "source", block_size: int = 16, resolution: int = 1000, max_period: int = 10_000) -> DataFrame:
+    """All rows of ``df`` with a column more, the slot of each in an even interleaving of the sources by their own shares."""
+    slots = _whole(df, None, id_col, source_col, 1.0, "last", block_size, resolution, max_period)
+    return slots.select(*[F.col("whole")[c].alias(c) for c in df.columns if c != name], F.col("slot").alias(name))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -614,17 +614,31 @@ def test_pipeline(spark):
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     hits = brute_hits([(i, good[i]) for i in one], bench)
     clean = {i for i in one if not hits[i][4]}
+    kept = docs.where(docs["doc_id"].isin(sorted(clean)))
+    mix = {r["doc_id"]: r for r in mixing.mixing(kept, power=0.5).where("in_mix").collect()}
     got = {r["doc_id"]: r for r in P.run(spark, SF).collect()}
-    assert set(got) == clean and all(r["size"] == len(good[i].encode()) + 16 for i, r in got.items())
+    assert set(got) == set(mix) and all(r["size"] == len(good[i].encode()) + 16 and r["source"] == (rows[i]["source"] or "") for i, r in got.items())
     slots = collections.defaultdict(list)
     for r in got.values():
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # the shares of the result are the weights, within a block, and those of every beginning of the mix are its own
+    n = collections.Counter(rows[i]["source"] for i in clean)
+    root = {s: x**0.5 / sum(y**0.5 for y in n.values()) for s, x in n.items()}
+    share = collections.Counter(r["source"] for r in got.values())
+    assert len(got) <= len(clean) and all(abs(share[s] - root[s] * len(got)) <= 16 + len(got) / 500 for s in n)
+    first = sorted(got.values(), key=lambda r: r["mix_slot"])[: len(got) // 2]
+    half = collections.Counter(r["source"] for r in first)
+    assert all(abs(half[s] - share[s] / len(got) * len(first)) <= 32 for s in share)
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("source = 'src0' or doc_id % 3 = 0")
+    n, share = (collections.Counter(r["source"] for r in df.select("source").collect()) for df in (more, P.to_weights(spark, more, SF)))
+    total, roots = sum(share.values()), sum(x**0.5 for x in n.values())
+    assert total < sum(n.values()) and all(abs(share[s] - x**0.5 / roots * total) <= 16 + total / 500 for s, x in n.items())
     # given weights hold over what is left
     sources = sorted({rows[i]["source"] for i in clean})[:2]
     P.WEIGHTS = {sources[0]: 0.75, sources[1]: 0.25}
     try:
-        mix = collections.Counter(r["source"] for r in P.to_weights(spark, docs.where(docs["doc_id"].isin(sorted(clean))), SF).collect())
+        mix = collections.Counter(r["source"] for r in P.to_weights(spark, kept, SF).collect())
     finally:
         P.WEIGHTS = None
     assert set(mix) <= set(sources) and abs(mix[sources[0]] - 0.75 * sum(mix.values())) <= 16
@@ -637,12 +651,27 @@ def test_pipeline_of_awkward_rows(spark, tmp_path):
     rows = [(1, text + "One.", "a"), (1, text + "One.", "a"), (2, None, None), (3, "", "b"), (None, text + " ".join(f"Word{i} of it." for i in range(60)), None), (4, " ".join(f"Other{i} here." for i in range(80)), "b"), (5, " ".join(f"v{i * i % 9973}." for i in range(9000)), "c")]
     df = spark.createDataFrame([(i, t, s, 1, 2, 3) for i, t, s in rows], "doc_id long, text string, source string, slot int, shard int, whole int")
     df.write.parquet(f"{tmp_path}/documents.parquet")
+    # the row without an id is like none, its twin is like it; another one holds the item's words
+    df = df.unionByName(df.where("doc_id is null")).unionByName(spark.createDataFrame([(None, "no such passage in any text here at all, is there " + " ".join(f"Thing{i} is so." for i in range(60)), "a", 1, 2, 3)], df.schema))
+    df.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([("x", None), ("y", "no such passage in any text here at all, is there")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = df
     for name, stage in P.STAGES[:-1]:
         got = stage(spark, got, str(tmp_path))
         assert got.columns == df.columns, name
-    assert sorted((r["doc_id"] or 0) for r in got.collect()) in ([0, 4, 5], [0, 1, 4, 5])
+        if name.startswith("n-gram"):
+            assert sorted((r["doc_id"] or 0) for r in got.collect()) == [0, 0, 4, 5]
+        if name == "benchmark decontamination":
+            assert sorted((r["doc_id"] or 0) for r in got.collect()) == [0, 4, 5]
     assert P.run(spark, str(tmp_path)).count() == got.count()
     df.where("false").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_decontamination_without_ids(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, text), (1, text), (None, "other words"), (None, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([("q", text)], "item_id string, text string")
+    for rows in (1_000_000, 0):  # broadcast and shuffled fingerprints
+        got = decontamination.decontamination(docs, bench, broadcast_rows=rows).collect()
+        assert sorted((r["doc_id"] or 0, r["n_hit"]) for r in got) == [(0, 0), (0, 10), (0, 10), (1, 10)]
