@@ -1,11 +1,13 @@
 """The corpus pipeline: quality rules, near duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with all their columns; the last one
-returns the shards. ``run`` writes each stage's result in the shared folder and reads it back for the next one.
+returns the shards, with each document's source and its slot in the mix (``mix_slot``). ``run`` writes each stage's result
+in the shared folder and reads it back for the next one.
 
-Defined cases: rows without an id are kept by the stages that decide by id (they can't be told apart), of those with one
-text one; rows that share an id and a text are one document after the near-duplicate stage, rows that share an id only
-stay apart; empty tables pass through; extra columns come through to the last stage, whatever their names.
+Defined cases: rows without an id are judged by their text, those of one text are one document, and where one is a near
+duplicate of a row with an id, the latter stays; rows that share an id and a text are one document after the
+near-duplicate stage, rows that share an id only stay apart; empty tables pass through; extra columns come through to the
+last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,14 +17,15 @@ from pyspark.sql import functions as F
 
 from setloom.llm._store import stash
 from setloom.llm.decontamination import decontamination
-from setloom.llm.mixing import mixed
+from setloom.llm.mixing import mixed, slotted
 from setloom.llm.ngram_jaccard import ngram_jaccard
 from setloom.llm.quality_rules import passing
 from setloom.llm.sharding import sharding
 
 
-#: Target weights of the sources, by name; None: each source's share of the documents that reach the stage, so all stay.
+#: Target weights of the sources, by name; None: the power of each source's rows, so that large sources give up part of their share.
 WEIGHTS: dict[str, float] | None = None
+POWER = 0.5
 #: A document goes if so many of its words stand in passages of the benchmark, or half of them: an item of one word is no passage.
 HIT_WORDS = 5
 
@@ -32,30 +35,36 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return passing(docs, chars_col="n_chars" if "n_chars" in docs.columns else None)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column ``whole``, with ``key``, the id or a large number that follows from the text, and a hash of the text (``same``)."""
+    same = F.xxhash64("text")
+    of_text = F.lit(1 << 62) + same.bitwiseAND(F.lit((1 << 62) - 1))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), of_text).alias("key"), same.alias("same"), F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the document with the least id."""
-    groups = ngram_jaccard(docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    rows = left.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("same"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
-    return rows.dropDuplicates(["key", "same"]).select("whole.*")
+    rows = _keyed(docs)
+    gone = ngram_jaccard(rows, id_col="key").where("component_id <> doc_id").select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(gone, "key", "left_anti").dropDuplicates(["key", "same"]).select("whole.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark, of five words or of half of their own."""
-    found = decontamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").where((F.col("n_hit") >= HIT_WORDS) | (2 * F.col("n_hit") >= F.col("n_words")))
-    return docs.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _keyed(docs)
+    found = decontamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key").where("contaminated")
+    bad = found.where((F.col("n_hit") >= HIT_WORDS) | (2 * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc_id").alias("key"), F.col("text_hash").alias("same")).distinct()
+    return rows.join(bad, ["key", "same"], "left_anti").select("whole.*")
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the mix, in the order of their slots."""
-    return mixed(docs, WEIGHTS, until="last" if WEIGHTS is None else "first")
+    """Documents in the mix, which ends where the first source runs out, in the order of their slots."""
+    return mixed(docs, WEIGHTS, power=POWER)
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document."""
-    return sharding(docs).drop("item")
+    """The shard and slot of every document, its source and its slot in the mix."""
+    return sharding(slotted(docs), keep=["source", "mix_slot"])
 
 
 STAGES = [
