@@ -1,25 +1,30 @@
-"""Exact token counts of every prefix, by dynamic programming over pre-tokens.
+"""Exact token counts of every prefix, by dynamic programming over prefixes.
 
 A byte-level BPE splits a text into pre-tokens and merges inside each alone, so the count of a prefix that ends with a
-pre-token is the count of the prefix before it plus that pre-token's own. The library counts each distinct pre-token
-once (kept in a bounded memory of each worker). A prefix that ends inside a pre-token is the prefix up to the last safe
-boundary plus a prefix of the piece from there on: the counts of all prefixes of a distinct piece are a table of their
-own, made once when it is first asked for. The sums and these tables hold the exact count of every prefix, and answer
-what any prefix counts and how much of a text fits a budget without encoding the text again.
+pre-token is the count of the prefix before it plus that pre-token's own; distinct pre-tokens are counted once (kept in
+a bounded memory of each worker). Inside a pre-token the encoding of a prefix ends with exactly one token that the merges
+would also leave behind the last token of what comes before it: one pass of an automaton over the vocabulary finds the
+tokens that end at each byte, the merges that made two neighbours tell whether they could have been merged across
+(:class:`LastTokens`), and the count is that of the shorter prefix plus one. So the counts of all prefixes of a piece of
+any length take one pass and a number for each byte. The sums and these tables answer what any prefix counts and how much
+of a text fits a budget without encoding the text again.
 
 Texts with characters on which pattern engines may differ are split by the library itself; a special string is a
-pre-token of its own, as the library has it by default.
+pre-token of its own, as the library has it by default, and only the few prefixes that end inside one are encoded.
 
 Defined cases: a null text counts as empty, with no tokens; repeated rows count alike; ids of any type stay as they are;
-extra columns are not read; an empty table gives an empty result; a text of any length is one pass over its pre-tokens.
+extra columns are not read; an empty table gives an empty result; a text or a pre-token of any length is one pass.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import sys
 from collections.abc import Iterator
 from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -29,7 +34,73 @@ from pyspark.sql import functions as F
 MEMORY = 400_000
 #: Fixed value: characters that every pattern engine classes alike.
 PLAIN = regex.compile("[\t\n\r -~ -ɏ‐-‧‰-⁞€]*")
-_open: dict[str, Counter] = {}
+#: Contractions that are a pre-token as a whole only, and what begins one.
+CONTRACTIONS = ("'re", "'ve", "'ll")
+SHORT = 64
+
+
+class LastTokens:
+    """The last token of every prefix of a piece, for a byte-level BPE whose ids are in the order of its merges."""
+
+    def __init__(self, library):
+        model = json.loads(library.to_str())["model"]
+        # the vocabulary writes bytes as characters: the printable ones as themselves, the others from 256 on
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        ids = {t: i for t, i in model["vocab"].items() if all(c in byte_of for c in t)}
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.pair = {(ids[x], ids[y]): k for k, (x, y) in enumerate(pairs)}
+        self.parts = {ids[x + y]: (ids[x], ids[y], k) for k, (x, y) in reversed(list(enumerate(pairs)))}
+        self.length: dict[int, int] = {}
+        self.ends = ahocorasick.Automaton()
+        for t, i in ids.items():
+            if len(t) == 1 or i in self.parts:
+                self.length[i] = len(t)
+                self.ends.add_word("".join(chr(byte_of[c]) for c in t), i)
+        self.ends.make_automaton()
+        self.apart: dict[tuple[int, int], bool] = {}
+
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Whether the merges leave these two tokens next to each other as they are."""
+        known = self.apart.get((left, right))
+        if known is None:
+            if len(self.apart) > MEMORY:
+                self.apart.clear()
+            known = self.apart[left, right] = self._stay_apart(left, right)
+        return known
+
+    def _stay_apart(self, left: int, right: int) -> bool:
+        # go back in time: undo the later of the two tokens' last merges, again and again; at each time before, a merge
+        # across that comes earlier than the one undone (or as early, but further left) would have been made
+        limit = len(self.pair)
+        while True:
+            if self.pair.get((left, right), limit) < limit:
+                return False
+            x, y = self.parts.get(left), self.parts.get(right)
+            if x is None and y is None:
+                return True
+            if y is None or (x is not None and x[2] > y[2]):
+                left, limit = x[1], x[2]
+            else:
+                right, limit = y[0], y[2] + 1
+
+    def counts(self, piece: str) -> np.ndarray:
+        """Tokens of the first 0, 1, ... characters of a pre-token."""
+        data = piece.encode()
+        last, count, length, apart = [0] * (len(data) + 1), np.zeros(len(data) + 1, np.int64), self.length, self.stay_apart
+        done = 0
+        for end, token in self.ends.iter(data.decode("latin-1")):
+            if end < done:
+                continue  # this byte has its token
+            begin = end + 1 - length[token]
+            if begin == 0 or apart(last[begin], token):
+                last[end + 1] = token
+                count[end + 1] = count[begin] + 1
+                done = end + 1
+        if len(data) == len(piece):
+            return count
+        chars = np.frombuffer(data, np.uint8)
+        return count[np.append(np.flatnonzero(chars & 0xC0 != 0x80), len(data))]
 
 
 class Counter:
@@ -45,13 +116,35 @@ class Counter:
         self.known: dict[str, int] = {}
         self.within: dict[str, np.ndarray] = {}
 
+    @cached_property
+    def last(self) -> LastTokens:
+        return LastTokens(self.library)
+
     def prefixes(self, piece: str) -> np.ndarray:
-        """Token counts of the first 0, 1, ... characters of a piece."""
-        if piece not in self.within:
+        """Token counts of the first 0, 1, ... characters of a piece: white space, if any, and a pre-token."""
+        if piece in self.within:
+            return self.within[piece]
+        table = self._prefixes(piece)
+        if len(piece) <= SHORT:
             if len(self.within) > MEMORY // 8:
                 self.within.clear()
-            self.within[piece] = np.array([0, *(len(x.ids) for x in self.library.encode_batch([piece[:i] for i in range(1, len(piece) + 1)], add_special_tokens=False))])
-        return self.within[piece]
+            self.within[piece] = table
+        return table
+
+    def _prefixes(self, piece: str) -> np.ndarray:
+        blank = len(piece) - len(piece.lstrip())
+        out = np.zeros(len(piece) + 1, np.int64)
+        out[: blank + 1] = self.last.counts(piece[:blank])  # at the end of a text white space is one pre-token
+        at = before = 0
+        for part in self.split(piece) if blank < len(piece) else []:
+            own = self.last.counts(part)
+            if part in CONTRACTIONS:
+                own[2] = 2
+            new = max(blank + 1, at)  # what ends after the white space
+            if at + len(part) >= new:
+                out[new : at + len(part) + 1] = before + own[new - at :]
+            at, before = at + len(part), before + int(own[-1])
+        return out
 
     def learn(self, lists: list[list[str]]) -> None:
         if len(self.known) > MEMORY:
@@ -96,7 +189,7 @@ class PrefixCounts:
         first = j
         while first and self.pieces[first - 1].isspace():
             first -= 1
-        while j + 1 < len(self.pieces) and self.pieces[j].isspace():
+        while j + 1 < len(self.pieces) and self.pieces[j].isspace() and self.pieces[j + 1] not in self.counter.special:
             j += 1
         start, before = (int(self._ends[first - 1]), int(self.sums[first - 1])) if first else (0, 0)
         return start, before, self.text[start : int(self._ends[j])]
@@ -107,14 +200,33 @@ class PrefixCounts:
             return 0
         if n >= len(self.text):
             return self.total
-        start, before, piece = self._piece(int(np.searchsorted(self._ends, n, side="left")))
+        j = int(np.searchsorted(self._ends, n, side="left"))
+        if self.pieces[j] in self.counter.special:
+            return self._inside(j, n) if n < self._ends[j] else int(self.sums[j])
+        start, before, piece = self._piece(j)
         return before + int(self.counter.prefixes(piece)[n - start])
 
+    def _inside(self, j: int, n: int) -> int:
+        """Tokens of the first ``n`` characters, which end inside of the special string ``j``: its beginning is plain text that goes on from the pre-token before."""
+        first = j
+        while first and self.pieces[first - 1].isspace():
+            first -= 1
+        first -= bool(first) and self.pieces[first - 1] not in self.counter.special
+        start, before = (int(self._ends[first - 1]), int(self.sums[first - 1])) if first else (0, 0)
+        return before + len(self.counter.library.encode(self.text[start:n], add_special_tokens=False).ids)
+
     def every(self) -> np.ndarray:
         """Tokens of the first 0, 1, ... characters."""
         out = np.zeros(len(self.text) + 1, np.int64)
         j = 0
         while j < len(self.pieces):
+            if self.pieces[j] in self.counter.special:
+                begin = int(self._ends[j]) - len(self.pieces[j])
+                for n in range(begin + 1, int(self._ends[j])):
+                    out[n] = self._inside(j, n)
+                out[self._ends[j]] = self.sums[j]
+                j += 1
+                continue
             start, before, piece = self._piece(j)
             out[start : start + len(piece) + 1] = before + self.counter.prefixes(piece)
             j = int(np.searchsorted(self._ends, start + len(piece), side="left")) + 1
@@ -125,15 +237,21 @@ class PrefixCounts:
         """Characters of the longest prefix with at most ``budget`` tokens."""
         if self.total <= budget:
             return len(self.text)
-        start, before, piece = self._piece(int(np.searchsorted(self.sums, budget, side="right")))
+        j = int(np.searchsorted(self.sums, budget, side="right"))
+        if self.pieces[j] in self.counter.special:
+            begin = int(self._ends[j]) - len(self.pieces[j])
+            return max((n for n in range(begin + 1, int(self._ends[j])) if self._inside(j, n) <= budget), default=begin)
+        start, before, piece = self._piece(j)
         inside = before + self.counter.prefixes(piece)
         return start + int(np.flatnonzero(inside <= budget)[-1])
 
 
 def counter(path: str, pattern: str) -> Counter:
-    if path not in _open:
-        _open[path] = Counter(path, pattern)
-    return _open[path]
+    """This worker's counter. Functions of this package travel by value, so what outlives a task is kept with the interpreter."""
+    kept = sys.__dict__.setdefault("_setloom_counters", {})
+    if path not in kept:
+        kept[path] = Counter(path, pattern)
+    return kept[path]
 
 
 def _count(batches: Iterator[pa.RecordBatch], path: str, pattern: str, budgets: tuple[int, ...], prefixes: bool) -> Iterator[pa.RecordBatch]:
