@@ -297,7 +297,8 @@ class _Join:
 
     def links(self) -> DataFrame:
         filed = self.first.select("id", "n", F.explode("filed").alias("shingle"))
-        met = filed.groupBy("shingle").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("shingle", "least")
+        # stored, as the open groups below, so that a frequent shingle is split where it is joined
+        met = stash(filed.groupBy("shingle").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("shingle", "least"), "met")
         live = stash(filed.join(met, "shingle"), "live")
         self.vectors = stash(self.first.select("id", "n", "vector").join(live.select("id").distinct(), "id", "left_semi"), "vectors")
 
@@ -307,7 +308,7 @@ class _Join:
         labels = components(found)
         named = live.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("shingle", "id", "n", F.coalesce("label", "id").alias("label"))
         named = stash(named, "named")
-        open_groups = named.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("shingle", "rows")
+        open_groups = stash(named.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("shingle", "rows"), "open-groups")
         tested = stash(named.join(open_groups, "shingle"), "open")
         more = self.open_pairs(tested).distinct().join(stars, ["a", "b"], "left_anti")
         late = stash(self.verified(stash(self.bounded(more), "bounded")), "links")
