@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from setloom.functions import exprs as X
+from setloom.operators.neighbours import Index
 from setloom.operators.vectors import mean_vectors
+from setloom.shared import stash
 
 
 def by_row(df: DataFrame, order: str, parts: int = 1024) -> DataFrame:
@@ -94,6 +96,22 @@ def role_categories(observed: DataFrame, units: DataFrame, k: int, digits: int =
     return sets.select("bundle_id", "key").join(best, "key").select("bundle_id", "category", "score", "place")
 
 
+def role_bundles(observed: DataFrame, train_bc: DataFrame, units: DataFrame, k: int, digits: int = 8) -> DataFrame:
+    """The ``k`` training bundles whose categories' mean vector is nearest to that of the observed ones (ties: least bundle).
+
+    Bundles with one category set have one vector, and queries with one observed set have one answer; the index of vectors
+    compares sets only, and only with sets that its bounds don't rule out. Rows (bundle_id, context, score, place).
+    """
+    sets = stash(observed.groupBy("bundle_id").agg(F.array_join(F.array_sort(F.collect_set("category")), "|").alias("key")), "observed-sets")
+    asked = sets.groupBy("key").agg(F.min("bundle_id").alias("bundle_id"))
+    means = category_set_vectors(observed.join(asked, "bundle_id", "left_semi"), units).select(F.col("bundle_id").alias("q"), F.col("embedding").alias("v"))
+    index = Index(category_set_vectors(train_bc, units), "bundle_id", digits)
+    found = index.opened(index.top(means, k), k)
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "neighbour")).cast("long")
+    best = found.withColumn("place", place).where(F.col("place") <= k)
+    return sets.join(asked.withColumnRenamed("bundle_id", "q"), "key").join(best, "q").select("bundle_id", F.col("neighbour").alias("context"), "score", "place")
+
+
 def prediction_similarity(runs: DataFrame, samples: DataFrame, vectors: DataFrame) -> DataFrame:
     """Mean and largest cosine of the predicted option with the others of its sample: (method, bundle_id, mean_other, max_other)."""
     unit = vectors.select("item_id", X.unit("embedding").alias("v"))

@@ -1,7 +1,8 @@
 """Which category completes a set: scorers over itemset counts, ranks of the held-out answer, summaries.
 
 Subsets of the observed categories are exploded and joined on their canonical key; joint counts come from the itemsets
-that extend the key by one category, so no observed set meets the whole category domain except to fill zeros.
+that extend the key by one category. Categories that extend none of a set's subsets all have one and the same value: they
+are never made, but counted where an answer is ranked (:func:`judged_sparse`), so no set meets the category domain.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from setloom.functions import exprs as X
+from setloom.shared import stash
 
 KS = (1, 3, 5)
 
@@ -36,19 +38,59 @@ def direct(observed: DataFrame, counts: DataFrame, domain: DataFrame, least: int
     return every.join(extensions(counts), ["key", "category"], "left").select("bundle_id", "category", (F.coalesce("joint", F.lit(0)) / F.col("support")).alias("score"), "support")
 
 
-def backoff(observed: DataFrame, counts: DataFrame, domain: DataFrame, least: int, largest: int, rule: str = "confidence", bundles: DataFrame | None = None) -> DataFrame:
-    """Rows (bundle_id, category, score): over the observed set's subsets with support, mean of the rule's value weighted by size times support."""
-    sets = observed_sets(observed)
-    parts = sets.select("bundle_id", "names", F.explode(X.subsets("names", largest)).alias("part")).select("bundle_id", "names", F.size("part").alias("size"), F.array_join("part", "|").alias("key"))
-    known = parts.join(counts.where(F.col("count") >= least).select("key", F.col("count").alias("support")), "key")
-    every = known.join(F.broadcast(domain.select("category").distinct())).where(~F.array_contains("names", F.col("category")))
-    joined = every.join(extensions(counts), ["key", "category"], "left").withColumn("value", F.coalesce("joint", F.lit(0)) / F.col("support"))
-    if rule != "confidence":
-        share = counts.where("size = 1").select(F.col("key").alias("category"), F.col("count").alias("n")).join(F.broadcast(bundles)).select("category", (F.col("n") / F.col("bundles")).alias("share"))
-        up = X.lift("value", F.coalesce("share", F.lit(0.0)))
-        joined = joined.join(share, "category", "left").withColumn("value", up if rule == "lift" else F.when(F.coalesce("share", F.lit(0.0)) <= 0, 0.0).otherwise(X.pmi(up, zero=-100.0)))
-    weight = F.col("size") * F.col("support")
-    return joined.groupBy("bundle_id", "category").agg((F.sum(weight * F.col("value")) / F.sum(weight)).alias("score"))
+def direct_sparse(observed: DataFrame, counts: DataFrame, least: int, largest: int) -> tuple[DataFrame, DataFrame]:
+    """As :func:`direct` without zeros: rows (bundle_id, category, score), and (bundle_id, rest), the value of all other categories."""
+    sets = observed_sets(observed).where(F.size("names") <= largest).select("bundle_id", F.array_join("names", "|").alias("key"))
+    known = stash(sets.join(counts.where(F.col("count") >= least).select("key", F.col("count").alias("support")), "key"), "known-sets")
+    rows = known.join(extensions(counts), "key").select("bundle_id", "category", (F.col("joint") / F.col("support")).alias("score"))
+    return rows, known.select("bundle_id", F.lit(0.0).alias("rest"))
+
+
+RULES = {"confidence": 0.0, "lift": 0.0, "pmi": -100.0}
+
+
+def backoff(observed: DataFrame, counts: DataFrame, least: int, largest: int, bundles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Over the observed set's subsets with support, means weighted by size times support of each rule's value.
+
+    Rows (bundle_id, category, confidence, lift, pmi) for the categories that extend any of these subsets, and the rows
+    (bundle_id, rest) of what is covered; a category without a row has the value that ``RULES`` gives for no joint count.
+    """
+    parts = observed_sets(observed).select("bundle_id", "names", F.explode(X.subsets("names", largest)).alias("part")).select("bundle_id", "names", F.size("part").alias("size"), F.array_join("part", "|").alias("key"))
+    known = stash(parts.join(counts.where(F.col("count") >= least).select("key", F.col("count").alias("support")), "key").withColumn("w", F.col("size") * F.col("support")), "known-subsets")
+    weights = known.groupBy("bundle_id").agg(F.sum("w").alias("all"))
+    share = counts.where("size = 1").select(F.col("key").alias("category"), F.col("count").alias("n")).join(F.broadcast(bundles)).select("category", (F.col("n") / F.col("bundles")).alias("share"))
+    met = known.join(extensions(counts), "key").where(~F.array_contains("names", F.col("category"))).join(share, "category", "left")
+    value = F.col("joint") / F.col("support")
+    up = X.lift(value, F.coalesce("share", F.lit(0.0)))
+    log = F.when(F.coalesce("share", F.lit(0.0)) <= 0, 0.0).otherwise(X.pmi(up, zero=RULES["pmi"]))
+    sums = met.groupBy("bundle_id", "category").agg(F.sum("w").alias("met"), *[F.sum(F.col("w") * v).alias(r) for r, v in (("confidence", value), ("lift", up), ("pmi", log))])
+    mean = lambda r: ((F.col(r) + (F.col("all") - F.col("met")) * RULES[r]) / F.col("all")).alias(r)
+    return stash(sums.join(weights, "bundle_id").select("bundle_id", "category", *map(mean, RULES)), "backoff"), weights.select("bundle_id", F.lit(0.0).alias("rest"))
+
+
+def judged_sparse(rows: DataFrame, rest: DataFrame, observed: DataFrame, domain: DataFrame, heldout: DataFrame, digits: int = 9) -> DataFrame:
+    """As :func:`judged`, where the categories of the domain without a row (bundle_id, category, score) have the score of ``rest`` (bundle_id, rest).
+
+    An answer's place follows from the rows with a higher score, the same score and a smaller name, and from how many
+    categories have no row at all, or none and a smaller name.
+    """
+    names = domain.select("category").distinct().withColumn("before", F.row_number().over(Window.orderBy("category")) - 1)  # a table of categories
+    total = names.count()
+    rows = rows.withColumn("score", F.round("score", digits))
+    answers = heldout.select("bundle_id", F.col("category").alias("answer")).join(rest.select("bundle_id", F.round("rest", digits).alias("rest")), "bundle_id", "left")
+    own = rows.select("bundle_id", F.col("category").alias("answer"), F.col("score").alias("own"))
+    asked = answers.join(own, ["bundle_id", "answer"], "left").withColumn("goal", F.coalesce("own", "rest")).join(names.withColumnRenamed("category", "answer"), "answer", "left")
+    first = F.col("category") < F.col("answer")
+    met = asked.join(rows, "bundle_id").groupBy("bundle_id", "answer").agg(F.count_if((F.col("score") > F.col("goal")) | ((F.col("score") == F.col("goal")) & first)).alias("better"), F.count("*").alias("rows"), F.count_if(first).alias("rows_before"))
+    seen = asked.select("bundle_id", "answer").join(observed.join(names.select("category"), "category", "left_semi"), "bundle_id").groupBy("bundle_id", "answer").agg(F.count("*").alias("seen"), F.count_if(first).alias("seen_before"), F.max(F.col("category") == F.col("answer")).alias("was_seen"))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    whole = asked.join(met, ["bundle_id", "answer"], "left").join(seen, ["bundle_id", "answer"], "left")
+    free = total - n("seen") - n("rows")
+    absent = F.when(F.col("rest") > F.col("goal"), free).when(F.col("rest") == F.col("goal"), F.col("before") - n("seen_before") - n("rows_before")).otherwise(0)
+    covered = F.col("rest").isNotNull() & (n("seen") < total)
+    rank = F.when(covered & F.col("before").isNotNull() & ~F.coalesce("was_seen", F.lit(False)), 1 + n("better") + absent)
+    out = whole.select("bundle_id", covered.cast("int").alias("covered"), rank.alias("rank")).groupBy("bundle_id").agg(F.max("covered").alias("covered"), F.min("rank").alias("rank"))
+    return out.select("bundle_id", "covered", "rank", X.reciprocal("rank").alias("mrr"), *[X.hit("rank", k).alias(f"hit_at_{k}") for k in KS])
 
 
 def ranked(scores: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from setloom.functions import exprs as X
+from setloom.shared import stash
 
 
 def cooccurrence(rows: DataFrame, group: str, node: str, weight: Column | None = None) -> DataFrame:
@@ -63,38 +64,50 @@ def neighbours(graph: DataFrame, weight: str, k: int) -> DataFrame:
     return graph.withColumn("place", place).where(F.col("place") <= k)
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows (node, label), label the least node of the component, by spreading minima until nothing changes.
+def _lowest(both: DataFrame, turn: int) -> DataFrame:
+    """Rows (node, to): the lowest ranked of each node and its neighbours, by the nodes themselves in even rounds, by a hash that is new each time in odd ones."""
+    if turn % 2 == 0:
+        return both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
+    rank = lambda x: F.struct(F.xxhash64(x, F.lit(turn)).alias("by"), F.col(x).alias("node"))
+    return both.groupBy("a").agg(F.min(rank("b")).alias("best")).select(F.col("a").alias("node"), F.least(rank("a"), "best")["node"].alias("to"))
+
+
+def link_components(links: DataFrame, counted: list[int] | None = None) -> DataFrame:
+    """Rows (node, label) for every node of ``links`` (columns a and b): label is the least node of its component.
 
-    In each round a node takes the least label around it, and then the label of that label, so the distance that a
-    minimum has covered doubles on a chain. Each round cuts lineage by a checkpoint.
+    Each round every node goes to the lowest ranked of itself and its neighbours, and the links are contracted. By the
+    nodes' own order a star ends in one round; by random ranks, every other round, any graph loses a constant share of
+    its nodes in expectation, so the rounds are logarithmic for long chains too. Minima are pre-aggregated, so a node with
+    many links is no hot key, and each round is cut off by a stored table. ``counted`` gets the number of each round.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = nodes.select("node", F.col("node").alias("label"))
+    edges = stash(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    labels, turn = None, 0
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), "label").toDF("node", "label", "old")
-        step = _cut(step)
-        up = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = _cut(step.join(up, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old"))
-        changed = step.where("label <> old").limit(1).count()
-        labels = step.select("node", "label")
-        if not changed:
-            return labels
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            folder = "file://" + tempfile.mkdtemp(prefix="setloom-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = stash(_lowest(both, turn), "step")
+        moved = step.where("node <> to")
+        if labels is None:
+            labels = step.select("node", F.col("to").alias("label"))
+        else:
+            labels = stash(labels.join(moved.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        left = edges.join(moved.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a", "left").join(moved.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b", "left")
+        left = left.select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y")).where("x <> y")
+        edges = stash(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if counted is not None:
+            counted.append(turn)
+        if edges.isEmpty():
+            break
+        turn += 1
+    if turn == 0:
+        return labels
+    least = labels.groupBy("label").agg(F.min("node").alias("least")).where("least <> label")
+    return stash(labels.join(least, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (node, label), label the least node of the component, nodes without edges included."""
+    labels = link_components(edges.select("a", "b"))
+    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def graph_stats(categories: DataFrame, cc: DataFrame, weight: str) -> DataFrame:

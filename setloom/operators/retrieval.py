@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from setloom.functions import exprs as X
 from setloom.operators import bundles, completion
+from setloom.operators.neighbours import Index
+from setloom.shared import stash
 
 
 def _first(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
@@ -63,15 +65,26 @@ def user_history(chosen: DataFrame, ui: DataFrame, excluded: DataFrame, inputs:
     return _first(scored, ["bundle_id"], [F.desc("score"), "item_id"], k)
 
 
-def similar_examples(queries: DataFrame, examples: DataFrame, options: DataFrame, digits: int = 9) -> DataFrame:
+def similar_examples(queries: DataFrame, examples: DataFrame, options: DataFrame, digits: int = 9, first: int = 16) -> DataFrame:
     """Most similar example whose answer is no option of the query, with its rank before that filter.
 
-    ``queries`` (bundle_id, v), ``examples`` (example, answer, w): unit vectors. The queries, a stated set, are broadcast.
+    ``queries`` (bundle_id, v), ``examples`` (example, answer, w): unit vectors. An index gives the ``first`` examples of
+    each query; queries whose answers are all options ask for eight times as many, until none is left or all were seen.
     """
-    scored = examples.join(F.broadcast(queries)).select("bundle_id", "example", "answer", F.round(X.dot("v", "w"), digits).alias("score"))
-    placed = scored.withColumn("rank", F.row_number().over(Window.partitionBy("bundle_id").orderBy(F.desc("score"), "example")).cast("long"))
-    allowed = placed.join(options.select("bundle_id", F.col("item_id").alias("answer")).distinct(), ["bundle_id", "answer"], "left_anti")
-    return _first(allowed, ["bundle_id"], ["rank"], 1).drop("place")
+    index = Index(examples.select("example", F.col("w").alias("embedding")), "example", digits)
+    answers = stash(examples.select(F.col("example").alias("neighbour"), "answer"), "example-answers")
+    taken = options.select("bundle_id", F.col("item_id").alias("answer")).distinct()
+    left, out, total = stash(queries.select(F.col("bundle_id").alias("q"), "v"), "example-queries"), None, answers.count()
+    while True:
+        found = index.opened(index.top(left, first), first)
+        place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "neighbour")).cast("long")
+        placed = found.withColumn("rank", place).where(F.col("rank") <= first).join(answers, "neighbour").select(F.col("q").alias("bundle_id"), F.col("neighbour").alias("example"), "answer", "score", "rank")
+        best = stash(_first(placed.join(taken, ["bundle_id", "answer"], "left_anti"), ["bundle_id"], ["rank"], 1).drop("place"), "examples-found")
+        out = best if out is None else out.unionByName(best)
+        left = stash(left.join(best.select(F.col("bundle_id").alias("q")), "q", "left_anti"), "example-queries")
+        if first >= total or left.isEmpty():
+            return out.select("bundle_id", "example", "answer", "score", "rank")
+        first *= 8
 
 
 def _numbered_sets(bc: DataFrame, bundle: str, number: str) -> tuple[DataFrame, DataFrame]:

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-
-import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from setloom.functions import exprs as X
+from setloom.operators.neighbours import Index
 
 
 def normalized(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -38,36 +34,15 @@ def bundle_vectors(vectors: DataFrame, bi: DataFrame) -> DataFrame:
     return normalized(mean_vectors(joined, ["bundle_id"]))
 
 
-def _best_of(left: pa.Table, right: pa.Table, digits: int) -> pa.Table:
-    """Each left row's most similar right row other than itself, ties to the least key: one matrix product."""
-    matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 0))
-    right = right.sort_by("k")
-    if not left.num_rows or not right.num_rows:
-        return pa.table({"k": left["k"].slice(0, 0), "neighbour": left["k"].slice(0, 0), "score": pa.array([], pa.float64())})
-    a, b = (t["k"].to_numpy(zero_copy_only=False) for t in (left, right))
-    scores = np.round(matrix(left) @ matrix(right).T, digits)
-    scores[a[:, None] == b[None, :]] = -np.inf
-    at = scores.argmax(axis=1)
-    found = scores[np.arange(len(at)), at]
-    some = np.isfinite(found)
-    return pa.table({"k": left["k"].filter(pa.array(some)), "neighbour": right["k"].take(pa.array(at[some])), "score": pa.array(found[some], pa.float64())})
-
+def nearest(vectors: DataFrame, key: str, digits: int = 9) -> DataFrame:
+    """Each row's most similar other row by cosine (ties: least key). Rows (key, neighbour, score)."""
+    return Index(vectors, key, digits).nearest(1).drop("place")
 
-def nearest(vectors: DataFrame, key: str, digits: int = 9, block_rows: int = 4096) -> DataFrame:
-    """Each row's most similar other row by cosine (ties: least key). Rows (key, neighbour, score).
 
-    Both sides are cut into blocks of about ``block_rows`` rows by a hash of the key, as many as the row count asks for,
-    and each pair of blocks meets in a task of its own, as a product of two matrices; the best of each row is kept.
-    """
-    unit = vectors.where(F.col("embedding").isNotNull()).select(F.col(key).alias("k"), X.unit("embedding").alias("v"))
-    blocks = max(1, -(-vectors.count() // block_rows))
-    block = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = unit.withColumn("x", block).withColumn("y", every)
-    right = unit.withColumn("y2", block).withColumn("x2", every).select("x2", "y2", F.col("k").alias("k2"), F.col("v").alias("v2"))
-    kind = vectors.schema[key].dataType.simpleString()
-    best = left.groupBy("x", "y").cogroup(right.groupBy("x2", "y2")).applyInArrow(lambda a, b: _best_of(a, b.rename_columns(["x", "y", "k", "v"]), digits), f"k {kind}, neighbour {kind}, score double")
-    return best.groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("s"), "neighbour")).alias("m")).select(F.col("k").alias(key), "m.neighbour", (-F.col("m.s")).alias("score"))
+def bundle_links(vectors: DataFrame, bi: DataFrame, digits: int = 9) -> DataFrame:
+    """Item -> the bundles most similar to its own ones (by their mean vectors). Rows (item_id, bundle_id)."""
+    near = nearest(bundle_vectors(vectors, bi), "bundle_id", digits)
+    return bi.select("item_id", "bundle_id").join(near.select("bundle_id", "neighbour"), "bundle_id").select("item_id", F.col("neighbour").alias("bundle_id")).distinct()
 
 
 def soft_links(near: DataFrame, bi: DataFrame) -> DataFrame:
@@ -137,6 +112,3 @@ def feature_sanity(vectors: DataFrame) -> DataFrame:
 def refreshed(base: DataFrame, new: DataFrame) -> DataFrame:
     """``base`` with the vectors that ``new`` has replaced. Rows (item_id, embedding, replaced)."""
     return base.select("item_id", "embedding").join(new.select("item_id", F.col("embedding").alias("fresh")), "item_id", "left").select("item_id", F.coalesce("fresh", "embedding").alias("embedding"), F.col("fresh").isNotNull().alias("replaced"))
-
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

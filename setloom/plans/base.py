@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from setloom.functions import exprs as X
 from setloom.operators import bundles, graph, sampling
+from setloom.shared import stash
 
 CANDIDATES = 10
 
@@ -92,7 +93,7 @@ class Model:
     @cached_property
     def samples(self) -> DataFrame:
         """Rows (bundle_id, pos, item_id, is_gt): the options of each evaluation bundle."""
-        return sampling.options(self.eval_split, self.items.select("item_id"), CANDIDATES, seed=45, shuffle_seed=41)
+        return stash(sampling.options(self.eval_split, self.items.select("item_id"), CANDIDATES, seed=45, shuffle_seed=41), "samples")
 
     @cached_property
     def inputs(self) -> DataFrame:
@@ -107,13 +108,15 @@ class Model:
         """Rows (method, bundle_id, pos, item_id, is_gt, score): scorers that stand for methods."""
         freq = bundles.popularity(self.train)
         pop = self.samples.join(freq, "item_id", "left").select("bundle_id", "pos", "item_id", "is_gt", F.coalesce("freq", F.lit(0)).cast("double").alias("score"), F.lit("popularity").alias("method"))
-        pairs = self.inputs.withColumnRenamed("item_id", "input").join(self.train.select(F.col("item_id").alias("input"), F.col("bundle_id").alias("b")), "input").select("bundle_id", "b")
-        met = pairs.join(self.train.select(F.col("bundle_id").alias("b"), "item_id"), "b").join(self.samples.select("bundle_id", "item_id"), ["bundle_id", "item_id"], "left_semi").groupBy("bundle_id", "item_id").agg(F.count("*").alias("n"))
+        # an option meets the inputs on training bundles that hold both; co-items that are no options are never made
+        held = self.samples.select("bundle_id", "item_id").join(self.train.select(F.col("bundle_id").alias("b"), "item_id"), "item_id")
+        given = self.inputs.join(self.train.select(F.col("bundle_id").alias("b"), "item_id"), "item_id").groupBy("bundle_id", "b").agg(F.count("*").alias("m"))
+        met = held.join(given, ["bundle_id", "b"]).groupBy("bundle_id", "item_id").agg(F.sum("m").alias("n"))
         cooc = self.samples.join(met, ["bundle_id", "item_id"], "left").select("bundle_id", "pos", "item_id", "is_gt", F.coalesce("n", F.lit(0)).cast("double").alias("score"), F.lit("cooccurrence").alias("method"))
         cats = self.inputs.join(self.items, "item_id").select("bundle_id", F.col("category").alias("c")).distinct()
         same = self.samples.join(self.items.select("item_id", "category"), "item_id").join(cats.withColumn("yes", F.lit(1.0)).withColumnRenamed("c", "category"), ["bundle_id", "category"], "left")
         cat = same.select("bundle_id", "pos", "item_id", "is_gt", F.coalesce("yes", F.lit(0.0)).alias("score"), F.lit("category").alias("method"))
-        return pop.unionByName(cooc).unionByName(cat)
+        return stash(pop.unionByName(cooc).unionByName(cat), "scores")
 
     @cached_property
     def ranked(self) -> DataFrame:

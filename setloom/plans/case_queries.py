@@ -13,6 +13,7 @@ from setloom.plans.base import Model, sql
 from setloom.plans.bundle_queries import rounded
 from setloom.plans.vector_queries import PRIOR, TEXT, UNIT, prior
 from setloom.registry import query
+from setloom.shared import stash
 
 
 def cut(df, digits, *names):
@@ -134,6 +135,19 @@ def v10(spark, d):
     return K.role_categories(m.observed, _category_units(m), 3)
 
 
+W20_SQL = """
+SELECT bundle_id, -t.b AS context, t.s AS score, place FROM (
+  SELECT bundle_id, unnest(best) AS t, generate_subscripts(best, 1) AS place FROM (
+    SELECT oc.bundle_id, max({'s': round(array_inner_product(oc.v::DOUBLE[64], bcv.v::DOUBLE[64]), 8), 'b': -bcv.bundle_id}, 5) AS best FROM oc, bcv GROUP BY 1))
+"""
+
+
+@query("w20_role_bundles", sql(W20_SQL, **CATS))
+def w20(spark, d):
+    m = Model(spark, d)
+    return K.role_bundles(m.observed, m.train_bc, stash(_category_units(m), "category-units"), 5)
+
+
 @query("v02_prediction_similarity", sql("SELECT r.method, r.bundle_id, round(avg(list_dot_product(p.v, o.v)), 8) AS mean_other, round(max(list_dot_product(p.v, o.v)), 8) AS max_other FROM runs r JOIN samples s ON s.bundle_id = r.bundle_id AND s.pos = r.pred_pos JOIN un p ON p.item_id = s.item_id JOIN samples t ON t.bundle_id = r.bundle_id AND t.pos <> r.pred_pos JOIN un o ON o.item_id = t.item_id GROUP BY ALL", **UNIT))
 def v02(spark, d):
     m = Model(spark, d)

@@ -10,6 +10,7 @@ from setloom.operators import graph as G
 from setloom.plans.base import Model, sql
 from setloom.plans.bundle_queries import rounded
 from setloom.registry import query
+from setloom.shared import stash
 
 METRICS = ("mrr", "hit_at_1", "hit_at_3", "hit_at_5")
 JUDGE = """SELECT h.bundle_id, (c.bundle_id IS NOT NULL)::INT AS covered, r.rank, CASE WHEN r.rank > 0 THEN 1.0 / r.rank ELSE 0 END AS mrr, coalesce((r.rank <= 1)::INT, 0) AS hit_at_1, coalesce((r.rank <= 3)::INT, 0) AS hit_at_3, coalesce((r.rank <= 5)::INT, 0) AS hit_at_5
@@ -45,23 +46,32 @@ def direct(m: Model, largest: int = 4):
     return C.direct(m.observed, counts, m.train_bc, least=3, largest=largest)
 
 
-def backoff(m: Model, rule: str, largest: int = 3):
-    return C.backoff(m.observed, B.itemsets(m.train_bc, largest + 1), m.train_bc, 3, largest, rule, m.train_bc.agg(F.count_distinct("bundle_id").alias("bundles")))
+def judged_direct(m: Model, largest: int = 4):
+    counts = stash(B.itemsets(m.train_bc, largest + 1), "itemsets")
+    return C.judged_sparse(*C.direct_sparse(m.observed, counts, 3, largest), m.observed, m.train_bc, m.heldout)
+
+
+def judged_backoff(m: Model, largest: int = 3) -> dict:
+    """The judged scores of each rule."""
+    counts = stash(B.itemsets(m.train_bc, largest + 1), "itemsets")
+    rows, covered = C.backoff(m.observed, counts, 3, largest, m.train_bc.agg(F.count_distinct("bundle_id").alias("bundles")))
+    return {r: C.judged_sparse(rows.select("bundle_id", "category", F.col(r).alias("score")), covered.select("bundle_id", F.lit(v).alias("rest")), m.observed, m.train_bc, m.heldout) for r, v in C.RULES.items()}
 
 
 @query("completion_direct_confidence", sql(f"SELECT 'direct_confidence' AS method, {SUMMARY} FROM j_direct", **COUNTS, **JUDGED))
 def completion(spark, d):
     m = Model(spark, d)
-    return rounded(C.summary(C.judged(direct(m), m.heldout).withColumn("method", F.lit("direct_confidence")), "method"), "coverage", "mean_rank", *METRICS)
+    return rounded(C.summary(judged_direct(m).withColumn("method", F.lit("direct_confidence")), "method"), "coverage", "mean_rank", *METRICS)
 
 
 @query("a15_direct_scores", sql("SELECT bundle_id, category, round(score, 9) AS score FROM direct WHERE score > 0", **COUNTS))
 def a15(spark, d):
-    return rounded(direct(Model(spark, d)).where("score > 0").select("bundle_id", "category", "score"), "score")
+    m = Model(spark, d)
+    return rounded(C.direct_sparse(m.observed, stash(B.itemsets(m.train_bc, 5), "itemsets"), 3, 4)[0], "score")
 
 
 def backoff_methods(m: Model, largest: int):
-    every = [C.judged(backoff(m, r, largest), m.heldout).withColumn("method", F.lit(r)) for r in ("confidence", "lift", "pmi")]
+    every = [judged.withColumn("method", F.lit(r)) for r, judged in judged_backoff(m, largest).items()]
     return rounded(C.summary(every[0].unionByName(every[1]).unionByName(every[2]), "method"), "coverage", "mean_rank", *METRICS)
 
 
@@ -73,7 +83,7 @@ def a16(spark, d):
 @query("a17_heldout_ranks", sql("SELECT bundle_id, covered, rank, round(mrr, 9) AS mrr, hit_at_1, hit_at_3, hit_at_5 FROM j_direct", **COUNTS, **JUDGED))
 def a17(spark, d):
     m = Model(spark, d)
-    return rounded(C.judged(direct(m), m.heldout).withColumn("rank", F.col("rank").cast("long")), "mrr")
+    return rounded(judged_direct(m).withColumn("rank", F.col("rank").cast("long")), "mrr")
 
 
 @query(
@@ -83,7 +93,7 @@ def a17(spark, d):
 def a18(spark, d):
     m = Model(spark, d)
     size = m.observed.groupBy("bundle_id").agg(F.count("*").alias("observed_size"))
-    return rounded(C.summary_sets(C.judged(direct(m), m.heldout).join(size, "bundle_id")), *METRICS)
+    return rounded(C.summary_sets(judged_direct(m).join(size, "bundle_id")), *METRICS)
 
 
 @query("a24_profile_scores", sql("SELECT bundle_id, category, round(score, 9) AS score FROM prof_conditional", **COUNTS))
@@ -95,7 +105,7 @@ def a24(spark, d):
 @query("a25_profile_methods", sql(" UNION ALL ".join(f"SELECT '{v}' AS method, {SUMMARY} FROM j_prof_{v}" for v in ("raw", "conditional", "ppmi")), **COUNTS, **JUDGED))
 def a25(spark, d):
     m = Model(spark, d)
-    table = G.transforms(m.cc, "count_w")
+    table = stash(G.transforms(m.cc, "count_w"), "category-profiles")
     every = [C.judged(G.profile_scores(m.observed, table, v), m.heldout).withColumn("method", F.lit(v)) for v in ("raw", "conditional", "ppmi")]
     return rounded(C.summary(every[0].unionByName(every[1]).unionByName(every[2]), "method"), "coverage", "mean_rank", *METRICS)
 
@@ -105,7 +115,7 @@ QUAD = "SELECT CASE WHEN a.hit_at_3 = 1 AND b.hit_at_3 = 1 THEN 'both' WHEN a.hi
 
 def profile_and_backoff(m: Model, largest: int):
     first = C.judged(G.profile_scores(m.observed, G.transforms(m.cc, "count_w"), "conditional"), m.heldout)
-    return rounded(C.quadrants(first, C.judged(backoff(m, "confidence", largest), m.heldout), 3), "ratio")
+    return rounded(C.quadrants(first, judged_backoff(m, largest)["confidence"], 3), "ratio")
 
 
 @query("a26_quadrants", sql("SELECT v.q AS quadrant, count(qd.q) AS n, round(count(qd.q) / (SELECT count(*) FROM qd)::DOUBLE, 9) AS ratio FROM (VALUES ('both'), ('first_only'), ('second_only'), ('neither')) v(q) LEFT JOIN qd ON qd.q = v.q GROUP BY v.q", **DEEP, **JUDGED, qd=QUAD))

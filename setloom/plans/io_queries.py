@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,17 +10,14 @@ from setloom.operators import retrieval as T
 from setloom.plans.base import Model, sql
 from setloom.plans.bundle_queries import rounded
 from setloom.registry import query
+from setloom.shared import new_path
 from setloom.sources import readers, writers
-from setloom.streaming import counters
+from setloom.streaming import counters, sums
+from setloom.streaming.sums import Sums
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="setloom-io-")
-    return f"{base.rstrip('/')}/setloom-io/{uuid.uuid4().hex}"
+    return new_path(spark, "io")
 
 
 @query("s01_bundle_text", sql("SELECT bundle_id, item_id FROM train"))
@@ -75,12 +69,28 @@ def s18(spark, d) -> DataFrame:
     return remote.resumed(prompts, first_letter, path).select("sample_id", "response")
 
 
+def followed(spark: SparkSession, stream: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """The sums of all that a stream has."""
+    table = Sums(spark, folder(spark), keys, values)
+    table.follow(stream, folder(spark))
+    return table.read()
+
+
 @query("t12_streaming_daily", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def stream_daily(spark, d) -> DataFrame:
-    stream = counters.windowed(counters.events(spark, f"{d}/events.parquet"), late="0 seconds")
-    return rounded(counters.drained(stream, f"daily_{uuid.uuid4().hex}"), "value").select("start", "event_type", "n", F.round("value", 4).alias("value"))
+    """Each micro-batch adds its own sums of days; no state is needed and no day stays open."""
+    stream = counters.events(spark, f"{d}/events.parquet").select(F.date_trunc("day", "ts").alias("start"), "event_type", F.lit(1).alias("n"), "value")
+    return followed(spark, stream, ["start", "event_type"], ["n", "value"]).select("start", "event_type", "n", F.round("value", 4).alias("value"))
 
 
 @query("t12_streaming_popularity", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_popularity(spark, d) -> DataFrame:
-    return counters.drained(counters.popularity(counters.events(spark, f"{d}/events.parquet")), f"popularity_{uuid.uuid4().hex}")
+    stream = counters.events(spark, f"{d}/events.parquet").select("user_id", "event_type", F.lit(1).alias("n"))
+    return followed(spark, stream, ["user_id", "event_type"], ["n"])
+
+
+@query("t12_streaming_pairs", "WITH s AS (SELECT DISTINCT user_id, date_trunc('day', ts) AS day, event_type FROM events) SELECT x.event_type AS a, y.event_type AS b, count(*) AS n FROM s x JOIN s y ON x.user_id = y.user_id AND x.day = y.day AND x.event_type < y.event_type GROUP BY ALL")
+def stream_pairs(spark, d) -> DataFrame:
+    """Types of events that a user has on one day, as a co-occurrence graph that grows with the stream."""
+    stream = sums.pair_deltas(counters.events(spark, f"{d}/events.parquet"), "user_id", "event_type")
+    return followed(spark, stream, ["a", "b"], ["n"])

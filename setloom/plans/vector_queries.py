@@ -27,6 +27,14 @@ UNIT = {
 }
 
 
+BUNDLE_UNIT = {
+    "bn0": "SELECT bundle_id, k, avg(x) AS x FROM (SELECT bundle_id, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM train JOIN un USING (item_id)) GROUP BY ALL",
+    "bn1": "SELECT bundle_id, list(x ORDER BY k) AS m FROM bn0 GROUP BY 1",
+    "bn": "SELECT bundle_id, list_transform(m, lambda x: x / sqrt(list_sum(list_transform(m, lambda y: y * y)))) AS v FROM bn1",
+    "nearb": "SELECT a AS bundle_id, arg_max(b, (s, -b)) AS neighbour FROM (SELECT x.bundle_id AS a, y.bundle_id AS b, round(list_dot_product(x.v, y.v), 8) AS s FROM bn x JOIN bn y ON x.bundle_id <> y.bundle_id) GROUP BY 1",
+}
+
+
 @query("f20_unit_norms", sql("SELECT item_id, round(sqrt(list_sum(list_transform(v, lambda y: y * y))), 9) AS norm FROM un", **UNIT))
 def f20(spark, d):
     return rounded(V.normalized(Model(spark, d).vectors).select("item_id", X.norm("embedding").alias("norm")), "norm")
@@ -56,6 +64,12 @@ def v09(spark, d):
     return V.soft_links(V.nearest(m.vectors, "item_id", 8), m.train)
 
 
+@query("v09_bundle_links", sql("SELECT DISTINCT t.item_id, n.neighbour AS bundle_id FROM train t JOIN nearb n USING (bundle_id)", **UNIT, **BUNDLE_UNIT))
+def v09_bundles(spark, d):
+    m = Model(spark, d)
+    return V.bundle_links(m.vectors, m.train, 8)
+
+
 @query("v01_pair_scores", sql("SELECT p.bundle_id, p.pos, p.item_id, is_gt, round(pair_mean, 8) AS pair_mean, round(pair_max, 8) AS pair_max, round(list_dot_product(u.v, im.m), 8) AS bundle_mean FROM pair p JOIN un u ON u.item_id = p.item_id JOIN im ON im.bundle_id = p.bundle_id", **UNIT))
 def v01(spark, d):
     m = Model(spark, d)

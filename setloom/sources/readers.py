@@ -1,18 +1,20 @@
 """Scans of the raw files and result files, as DataFrames with fixed schemas.
 
-Paths go to Spark's readers only, so any store that Spark reads will do.
+Paths go to Spark's readers, and those of large JSON objects to :mod:`setloom.sources.members`, which cuts one file for many tasks.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from setloom.functions import exprs as X
+from setloom.sources.members import members
 
 #: Fixed value: encodings that result files come in, in the order of trial.
 ENCODINGS = ("utf-8", "cp949")
@@ -47,7 +49,7 @@ def counts(spark: SparkSession, path: str) -> DataFrame:
 def items(spark: SparkSession, path: str) -> DataFrame:
     """Item attributes from an object keyed by id; missing attributes are NULL."""
     fields = ("title", "cate", "cate_id", "category", "pic", "pic_url", "track_name", "artist_name", "album_name")
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("id", "a"))
+    raw = members(spark, path).select(F.col("key").alias("id"), F.from_json("value", "map<string,string>").alias("a"))
     every = raw.select(F.col("id").cast("long").alias("item_id"), *[X.blank_to_null(F.try_element_at("a", F.lit(f))).alias(f) for f in fields])
     return every.withColumn("pic_url", F.coalesce("pic_url", "pic")).drop("pic")
 
@@ -90,31 +92,67 @@ def answered(samples: DataFrame, found: DataFrame) -> DataFrame:
 
 def signal_scores(spark: SparkSession, path: str) -> DataFrame:
     """Score cache keyed ``bundle_item`` -> rows (bundle_id, true_item, signal, pos, score)."""
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,map<string,array<double>>>")).alias("k", "signals"))
+    raw = members(spark, path).select(F.col("key").alias("k"), F.from_json("value", "map<string,array<double>>").alias("signals"))
     each = raw.select(F.split("k", "_").alias("k"), F.explode("signals").alias("signal", "scores"))
     return each.select(F.get("k", F.lit(0)).cast("long").alias("bundle_id"), F.get("k", F.lit(1)).cast("long").alias("true_item"), "signal", F.posexplode("scores").alias("pos", "score"))
 
 
 def soft_links(spark: SparkSession, path: str, source: str) -> DataFrame:
     """Item -> bundles object as rows (item_id, bundle_id, source)."""
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<long>>")).alias("i", "b"))
+    raw = members(spark, path).select(F.col("key").alias("i"), F.from_json("value", "array<long>").alias("b"))
     return raw.select(F.col("i").cast("long").alias("item_id"), F.explode("b").alias("bundle_id"), F.lit(source).alias("source"))
 
 
 def category_names(spark: SparkSession, path: str) -> DataFrame:
-    """Names of categories from a list, or an object with one: English, then Korean name, then the id."""
-    record = "array<struct<category_id:string,category_name_en:string,category_name_ko:string,short_description_en:string,confidence:double>>"
-    raw = spark.read.text(path, wholetext=True)
-    listed = raw.select(F.explode(F.coalesce(F.from_json(F.get_json_object("value", "$.categories"), record), F.from_json("value", record))).alias("r")).select("r.*")
-    name = F.coalesce(X.blank_to_null("category_name_en"), X.blank_to_null("category_name_ko"), F.col("category_id"))
-    return listed.select("category_id", name.alias("name"), "short_description_en", F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)).alias("confidence"))
+    """Names of categories from a list, or an object with one: English, then Korean name, then the id; see :func:`name_records`."""
+    return name_records(members(spark, path, under="categories").select("value"))
+
+
+def name_records(raw: DataFrame) -> DataFrame:
+    """Rows (category_id, name, short_description_en, keywords, confidence) from records as JSON text (``value``).
+
+    Keywords are a list, or a text that commas, semicolons or slashes part; a confidence that is no number is 0, and any
+    other is kept between 0 and 1.
+    """
+    field = lambda name, kind="string": F.try_variant_get("v", f"$.{name}", kind)
+    record = raw.select(F.try_parse_json("value").alias("v")).where("v is not null")
+    text = lambda name: X.blank_to_null(X.inline(field(name)))
+    listed = field("keywords_en", "array<string>")
+    split = F.filter(F.transform(F.split(field("keywords_en"), KEYWORD_BREAK), X.inline), lambda w: w != "")
+    keywords = F.coalesce(F.transform(listed, X.inline), split, F.array().cast("array<string>"))
+    confidence = F.coalesce(field("confidence", "double"), field("confidence").try_cast("double"), F.lit(0.0))
+    name = F.coalesce(text("category_name_en"), text("category_name_ko"), field("category_id"))
+    return record.select(field("category_id").alias("category_id"), name.alias("name"), X.inline(field("short_description_en")).alias("short_description_en"), keywords.alias("keywords"), F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0)).alias("confidence"))
+
+
+def fenced_records(raw: DataFrame) -> DataFrame:
+    """Records (``value``, JSON text) in model answers (``text``): fences and words around the list are left out, an answer without a list has none."""
+    body = F.regexp_extract("text", r"(?s)\[.*\]", 0)
+    return raw.select(F.explode(F.try_variant_get(F.try_parse_json(body), "$", "array<variant>")).alias("v")).select(F.to_json("v").alias("value"))
+
+
+def settings(results: DataFrame, prefix: str = "cfg_") -> DataFrame:
+    """``results`` with all columns whose names begin with ``prefix`` in one VARIANT column ``settings``, so that runs with different ones can be put together."""
+    drift = [c for c in results.columns if c.startswith(prefix)]
+    rest = [F.col(f"`{c}`") for c in results.columns if c not in drift]
+    packed = F.to_json(F.struct(*[F.col(f"`{c}`").alias(c.removeprefix(prefix)) for c in drift])) if drift else F.lit("{}")
+    return results.select(*rest, F.parse_json(packed).alias("settings"))
+
+
+def unpacked(results: DataFrame, prefix: str = "cfg_") -> DataFrame:
+    """The settings that any row has as columns again, as text, by name (a merged schema of all rows gives the names)."""
+    merged = results.agg(F.schema_of_variant_agg("settings").alias("s")).first()["s"] or ""
+    names = sorted(n.strip("`") for n in re.findall(r"(`[^`]+`|[\w.]+): ", merged.partition("<")[2])) if merged.startswith("OBJECT<") else []
+    return results.select(*[c for c in results.columns if c != "settings"], *[F.try_variant_get("settings", f"$['{n}']", "string").alias(prefix + n) for n in names])
+
+
+#: Fixed value: what parts keywords in a text.
+KEYWORD_BREAK = "[,;/]"
 
 
 def descriptions(spark: SparkSession, path: str) -> DataFrame:
     """Texts of items, from ``{items: {id: {description | summary}}}`` or the inner object."""
-    raw = spark.read.text(path, wholetext=True)
-    inner = F.coalesce(F.get_json_object("value", "$.items"), F.col("value"))
-    each = raw.select(F.explode(F.from_json(inner, "map<string,map<string,string>>")).alias("id", "r"))
+    each = members(spark, path, under="items").select(F.col("key").alias("id"), F.from_json("value", "map<string,string>").alias("r"))
     found = F.coalesce(X.blank_to_null(F.try_element_at("r", F.lit("description"))), X.blank_to_null(F.try_element_at("r", F.lit("summary"))))
     return each.select(F.col("id").cast("long").alias("item_id"), found.alias("text")).where("text is not null")
 

@@ -8,17 +8,18 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from setloom.sources.runs import Runs
 
 
-def append_results(df: DataFrame, path: str, run_id: str) -> None:
-    """Results of a run, appended; a run that is taken up again adds what was missing."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+def append_results(df: DataFrame, path: str, run_id: str, keys: tuple[str, ...] = ("sample_id",)) -> int:
+    """Results of a run, each once: a run that is taken up again adds what was missing (:class:`setloom.sources.runs.Runs`)."""
+    return Runs(df.sparkSession, path, keys).write(df, run_id)
 
 
 def results_csv(df: DataFrame, path: str) -> None:
-    """One CSV with a header; lists and structs as JSON. Only the writing is one task."""
+    """CSV files with headers, a file for each task; lists and structs as JSON."""
     flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).repartition(1).write.mode("overwrite").csv(path, header=True, escape='"')
+    df.select(*flat).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def run_name(dataset: str, features: dict[str, object], candidates: int, inputs: int, stamp: str) -> str:

@@ -31,11 +31,3 @@ def sessions(rows: DataFrame, gap: str = "30 minutes", late: str = "1 hour") ->
     """Sessions of each user: events no further apart than ``gap``."""
     marked = rows.withWatermark("ts", late) if rows.isStreaming else rows
     return marked.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "n")
-
-
-def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all there is and return its result table."""
-    spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)

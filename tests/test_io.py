@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from setloom.operators import remote
 from setloom.sources import arrays, readers, writers
-from setloom.streaming import counters
+from setloom.sources.runs import Runs
+from setloom.streaming import counters, sums
+from setloom.streaming.sums import Sums
 
 
 def test_bundle_lines(spark, tmp_path):
@@ -87,9 +89,40 @@ def test_writers(spark, tmp_path):
     assert writers.markdown(df).splitlines()[2] == r"| a\|b | 0.5 |"
     assert r"c\_d" in writers.latex(df, "t")
     assert writers.run_name("outfits", {"cooc": True, "alpha": 0.5, "off": False}, 10, 5, "x") == "results_outfits_COOC_ALPHA0.5_C10_T5_x"
-    writers.append_results(df, str(tmp_path / "r"), "one")
-    writers.append_results(df, str(tmp_path / "r"), "two")
-    assert spark.read.parquet(str(tmp_path / "r")).count() == 4
+    assert [writers.append_results(df, str(tmp_path / "r"), run, ("name",)) for run in ("one", "two", "one")] == [2, 2, 0]
+    assert Runs(spark, str(tmp_path / "r")).read().count() == 4
+
+
+def test_broken_and_repeated_runs_count_once(spark, tmp_path):
+    store = Runs(spark, f"file://{tmp_path}/runs")
+    work = spark.range(100).select(F.col("id").alias("sample_id"), (F.col("id") * 2).alias("answer"))
+    with pytest.raises(Exception, match="broken"):  # half of the tasks write their files, then the job fails
+        store.write(work.repartition(8).withColumn("answer", F.when(F.col("sample_id") == 77, F.raise_error(F.lit("broken"))).otherwise(F.col("answer"))), "a")
+    assert store.read() is None and store.missing(work, "a").count() == 100
+    assert store.write(work.where("sample_id < 60"), "a") == 60
+    assert store.write(work.unionByName(work.where("sample_id > 50")), "a") == 40  # taken up again, some rows twice
+    assert store.write(work, "a") == 0 and store.write(work.where("sample_id = 5"), "b") == 1
+    rows = store.read("a").collect()
+    assert sorted(r["sample_id"] for r in rows) == list(range(100)) and all(r["answer"] == 2 * r["sample_id"] for r in rows)
+    assert [(c["run"], c["number"], c["rows"]) for c in store.manifest()] == [("a", 0, 60), ("a", 1, 40), ("a", 2, 0), ("b", 0, 1)]
+    assert json.loads(store.manifest()[1]["first"]) == {"sample_id": 60}
+    # a writer that comes second to a number is told so
+    assert not store._commit({"run": "a", "number": 1})
+    work.limit(3).write.parquet(f"{tmp_path}/runs/data/lost")  # what a driver that died before its commit left
+    assert store.read().count() == 101 and "lost" in store.clean() and store.read().count() == 101
+
+
+def test_name_records_and_settings(spark, tmp_path):
+    answer = """Here: ```json [{"category_id": 1, "category_name_en": " a  b ", "keywords_en": "x; y/ z,", "confidence": "0.5"},
+      {"category_id": "2", "category_name_ko": "옷", "keywords_en": ["k ", "l"], "confidence": -3, "more": {"deep": [1]}}, {"category_id": "3", "confidence": "high"}]``` done"""
+    raw = spark.createDataFrame([(answer,), ("no list",), ("[broken",), (None,)], "text string")
+    rows = {r["category_id"]: (r["name"], r["keywords"], r["confidence"]) for r in readers.name_records(readers.fenced_records(raw)).collect()}
+    assert rows == {"1": ("a b", ["x", "y", "z"], 0.5), "2": ("옷", ["k", "l"], 0.0), "3": ("3", [], 0.0)}
+    one = spark.createDataFrame([(1, "5", "x")], "id int, cfg_top_k string, cfg_mode string")
+    two = spark.createDataFrame([(2, 0.5, None)], "id int, `cfg_a.b` double, cfg_mode string")
+    both = readers.settings(one).unionByName(readers.settings(two))
+    assert sorted(map(tuple, readers.unpacked(both).collect()), key=str) == [(1, None, "x", "5"), (2, "0.5", None, None)]
+    assert readers.unpacked(both).columns == ["id", "cfg_a.b", "cfg_mode", "cfg_top_k"]
 
 
 def test_client_retries_load_only():
@@ -113,10 +146,36 @@ def test_resumption_is_idempotent(spark, tmp_path):
         assert remote.resumed(prompts, lambda p: "B", str(tmp_path / "a")).count() == 6
 
 
-def test_stream_equals_batch(spark):
-    stream = counters.drained(counters.popularity(counters.events(spark, f"{SF}/events.parquet")), "t_popularity")
-    batch = counters.popularity(spark.read.parquet(f"{SF}/events.parquet"))
-    assert stream.exceptAll(batch).count() == 0 and batch.exceptAll(stream).count() == 0
+def rows_in(df):
+    return sorted(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("late", [None, "400 days"])
+def test_streamed_sums_equal_batch_for_any_split(spark, tmp_path, late):
+    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    batch = sums.pairs(events, "user_id", "event_type")
+    table, checkpoint, source = Sums(spark, f"{tmp_path}/sums", ["a", "b"], ["n"], 4), f"{tmp_path}/checkpoint", tmp_path / "events"
+    for turn, order in enumerate((F.xxhash64("event_id"), F.desc("ts"))):  # files come in two goes, rows in no order of time
+        part = events.where(F.pmod(F.xxhash64("event_id", F.lit(1)), F.lit(2)) == turn).orderBy(order).coalesce(1)
+        part.withColumn("file", F.pmod(F.monotonically_increasing_id(), F.lit(3))).repartition(3, "file").drop("file").write.mode("append").parquet(str(source))
+        stream = sums.pair_deltas(counters.events(spark, str(source)), "user_id", "event_type", late=late)
+        table.follow(stream, checkpoint, every=3)  # the second go starts from the checkpoint
+    assert rows_in(table.read()) == rows_in(batch)
+    assert len(table._complete("base")) <= 1
+
+
+def test_a_batch_counts_once(spark, tmp_path):
+    table = Sums(spark, f"{tmp_path}/sums", ["k"], ["n"], 2)
+    assert table.read() is None
+    rows = spark.createDataFrame([("x", 1), ("x", 2), (None, 4)], "k string, n long")
+    for batch in (0, 0, 1):  # batch 0 is run again
+        table.add(rows, batch)
+    assert sorted(map(tuple, table.read().collect()), key=str) == [("x", 6), (None, 8)]
+    table.compact()
+    table.compact()
+    table.add(rows.where("k = 'x'"), 2)
+    (tmp_path / "sums" / "base" / "000000000009").mkdir()  # a base that was never finished
+    assert sorted(map(tuple, table.read().collect()), key=str) == [("x", 9), (None, 8)]
 
 
 def test_sessions(spark):
