@@ -94,22 +94,61 @@ def _numbered_sets(bc: DataFrame, bundle: str, number: str) -> tuple[DataFrame,
     return distinct, sets.select(bundle, "joined").join(distinct.select("joined", number), "joined").select(bundle, number)
 
 
-def _set_pairs(observed: DataFrame, train_bc: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Observed sets against the sets of training bundles that share a category with them and have one more.
+#: Subsets of training sets are indexed up to this size; a larger one is looked up by its first members.
+INDEXED = 4
 
-    There are far fewer sets than bundles, so pairs are made of sets: (query, key, overlap, prior, jaccard, score), with
-    the bundles of each query set (bundle_id, query), those of each training set (context, key) and the latter (key, joined).
+
+class _Sets:
+    """Observed sets (``query``) against the distinct category sets of training bundles (``key``), by lists of the sets that hold a subset.
+
+    Sets are worth the more the more observed categories they hold, so those that hold all of them are met first, through
+    the list of that very subset. A query goes on to smaller subsets only if what these could be worth at best, by its
+    best prior, is not below its k-th set so far; the few queries that are left in the end meet every set that shares a
+    category with them.
     """
-    asked, queries = _numbered_sets(observed, "bundle_id", "query")
-    sets, members = _numbered_sets(train_bc, "context", "key")
-    priors = asked.select("query").join(prior.select(F.col("bundle_id").alias("query"), F.struct(F.col("category"), F.col("score").alias("p")).alias("e")), "query").groupBy("query").agg(F.map_from_entries(F.collect_list("e")).alias("priors"))
-    whole = asked.select("query", F.size("names").alias("nq")).join(priors, "query", "left")
-    met = asked.select("query", F.explode("names").alias("category")).join(sets.select("key", F.explode("names").alias("category")), "category").groupBy("query", "key").agg(F.count("*").alias("overlap"))
-    both = met.join(sets.select("key", "names"), "key").where(F.size("names") > F.col("overlap")).join(whole, "query")
-    best = F.array_max(F.transform("names", lambda c: F.try_element_at("priors", c)))
-    valued = both.select("query", "key", "overlap", "nq", F.size("names").alias("nc"), F.coalesce(best, F.lit(0.0)).alias("p"))
-    pairs = valued.select("query", "key", "overlap", F.round("p", 9).alias("prior"), F.round(F.col("overlap") / (F.col("nq") + F.col("nc") - F.col("overlap")), 9).alias("jaccard"), F.round(F.col("p") * F.col("overlap") / F.col("nq"), 9).alias("score"))
-    return pairs, queries, members, sets.select("key", "joined")
+
+    def __init__(self, observed: DataFrame, train_bc: DataFrame, prior: DataFrame):
+        asked, self.queries = _numbered_sets(observed, "bundle_id", "query")
+        sets, self.members = _numbered_sets(train_bc, "context", "key")
+        self.sets = stash(sets, "category-sets")
+        priors = asked.select("query").join(prior.select(F.col("bundle_id").alias("query"), F.struct(F.col("score").alias("p"), "category").alias("e")), "query")
+        best = priors.groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("e.category", "e.p"))).alias("priors"), F.max("e.p").alias("top"))
+        whole = asked.select("query", F.col("names").alias("seen"), F.size("names").alias("nq")).join(best, "query", "left")
+        self.asked = stash(whole.withColumn("top", F.coalesce("top", F.lit(0.0))), "observed-sets")
+        self.lists = stash(self.sets.select("key", F.explode(X.subsets("names", INDEXED)).alias("part")).select(F.array_join("part", "|").alias("part"), "key"), "set-lists")
+
+    def holding(self, wanted: DataFrame) -> DataFrame:
+        """Pairs (query, key) for rows (query, part): the sets whose subsets the part may be, each once."""
+        part = F.array_join(F.slice(F.array_sort("part"), 1, INDEXED), "|")
+        return wanted.where(F.size("part") > 0).select("query", part.alias("part")).distinct().join(self.lists, "part").select("query", "key").distinct()
+
+    def sharing(self, active: DataFrame) -> DataFrame:
+        """Pairs (query, key) of sets with a common category."""
+        return active.select("query", F.explode("seen").alias("part")).join(self.lists, "part").select("query", "key").distinct()
+
+    def valued(self, pairs: DataFrame, active: DataFrame) -> DataFrame:
+        """Rows (query, key, overlap, prior, jaccard, score) of pairs whose sets have categories beyond the observed ones and one of these."""
+        both = pairs.join(self.sets.select("key", "names"), "key").join(active.select("query", "seen", "nq", "priors"), "query").withColumn("overlap", F.size(F.array_intersect("names", "seen")))
+        new = both.where((F.col("overlap") > 0) & (F.size("names") > F.col("overlap")))
+        best = F.coalesce(F.array_max(F.transform("names", lambda c: F.try_element_at("priors", c))), F.lit(0.0))
+        rows = new.select("query", "key", F.col("overlap").cast("long").alias("overlap"), "nq", F.size("names").alias("nc"), best.alias("p"))
+        return rows.select("query", "key", "overlap", F.round("p", 9).alias("prior"), F.round(F.col("overlap") / (F.col("nq") + F.col("nc") - F.col("overlap")), 9).alias("jaccard"), F.round(F.col("p") * F.col("overlap") / F.col("nq"), 9).alias("score"))
+
+    def search(self, rounds: list, order: list, k: int, still_open) -> DataFrame:
+        """The first ``k`` sets of every query with their ties. Each round gives, for active queries, the pairs to meet; ``still_open`` tells from the k-th row and the query whether a later round could change anything."""
+        active, found = self.asked, None
+        for i, pairs in enumerate(rounds):
+            new = self.valued(pairs(active), active)
+            every = new if found is None else found.unionByName(new).distinct()
+            place = F.rank().over(Window.partitionBy("query").orderBy(*order))
+            found = stash(every.withColumn("better", place).where(F.col("better") <= k).drop("better"), "sets-found")
+            if i + 1 < len(rounds):
+                last = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("r") == k).select("query", F.struct("overlap", "prior", "jaccard", "score").alias("last"))
+                rest = active.join(last, "query", "left").where(F.col("last").isNull() | still_open(i)).drop("last")
+                active = stash(rest, "sets-open")
+                if active.isEmpty():
+                    break
+        return found
 
 
 def category_retrieval(observed: DataFrame, train_bc: DataFrame, prior: DataFrame, k: int, seed: int) -> DataFrame:
@@ -119,10 +158,19 @@ def category_retrieval(observed: DataFrame, train_bc: DataFrame, prior: DataFram
     Sets are ranked first; only those with fewer than ``k`` better ones are opened into bundles.
     Rows (bundle_id, context, score, prior, overlap, jaccard, place).
     """
-    pairs, queries, members, _ = _set_pairs(observed, train_bc, prior)
+    sets = _Sets(observed, train_bc, prior)
     order = [F.desc("score"), F.desc("prior"), F.desc("overlap"), F.desc("jaccard")]
-    better = pairs.withColumn("better", F.rank().over(Window.partitionBy("query").orderBy(*order))).where(F.col("better") <= k)
-    opened = queries.join(better.join(members, "key"), "query")
+    whole = lambda active: sets.holding(active.select("query", F.col("seen").alias("part")))
+    all_but_one = lambda active: sets.holding(active.select("query", F.explode(F.transform("seen", lambda c: F.array_remove("seen", c))).alias("part")))
+
+    def still_open(i: int):
+        """Sets that lack i + 1 observed categories are worth this at best: score, prior, overlap."""
+        overlap = (F.col("nq") - i - 1).cast("long")
+        at_best = F.struct(F.round(F.col("top") * overlap / F.col("nq"), 9).alias("score"), F.round("top", 9).alias("prior"), overlap.alias("overlap"))
+        return (overlap > 0) & (at_best >= F.struct(F.col("last.score").alias("score"), F.col("last.prior").alias("prior"), F.col("last.overlap").alias("overlap")))
+
+    better = sets.search([whole, all_but_one, sets.sharing], order, k, still_open)
+    opened = sets.queries.join(better.join(sets.members, "key"), "query")
     return _first(opened.select("bundle_id", "context", "prior", "overlap", "jaccard", "score"), ["bundle_id"], [*order, X.draw(seed, "bundle_id", "context"), "context"], k)
 
 
@@ -131,12 +179,28 @@ def evidence(observed: DataFrame, train_bc: DataFrame, prior: DataFrame, k: int,
 
     Going through the subsets level by level and skipping used bundles and used category sets gives each bundle at its
     first appearance, that is at its largest level; so ordering sets by (level, prior, jaccard, least bundle) is the same.
+    Sets at the highest level that also have the category of the best prior come first; a query without ``k`` of these meets
+    the rest of the level, and only then the others.
     Rows (bundle_id, context, key, level, overlap, prior, jaccard, score, place).
     """
-    pairs, queries, _, sets = _set_pairs(observed, train_bc, prior)
-    leveled = pairs.withColumn("level", F.least("overlap", F.lit(largest)))
-    best = _first(leveled, ["query"], [F.desc("level"), F.desc("prior"), F.desc("jaccard"), "key"], k).join(sets, "key")
-    return queries.join(best, "query").drop("query").withColumnRenamed("key", "context").withColumnRenamed("joined", "key")
+    sets = _Sets(observed, train_bc, prior)
+    level = F.least("overlap", F.lit(largest).cast("long"))
+    order = [F.desc(level), F.desc("prior"), F.desc("jaccard"), "key"]
+    highest = F.filter(X.subsets("seen", largest), lambda t: F.size(t) == F.least("nq", F.lit(largest)))
+    parts = lambda active: active.select("query", "priors", "top", F.explode(highest).alias("part"))
+    best = F.map_keys(F.map_filter("priors", lambda c, p: F.round(p, 9) == F.round("top", 9)))
+    with_best = lambda active: sets.holding(parts(active).select("query", "part", F.explode(best).alias("c")).select("query", F.array_append("part", F.col("c")).alias("part")))
+    of_level = lambda active: sets.holding(parts(active).select("query", "part"))
+
+    def still_open(i: int):
+        """Whether the k-th set is below the highest level, or in the first round below the best prior there."""
+        at = F.least("last.overlap", F.lit(largest).cast("long")) < F.least("nq", F.lit(largest))
+        return at | (F.col("last.prior") < F.round("top", 9)) if i == 0 else at
+
+    found = sets.search([with_best, of_level, sets.sharing], order, k, still_open)
+    first = _first(found.withColumn("level", level.cast("int")), ["query"], [F.desc("level"), F.desc("prior"), F.desc("jaccard"), "key"], k)
+    named = first.join(sets.sets.select("key", "joined"), "key")
+    return sets.queries.join(named, "query").drop("query").withColumnRenamed("key", "context").withColumnRenamed("joined", "key")
 
 
 def item_text(items: DataFrame) -> DataFrame:
