@@ -1,48 +1,3 @@
-"""Connected components by repeated contraction, each round a few joins over what is left."""
+"""Connected components, as the rest of the library finds them."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from setloom.llm._store import stash
-
-
-def _lowest(both: DataFrame, turn: int) -> DataFrame:
-    """Rows (node, to): the lowest ranked of each node and its neighbours, by the nodes themselves in even rounds, by a hash that is new each time in odd ones."""
-    if turn % 2 == 0:
-        return both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
-    rank = lambda x: F.struct(F.xxhash64(x, F.lit(turn)).alias("by"), F.col(x).alias("node"))
-    return both.groupBy("a").agg(F.min(rank("b")).alias("best")).select(F.col("a").alias("node"), F.least(rank("a"), "best")["node"].alias("to"))
-
-
-def components(links: DataFrame, counted: list[int] | None = None) -> DataFrame:
-    """Rows (node, label) for every node of ``links`` (columns a and b): label is the least node of its component.
-
-    Each round every node goes to the lowest ranked of itself and its neighbours, and the links are contracted. By the
-    nodes' own order a star ends in one round; by random ranks, every other round, any graph loses a constant share of
-    its nodes in expectation, so the rounds are logarithmic for long chains too. Minima are pre-aggregated, so a node with
-    many links is no hot key, and each round is cut off by a stored table. ``counted`` gets the number of each round.
-    """
-    edges = stash(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
-    labels, turn = None, 0
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = stash(_lowest(both, turn), "step")
-        moved = step.where("node <> to")
-        if labels is None:
-            labels = step.select("node", F.col("to").alias("label"))
-        else:
-            labels = stash(labels.join(moved.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        left = edges.join(moved.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a", "left").join(moved.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b", "left")
-        left = left.select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y")).where("x <> y")
-        edges = stash(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        if counted is not None:
-            counted.append(turn)
-        if edges.isEmpty():
-            break
-        turn += 1
-    if turn == 0:
-        return labels
-    least = labels.groupBy("label").agg(F.min("node").alias("least")).where("least <> label")
-    return stash(labels.join(least, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
+from setloom.operators.graph import link_components as components  # noqa: F401

@@ -1,44 +1,16 @@
-"""Intermediate tables in the folder that the cluster shares.
-
-A table written here cuts lineage and outlives a lost executor. The folder is the one named by
-``spark.checkpoint.dir``; only a local session without that setting gets a folder of its own.
-"""
+"""Intermediate tables of this package: those of :mod:`setloom.shared`, with earlier shuffle files let go."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[str] = []
+from pyspark.sql import DataFrame
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="setloom-shared-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+from setloom import shared
+from setloom.shared import release, shared_dir  # noqa: F401  used by the operators
 
 
 def stash(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/setloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    _written.append(path)
+    out = shared.stash(df, name, compression)
     # the shuffle files that led here are not read again; Spark deletes them when the driver collects its garbage
     df.sparkSession._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table that :func:`stash` wrote. Results that still read them stop working."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    return out
