@@ -76,6 +76,66 @@ class _Fake:
         return self.call
 
 
+class _Stored(pickle.Pickler):
+    """Writes a tensor as its library does: storages by persistent ids, a call that rebuilds it."""
+
+    def persistent_id(self, x):
+        return ("storage", x[0], x[1], "cpu", 0) if isinstance(x, tuple) and len(x) == 2 and x[1] == "0" else None
+
+
+def tensor_file(path, matrix, order, offset, compression=zipfile.ZIP_STORED):
+    """A tensor of any strides over a block that begins with ``offset`` other elements."""
+    from setloom.sources import arrays as module
+
+    flat = np.concatenate([np.zeros(offset, "<f4"), matrix.ravel(order=order).astype("<f4")])
+    strides = (matrix.shape[1], 1) if order == "C" else (1, matrix.shape[0])
+    body = io.BytesIO()
+    stub = type("FloatStorage", (), {"__module__": "torch", "__qualname__": "FloatStorage"})
+    rebuild = type("_rebuild_tensor_v2", (), {"__module__": "torch._utils", "__qualname__": "_rebuild_tensor_v2"})
+    modules = {"torch": type("M", (), {"FloatStorage": stub})(), "torch._utils": type("M", (), {"_rebuild_tensor_v2": rebuild})()}
+    import sys
+
+    sys.modules.update(modules)
+    try:
+        _Stored(body, protocol=2).dump(_Fake((rebuild, ((stub, "0"), offset, matrix.shape, strides, False, {}))))
+    finally:
+        for name in modules:
+            del sys.modules[name]
+    with zipfile.ZipFile(path, "w", compression) as z:
+        z.writestr("x/data.pkl", body.getvalue())
+        z.writestr("x/data/0", flat.tobytes())
+    return module
+
+
+@pytest.mark.parametrize("order", ["C", "F"])
+@pytest.mark.parametrize("compression", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED])
+def test_ranges_of_tensor_rows(spark, tmp_path, order, compression):
+    matrix = np.arange(700, dtype="<f4").reshape(100, 7)
+    tensor_file(tmp_path / "t.pt", matrix, order, 5, compression)
+    df = arrays.tensor_vectors(spark, str(tmp_path / "t.pt"), range_rows=9)
+    assert df.rdd.getNumPartitions() == (12 if compression == zipfile.ZIP_STORED else 1)
+    assert {r["item_id"]: list(r["embedding"]) for r in df.collect()} == {i: matrix[i].tolist() for i in range(100)}
+    assert arrays.tensor((tmp_path / "t.pt").read_bytes()).tolist() == matrix.tolist()
+
+
+@pytest.mark.parametrize("save", [np.savez, np.savez_compressed])
+def test_ranges_of_archives_and_matrices(spark, tmp_path, save):
+    rng = np.random.default_rng(1)
+    ids, matrix = rng.permutation(50), rng.normal(size=(50, 3)).astype(np.float16)
+    for order in ("C", "F"):
+        save(tmp_path / "v.npz", ids=ids, embeddings=np.asarray(matrix, order=order))
+        got = {r["item_id"]: list(r["embedding"]) for r in arrays.npz_vectors(spark, str(tmp_path / "v.npz"), range_rows=7).collect()}
+        assert got == {int(i): matrix[k].astype(np.float32).tolist() for k, i in enumerate(ids)}
+    dense = np.where(rng.random((20, 11)) < 0.3, rng.integers(1, 9, (20, 11)), 0)
+    want = sorted((int(r), int(c), float(dense[r, c])) for r, c in zip(*np.nonzero(dense), strict=True))
+    for kind in ("csr", "csc", "coo"):
+        r, c = np.nonzero(dense if kind != "csc" else dense.T)
+        major = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(dense) if kind == "csr" else dense.shape[1]))])
+        parts = {"row": r, "col": c} if kind == "coo" else {"indptr": major, "indices": c}
+        save(tmp_path / f"{kind}.npz", format=np.array(kind.encode()), shape=np.array(dense.shape), data=(dense if kind != "csc" else dense.T)[r, c], **parts)
+        assert sorted(map(tuple, arrays.sparse_matrix(spark, str(tmp_path / f"{kind}.npz"), range_rows=3).collect())) == want
+
+
 def test_tensor_files_refuse_other_classes():
     blob = io.BytesIO()
     with zipfile.ZipFile(blob, "w") as z:
