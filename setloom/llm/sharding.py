@@ -65,15 +65,18 @@ def _places(df: DataFrame, within: str, bucket: str, order: list[str], name: str
     return df.withColumn("_inside", inside).join(offsets, [within, bucket]).withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_before", "_inside")
 
 
-def sharding(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, keep: list[str] = []) -> DataFrame:  # noqa: B006
-    """Per document: doc_id, size, text_crc32, law (``bytes``), shard, slot and grown_shard (null under this law), then the columns in ``keep``."""
-    spark = df.sparkSession
+def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """What sharding needs of a document: doc_id, size, text_crc32 and text_md5, then the columns in ``keep``."""
+    named = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)])
     text = F.col("text").cast("binary")
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)])
-    kept = [f"_keep{i}" for i in range(len(keep))]
-    docs = docs.select(
-        *kept, "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"), F.coalesce(F.md5(text), F.lit("null")).alias("text_md5")
-    )
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("long").alias("size")
+    return named.select("doc_id", size, F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"), F.coalesce(F.md5(text), F.lit("null")).alias("text_md5"), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)])
+
+
+def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
+    """The shards of measured documents, with the columns that these have beside."""
+    spark, kept = docs.sparkSession, docs.columns[4:]
+    docs = docs.toDF(*docs.columns[:4], *[f"_keep{i}" for i in range(len(kept))])
     groups = docs.groupBy("text_md5").agg(F.sum("size").alias("bytes")).withColumn("bucket", F.substring(F.md5("text_md5"), 1, BUCKET_DIGITS))
     sizes = groups.groupBy("bytes").agg(F.count("*").alias("n")).toArrow()
     table = least_loaded(list(zip(sizes["bytes"].to_pylist(), sizes["n"].to_pylist(), strict=True)), shards)
@@ -83,7 +86,12 @@ def sharding(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     shard_of = placed.select("text_md5", F.size(F.filter("upto", lambda u: u <= F.col("place"))).cast("int").alias("shard"))
     bucket = F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "text_md5")), 1, BUCKET_DIGITS)
     sharded = docs.join(shard_of, "text_md5").withColumn("bucket", bucket)
-    return _places(sharded, "shard", "bucket", ["doc_id", "text_md5"], "slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)])
+    return _places(sharded, "shard", "bucket", ["doc_id", "text_md5"], "slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(kept)])
+
+
+def sharding(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
+    """Per document: doc_id, size, text_crc32, law (``bytes``), shard, slot and grown_shard (null under this law)."""
+    return sharded(measured(df, id_col, text_col, overhead), shards)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -630,7 +630,7 @@ def test_pipeline(spark):
     first = sorted(got.values(), key=lambda r: r["mix_slot"])[: len(got) // 2]
     half = collections.Counter(r["source"] for r in first)
     assert all(abs(half[s] - share[s] / len(got) * len(first)) <= 32 for s in share)
-    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("source = 'src0' or doc_id % 3 = 0")
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("source = 'src0' or doc_id % 5 = 0")
     n, share = (collections.Counter(r["source"] for r in df.select("source").collect()) for df in (more, P.to_weights(spark, more, SF)))
     total, roots = sum(share.values()), sum(x**0.5 for x in n.values())
     assert total < sum(n.values()) and all(abs(share[s] - x**0.5 / roots * total) <= 16 + total / 500 for s, x in n.items())
