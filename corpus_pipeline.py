@@ -20,7 +20,7 @@ from setloom.llm.decontamination import decontamination
 from setloom.llm.mixing import mixed, slotted
 from setloom.llm.ngram_jaccard import ngram_jaccard
 from setloom.llm.quality_rules import passing
-from setloom.llm.sharding import sharding
+from setloom.llm.sharding import measured, sharded
 
 
 #: Target weights of the sources, by name; None: the power of each source's rows, so that large sources give up part of their share.
@@ -63,8 +63,8 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document, its source and its slot in the mix."""
-    return sharding(slotted(docs), keep=["source", "mix_slot"])
+    """The shard and slot of every document, its source and its slot in the mix. The texts themselves are read once, for sizes and digests."""
+    return sharded(stash(slotted(measured(docs, keep=["source"])), "measured"))
 
 
 STAGES = [
