@@ -12,7 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+#: Paths of the tables that are there.
+written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,13 +37,17 @@ def stash(df: DataFrame, name: str, compression: str | None = None) -> DataFrame
     """Write ``df`` as a table in the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path, compression=compression)
-    _written.append(path)
+    written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that :func:`stash` wrote. Results that still read them stop working."""
+def release(spark: SparkSession, only: list[str] | None = None) -> None:
+    """Delete every table that :func:`stash` wrote, or those at the paths in ``only``. Results that still read them stop working."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in list(written if only is None else only):
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        if name in written:
+            written.remove(name)
+    if only is not None:
+        only.clear()
