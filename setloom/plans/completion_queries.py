@@ -51,10 +51,14 @@ def judged_direct(m: Model, largest: int = 4):
     return C.judged_sparse(*C.direct_sparse(m.observed, counts, 3, largest), m.observed, m.train_bc, m.heldout)
 
 
+def backoff(m: Model, largest: int = 3):
+    counts = stash(B.itemsets(m.train_bc, largest + 1), "itemsets")
+    return C.backoff(m.observed, counts, 3, largest, m.train_bc.agg(F.count_distinct("bundle_id").alias("bundles")))
+
+
 def judged_backoff(m: Model, largest: int = 3) -> dict:
     """The judged scores of each rule."""
-    counts = stash(B.itemsets(m.train_bc, largest + 1), "itemsets")
-    rows, covered = C.backoff(m.observed, counts, 3, largest, m.train_bc.agg(F.count_distinct("bundle_id").alias("bundles")))
+    rows, covered = backoff(m, largest)
     return {r: C.judged_sparse(rows.select("bundle_id", "category", F.col(r).alias("score")), covered.select("bundle_id", F.lit(v).alias("rest")), m.observed, m.train_bc, m.heldout) for r, v in C.RULES.items()}
 
 
