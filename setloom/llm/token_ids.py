@@ -218,7 +218,9 @@ def _flat(column: pa.Array) -> np.ndarray:
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
     """The file system and the path in it; a plain path is local."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def _whole(store: fs.FileSystem, path: str) -> bytes:
