@@ -31,13 +31,15 @@ BEGINS = ((False, False), (True, False), (True, True))
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def files(path: str) -> list[tuple[str, int]]:
     """Names and sizes of a file, or of the files of a folder."""
     store, at = _place(path)
-    prefix = path[: len(path) - len(at)] if path.endswith(at) else ""
+    prefix = path[: len(path) - len(at)] if path.endswith(at) and "://" in path else "file://" if path.startswith("file:") else ""
     info = store.get_file_info(at)
     found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(at))
     return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")))

@@ -278,3 +278,21 @@ def test_reports_say_what_they_leave_out(spark):
     df = spark.range(205).toDF("n")
     assert writers.markdown(df).splitlines()[-1] == "5 more rows" and "5 more rows" in writers.latex(df, "t")
     assert len(writers.markdown(df, limit=300).splitlines()) == 207
+
+
+def test_plans_from_files(spark, tmp_path):
+    from setloom.plans import suite
+
+    pytest.importorskip("yaml")
+    (tmp_path / "base.yaml").write_text("n: {rows: 3, x: 1}\nmode: choice\n")
+    (tmp_path / "suite.yml").write_text("base: base.yaml\nexperiments:\n- name: a\n- {name: b, overrides: {n: {rows: 7}}}\n")
+    base, experiments = suite.plan(spark, str(tmp_path / "suite.yml"))
+    assert base == {"n": {"rows": 3, "x": 1}, "mode": "choice"}
+    got = suite.run_suite(spark, base, experiments, lambda session, name, conf: session.range(conf["n"]["rows"]).withColumn(f"only_{name}", F.lit(1)))
+    both = suite.union_of_runs(got)
+    assert both.groupBy("experiment").count().orderBy("experiment").collect() == [("a", 3), ("b", 7)] and set(both.columns) == {"id", "only_a", "only_b", "experiment"}
+    (tmp_path / "twice.json").write_text(json.dumps({"experiments": [{"name": "a"}, {"name": "a"}]}))
+    with pytest.raises(ValueError, match="share a name"):
+        suite.plan(spark, str(tmp_path / "twice.json"))
+    (tmp_path / ".env").write_text("\ufeffKEY_1=abc # note\n# KEY_1=no\nexport B = 'x # y'\nKEY_1=\"last\"\nnothing here\nEMPTY=\n")
+    assert {r["name"]: r["value"] for r in suite.environment(spark, str(tmp_path / ".env")).collect()} == {"KEY_1": "last", "B": "x # y", "EMPTY": ""}
