@@ -9,7 +9,8 @@ belongs to the range that holds the comma or bracket before it, so each is read
 ``spark.read.format("json_members").option("states", ...)`` is that second step; :func:`members` does both. With ``under``
 the members are those of the object or array that this key of the top object has (the whole file where it has none).
 
-Rows are (key, value): the key unescaped (null in arrays), the value as JSON text. Equal keys give a row each.
+Rows are (key, value): the key unescaped (null in arrays), the value as JSON text. Equal keys give a row each. A file may
+have several objects or arrays one after the other, in lines or not; their members all count (``under`` looks at the first).
 """
 
 from __future__ import annotations
@@ -122,10 +123,9 @@ def found(path: str, start: int, end: int, last: int, inside: bool, escaped: boo
                 if text.strip():
                     yield open_, text
                 held = b""
-            closing = change[i] == -1
-            if at + i >= end or closing:
+            if at + i >= end:
                 return
-            open_, begin = at + i + 1, i + 1
+            open_, begin = (-1, 0) if change[i] == -1 else (at + i + 1, i + 1)
         if open_ >= 0:
             held += raw[begin:]
         elif at + len(data) >= end:

@@ -56,6 +56,9 @@ def test_read_by_many_tasks(spark, tmp_path):
         assert {r["key"]: json.loads(r["value"]) for r in inner} == whole and len(inner) == len(whole)
     assert len(M.members(spark, str(tmp_path / "a.json"), under="items", chunk=9000).collect()) == 3000
     assert sorted(json.loads(r["value"])["id"] for r in M.members(spark, str(tmp_path / "c.json"), chunk=1000).collect()) == list(range(500))
+    (tmp_path / "f.json").write_text("\n".join(json.dumps({str(i): {"x": "}{"}, f"{i}b": []}) for i in range(300)) + "\n[7, 8]\n")
+    lines = M.members(spark, str(tmp_path / "f.json"), chunk=700).collect()
+    assert sorted(r["key"] or r["value"] for r in lines) == sorted([f"{i}{x}" for i in range(300) for x in ("", "b")] + ["7", "8"])
     (tmp_path / "d.json").write_text("{}")
     (tmp_path / "e.json").write_text("")
     assert M.members(spark, str(tmp_path / "d.json")).count() == 0 and M.members(spark, str(tmp_path / "e.json")).count() == 0
