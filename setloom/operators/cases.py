@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from setloom.functions import exprs as X
 from setloom.operators.neighbours import Index
-from setloom.operators.vectors import mean_vectors
+from setloom.operators.vectors import dimension, mean_vectors
 from setloom.shared import stash
 
 
@@ -76,9 +76,33 @@ def evidence_text(evidence: DataFrame) -> DataFrame:
 
 
 def category_set_vectors(bc: DataFrame, units: DataFrame) -> DataFrame:
-    """Unit mean of the category vectors (category, unit) of each bundle: (bundle_id, n, embedding)."""
-    means = mean_vectors(bc.select("bundle_id", "category").join(units, "category"), ["bundle_id"], "unit")
-    return means.select("bundle_id", "n", X.unit("unit").alias("embedding"))
+    """Unit mean of the category vectors (category, unit) of each bundle: (bundle_id, n, embedding).
+
+    Vectors are added up once for each set of categories; bundles carry the names of theirs only.
+    """
+    sets, means = _set_vectors(bc, units)
+    return sets.join(means, "names").select("bundle_id", "n", "embedding")
+
+
+def _set_vectors(bc: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sorted categories with a vector of each bundle (bundle_id, names), and the unit mean of each such list (names, n, embedding)."""
+    known = bc.select("bundle_id", "category").join(units.select("category"), "category", "left_semi")
+    sets = known.groupBy("bundle_id").agg(F.array_sort(F.collect_list("category")).alias("names"))
+    members = sets.select("names").distinct().select("names", F.explode("names").alias("category")).join(units.select("category", "unit"), "category")
+    means = mean_vectors(members, ["names"], "unit", dimension(units, "unit"))
+    return sets, means.select("names", "n", X.unit("unit").alias("embedding"))
+
+
+def set_cosines(bc: DataFrame, units: DataFrame, digits: int) -> tuple[DataFrame, DataFrame]:
+    """The set of categories of each bundle (bundle_id, set: the least bundle that has it), and the cosine of each set's mean with each category (set, category, score).
+
+    Options meet numbers, not vectors; only sets meet the table of categories.
+    """
+    sets, means = _set_vectors(bc, units)
+    sets = stash(sets, "category-sets")
+    least = sets.groupBy("names").agg(F.min("bundle_id").alias("set"))
+    cosines = least.join(means, "names").join(F.broadcast(units.select("category", "unit"))).select("set", "category", F.round(X.dot("embedding", "unit"), digits).alias("score"))
+    return sets.join(least, "names").select("bundle_id", "set"), cosines
 
 
 def role_categories(observed: DataFrame, units: DataFrame, k: int, digits: int = 8) -> DataFrame:
@@ -105,10 +129,17 @@ def role_bundles(observed: DataFrame, train_bc: DataFrame, units: DataFrame, k:
     sets = stash(observed.groupBy("bundle_id").agg(F.array_join(F.array_sort(F.collect_set("category")), "|").alias("key")), "observed-sets")
     asked = sets.groupBy("key").agg(F.min("bundle_id").alias("bundle_id"))
     means = category_set_vectors(observed.join(asked, "bundle_id", "left_semi"), units).select(F.col("bundle_id").alias("q"), F.col("embedding").alias("v"))
-    index = Index(category_set_vectors(train_bc, units), "bundle_id", digits)
-    found = index.opened(index.top(means, k), k)
+    held, vectors = _set_vectors(train_bc, units)
+    held = stash(held, "category-sets")
+    least = stash(held.groupBy("names").agg(F.min("bundle_id").alias("set")), "sets-least")
+    # a set stands for its bundles under the least of them; of each set that is found the first k are opened
+    index = Index(least.join(vectors, "names").select("set", "embedding"), "set", digits)
+    found = index.first(index.opened(index.top(means, k), k).withColumnRenamed("neighbour", "g"), k)
+    inside = F.row_number().over(Window.partitionBy("set").orderBy("neighbour"))
+    members = held.join(least, "names").select("set", F.col("bundle_id").alias("neighbour")).withColumn("inside", inside).where(F.col("inside") <= k)
+    opened = found.withColumnRenamed("g", "set").join(members, "set").select("q", "neighbour", "score")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "neighbour")).cast("long")
-    best = found.withColumn("place", place).where(F.col("place") <= k)
+    best = opened.withColumn("place", place).where(F.col("place") <= k)
     return sets.join(asked.withColumnRenamed("bundle_id", "q"), "key").join(best, "q").select("bundle_id", F.col("neighbour").alias("context"), "score", "place")
 
 
@@ -125,8 +156,9 @@ def context_alignment(contexts: DataFrame, train: DataFrame, inputs: DataFrame,
     """Cosine of the mean context item (inputs left out) with the answer and with the other options: (bundle_id, answer, others, best_other)."""
     unit = vectors.select("item_id", X.unit("embedding").alias("v"))
     held = contexts.join(train.select(F.col("bundle_id").alias("context"), "item_id"), "context").join(inputs, ["bundle_id", "item_id"], "left_anti")
-    mean = mean_vectors(held.join(unit, "item_id"), ["bundle_id"], "v").select("bundle_id", X.unit("v").alias("m"))
-    scored = samples.join(mean, "bundle_id").join(unit, "item_id").select("bundle_id", "is_gt", X.dot("v", "m").alias("score"))
+    mean = mean_vectors(held.join(unit, "item_id"), ["bundle_id"], "v", dimension(vectors)).select("bundle_id", X.unit("v").alias("m"))
+    # options meet their own vectors first: those without one go, and a mean is moved once, not for each option
+    scored = samples.select("bundle_id", "is_gt", "item_id").join(unit, "item_id").join(mean, "bundle_id").select("bundle_id", "is_gt", X.dot("v", "m").alias("score"))
     of = lambda f, flag: f(F.when(F.col("is_gt") == flag, F.col("score")))
     return scored.groupBy("bundle_id").agg(of(F.max, True).alias("answer"), of(F.avg, False).alias("others"), of(F.max, False).alias("best_other"))
 

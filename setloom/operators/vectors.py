@@ -14,24 +14,34 @@ def normalized(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.withColumn(column, X.unit(column))
 
 
-def mean_vectors(rows: DataFrame, keys: list[str], column: str = "embedding") -> DataFrame:
-    """Rows (keys, n, embedding): mean of each group's vectors, coordinate by coordinate, not normalised."""
-    parts = rows.select(*keys, F.posexplode(column).alias("_i", "_x"))
-    means = parts.groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_x"), F.count("*").alias("n"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"])
-    return means.groupBy(*keys).agg(F.max("n").alias("n"), ordered.alias(column))
+def dimension(vectors: DataFrame, column: str = "embedding") -> int:
+    """The most coordinates that a vector has."""
+    return max(0, vectors.agg(F.max(F.size(column))).first()[0] or 0)
+
+
+def mean_vectors(rows: DataFrame, keys: list[str], column: str = "embedding", size: int | None = None) -> DataFrame:
+    """Rows (keys, n, embedding): mean of each group's vectors, coordinate by coordinate, not normalised.
+
+    Coordinates are columns of one aggregate, so a vector is one row, and a group meets in one shuffle. ``size``: the
+    dimension, where a caller has it from a smaller table than ``rows``.
+    """
+    size = dimension(rows, column) if size is None else size
+    each = [F.avg(F.get(column, F.lit(i)).cast("double")).alias(f"_{i}") for i in range(size)]
+    means = rows.where(F.size(column) > 0).groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.size(column)).alias("_size"), *each)
+    held = F.array(*[F.col(f"_{i}") for i in range(size)]).cast("array<double>")
+    return means.select(*keys, "n", F.slice(held, F.lit(1), F.col("_size")).alias(column))
 
 
 def prototypes(vectors: DataFrame, items: DataFrame, key: str) -> DataFrame:
     """Mean vector, its unit vector and the number of items of each ``key``."""
     joined = vectors.select("item_id", "embedding").join(items.select("item_id", key), "item_id")
-    return mean_vectors(joined, [key]).withColumn("unit", X.unit("embedding"))
+    return mean_vectors(joined, [key], size=dimension(vectors)).withColumn("unit", X.unit("embedding"))
 
 
 def bundle_vectors(vectors: DataFrame, bi: DataFrame) -> DataFrame:
     """Unit mean of the unit vectors of each bundle's items that have one."""
     joined = bi.join(normalized(vectors).select("item_id", "embedding"), "item_id")
-    return normalized(mean_vectors(joined, ["bundle_id"]))
+    return normalized(mean_vectors(joined, ["bundle_id"], size=dimension(vectors)))
 
 
 def nearest(vectors: DataFrame, key: str, digits: int = 9) -> DataFrame:
@@ -60,7 +70,7 @@ def pair_scores(samples: DataFrame, inputs: DataFrame, vectors: DataFrame) -> Da
     left = samples.join(unit, "item_id")
     right = inputs.join(unit.withColumnRenamed("v", "w"), "item_id").select("bundle_id", "w")
     pairs = left.join(right, "bundle_id").groupBy("bundle_id", "pos", "item_id", "is_gt").agg(F.avg(X.dot("v", "w")).alias("pair_mean"), F.max(X.dot("v", "w")).alias("pair_max"))
-    mean = mean_vectors(right, ["bundle_id"], "w").select("bundle_id", X.unit("w").alias("m"))
+    mean = mean_vectors(right, ["bundle_id"], "w", dimension(vectors)).select("bundle_id", X.unit("w").alias("m"))
     against = left.join(mean, "bundle_id").select("bundle_id", "pos", X.dot("v", "m").alias("bundle_mean"))
     return pairs.join(against, ["bundle_id", "pos"])
 
@@ -97,7 +107,7 @@ def centroid_scores(sets: DataFrame, centers: DataFrame, group: str, key: str, d
 
     ``centers`` (key, unit) is a table of categories, whose number the data model bounds.
     """
-    mean = mean_vectors(sets.join(centers, key), [group], "unit").select(group, X.unit("unit").alias("m"))
+    mean = mean_vectors(sets.join(centers, key), [group], "unit", dimension(centers, "unit")).select(group, X.unit("unit").alias("m"))
     scored = mean.join(F.broadcast(centers)).select(group, key, F.round(X.dot("m", "unit"), digits).alias("score"))
     return scored.join(sets.select(group, key), [group, key], "left_anti")
 

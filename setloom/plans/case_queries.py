@@ -166,7 +166,9 @@ ALIGN = UNIT | {
 
 
 def _alignment(m: Model):
-    met = m.inputs.join(m.train.select("item_id", F.col("bundle_id").alias("context")), "item_id").groupBy("bundle_id", "context").agg(F.count("*").alias("overlap"))
+    met = m.inputs.join(m.train.select("item_id", F.col("bundle_id").alias("context")), "item_id").select("bundle_id", "context")
+    # dealt by bundle once, for the counts and the places
+    met = met.repartition("bundle_id").groupBy("bundle_id", "context").agg(F.count("*").alias("overlap"))
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("bundle_id").orderBy(F.desc("overlap"), "context"))).where("r <= 3")
     return K.context_alignment(best.select("bundle_id", "context"), m.train, m.inputs, m.samples, m.vectors)
 
