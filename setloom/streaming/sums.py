@@ -105,11 +105,21 @@ def pair_deltas(rows: DataFrame, group: str, node: str, time: str = "ts", length
     return each.groupBy("g", "w").applyInPandasWithState(lambda k, frames, state: _new_pairs(k, frames, state, keep), f"a {kind}, b {kind}, n long", f"nodes array<{kind}>", "append", timeout)
 
 
-def pairs(rows: DataFrame, group: str, node: str, time: str = "ts", length: str = "1 day") -> DataFrame:
-    """The same of a table: rows (a, b, n)."""
-    sets = rows.where(F.col(node).isNotNull()).groupBy(F.col(group).alias("g"), F.window(time, length)["start"].alias("w")).agg(F.array_sort(F.collect_set(node)).alias("nodes"))
+def members(rows: DataFrame, group: str, node: str, time: str = "ts", length: str = "1 day") -> DataFrame:
+    """A stream as rows (g, w, node, n) for :class:`Sums`: what :func:`member_pairs` makes pairs of."""
+    return rows.where(F.col(node).isNotNull()).select(F.col(group).alias("g"), F.window(time, length)["start"].alias("w"), F.col(node).alias("node"), F.lit(1).alias("n"))
+
+
+def member_pairs(sums: DataFrame) -> DataFrame:
+    """Rows (a, b, n), a < b: in how many groups and windows two nodes of the running table (g, w, node, n) stand."""
+    sets = sums.groupBy("g", "w").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
     each = sets.select(F.explode("nodes").alias("a"), "nodes").select("a", F.explode(F.filter("nodes", lambda x: x > F.col("a"))).alias("b"))
     return each.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def pairs(rows: DataFrame, group: str, node: str, time: str = "ts", length: str = "1 day") -> DataFrame:
+    """The same of a table: rows (a, b, n)."""
+    return member_pairs(members(rows, group, node, time, length))
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
