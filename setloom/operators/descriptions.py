@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from setloom.functions import exprs as X
-from setloom.operators.vectors import mean_vectors
+from setloom.operators.vectors import dimension, mean_vectors
 
 
 def word_vectors(texts: DataFrame, text: Column, size: int = 64) -> DataFrame:
     """Rows (item_id, embedding): counts of an item's words in ``size`` places, each word's place drawn by its md5."""
     place = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % size
     places = F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1)), place)
-    held = texts.select("item_id", places.alias("places"))
-    return held.select("item_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter("places", lambda p: p == i)).cast("double")).alias("embedding"))
+    counts = lambda held: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(held, lambda p: p == i)).cast("double"))
+    return texts.select("item_id", X.bound(places, counts).alias("embedding"))  # places are worked out once, not for each coordinate
 
 
 def description_signal(samples: DataFrame, inputs: DataFrame, vectors: DataFrame, runs: DataFrame, digits: int = 9) -> DataFrame:
@@ -25,11 +25,13 @@ def description_signal(samples: DataFrame, inputs: DataFrame, vectors: DataFrame
     vector, have no row. ``runs``: one method's (bundle_id, pred_pos, hit).
     """
     unit = vectors.where(F.col("embedding").isNotNull()).select("item_id", X.unit("embedding").alias("v"), X.norm("embedding").alias("norm"))
-    given = inputs.join(unit.where("norm > 0"), "item_id")
-    mean = mean_vectors(given, ["bundle_id"], "v").where(X.norm("v") > 0).select("bundle_id", X.unit("v").alias("m"), F.col("n").alias("n_valid_inputs"))
-    held = samples.select("bundle_id", "pos", "item_id", "is_gt").join(unit.select("item_id", "v"), "item_id", "left").join(mean, "bundle_id")
-    answer = held.where("is_gt").select("bundle_id", F.col("v").alias("g"))
-    scored = held.join(answer, "bundle_id").select("bundle_id", "pos", "item_id", "is_gt", "n_valid_inputs", X.dot("v", "m").alias("sim"), X.dot("v", "g").alias("to_gt"), F.col("v").isNull().alias("gap"))
+    # word vectors are far larger than the file they come from, by whose size Spark would broadcast them
+    given = inputs.join(unit.where("norm > 0").hint("merge"), "item_id")
+    mean = mean_vectors(given, ["bundle_id"], "v", dimension(vectors)).where(X.norm("v") > 0).select("bundle_id", X.unit("v").alias("m"), F.col("n").alias("n_valid_inputs"))
+    held = samples.select("bundle_id", "pos", "item_id", "is_gt").join(unit.select("item_id", "v").hint("merge"), "item_id", "left").join(mean.hint("merge"), "bundle_id")
+    sample = Window.partitionBy("bundle_id")
+    answered = held.withColumn("g", F.first(F.when(F.col("is_gt"), F.col("v")), True).over(sample)).withColumn("known", F.max("is_gt").over(sample)).where("known")
+    scored = answered.select("bundle_id", "pos", "item_id", "is_gt", "n_valid_inputs", X.dot("v", "m").alias("sim"), X.dot("v", "g").alias("to_gt"), F.col("v").isNull().alias("gap"))
     placed = scored.withColumn("place", F.row_number().over(Window.partitionBy("bundle_id").orderBy(F.desc(F.round("sim", digits)), "pos")).cast("long"))
     of = lambda f, c, flag: f(F.when(F.col("is_gt") == flag, F.col(c)))
     first = lambda c: F.max(F.when(F.col("place") == 1, F.col(c)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from setloom.operators import descriptions as D
 from setloom.plans.base import Model, sql
 from setloom.registry import query
+from setloom.shared import stash
 
 WORDS = {
     "dv": "SELECT p_partkey AS item_id, list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS e FROM (SELECT p_partkey, list_transform(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+'), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64) AS b FROM part)",
@@ -27,7 +28,7 @@ SIMS = ("gt_sim", "neg_mean", "neg_max", "pred_sim", "distractor_mean", "distrac
 
 def signal(m: Model):
     parts = m.table("part").select(F.col("p_partkey").alias("item_id"), "p_name", "p_type")
-    vectors = D.word_vectors(parts, F.concat_ws(" ", "p_name", "p_type"))
+    vectors = stash(D.word_vectors(parts, F.concat_ws(" ", "p_name", "p_type")), "word-vectors")
     return D.description_signal(m.samples.withColumn("pos", F.col("pos").cast("long")), m.inputs, vectors, m.runs.where("method = 'cooccurrence'"))
 
 
