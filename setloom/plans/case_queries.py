@@ -105,8 +105,7 @@ def c19(spark, d):
 @query("c05_evidence_text", sql("""SELECT bundle_id, string_agg('Example ' || place || ' (' || level || ' shared): ' || replace(key, '|', ', '), chr(10) ORDER BY place) AS block FROM (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY level DESC, prior DESC, jaccard DESC, context) AS place FROM (SELECT cr.*, least(overlap, 3)::BIGINT AS level, key, row_number() OVER (PARTITION BY bundle_id, key ORDER BY least(overlap, 3) DESC, prior DESC, jaccard DESC, context) AS r FROM cr JOIN (SELECT bundle_id AS context, string_agg(category, '|' ORDER BY category) AS key FROM tbc GROUP BY 1) USING (context)) WHERE r = 1) WHERE place <= 3 GROUP BY 1""", **PRIOR))
 def c05(spark, d):
     m = Model(spark, d)
-    observed = m.observed.join(m.evaluated, "bundle_id", "left_semi")
-    return K.evidence_text(T.evidence(observed, m.train_bc, prior(m, observed), 3))
+    return K.evidence_text(T.evidence(m.observed_evaluated, m.train_bc, lambda sets: prior(m, sets), 3))
 
 
 CATS = UNIT | {
