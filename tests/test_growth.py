@@ -77,6 +77,14 @@ def test_options_look_up_counted_pairs(spark):
         assert {(r["bundle_id"], r["item_id"]): r["n"] for r in found.collect()} == want
 
 
+def test_pairs_of_a_bundle_are_made_once(spark):
+    """A bundle's pairs come from its own row, in one order, so there is no join of training with itself and half as many pairs."""
+    groups = spark.createDataFrame([(1, [2, 5, 9]), (2, [5])], "b long, held array<long>")
+    pairs = graph._ordered_pairs(groups)
+    assert "Join" not in plan(pairs)
+    assert sorted((r["low"], r["high"]) for r in pairs.collect()) == [(2, 2), (2, 5), (2, 9), (5, 5), (5, 5), (5, 9), (9, 9)]
+
+
 def test_negatives_are_the_first_of_all_draws(spark):
     split = [(b, i) for b in range(30) for i in range(b % 4 + 1)]
     items = [(i,) for i in range(16) if i % 3]
