@@ -154,11 +154,14 @@ def prediction_similarity(runs: DataFrame, samples: DataFrame, vectors: DataFram
 
 def context_alignment(contexts: DataFrame, train: DataFrame, inputs: DataFrame, samples: DataFrame, vectors: DataFrame) -> DataFrame:
     """Cosine of the mean context item (inputs left out) with the answer and with the other options: (bundle_id, answer, others, best_other)."""
-    unit = vectors.select("item_id", X.unit("embedding").alias("v"))
+    raw = vectors.select("item_id", "embedding")
     held = contexts.join(train.select(F.col("bundle_id").alias("context"), "item_id"), "context").join(inputs, ["bundle_id", "item_id"], "left_anti")
-    mean = mean_vectors(held.join(unit, "item_id"), ["bundle_id"], "v", dimension(vectors)).select("bundle_id", X.unit("v").alias("m"))
+    # vectors are dealt as they are stored and made units where their bundle is added up: partial means would be four times as wide
+    dealt = held.join(raw, "item_id").select("bundle_id", "embedding").repartition("bundle_id").select("bundle_id", X.unit("embedding").alias("v"))
+    mean = mean_vectors(dealt, ["bundle_id"], "v", dimension(vectors)).select("bundle_id", X.unit("v").alias("m"))
     # options meet their own vectors first: those without one go, and a mean is moved once, not for each option
-    scored = samples.select("bundle_id", "is_gt", "item_id").join(unit, "item_id").join(mean, "bundle_id").select("bundle_id", "is_gt", X.dot("v", "m").alias("score"))
+    options = samples.select("bundle_id", "is_gt", "item_id").join(raw, "item_id").select("bundle_id", "is_gt", "embedding").repartition("bundle_id")
+    scored = options.join(mean, "bundle_id").select("bundle_id", "is_gt", X.dot(X.unit("embedding"), "m").alias("score"))
     of = lambda f, flag: f(F.when(F.col("is_gt") == flag, F.col("score")))
     return scored.groupBy("bundle_id").agg(of(F.max, True).alias("answer"), of(F.avg, False).alias("others"), of(F.max, False).alias("best_other"))
 

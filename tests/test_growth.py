@@ -85,6 +85,18 @@ def test_pairs_of_a_bundle_are_made_once(spark):
     assert sorted((r["low"], r["high"]) for r in pairs.collect()) == [(2, 2), (2, 5), (2, 9), (5, 5), (5, 5), (5, 9), (9, 9)]
 
 
+def test_alignment_deals_vectors_as_stored(spark):
+    """Vectors are dealt by bundle before they are made units and added up, so no partial mean is dealt."""
+    rows = lambda some, schema: spark.createDataFrame(some, schema)
+    two = "bundle_id long, item_id long"
+    contexts, train = rows([(1, 7), (2, 8)], "bundle_id long, context long"), rows([(7, 1), (7, 2), (8, 2), (8, 3)], two)
+    samples = rows([(1, 3, True), (1, 4, False), (2, 1, True), (2, 4, False)], two + ", is_gt boolean")
+    vectors = rows([(1, [3.0, 4.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, [5.0, 0.0])], "item_id long, embedding array<float>")
+    found = cases.context_alignment(contexts, train, rows([(1, 1), (2, 2)], two), samples, vectors)
+    assert plan(found).count("REPARTITION_BY_COL") >= 2
+    assert {r["bundle_id"]: (round(r["answer"], 6), round(r["others"], 6)) for r in found.collect()} == {1: (0.0, 1.0), 2: (0.8, 0.0)}
+
+
 def test_negatives_are_the_first_of_all_draws(spark):
     split = [(b, i) for b in range(30) for i in range(b % 4 + 1)]
     items = [(i,) for i in range(16) if i % 3]
