@@ -233,9 +233,7 @@ def input_count_accuracy(rows: DataFrame) -> DataFrame:
     return long.select("method", label.alias("inputs"), "n", "accuracy")
 
 
-def with_fallback(ranked: DataFrame, popularity: DataFrame) -> DataFrame:
-    """Best option by score, ties by popularity, then position. Rows (method, bundle_id, pos)."""
-    top = F.max("score").over(Window.partitionBy("method", "bundle_id"))
-    best = ranked.withColumn("_top", top).where("score = _top").join(popularity, "item_id", "left")
-    place = F.row_number().over(Window.partitionBy("method", "bundle_id").orderBy(F.desc(F.coalesce("freq", F.lit(0))), "pos"))
-    return best.withColumn("place", place).where("place = 1").select("method", "bundle_id", "pos", "item_id", "is_gt")
+def first_choices(lists: DataFrame, second: str) -> DataFrame:
+    """Best option by score, ties by ``second``, then position, from rows (method, bundle_id, options). Rows (method, bundle_id, pos, item_id, is_gt)."""
+    best = F.array_max(F.transform("options", lambda o: F.struct(o["score"], o[second], (-o["pos"]).alias("place"), o["item_id"].alias("item_id"), o["is_gt"].alias("is_gt"))))
+    return lists.select("method", "bundle_id", best.alias("best")).select("method", "bundle_id", (-F.col("best.place")).alias("pos"), "best.item_id", "best.is_gt")

@@ -61,18 +61,34 @@ def soft_links(near: DataFrame, bi: DataFrame) -> DataFrame:
     return linked.join(bi.select("item_id", "bundle_id"), ["item_id", "bundle_id"], "left_anti")
 
 
+def _sides(samples: DataFrame, inputs: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Options (with v) and inputs (with w) that have a vector, dealt by bundle as stored and made units there."""
+    raw = vectors.select("item_id", "embedding")
+    left = samples.join(raw, "item_id").repartition("bundle_id").withColumn("v", X.unit("embedding")).drop("embedding")
+    right = inputs.join(raw, "item_id").select("bundle_id", "embedding").repartition("bundle_id").select("bundle_id", X.unit("embedding").alias("w"))
+    return left, right
+
+
+def pair_cosines(samples: DataFrame, inputs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Options with a vector against the inputs with one: rows (bundle_id, pos, item_id, is_gt, pair_mean, pair_max)."""
+    left, right = _sides(samples, inputs, vectors)
+    return _cosines(left, right)
+
+
+def _cosines(left: DataFrame, right: DataFrame) -> DataFrame:
+    each = left.join(right, "bundle_id").select("bundle_id", "pos", "item_id", "is_gt", X.dot("v", "w").alias("_cosine"))
+    return each.groupBy("bundle_id", "pos", "item_id", "is_gt").agg(F.avg("_cosine").alias("pair_mean"), F.max("_cosine").alias("pair_max"))
+
+
 def pair_scores(samples: DataFrame, inputs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Options with a vector against the inputs with one: mean and largest pair cosine, and cosine to the mean input.
+    """:func:`pair_cosines`, and the cosine to the mean input (bundle_mean).
 
     Rows (bundle_id, pos, item_id, is_gt, pair_mean, pair_max, bundle_mean).
     """
-    unit = vectors.select("item_id", X.unit("embedding").alias("v"))
-    left = samples.join(unit, "item_id")
-    right = inputs.join(unit.withColumnRenamed("v", "w"), "item_id").select("bundle_id", "w")
-    pairs = left.join(right, "bundle_id").groupBy("bundle_id", "pos", "item_id", "is_gt").agg(F.avg(X.dot("v", "w")).alias("pair_mean"), F.max(X.dot("v", "w")).alias("pair_max"))
+    left, right = _sides(samples, inputs, vectors)
     mean = mean_vectors(right, ["bundle_id"], "w", dimension(vectors)).select("bundle_id", X.unit("w").alias("m"))
     against = left.join(mean, "bundle_id").select("bundle_id", "pos", X.dot("v", "m").alias("bundle_mean"))
-    return pairs.join(against, ["bundle_id", "pos"])
+    return _cosines(left, right).join(against, ["bundle_id", "pos"])
 
 
 def placed(scores: DataFrame, column: str, keys: list[str] = ["bundle_id"], digits: int = 9) -> DataFrame:  # noqa: B006

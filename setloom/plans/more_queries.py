@@ -73,7 +73,7 @@ def a51(spark, d):
 @query("a39_space_summary", sql("SELECT count(*) AS n, round(avg(g), 8) AS left_mean, round(stddev_samp(g), 8) AS left_std, round(avg(s), 8) AS right_mean, round(stddev_samp(s), 8) AS right_std, round(avg(g - s), 8) AS mean_difference FROM (SELECT g.bundle_id, max(g.pair_max) AS g, avg(s.pair_max) AS s FROM pair g JOIN pair s ON s.bundle_id = g.bundle_id AND NOT s.is_gt WHERE g.is_gt GROUP BY 1)", **UNIT))
 def a39(spark, d):
     m = Model(spark, d)
-    rows = V.against_distractors(V.pair_scores(m.samples, m.inputs, m.vectors), "pair_max")
+    rows = V.against_distractors(V.pair_cosines(m.samples, m.inputs, m.vectors), "pair_max")
     return K.space_summary(rows, "gt_score", "distractor_mean").select("n", *[F.round(c, 8).alias(c) for c in ("left_mean", "left_std", "right_mean", "right_std", "mean_difference")])
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from setloom.operators import bundles as B
 from setloom.operators import runs as R
 from setloom.operators import sampling as S
 from setloom.plans.base import Model, sql
@@ -213,7 +212,7 @@ def w19(spark, d):
 @query("w16_popularity_fallback", sql("SELECT method, bundle_id, pos, item_id, is_gt FROM (SELECT s.*, row_number() OVER (PARTITION BY method, bundle_id ORDER BY score DESC, coalesce(f, 0) DESC, pos) AS r FROM scores s LEFT JOIN (SELECT item_id, count(*) AS f FROM train GROUP BY 1) USING (item_id)) WHERE r = 1"))
 def w16(spark, d):
     m = Model(spark, d)
-    return R.with_fallback(m.scores.withColumn("pos", F.col("pos").cast("long")), B.popularity(m.train))
+    return R.first_choices(m.by_method, "freq").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("a45_group_counts", sql("SELECT CASE WHEN a.hit = 1 AND b.hit = 1 THEN 'Both_Hit' WHEN a.hit = 0 AND b.hit = 0 THEN 'Both_Miss' WHEN a.hit = 1 AND b.hit = 0 THEN 'A_Hit_Only' ELSE 'B_Hit_Only' END AS \"group\", count(*) AS count, round(count(*) / (SELECT count(*) FROM ev)::DOUBLE, 9) AS ratio FROM runs a JOIN runs b USING (bundle_id) WHERE a.method = 'popularity' AND b.method = 'cooccurrence' GROUP BY 1"))

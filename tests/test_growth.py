@@ -1,7 +1,9 @@
 """Steps whose cost must grow with the input: plans without needless shuffles, with the results of a plain count."""
 
 import collections
+import hashlib
 import itertools
+import random
 
 from setloom.operators import cases, compare, descriptions, graph, retrieval, sampling, vectors
 from setloom.functions import exprs as X
@@ -128,3 +130,54 @@ def test_running_members_give_the_pairs(spark):
         kinds[r["user_id"], r["ts"].date()].add(r["event_type"])
     want = collections.Counter(p for s in kinds.values() for p in itertools.combinations(sorted(s), 2))
     assert {(r["a"], r["b"]): r["n"] for r in sums.member_pairs(running).collect()} == want
+
+
+def test_options_are_drawn_and_ordered_in_one_row(spark):
+    """Options come from a row a bundle, with no shuffle of draws, whether ids have gaps or not."""
+    split = [(b, 3 * b + i, i == 0) for b in range(12) for i in range(b % 3 + 2)]
+    for ids in (range(60), [1000 * k + i for k in range(3) for i in range(400)], [2**17 - 3 + i for i in range(90)] + list(range(2**17 - 90))):
+        items = spark.createDataFrame([(i,) for i in ids], "item_id long")
+        found = sampling.options(spark.createDataFrame(split, "bundle_id long, item_id long, is_gt boolean"), items, 5, 45, 41)
+        assert "Exchange" not in plan(found) and "Window" not in plan(found)
+        there, got = set(ids), collections.defaultdict(list)
+        for r in found.collect():
+            got[r["bundle_id"]].append((r["pos"], r["item_id"], r["is_gt"]))
+        for b in range(12):
+            draws = [int(hashlib.md5(f"45_{b}_{k}".encode()).hexdigest()[:8], 16) % (max(ids) + 1) for k in range(40)]
+            own = {i for c, i, _ in split if c == b}
+            options = [3 * b] + list(dict.fromkeys(i for i in draws if i in there and i not in own))[:4]
+            order = sorted(options, key=lambda i: hashlib.md5(f"41_{b}_{i}".encode()).hexdigest())
+            assert sorted(got[b]) == [(p, i, i == 3 * b) for p, i in enumerate(order)]
+
+
+def test_frequent_items_are_counted_and_others_meet_directly(spark, monkeypatch):
+    rng = random.Random(5)
+    train = [(t, i) for t in range(40) for i in {0, *rng.sample(range(1, 30), rng.randint(1, 9))}]
+    options, inputs = [(b, i) for b in range(9) for i in rng.sample(range(30), 6)], [(b, i) for b in range(9) for i in {0, *rng.sample(range(30), 2)}]
+    held = collections.defaultdict(set)
+    for t, i in train:
+        held[t].add(i)
+    want = {(b, o): n for b, o in options if (n := sum(o in s and i in s for c, i in inputs if c == b for s in held.values()))}
+    two = lambda rows, a: spark.createDataFrame(rows, f"{a} long, item_id long")
+    for often in (0, 8, 10**6):
+        monkeypatch.setattr(graph, "OFTEN", often)
+        found = graph.shared_groups(two(options, "bundle_id"), two(inputs, "bundle_id"), two(train + train[:20], "bundle_id"), 8)
+        assert {(r["bundle_id"], r["item_id"]): r["n"] for r in found.collect()} == want
+
+
+def test_runs_come_from_a_bundle_s_own_row(spark):
+    from conftest import SF
+
+    from setloom.plans.base import Model
+
+    m = Model(spark, SF)
+    assert "Exchange" not in plan(m.runs) and "Window" not in plan(m.runs)
+
+
+def test_pair_cosines_move_vectors_as_stored(spark):
+    """Vectors are dealt as floats and made units behind the shuffle; the mean input is made only where it is asked for."""
+    samples = spark.createDataFrame([(1, 0, 7, True), (1, 1, 8, False)], "bundle_id long, pos int, item_id long, is_gt boolean")
+    units = spark.createDataFrame([(7, [3.0, 4.0]), (8, [0.0, 2.0]), (9, [5.0, 0.0])], "item_id long, embedding array<float>")
+    found = vectors.pair_cosines(samples, spark.createDataFrame([(1, 9), (1, 8)], "bundle_id long, item_id long"), units)
+    assert plan(found).count("REPARTITION_BY_COL") == 2
+    assert {r["pos"]: (round(r["pair_mean"], 6), round(r["pair_max"], 6)) for r in found.collect()} == {0: (0.7, 0.8), 1: (0.5, 1.0)}
