@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setloom import shared
 from setloom.llm._store import stash
 from setloom.llm._words import slices
 
@@ -98,8 +99,20 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(*fold())
 
 
+def _numbered(owner: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes of each row, where each row's begin, and the number within its row of each hash."""
+    order = np.lexsort((hashes, owner))
+    by, h = owner[order], hashes[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (by[1:] != by[:-1]) | (h[1:] != h[:-1])
+    begin = np.searchsorted(by[new], np.arange(rows + 1))
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1 - begin[by]
+    return begin, h[new], which
+
+
 def _encode(batches: Iterator[pa.RecordBatch], lookup, symbols: int) -> Iterator[pa.RecordBatch]:
-    """Symbols of each document (without the end), places in the lookup of the words of the middle class, hashes of those beyond it, and sums over the words of the lookup."""
+    """Symbols of each document (without the end), places in the lookup of the words of the middle class, the different hashes of those beyond it and which of them each is, and sums over the words of the lookup."""
     hashes, n = lookup.value
     table = Lookup(hashes)
     logs = np.append(np.log10(n + 0.5), 0.0)
@@ -117,8 +130,10 @@ def _encode(batches: Iterator[pa.RecordBatch], lookup, symbols: int) -> Iterator
             data = codes.tobytes()
             lists = pa.array([data[2 * a : 2 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
             mid = pa.ListArray.from_arrays(pa.array(cut(middle).astype(np.int32)), pa.array(at[middle].astype(np.int32)))
-            tail = pa.ListArray.from_arrays(pa.array(cut(rare).astype(np.int32)), pa.array(s.hashes[rare].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["held_out"], pa.array(np.diff(s.first)), pa.array(np.diff(cut(known)).astype(np.int64)), pa.array(base, pa.float64()), lists, mid, tail], names=["doc_id", "held_out", "n_words", "known", "base", "codes", "mid", "tail"])
+            begin, different, which = _numbered(s.owner[rare], s.hashes[rare], len(s.first) - 1)
+            tail = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(different.view(np.int64)))
+            tail_at = pa.ListArray.from_arrays(pa.array(cut(rare).astype(np.int32)), pa.array(which.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["held_out"], pa.array(np.diff(s.first)), pa.array(np.diff(cut(known)).astype(np.int64)), pa.array(base, pa.float64()), lists, mid, tail, tail_at], names=["doc_id", "held_out", "n_words", "known", "base", "codes", "mid", "tail", "tail_at"])
 
 
 class Model:
@@ -223,22 +238,24 @@ def _symbols_of(column: pa.Array) -> list[np.ndarray]:
 
 
 def _own_words(part: pa.RecordBatch, symbols: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Sequences in which the words of the two classes have numbers of their own from ``symbols + 3`` on, and these words: places in the lookup, then hashes."""
+    """Sequences in which the words of the two classes have numbers of their own from ``symbols + 3`` on, the places in the lookup of those of the middle class, and where the rare words of each row begin."""
     codes = _symbols_of(part["codes"])
     every = np.concatenate(codes).astype(np.int64) if codes else np.zeros(0, np.int64)
     mid, mid_at = np.unique(part["mid"].flatten().to_numpy(), return_inverse=True)
-    tail, tail_at = np.unique(part["tail"].flatten().to_numpy(), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(part["n_tail"].to_numpy())])
+    lists = part["tail_at"]
+    owner = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
     is_mid, is_tail = every == symbols, every == symbols + 1
     every[is_mid] = symbols + 3 + mid_at
-    every[is_tail] = symbols + 3 + len(mid) + tail_at
-    return np.split(every, np.cumsum([len(c) for c in codes])[:-1]) if codes else [], mid, tail
+    every[is_tail] = symbols + 3 + len(mid) + begin[owner] + lists.flatten().to_numpy()
+    return np.split(every, np.cumsum([len(c) for c in codes])[:-1]) if codes else [], mid, begin
 
 
-def _with_words(model: Model, mid: np.ndarray, tail: np.ndarray, of_mid: np.ndarray | float = 1.0, of_tail: np.ndarray | float = 1.0) -> np.ndarray:
+def _with_words(model: Model, mid: int, tail: int, of_mid: np.ndarray | float = 1.0, of_tail: np.ndarray | float = 1.0) -> np.ndarray:
     """The emissions with rows for some words of the two classes, given what share of their class they have in each state."""
     n = model.emit.shape[1]
     rows = model.emit.T
-    return np.vstack([rows, np.broadcast_to(rows[n - 3], (len(mid), rows.shape[1])) * of_mid, np.broadcast_to(rows[n - 2], (len(tail), rows.shape[1])) * of_tail, np.ones((1, rows.shape[1]))])
+    return np.vstack([rows, np.broadcast_to(rows[n - 3], (mid, rows.shape[1])) * of_mid, np.broadcast_to(rows[n - 2], (tail, rows.shape[1])) * of_tail, np.ones((1, rows.shape[1]))])
 
 
 def _rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -262,22 +279,34 @@ def _e_step(batches: Iterator[pa.RecordBatch], there, symbols: int) -> Iterator[
 
 
 def _word_step(batches: Iterator[pa.RecordBatch], there, symbols: int) -> Iterator[pa.RecordBatch]:
-    """Expected counts of the words of the two classes: rows of kind 0 by place in the lookup, 1 by hash."""
+    """Expected counts of the words of the two classes, and how often they occur: rows of kind 0 by place in the lookup, 1 by hash."""
     model: Model = there.value
-    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros((len(model.start), 0)))] * 2
+    states = len(model.start)
+    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros((states + 1, 0)))] * 2
+
+    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(keys), 1 << 16):
+            batch = _rows(kind, keys[k : k + (1 << 16)], n[:states, k : k + (1 << 16)])
+            yield batch.append_column("n", pa.array(n[states, k : k + (1 << 16)].astype(np.int64)))
+
     for batch in batches:
         for i in range(0, len(batch), ROWS):
-            codes, mid, tail = _own_words(batch.slice(i, ROWS), symbols)
-            emitted = expectations(model, codes, symbols + 2, _with_words(model, mid, tail))[2][:, symbols + 3 :]
-            for kind, (keys, n) in enumerate(((mid, emitted[:, : len(mid)]), (tail, emitted[:, len(mid) :]))):
+            part = batch.slice(i, ROWS)
+            codes, mid, begin = _own_words(part, symbols)
+            first = symbols + 3
+            emitted = expectations(model, codes, symbols + 2, _with_words(model, len(mid), int(begin[-1])))[2][:, first:]
+            often = np.bincount(np.concatenate([c[c >= first] - first for c in codes]) if codes else np.zeros(0, np.int64), minlength=emitted.shape[1])
+            found = np.vstack([emitted, often])
+            tail = part["tail"].flatten().to_numpy()
+            for kind, (keys, n) in enumerate(((mid, found[:, : len(mid)]), (tail, found[:, len(mid) :]))):
                 keys, back = np.unique(np.concatenate([held[kind][0], keys]), return_inverse=True)
                 n = np.stack([np.bincount(back, weights=x, minlength=len(keys)) for x in np.hstack([held[kind][1], n])]) if len(keys) else held[kind][1]
                 if len(keys) > 1 << 18:
-                    yield from (_rows(kind, keys[k : k + (1 << 16)], n[:, k : k + (1 << 16)]) for k in range(0, len(keys), 1 << 16))
+                    yield from rows(kind, keys, n)
                     keys, n = keys[:0], n[:, :0]
                 held[kind] = keys, n
     for kind, (keys, n) in enumerate(held):
-        yield from (_rows(kind, keys[k : k + (1 << 16)], n[:, k : k + (1 << 16)]) for k in range(0, len(keys), 1 << 16))
+        yield from rows(kind, keys, n)
 
 
 def _score(batches: Iterator[pa.RecordBatch], there, symbols: int) -> Iterator[pa.RecordBatch]:
@@ -286,21 +315,22 @@ def _score(batches: Iterator[pa.RecordBatch], there, symbols: int) -> Iterator[p
     for batch in batches:
         for i in range(0, len(batch), ROWS):
             part = batch.slice(i, ROWS)
-            codes, mid, tail = _own_words(part, symbols)
-            found = part["found"].flatten()
-            at = np.searchsorted(tail, found.field("word").to_numpy()) if len(found) else np.zeros(0, np.int64)
-            of_tail, logs, known = np.full((len(tail), len(model.start)), unknown), np.full(len(tail), np.log10(0.5)), np.zeros(len(tail), bool)
+            codes, mid, begin = _own_words(part, symbols)
+            lists, tail = part["found"], int(begin[-1])
+            found = lists.flatten()
+            of_tail, logs, known = np.full((tail, len(model.start)), unknown), np.full(tail, np.log10(0.5)), np.zeros(tail, bool)
             if len(found):
+                at = np.repeat(begin[:-1], np.diff(lists.offsets.to_numpy())) + found.field("at").to_numpy()
                 of_tail[at] = found.field("share").flatten().to_numpy().reshape(len(found), -1)
                 logs[at] = np.log10(found.field("n").to_numpy() + 0.5)
                 known[at] = True
-            chain = log_likelihoods(model, codes, symbols + 2, _with_words(model, mid, tail, of_mid[mid - symbols], of_tail))
+            chain = log_likelihoods(model, codes, symbols + 2, _with_words(model, len(mid), tail, of_mid[mid - symbols], of_tail))
             first = symbols + 3 + len(mid)
             base, seen = np.zeros(len(part)), np.zeros(len(part), np.int64)
             for row, c in enumerate(codes):
                 own = c[c >= first] - first
                 base[row], seen[row] = logs[own].sum(), known[own].sum()
-            yield part.drop_columns(["codes", "mid", "tail", "found"]).append_column("tail_base", pa.array(base)).append_column("tail_known", pa.array(seen)).append_column("chain", pa.array(chain))
+            yield part.drop_columns(["codes", "mid", "tail_at", "n_tail", "found"]).append_column("tail_base", pa.array(base)).append_column("tail_known", pa.array(seen)).append_column("chain", pa.array(chain))
 
 
 def _together(batches: Iterator[pa.RecordBatch], seeds: int) -> Iterator[pa.RecordBatch]:
@@ -347,6 +377,7 @@ def hmm_scoring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     train = docs.where("not held_out")
     counts = stash(train.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words_at = shared.written[-1:]
     words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = train.count()
     tokens, types = words + ends, distinct + (ends > 0)
@@ -362,13 +393,14 @@ def hmm_scoring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         frequent = counts.where(F.col("n") >= least) if least else counts.limit(0)
     top = frequent.toArrow()
     hashes, n = top["word"].to_numpy().astype(np.int64), top["n"].to_numpy().astype(np.int64)
+    shared.release(spark, words_at)  # all counts that are still needed come with the expected ones
     order = np.lexsort((hashes, -n))
     hashes, n = hashes[order].view(np.uint64), n[order]
     symbols = min(symbols, len(n), (1 << 16) - 4)
     table = spark.sparkContext.broadcast((hashes, n))
 
-    schema = "doc_id {}, held_out boolean, n_words long, known long, base double, codes binary, mid array<int>, tail array<long>".format(docs.schema["doc_id"].dataType.simpleString())
-    coded = stash(docs.select("doc_id", "held_out", "text").mapInArrow(lambda it: _encode(it, table, symbols), schema).withColumn("row", F.monotonically_increasing_id()), "codes")
+    schema = "doc_id {}, held_out boolean, n_words long, known long, base double, codes binary, mid array<int>, tail array<long>, tail_at array<int>".format(docs.schema["doc_id"].dataType.simpleString())
+    coded = stash(docs.select("doc_id", "held_out", "text").mapInArrow(lambda it: _encode(it, table, symbols), schema).withColumn("row", F.monotonically_increasing_id()), "codes", "zstd").withColumn("n_tail", F.size("tail"))
     learned = coded.where("not held_out")
 
     total = tokens + 0.5 * (types + 1)
@@ -398,7 +430,7 @@ def hmm_scoring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         model = Model(start / start.sum(), step / step.sum(axis=1, keepdims=True), _shares(emit.T, emit.sum(axis=1), background, smoothing).T)
 
     there = spark.sparkContext.broadcast(model)
-    of_words = stash(learned.select("codes", "mid", "tail").mapInArrow(lambda it: _word_step(it, there, symbols), gathered).groupBy("kind", "key").agg(*sums), "emissions")
+    of_words = stash(learned.select("codes", "mid", "tail", "tail_at", "n_tail").mapInArrow(lambda it: _word_step(it, there, symbols), gathered + ", n long").groupBy("kind", "key").agg(*sums, F.sum("n").alias("n")), "emissions", "zstd")
     middles = of_words.where("kind = 0").toArrow()
     expected = np.zeros((len(middle), states))
     expected[middles["key"].to_numpy() - symbols] = matrix(middles)
@@ -408,13 +440,15 @@ def hmm_scoring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     own = [word_smoothing * x + 1 for x in held]
     unknown = np.array([o / (o + h) * 0.5 / rest for o, h in zip(own, held, strict=True)])
     share = F.array(*[((F.col(f"n{k}") / SCALE + F.lit(own[k]) * (F.col("n") + 0.5) / rest) / (own[k] + held[k])).cast("float") for k in range(states)])
-    emissions = counts.join(rare.withColumnRenamed("key", "word"), "word").select("word", "n", share.alias("share"))
-    pairs = coded.select("row", F.explode(F.array_distinct("tail")).alias("word"))
-    lists = pairs.join(emissions, "word").groupBy("row").agg(F.collect_list(F.struct("word", "n", "share")).alias("found"))
+    emissions = rare.select(F.col("key").alias("word"), "n", share.alias("share"))
+    pairs = coded.select("row", F.posexplode("tail").alias("at", "word"))
+    # dealt before they are put together: a word is dealt as it is, under its number in the row
+    dealt = pairs.join(emissions, "word").select("row", "at", "n", "share").repartition("row")
+    lists = dealt.groupBy("row").agg(F.collect_list(F.struct("at", "n", "share")).alias("found"))
     there = spark.sparkContext.broadcast((model, of_mid, unknown))
-    empty = F.array().cast("array<struct<word:bigint,n:bigint,share:array<float>>>")
+    empty = F.array().cast("array<struct<at:int,n:bigint,share:array<float>>>")
     kept = "row long, doc_id {}, held_out boolean, n_words long, known long, base double, tail_base double, tail_known long, chain double".format(docs.schema["doc_id"].dataType.simpleString())
-    listed = coded.join(lists, "row", "left").select("row", "doc_id", "held_out", "n_words", "known", "base", "codes", "mid", "tail", F.coalesce("found", empty).alias("found"))
+    listed = coded.join(lists, "row", "left").select("row", "doc_id", "held_out", "n_words", "known", "base", "codes", "mid", "tail_at", "n_tail", F.coalesce("found", empty).alias("found"))
     scored = listed.mapInArrow(lambda it: _score(it, there, symbols), kept)
     log_total = float(np.log10(total)) if total else 0.0
     end_base = float(np.log10(ends + 0.5))

@@ -675,3 +675,11 @@ def test_decontamination_without_ids(spark):
     for rows in (1_000_000, 0):  # broadcast and shuffled fingerprints
         got = decontamination.decontamination(docs, bench, broadcast_rows=rows).collect()
         assert sorted((r["doc_id"] or 0, r["n_hit"]) for r in got) == [(0, 0), (0, 10), (0, 10), (1, 10)]
+
+
+def test_hmm_deals_no_word_twice(docs):
+    """Rare words are dealt once to meet their expected counts, which carry how often they occur; only numbers go back to the rows."""
+    plan = hmm_scoring.hmm_scoring(docs, states=2, symbols=8, lookup=8, iterations=1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") == 2
+    begin, different, which = hmm_scoring._numbered(np.array([0, 0, 2, 2, 2]), np.array([7, 5, 9, 7, 9], np.uint64), 4)
+    assert begin.tolist() == [0, 2, 2, 4, 4] and different.tolist() == [5, 7, 7, 9] and which.tolist() == [1, 0, 1, 0, 1]
