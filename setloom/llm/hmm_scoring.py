@@ -35,6 +35,8 @@ from setloom.llm._words import slices
 STRETCH, LANES, ROWS = 128, 1024, 4096
 SEEDS, BOOST = 256, 8.0
 SCALE = float(1 << 24)
+#: Units of the expected counts of single words, and of a word's states among its own occurrences: few bytes, since these are what is shuffled.
+WORD_SCALE, PARTS = float(1 << 14), (1 << 15) - 1
 _BITS = 20
 
 
@@ -258,8 +260,8 @@ def _with_words(model: Model, mid: int, tail: int, of_mid: np.ndarray | float =
     return np.vstack([rows, np.broadcast_to(rows[n - 3], (mid, rows.shape[1])) * of_mid, np.broadcast_to(rows[n - 2], (tail, rows.shape[1])) * of_tail, np.ones((1, rows.shape[1]))])
 
 
-def _rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), *(pa.array(np.round(x * SCALE).astype(np.int64)) for x in n)]
+def _rows(kind: int, keys: np.ndarray, n: np.ndarray, unit: float = SCALE) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), *(pa.array(np.round(x * unit).astype(np.int64)) for x in n)]
     return pa.RecordBatch.from_arrays(columns, names=["kind", "key", *(f"n{k}" for k in range(len(n)))])
 
 
@@ -286,7 +288,7 @@ def _word_step(batches: Iterator[pa.RecordBatch], there, symbols: int) -> Iterat
 
     def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(keys), 1 << 16):
-            batch = _rows(kind, keys[k : k + (1 << 16)], n[:states, k : k + (1 << 16)])
+            batch = _rows(kind, keys[k : k + (1 << 16)], n[:states, k : k + (1 << 16)], WORD_SCALE)
             yield batch.append_column("n", pa.array(n[states, k : k + (1 << 16)].astype(np.int64)))
 
     for batch in batches:
@@ -311,7 +313,7 @@ def _word_step(batches: Iterator[pa.RecordBatch], there, symbols: int) -> Iterat
 
 def _score(batches: Iterator[pa.RecordBatch], there, symbols: int) -> Iterator[pa.RecordBatch]:
     """Sums over the known rare words and the chain's log10 probability of each document."""
-    model, of_mid, unknown = there.value
+    model, of_mid, unknown, own_mass, held, rest = there.value
     for batch in batches:
         for i in range(0, len(batch), ROWS):
             part = batch.slice(i, ROWS)
@@ -321,8 +323,10 @@ def _score(batches: Iterator[pa.RecordBatch], there, symbols: int) -> Iterator[p
             of_tail, logs, known = np.full((tail, len(model.start)), unknown), np.full(tail, np.log10(0.5)), np.zeros(tail, bool)
             if len(found):
                 at = np.repeat(begin[:-1], np.diff(lists.offsets.to_numpy())) + found.field("at").to_numpy()
-                of_tail[at] = found.field("share").flatten().to_numpy().reshape(len(found), -1)
-                logs[at] = np.log10(found.field("n").to_numpy() + 0.5)
+                n = found.field("n").to_numpy().astype(float)
+                expected = found.field("parts").flatten().to_numpy().reshape(len(found), -1) * (n / PARTS)[:, None]
+                of_tail[at] = (expected + own_mass * ((n + 0.5) / rest)[:, None]) / (own_mass + held)
+                logs[at] = np.log10(n + 0.5)
                 known[at] = True
             chain = log_likelihoods(model, codes, symbols + 2, _with_words(model, len(mid), tail, of_mid[mid - symbols], of_tail))
             first = symbols + 3 + len(mid)
@@ -416,7 +420,7 @@ def hmm_scoring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     gathered = "kind int, key long, " + ", ".join(f"n{k} long" for k in range(states))
     sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(states)]
-    matrix = lambda t: np.stack([t[f"n{k}"].to_numpy() for k in range(states)], axis=1) / SCALE if len(t) else np.zeros((0, states))
+    matrix = lambda t: np.stack([t[f"n{k}"].to_numpy() for k in range(states)], axis=1) / WORD_SCALE if len(t) else np.zeros((0, states))
     for _ in range(iterations):
         there = spark.sparkContext.broadcast(model)
         found = learned.select("codes").mapInArrow(lambda it, m=there: _e_step(it, m, symbols), gathered).groupBy("kind", "key").agg(*sums).toArrow().to_pandas()
@@ -435,18 +439,18 @@ def hmm_scoring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     expected = np.zeros((len(middle), states))
     expected[middles["key"].to_numpy() - symbols] = matrix(middles)
     of_mid = _shares(expected, expected.sum(axis=0), middle / max(float(middle.sum()), 1e-9), word_smoothing).astype(np.float32)
-    rare = of_words.where("kind = 1")
-    held = [x / SCALE if x else 0.0 for x in rare.agg(*sums).first()]
-    own = [word_smoothing * x + 1 for x in held]
-    unknown = np.array([o / (o + h) * 0.5 / rest for o, h in zip(own, held, strict=True)])
-    share = F.array(*[((F.col(f"n{k}") / SCALE + F.lit(own[k]) * (F.col("n") + 0.5) / rest) / (own[k] + held[k])).cast("float") for k in range(states)])
-    emissions = rare.select(F.col("key").alias("word"), "n", share.alias("share"))
+    # a word's expected counts are its occurrences, dealt to the states in PARTS; the states' sums are of these, so shares add up to one
+    of_state = lambda k: F.least(F.round(F.col(f"n{k}") * (PARTS / WORD_SCALE) / F.col("n")), F.lit(PARTS)).cast("smallint")
+    emissions = of_words.where("kind = 1").select(F.col("key").alias("word"), "n", F.array(*[of_state(k) for k in range(states)]).alias("parts"))
+    held = np.array([x / PARTS if x else 0.0 for x in emissions.agg(*[F.sum(F.col("n") * F.get("parts", F.lit(k))) for k in range(states)]).first()])
+    own = word_smoothing * held + 1
+    unknown = own / (own + held) * 0.5 / rest
     pairs = coded.select("row", F.posexplode("tail").alias("at", "word"))
     # dealt before they are put together: a word is dealt as it is, under its number in the row
-    dealt = pairs.join(emissions, "word").select("row", "at", "n", "share").repartition("row")
-    lists = dealt.groupBy("row").agg(F.collect_list(F.struct("at", "n", "share")).alias("found"))
-    there = spark.sparkContext.broadcast((model, of_mid, unknown))
-    empty = F.array().cast("array<struct<at:int,n:bigint,share:array<float>>>")
+    dealt = pairs.join(emissions, "word").select("row", "at", "n", "parts").repartition("row")
+    lists = dealt.groupBy("row").agg(F.collect_list(F.struct("at", "n", "parts")).alias("found"))
+    there = spark.sparkContext.broadcast((model, of_mid, unknown, own, held, rest))
+    empty = F.array().cast("array<struct<at:int,n:bigint,parts:array<smallint>>>")
     kept = "row long, doc_id {}, held_out boolean, n_words long, known long, base double, tail_base double, tail_known long, chain double".format(docs.schema["doc_id"].dataType.simpleString())
     listed = coded.join(lists, "row", "left").select("row", "doc_id", "held_out", "n_words", "known", "base", "codes", "mid", "tail_at", "n_tail", F.coalesce("found", empty).alias("found"))
     scored = listed.mapInArrow(lambda it: _score(it, there, symbols), kept)

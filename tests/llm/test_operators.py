@@ -683,3 +683,15 @@ def test_hmm_deals_no_word_twice(docs):
     assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") == 2
     begin, different, which = hmm_scoring._numbered(np.array([0, 0, 2, 2, 2]), np.array([7, 5, 9, 7, 9], np.uint64), 4)
     assert begin.tolist() == [0, 2, 2, 4, 4] and different.tolist() == [5, 7, 7, 9] and which.tolist() == [1, 0, 1, 0, 1]
+
+
+def test_hmm_deals_small_numbers(docs):
+    """What is shuffled of a word are whole numbers of two bytes; they stand for all of its occurrences."""
+    from setloom import shared
+
+    before = len(shared.written)
+    plan = hmm_scoring.hmm_scoring(docs, states=2, symbols=8, lookup=8, iterations=1)._jdf.queryExecution().analyzed().toString()
+    path = next(p for p in shared.written[before:] if "/emissions-" in p)
+    rows = docs.sparkSession.read.parquet(path).collect()
+    assert rows and all(abs(r["n0"] + r["n1"] - r["n"] * 2**14) <= 2 * r["n"] + 2 for r in rows)
+    assert "as smallint" in plan and "as float" not in plan
