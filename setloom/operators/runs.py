@@ -40,13 +40,32 @@ def tie_stats(scores: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def signal_detail(runs: DataFrame, ties: DataFrame) -> DataFrame:
-    """Runs with the tie statistics of their answer and of their prediction for every signal: columns gt_* and pred_*."""
-    stats = ("score", "min_rank", "avg_rank", "in_top_tie", "unique_top1", "top_score", "second_margin", "top_tie_size", "all_tied", "all_zero", "positive_signal")
-    of = lambda at, prefix: ties.select("bundle_id", F.col("signal").alias(f"{prefix}signal"), F.col("pos").alias(at), *[F.col(s).alias(f"{prefix}{s}") for s in stats])
-    truth = runs.join(of("true_pos", "gt_"), ["bundle_id", "true_pos"])
-    guess = of("pred_pos", "pred_").withColumnRenamed("pred_signal", "gt_signal")
-    return truth.join(guess, ["bundle_id", "pred_pos", "gt_signal"], "left").withColumnRenamed("gt_signal", "signal")
+STATS = ("score", "min_rank", "avg_rank", "in_top_tie", "unique_top1", "top_score", "second_margin", "top_tie_size", "all_tied", "all_zero", "positive_signal")
+
+
+def _stats(own: Column, prefix: str) -> list[Column]:
+    """The tie statistics of an option's score among all ``scores`` of its signal (``levels``: each once, best first), NULL if it has none."""
+    count = lambda is_: F.size(F.filter("scores", is_)).cast("long")
+    least, equal = count(lambda x: x > own) + 1, count(lambda x: x == own)
+    top, tied = F.get("levels", F.lit(0)), F.col("tied")
+    second = F.when(F.size("levels") > 1, top - F.get("levels", F.lit(1))).otherwise(0.0)
+    values = [own, least, least + (equal - 1) / 2, (own == top).cast("int"), ((own == top) & (tied == 1)).cast("int"), top, second, tied, (F.size("levels") == 1).cast("int"), ((F.size("levels") == 1) & (top == 0)).cast("int"), (top > 0).cast("int")]
+    return [F.when(own.isNotNull(), v).alias(prefix + s) for s, v in zip(STATS, values, strict=True)]
+
+
+def signal_rows(runs: DataFrame, signals: list[str]) -> DataFrame:
+    """Runs with the tie statistics of their answer and of their prediction for every signal: columns gt_* and pred_*.
+
+    ``runs`` brings each bundle's ``options`` along (pos, and a score a signal), so all comes from the run's own row and
+    nothing is joined. Runs without an answer's score have no row.
+    """
+    known = [c for c in runs.columns if c != "options"]
+    at = lambda s, pos: F.get(F.filter("options", lambda o: o["pos"] == F.col(pos)), F.lit(0))[s]
+    of = lambda s: F.struct(F.lit(s).alias("signal"), F.sort_array(F.filter(F.transform("options", lambda o: o[s]), lambda x: x.isNotNull()), asc=False).alias("scores"), at(s, "true_pos").alias("gt"), at(s, "pred_pos").alias("pred"))
+    each = runs.where("true_pos is not null").select(*known, F.explode(F.array(*[of(s) for s in signals])).alias("of")).where("of.gt is not null").select(*known, "of.*")
+    each = each.withColumn("levels", F.array_distinct("scores"))
+    each = each.withColumn("tied", F.size(F.filter("scores", lambda x: x == F.get("levels", F.lit(0)))).cast("long"))
+    return each.select(*known, "signal", *_stats(F.col("gt"), "gt_"), *_stats(F.col("pred"), "pred_"))
 
 
 def signal_quality(detail: DataFrame) -> DataFrame:
@@ -72,10 +91,13 @@ def signal_quadrants(detail: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, names: list[str], keys: list[str], columns: list[str]) -> DataFrame:
-    """Rows of both methods of each pair, in the order of ``names``: columns left_* and right_*."""
+    """Rows of both methods of each pair, in the order of ``names``: columns left_* and right_*. Methods of a key meet in one row, so no side is broadcast."""
     order = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    side = lambda p: rows.select(*keys, F.col("method").alias(f"{p}_method"), order[F.col("method")].alias(f"{p}_i"), *[F.col(c).alias(f"{p}_{c}") for c in columns])
-    return side("left").join(side("right"), keys).where("left_i < right_i").drop("left_i", "right_i")
+    own = F.struct(order[F.col("method")].alias("i"), "method", *columns)
+    met = rows.where(F.col("method").isin(names)).groupBy(*keys).agg(F.collect_list(own).alias("_of"))
+    left = met.select(*keys, "_of", F.explode("_of").alias("_l"))
+    both = left.select(*keys, "_l", F.explode(F.filter("_of", lambda r: r["i"] > F.col("_l.i"))).alias("_r"))
+    return both.select(*keys, *[F.col(f"{p}.{c}").alias(f"{q}_{c}") for p, q in (("_l", "left"), ("_r", "right")) for c in ("method", *columns)])
 
 
 def _cells(left: Column, right: Column) -> dict[str, Column]:

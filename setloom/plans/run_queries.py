@@ -23,8 +23,7 @@ TIES = {
 
 
 def detail(m: Model):
-    ties = R.tie_stats(m.scores, "method", "bundle_id").withColumnRenamed("method", "signal")
-    return R.signal_detail(m.runs, ties)
+    return R.signal_rows(m.runs_with_options, METHODS)
 
 
 def spread(aggregate: str, pairs: dict[str, str]) -> str:

@@ -213,3 +213,43 @@ def test_draws_need_no_join_where_few_ids_are_missing(spark, monkeypatch):
     assert row(sampling.options(split, items, 6, 45, 41)) == row(kept)
     monkeypatch.setattr(sampling, "GAPS", -100)
     assert row(sampling.options(split, items, 6, 45, 41)) == row(kept)
+
+
+def test_ties_of_a_signal_come_from_the_bundles_row(spark):
+    """Answers and predictions get their ties without a join, so no side is broadcast by the size of its file; pairs of methods too."""
+    from setloom.operators import runs
+
+    rng = random.Random(3)
+    option = lambda p, goal: (p, 10 * p, p == goal, float(rng.randrange(3)), float(rng.randrange(2)), rng.choice([None, 0.0, 1.0]))
+    scored = [(b, [option(p, b % 4) for p in range(4)]) for b in range(40)]
+    found = spark.createDataFrame(scored, "bundle_id long, options array<struct<pos int, item_id long, is_gt boolean, popularity double, cooccurrence double, category double>>")
+    names = ["popularity", "cooccurrence", "category"]
+    per = [(m, b, b % 4, rng.randrange(4), rng.randrange(2)) for b in range(40) for m in names]
+    with_options = spark.createDataFrame(per, "method string, bundle_id long, true_pos int, pred_pos int, hit int").join(found, "bundle_id").localCheckpoint()
+    detail = runs.signal_rows(with_options, names)
+    assert "Join" not in plan(detail) and "Exchange" not in plan(detail)
+    each = with_options.select("bundle_id", "options").distinct()
+    scores = [each.selectExpr("bundle_id", "inline(options)").selectExpr("bundle_id", "pos", f"{m} score", f"'{m}' signal") for m in names]
+    ties = runs.tie_stats(scores[0].union(scores[1]).union(scores[2]).where("score is not null"), "signal", "bundle_id").localCheckpoint()
+    want = with_options.drop("options")
+    for at, p in (("true_pos", "gt_"), ("pred_pos", "pred_")):
+        side = ties.select("bundle_id", "signal", ties["pos"].alias(at), *[ties[s].alias(p + s) for s in runs.STATS])
+        want = want.join(side, ["bundle_id", at] + (["signal"] if p == "pred_" else []), "inner" if p == "gt_" else "left")
+    columns = sorted(detail.columns)
+    assert sorted(map(str, detail.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    pairs = runs.signal_pairwise(detail, names)
+    assert "Join" not in plan(pairs)
+    hits = {(m, b): h for m, b, _, _, h in per}
+    both = [(hits[r["left_method"], b], hits[r["right_method"], b]) for r in pairs.where("signal = 'popularity'").collect() for b in range(40)]
+    assert len(both) == 120 and sum(r["right_only"] for r in pairs.where("signal = 'popularity'").collect()) == both.count((0, 1))
+
+
+def test_scores_broadcast_nothing_by_the_size_of_its_file(spark, monkeypatch):
+    """A row's arrays count as one member in a plan's sizes, so sides of scored bundles are dealt however small they look."""
+    from conftest import SF
+    from setloom.plans import base
+
+    plans = []
+    monkeypatch.setattr(base, "stash", lambda df, name: plans.append((name, plan(df))) or df)
+    base.Model(spark, SF).scored
+    assert [n for n, _ in plans] == ["split", "samples", "scored"] and "BroadcastHashJoin" not in plans[-1][1]
