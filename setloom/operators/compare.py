@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from setloom.functions import exprs as X
-from setloom.operators.graph import spread_pairs
+from setloom.operators.graph import pairs_in_turn
 
 
 def choice_against_ranking(choice: DataFrame, ranking: DataFrame) -> DataFrame:
@@ -65,6 +65,8 @@ def space_summary(rows: DataFrame, left: str, right: str) -> DataFrame:
 
 def co_items(inputs: DataFrame, train: DataFrame, k: int) -> DataFrame:
     """The ``k`` items that share most bundles with each input item; ties by first shared bundle, then id."""
-    met = spread_pairs(train, "bundle_id", "item_id", inputs.select(F.col("item_id").alias("a")).distinct())
-    per = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("g").alias("first"))
-    return per.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "first", "b")).cast("long")).where(F.col("place") <= k)
+    def first(met: DataFrame) -> DataFrame:
+        per = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("g").alias("first"))
+        return per.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "first", "b")).cast("long")).where(F.col("place") <= k)
+
+    return pairs_in_turn(train, "bundle_id", "item_id", first, inputs.select(F.col("item_id").alias("a")).distinct())

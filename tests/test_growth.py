@@ -253,3 +253,22 @@ def test_scores_broadcast_nothing_by_the_size_of_its_file(spark, monkeypatch):
     monkeypatch.setattr(base, "stash", lambda df, name: plans.append((name, plan(df))) or df)
     base.Model(spark, SF).scored
     assert [n for n, _ in plans] == ["split", "samples", "scored"] and "BroadcastHashJoin" not in plans[-1][1]
+
+
+def test_pairs_take_turns_on_disk(spark, monkeypatch):
+    """Beyond ``PASS`` pairs the nodes are dealt to shares, each stored before the next, with the same rows and no shuffle files left by them."""
+    from setloom import shared
+
+    rows = [(g, i) for g in range(9) for i in range(20) if (g * 7 + i * i) % 3]
+    df = spark.createDataFrame(rows, "bundle_id long, item_id long")
+    some = df.where("item_id % 4 < 2").select("item_id")
+    whole = compare.co_items(some, df, 3)
+    monkeypatch.setattr(graph, "PASS", 300)
+    for held in (512, 4):
+        monkeypatch.setattr(graph, "HELD", held)
+        known = set(shared.written)
+        found = compare.co_items(some, df, 3)
+        new = [x for x in shared.written if x not in known]
+        assert sum("pairs-in-turn" in x for x in new) > 2
+        assert spark.conf.get(graph.CLEANED, "false") == "false"
+        assert sorted(found.collect()) == sorted(whole.collect()) and "Join" not in plan(found)
