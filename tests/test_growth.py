@@ -272,3 +272,20 @@ def test_pairs_take_turns_on_disk(spark, monkeypatch):
         assert sum("pairs-in-turn" in x for x in new) > 2
         assert spark.conf.get(graph.CLEANED, "false") == "false"
         assert sorted(found.collect()) == sorted(whole.collect()) and "Join" not in plan(found)
+
+
+def test_vectors_are_joined_by_name(spark):
+    """Bundle vectors are dealt as stored; an index tells copies by hashes and keeps no table of vectors that the next one replaces."""
+    from setloom import shared
+    from setloom.operators.neighbours import Index
+
+    rows = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(12)] + [(12, [0.0, 0.0])], "item_id long, embedding array<float>")
+    bi = spark.createDataFrame([(b, i) for b in range(6) for i in (b, b + 6)], "bundle_id long, item_id long")
+    means = vectors.bundle_vectors(rows, bi)
+    assert plan(means).count("REPARTITION_BY_COL") == 1
+    known = set(shared.written)
+    index = Index(rows, "item_id")
+    found = {r["item_id"]: r["neighbour"] for r in index.nearest().collect()}
+    assert found == {i: min(j for j in range(12) if j != i and j % 5 == i % 5) for i in range(12)}
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in shared.written if p not in known]
+    assert index.n == 5 and not {"vectors", "vector-cells", "vector-queries", "vector-asked"} & set(left)
